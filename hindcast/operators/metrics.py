@@ -141,6 +141,105 @@ def wrmsse(per_series: DataFrame, weights: DataFrame, *, on_undefined: str = "er
     return res
 
 
+# --------------------------------------------------------------------------
+# Two-level scoring: algebraic partial sums per (model, series), then a tiny
+# per-model combine. The forecasts are read once and the history once; a
+# model or a series holding a third of all rows is reduced map-side.
+# --------------------------------------------------------------------------
+
+
+def _partial_aggs(y: Column, p50: Column, qcols: dict[float, Column], valid: Column, rows: Column) -> list[Column]:
+    """Sums over the rows selected by ``rows`` (a boolean column)."""
+
+    def s(e: Column) -> Column:
+        return F.sum(F.when(rows, e))
+
+    d = y - p50
+    out = [
+        F.count(F.when(rows, 1)).alias("n"),
+        F.count(F.when(rows & valid, 1)).alias("n_valid"),
+        s(F.abs(d)).alias("sae"),
+        s(F.abs(y)).alias("say"),
+        s(p50 - y).alias("se"),
+        s(d * d).alias("sse"),
+    ]
+    for q, pc in qcols.items():
+        dq = y - pc
+        out.append(s(F.greatest(F.lit(q) * dq, F.lit(q - 1.0) * dq)).alias(f"pl_{qcol(q)}"))
+    return out
+
+
+def forecast_partials(forecasts: DataFrame, quantiles: Sequence[float] = DEFAULT_QUANTILES) -> DataFrame:
+    """Per (model, series): counts and sums every pooled metric is built from."""
+    y, p = F.col("y_true"), F.col("p50")
+    cols = [y, p] + [F.col(qcol(q)) for q in quantiles]
+    valid = cols[0].isNotNull()
+    for c in cols[1:]:
+        valid = valid & c.isNotNull()
+    qc = {q: F.col(qcol(q)) for q in quantiles}
+    return forecasts.groupBy("model", "series_id").agg(*_partial_aggs(y, p, qc, valid, F.lit(True)))
+
+
+def history_stats(history: DataFrame, weight_col: str | None = None) -> DataFrame:
+    """Per series: ``n_hist``, the naive scale and (optionally) the weight."""
+    w = Window.partitionBy("series_id").orderBy("ds")
+    diff = F.col("y") - F.lag("y", 1).over(w)
+    cols = [F.col("y"), diff.alias("diff")]
+    if weight_col:
+        cols.append(F.col(weight_col).alias("__w"))
+    h = history.select("series_id", *cols)
+    aggs = [
+        F.count(F.lit(1)).alias("n_hist"),
+        F.when(F.count("y") == F.count(F.lit(1)), F.avg(F.col("diff") * F.col("diff"))).alias("scale"),
+    ]
+    if weight_col:
+        aggs.append(F.coalesce(F.sum(F.abs(F.col("__w"))), F.lit(0.0)).cast("double").alias("weight"))
+    return h.groupBy("series_id").agg(*aggs)
+
+
+def bundle_from_partials(
+    partials: DataFrame,
+    hstats: DataFrame,
+    quantiles: Sequence[float] = DEFAULT_QUANTILES,
+    *,
+    on_undefined: str = "error",
+) -> DataFrame:
+    """Combine per-(model, series) partials with per-series history stats
+    (which must carry ``weight``) into the M6 bundle, one row per model."""
+    return _combine(partials.join(hstats, "series_id", "left"), quantiles, on_undefined)
+
+
+def _combine(j: DataFrame, quantiles: Sequence[float], on_undefined: str) -> DataFrame:
+    """Per-model combine of rows ``(model, series_id, partials..., n_hist, scale, weight)``."""
+    strict = F.col("n_valid") == F.col("n")
+    mse = F.when(strict, F.col("sse") / F.col("n"))
+    rm = F.when((F.col("n_hist") >= 2) & (F.col("scale") > 0), F.sqrt(mse / F.col("scale")))
+    j = j.withColumn("rmsse", rm).withColumn("__w", F.when(F.col("rmsse").isNotNull(), F.coalesce("weight", F.lit(0.0))))
+    n, nv = F.sum("n"), F.sum("n_valid")
+    ok = nv == n
+    say = F.sum("say")
+    wmape_v = F.when(say == 0, F.raise_error(F.lit("WMAPE undefined: sum(|y_true|) == 0"))).otherwise(F.sum("sae") / say)
+    sw = F.sum("__w")
+    wr = F.when(sw == 0, F.avg("rmsse")).otherwise(F.sum(F.col("__w") * F.col("rmsse")) / sw)
+    out = j.groupBy("model").agg(
+        F.when(ok, wmape_v).alias("wmape"),
+        F.when(ok, F.sum("se") / n).alias("bias"),
+        *[F.when(ok, F.sum(f"pl_{qcol(q)}") / n).alias(metric_name(q)) for q in quantiles],
+        F.count(F.when(F.col("n") > 0, 1)).cast("double").alias("n_series"),
+        wr.alias("wrmsse"),
+        F.count("rmsse").alias("n_scored"),
+    )
+    if on_undefined == "error":
+        out = out.withColumn(
+            "wrmsse",
+            F.when(
+                F.col("wrmsse").isNull(),
+                F.raise_error(F.concat(F.lit("no series with a defined RMSSE scale for model "), F.col("model"))),
+            ).otherwise(F.col("wrmsse")),
+        )
+    return out
+
+
 def metric_bundle(
     forecasts: DataFrame,
     history: DataFrame,
@@ -151,15 +250,60 @@ def metric_bundle(
 ) -> DataFrame:
     """M6: one row per model with wmape, bias, pinball per quantile, wrmsse
     and n_series (A5). Pooled metrics weigh every observation the same."""
-    y, p = F.col("y_true"), F.col("p50")
-    pooled = forecasts.groupBy("model").agg(
-        wmape_expr(y, p).alias("wmape"),
-        bias_expr(y, p).alias("bias"),
-        *[pinball_expr(y, F.col(qcol(q)), q).alias(metric_name(q)) for q in quantiles],
-        F.count_distinct("series_id").cast("double").alias("n_series"),
-    )
-    wr = wrmsse(rmsse(forecasts, history), weights, on_undefined=on_undefined).select("model", "wrmsse")
-    return pooled.join(wr, "model", "left")
+    hs = history_stats(history).join(weights, "series_id", "left")
+    b = bundle_from_partials(forecast_partials(forecasts, quantiles), hs, quantiles, on_undefined=on_undefined)
+    return b.drop("n_scored")
+
+
+def score_feature_forecasts(
+    fm: DataFrame,
+    cutoff: Column,
+    models: dict[str, dict[float, str]],
+    weight_col: str,
+    quantiles: Sequence[float] = DEFAULT_QUANTILES,
+    *,
+    on_undefined: str = "error",
+) -> DataFrame:
+    """Score forecasts that are columns of the feature matrix itself.
+
+    ``models`` maps a model name to ``{quantile: column}``. Training history
+    stats, weights and every model's test-row partials come out of ONE
+    grouped aggregate on ``series_id`` -- the partitioning the feature window
+    already produced, so no further shuffle of the panel is needed.
+    """
+    w = Window.partitionBy("series_id").orderBy("ds")
+    y = F.col("y")
+    # evaluate the cutoff comparison once (one scalar subquery in the plan)
+    d = fm.withColumn("__train", F.col("ds") < cutoff).withColumn("__diff", y - F.lag(y, 1).over(w))
+    train = F.col("__train")
+    test = ~train
+    aggs = [
+        F.count(F.when(train, 1)).alias("n_hist"),
+        F.when(
+            F.count(F.when(train, y)) == F.count(F.when(train, 1)),
+            F.avg(F.when(train, F.col("__diff") * F.col("__diff"))),
+        ).alias("scale"),
+        F.coalesce(F.sum(F.when(train, F.abs(F.col(weight_col)))), F.lit(0.0)).cast("double").alias("weight"),
+    ]
+    structs = []
+    for name, qmap in models.items():
+        cols = [y] + [F.col(qmap[q]) for q in quantiles]
+        valid = cols[0].isNotNull()
+        for c in cols[1:]:
+            valid = valid & c.isNotNull()
+        qc = {q: F.col(qmap[q]) for q in quantiles}
+        part = _partial_aggs(y, F.col(qmap[0.5]), qc, valid, test)
+        aliased = [c.alias(f"{name}__{i}") for i, c in enumerate(part)]
+        aggs += aliased
+        names = ["n", "n_valid", "sae", "say", "se", "sse"] + [f"pl_{qcol(q)}" for q in quantiles]
+        structs.append(
+            F.struct(F.lit(name).alias("model"), *[F.col(f"{name}__{i}").alias(nm) for i, nm in enumerate(names)])
+        )
+    per_series = d.groupBy("series_id").agg(*aggs)
+    stacked = per_series.select(
+        "series_id", "n_hist", "scale", "weight", F.explode(F.array(*structs)).alias("__m")
+    ).select("series_id", "n_hist", "scale", "weight", "__m.*")
+    return _combine(stacked, quantiles, on_undefined).drop("n_scored")
 
 
 LEADERBOARD_METRICS = ("wmape", "wrmsse", "pinball_p10", "pinball_p50", "pinball_p90", "bias")

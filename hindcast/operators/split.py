@@ -80,9 +80,10 @@ def mask_horizon(df: DataFrame, cutoff: Column, target: str = "y", ds: str = "ds
 def series_eligibility(df: DataFrame, cutoff: Column, ds: str = "ds") -> DataFrame:
     """Per series: training rows, test rows and whether it can be scored
     (F11: at least 2 training rows and at least one test row)."""
-    agg = df.groupBy("series_id").agg(
-        F.count(F.when(F.col(ds) < cutoff, 1)).alias("n_train"),
-        F.count(F.when(F.col(ds) >= cutoff, 1)).alias("n_test"),
+    flagged = df.select("series_id", (F.col(ds) < cutoff).alias("__train"))
+    agg = flagged.groupBy("series_id").agg(
+        F.count(F.when(F.col("__train"), 1)).alias("n_train"),
+        F.count(F.when(~F.col("__train"), 1)).alias("n_test"),
     )
     return agg.withColumn("eligible", (F.col("n_train") >= 2) & (F.col("n_test") >= 1))
 
@@ -91,10 +92,11 @@ def skip_short_series(df: DataFrame, cutoff: Column, ds: str = "ds", min_train:
     """keep rows of series with >= ``min_train`` training rows and at
     least one test row (semi join against a per-series aggregate)."""
     ok = (
-        df.groupBy("series_id")
+        df.select("series_id", (F.col(ds) < cutoff).alias("__train"))
+        .groupBy("series_id")
         .agg(
-            F.count(F.when(F.col(ds) < cutoff, 1)).alias("n_train"),
-            F.count(F.when(F.col(ds) >= cutoff, 1)).alias("n_test"),
+            F.count(F.when(F.col("__train"), 1)).alias("n_train"),
+            F.count(F.when(~F.col("__train"), 1)).alias("n_test"),
         )
         .where((F.col("n_train") >= min_train) & (F.col("n_test") >= 1))
         .select("series_id")

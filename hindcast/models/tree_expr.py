@@ -1,0 +1,80 @@
+"""Fitted Spark ML regression trees as native column expressions.
+
+After a tree is fitted, its splits are read once from the model and turned
+into nested ``CASE WHEN`` expressions over the model's input columns. Leaf
+membership and leaf outputs are then ordinary Catalyst expressions: they are
+code-generated, need no feature vector at prediction time, and a step of the
+recursive forecast is one projection instead of a chain of ML transforms.
+Split semantics follow Spark ML: continuous ``x <= threshold`` goes left,
+categorical goes left when the category is in ``leftCategories``.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+@dataclass
+class Node:
+    leaf_id: int | None = None  # set for leaves (pre-order numbering)
+    feature: int | None = None
+    threshold: float | None = None
+    categories: tuple[float, ...] | None = None
+    left: Node | None = None
+    right: Node | None = None
+
+    @property
+    def is_leaf(self) -> bool:
+        return self.leaf_id is not None
+
+
+def read_tree(java_root) -> Node:
+    """Walk a JVM tree once; leaves are numbered in pre-order."""
+    counter = [0]
+
+    def walk(n) -> Node:
+        if n.getClass().getSimpleName() == "LeafNode":
+            node = Node(leaf_id=counter[0])
+            counter[0] += 1
+            return node
+        split = n.split()
+        kind = split.getClass().getSimpleName()
+        node = Node(feature=int(split.featureIndex()))
+        if kind == "ContinuousSplit":
+            node.threshold = float(split.threshold())
+        else:
+            node.categories = tuple(float(c) for c in split.leftCategories())
+        node.left = walk(n.leftChild())
+        node.right = walk(n.rightChild())
+        return node
+
+    return walk(java_root)
+
+
+def forest_root(rf_model):
+    """Root of the single tree of a one-tree RandomForest model."""
+    return rf_model._java_obj.trees()[0].rootNode()
+
+
+def _goes_left(node: Node, cols: list[str]) -> Column:
+    x = F.col(cols[node.feature])
+    if node.categories is not None:
+        return x.isin(*[F.lit(c) for c in node.categories]) if node.categories else F.lit(False)
+    return x <= F.lit(node.threshold)
+
+
+def leaf_id_expr(node: Node, cols: list[str]) -> Column:
+    if node.is_leaf:
+        return F.lit(node.leaf_id)
+    return F.when(_goes_left(node, cols), leaf_id_expr(node.left, cols)).otherwise(leaf_id_expr(node.right, cols))
+
+
+def value_expr(node: Node, cols: list[str], values: dict[int, float]) -> Column:
+    if node.is_leaf:
+        return F.lit(float(values.get(node.leaf_id, 0.0)))
+    return F.when(_goes_left(node, cols), value_expr(node.left, cols, values)).otherwise(
+        value_expr(node.right, cols, values)
+    )

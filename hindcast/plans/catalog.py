@@ -61,7 +61,7 @@ def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from hindcast.plans import q_features, q_panels  # noqa: F401
 
-    for mod in ("q_splits", "q_metrics", "q_models", "q_monitor", "q_streaming"):
+    for mod in ("q_splits", "q_metrics", "q_models", "q_monitor", "q_sinks", "q_streaming"):
         try:
             __import__(f"hindcast.plans.{mod}")
         except ModuleNotFoundError as e:  # pragma: no cover - during development

@@ -58,17 +58,19 @@ def tail_split(df: DataFrame, horizon: int, *, on_short: str = "error") -> tuple
     n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
     tagged = df.withColumn("__rn", F.row_number().over(w)).withColumn("__n", n)
     if on_short == "error":
-        tagged = tagged.withColumn(
-            "__n",
-            F.when(
-                F.col("__n") <= F.lit(horizon),
-                F.raise_error(F.concat(F.lit("series "), F.col("series_id"), F.lit(f" has too few rows for horizon {horizon}"))),
-            ).otherwise(F.col("__n")),
-        )
+        # the check sits inside the filter predicate so that it cannot be
+        # pruned away with an unused column
+        short = F.raise_error(F.concat(F.lit("series "), F.col("series_id"), F.lit(f" has too few rows for horizon {horizon}")))
+
+        def keep(side: Column) -> Column:
+            return F.when(F.col("__n") <= F.lit(horizon), short).otherwise(side)
     else:
         tagged = tagged.where(F.col("__n") > F.lit(horizon))
-    train = tagged.where(F.col("__rn") > F.lit(horizon)).drop("__rn", "__n")
-    test = tagged.where(F.col("__rn") <= F.lit(horizon)).drop("__rn", "__n")
+
+        def keep(side: Column) -> Column:
+            return side
+    train = tagged.where(keep(F.col("__rn") > F.lit(horizon))).drop("__rn", "__n")
+    test = tagged.where(keep(F.col("__rn") <= F.lit(horizon))).drop("__rn", "__n")
     return train, test
 
 

@@ -79,3 +79,46 @@ def q_run_log(spark, sf_dir):
     sinks.append_runs(sinks.metric_rows(q_metric_bundle(spark, sf_dir), parent_id="cmp"), path)
     runs = spark.read.parquet(path)
     return runs.select("run_id", "parent_id", "model", "kind", "key", F.col("value").cast("double").alias("value"))
+
+
+@register(
+    "csv_panel_scan",
+    ("S1", "S2", "S3", "F3"),
+    rounded(
+        "SELECT p.*, o_orderpriority AS series_id, week AS ds, total_price AS y FROM (" + __import__("hindcast.plans.sqlgen", fromlist=["P1"]).P1 + ") AS p",
+        ["total_price", "y"],
+        ["o_orderpriority", "week", "n_orders", "series_id", "ds"],
+    ),
+    note="P1 written as CSV text, scanned back with an explicit schema in FAILFAST mode, dates parsed",
+)
+def q_csv_panel_scan(spark, sf_dir):
+    from hindcast.operators.features import prepare_panel
+    from hindcast.sources.panels import PANELS
+    from hindcast.sources.readers import read_panel
+
+    df, spec = PANELS["P1"](spark, sf_dir)
+    path = _out(spark, "panel-csv")
+    df.select(F.col("o_orderpriority"), F.col("week").cast("string").alias("week"), "total_price", "n_orders").write.option(
+        "header", True
+    ).csv(path)
+    schema = "o_orderpriority string, week string, total_price double, n_orders bigint"
+    return prepare_panel(read_panel(spark, path, spec, fmt="csv", schema=schema), spec)
+
+
+@register("model_artifact", ("S9", "K1"), note="boosters saved as node tables, loaded back, predictions compared row by row")
+def q_model_artifact(spark, sf_dir):
+    from hindcast.plans.q_models import _fit_p1
+
+    d, spec, c, fm, model = _fit_p1(spark, sf_dir)
+    path = _out(spark, "model")
+    sinks.save_quantile_model(spark, model, path)
+    back = sinks.load_quantile_model(spark, path)
+    test = fm.where(F.col("ds") >= c)
+    a = model.predict(test, keep=["series_id", "ds"])
+    b = back.predict(test, keep=["series_id", "ds"]).select(
+        "series_id", "ds", *[F.col(q).alias(f"loaded_{q}") for q in ("p10", "p50", "p90")]
+    )
+    j = a.join(b, ["series_id", "ds"])
+    return j.withColumn(
+        "identical", (F.col("p10") == F.col("loaded_p10")) & (F.col("p50") == F.col("loaded_p50")) & (F.col("p90") == F.col("loaded_p90"))
+    )

@@ -16,6 +16,14 @@ TABLES = (
 ).split()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system (local, HDFS, object stores)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
@@ -24,7 +32,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables; column pruning and filter pushdown
     happen in the scan as soon as a plan projects/filters it."""
     path = table_path(sf_dir, name)
-    if not os.path.exists(path) and "://" not in path:
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"table {name!r} not found at {path}")
     return spark.read.parquet(path)
 
@@ -70,7 +78,7 @@ def read_panel(
     FAILFAST mode when one is given; the date column is parsed; NaN targets
     and exogenous values become null. No sort is materialised (S4): order
     lives in each window specification."""
-    if not os.path.exists(path) and "://" not in path:
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"raw data for {spec.name!r} not found at {path}")
     reader = spark.read
     if schema is not None:

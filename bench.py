@@ -36,6 +36,10 @@ HEADLINE = [
     "prediction_histogram",
     "additive_forecast",
     "recursive_forecast",
+    "panel_parts",
+    "feature_matrix_parts",
+    "metric_bundle_parts",
+    "additive_forecast_parts",
 ]
 
 

@@ -53,20 +53,24 @@ def baseline_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return forecasts, history, weights
 
 
-_FC_SQL = (
-    features_cte(PANEL_SQL["P1"], P1, PANEL_COLUMNS["P1"])
-    + f""", cut AS (SELECT {cutoff_sql('feat', P1.horizon)} AS c),
-fc AS (
-  """
-    + "\n  UNION ALL\n  ".join(
+def baseline_sql(panel: str, weight_col: str, test_filter: str = "") -> str:
+    """CTE chain ``feat, cut, fc, hist, wts, sc, er, rm, wr0, wr`` for the
+    rolling baselines on ``panel`` (caller appends pooled/bundle CTEs)."""
+    spec = SPECS[panel]
+    extra = f" AND ({test_filter})" if test_filter else ""
+    fc = "\n  UNION ALL\n  ".join(
         f"SELECT 'roll{w}' AS model, series_id, ds, y AS y_true, roll_min_{w} AS p10, roll_mean_{w} AS p50, roll_max_{w} AS p90 "
-        "FROM feat WHERE ds >= (SELECT c FROM cut)"
+        f"FROM feat WHERE ds >= (SELECT c FROM cut){extra}"
         for w in BASELINE_WINDOWS
     )
-    + """
+    return (
+        features_cte(PANEL_SQL[panel], spec, PANEL_COLUMNS[panel])
+        + f""", cut AS (SELECT {cutoff_sql('feat', spec.horizon)} AS c),
+fc AS (
+  {fc}
 ),
-hist AS (SELECT series_id, ds, y, n_orders FROM feat WHERE ds < (SELECT c FROM cut)),
-wts AS (SELECT series_id, CAST(coalesce(sum(abs(n_orders)), 0) AS DOUBLE) AS weight FROM hist GROUP BY series_id),
+hist AS (SELECT series_id, ds, y, {weight_col} AS wsrc FROM feat WHERE ds < (SELECT c FROM cut)),
+wts AS (SELECT series_id, CAST(coalesce(sum(abs(wsrc)), 0) AS DOUBLE) AS weight FROM hist GROUP BY series_id),
 sc AS (
   SELECT series_id, count(*) AS n_hist, CASE WHEN count(y) = count(*) THEN avg(d * d) END AS scale
   FROM (SELECT series_id, y, y - lag(y) OVER (PARTITION BY series_id ORDER BY ds) AS d FROM hist) GROUP BY series_id
@@ -96,7 +100,10 @@ wr AS (
   FROM (SELECT DISTINCT model FROM rm) m LEFT JOIN wr0 ON m.model = wr0.model
 ),
 """
-)
+    )
+
+
+_FC_SQL = baseline_sql("P1", "n_orders")
 
 
 def _strict_sql(expr: str, *cols: str) -> str:

@@ -50,7 +50,13 @@ P5 = """SELECT l_returnflag, l_linestatus,
        CAST(SUM(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / 100 AS quantity
 FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2, 3"""
 
-PANEL_SQL = {"P1": P1, "P2": P2, "P3": P3, "P4": P4, "P5": P5}
+P6 = """SELECT l_partkey,
+       CAST(date_trunc('week', l_shipdate) AS DATE) AS week,
+       CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS revenue,
+       CAST(SUM(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / 100 AS quantity
+FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2"""
+
+PANEL_SQL = {"P1": P1, "P2": P2, "P3": P3, "P4": P4, "P5": P5, "P6": P6}
 
 
 def series_key_sql(spec: PanelSpec) -> str:

@@ -93,6 +93,16 @@ P5_SPEC = PanelSpec(
     **WEEKLY_FEATURES,
 )
 
+P6_SPEC = PanelSpec(
+    name="parts_weekly",
+    date_col="week",
+    target_col="revenue",
+    series_id_cols=("l_partkey",),
+    exogenous_cols=("quantity",),
+    holiday_country="US",
+    **WEEKLY_FEATURES,
+)
+
 
 def orders_weekly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PanelSpec]:
     """Weekly order value per priority, order count as exogenous."""
@@ -145,15 +155,27 @@ def lineitem_weekly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PanelS
     return df, P5_SPEC
 
 
+def parts_weekly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PanelSpec]:
+    """Weekly shipped value per part -- a sparse, ragged panel whose
+    number of series grows with the data (the volume panel)."""
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_shipdate").isNotNull())
+    df = li.groupBy("l_partkey", week_start(F.to_date("l_shipdate")).alias("week")).agg(
+        cents_to_double(F.sum(cents(F.col("l_extendedprice")))).alias("revenue"),
+        cents_to_double(F.sum(cents(F.col("l_quantity")))).alias("quantity"),
+    )
+    return df, P6_SPEC
+
+
 PANELS = {
     "P1": orders_weekly,
     "P2": orders_daily,
     "P3": orders_status_weekly,
     "P4": events_daily,
     "P5": lineitem_weekly,
+    "P6": parts_weekly,
 }
 
-SPECS = {"P1": P1_SPEC, "P2": P2_SPEC, "P3": P3_SPEC, "P4": P4_SPEC, "P5": P5_SPEC}
+SPECS = {"P1": P1_SPEC, "P2": P2_SPEC, "P3": P3_SPEC, "P4": P4_SPEC, "P5": P5_SPEC, "P6": P6_SPEC}
 
 # Source columns of each panel (what the builder emits), in order.
 PANEL_COLUMNS = {
@@ -162,4 +184,5 @@ PANEL_COLUMNS = {
     "P3": ["o_orderpriority", "o_orderstatus", "week", "total_price"],
     "P4": ["event_type", "day", "total_value", "n_events"],
     "P5": ["l_returnflag", "l_linestatus", "week", "revenue", "quantity"],
+    "P6": ["l_partkey", "week", "revenue", "quantity"],
 }

@@ -36,30 +36,32 @@ def long_features(df: DataFrame, features: Sequence[str], extra: Sequence[str] =
 def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
     """PSI per feature, ``sum((a - e) * ln(a / e))`` over ``bins``
     equal-width buckets spanning the reference range (values outside are
-    clipped into the edge buckets; empty shares become ``1e-4``).
-
-    Bucket edges come from one min/max aggregate of the reference; both sides
-    are reduced to (feature, bucket) counts before anything is joined.
-    """
-    ref = long_features(reference, features)
-    cur = long_features(current, features)
-    rng = ref.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-
-    def bucketed(x: DataFrame, side: str) -> DataFrame:
-        j = x.join(rng, "feature")  # one row per feature: AQE broadcasts it
-        width = F.col("hi") - F.col("lo")
-        b = F.when(width <= 0, F.lit(0)).otherwise(F.floor((F.col("value") - F.col("lo")) / width * bins))
-        b = F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
-        counts = j.groupBy("feature", b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-        tot = Window.partitionBy("feature")
-        return counts.select("feature", "bucket", (F.col("n") / F.sum("n").over(tot)).alias(side))
-
-    e = bucketed(ref, "e")
-    a = bucketed(cur, "a")
-    j = e.join(a, ["feature", "bucket"], "full_outer")
+    clipped into the edge buckets; empty shares become ``1e-4``)."""
+    cols = list(features)
+    both = reference.select(*cols, F.lit(True).alias("__ref")).unionByName(current.select(*cols, F.lit(False).alias("__ref")))
+    return psi_flagged(both, "__ref", cols, bins)
+
+
+def psi_flagged(df: DataFrame, is_ref: str, features: Sequence[str], bins: int = 10) -> DataFrame:
+    """PSI where one frame holds both windows (``is_ref`` marks the reference
+    rows). Two passes: one min/max aggregate for the bucket edges, one count
+    per (feature, side, bucket); the sides are then pivoted by conditional
+    aggregation -- no join of the two windows."""
+    lf = long_features(df, features, extra=[is_ref])
+    rng = lf.where(F.col(is_ref)).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    j = lf.join(rng, "feature")  # one row per feature on the right: AQE broadcasts it
+    width = F.col("hi") - F.col("lo")
+    b = F.when(width <= 0, F.lit(0)).otherwise(F.floor((F.col("value") - F.col("lo")) / width * bins))
+    b = F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
+    counts = j.groupBy("feature", F.col(is_ref).alias("__side"), b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("feature", "__side")))
+    per_bucket = shares.groupBy("feature", "bucket").agg(
+        F.max(F.when(F.col("__side"), F.col("share"))).alias("e"),
+        F.max(F.when(~F.col("__side"), F.col("share"))).alias("a"),
+    )
     ee = F.greatest(F.coalesce(F.col("e"), F.lit(0.0)), F.lit(PSI_EPS))
     aa = F.greatest(F.coalesce(F.col("a"), F.lit(0.0)), F.lit(PSI_EPS))
-    return j.groupBy("feature").agg(F.sum((aa - ee) * F.log(aa / ee)).alias("psi"))
+    return per_bucket.groupBy("feature").agg(F.sum((aa - ee) * F.log(aa / ee)).alias("psi"))
 
 
 def psi_status(psi_df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hindcast.models.additive import AdditiveParams, additive_forecast
 from hindcast.operators import monitor as MON
 from hindcast.operators.features import build_feature_matrix, prepare_panel
-from hindcast.operators.profile import column_profile, profile_violations
+from hindcast.operators.profile import column_profile, sided_violations
 from hindcast.operators.split import first_n_series, panel_cutoff
 from hindcast.plans.catalog import register
 from hindcast.plans.q_metrics import _SQL as BASELINE_SQL
@@ -100,9 +100,8 @@ def q_profile_violations(spark, sf_dir):
     fm, fspec, spec = _p1_features(spark, sf_dir)
     flagged = fm.withColumn("__train", F.col("ds") < panel_cutoff(fm, spec.horizon))
     cols = ["ds", "y", *fspec.numeric]
-    ref = column_profile(flagged.where(F.col("__train")), cols)
-    cur = column_profile(flagged.where(~F.col("__train")), cols)
-    return profile_violations(ref, cur)
+    # both windows profiled by ONE grouped aggregate, compared without a join
+    return sided_violations(column_profile(flagged, cols, by="__train"), "__train")
 
 
 # --- X1 / X12: PSI -----------------------------------------------------------------
@@ -141,7 +140,7 @@ def _psi_df(spark, sf_dir):
     df, spec = PANELS["P2"](spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
     flagged = fm.withColumn("__ref", F.col("ds") < panel_cutoff(fm, spec.horizon))
-    return MON.psi(flagged.where(F.col("__ref")), flagged.where(~F.col("__ref")), PSI_FEATURES)
+    return MON.psi_flagged(flagged, "__ref", PSI_FEATURES)
 
 
 @register("psi", ("X1",), rounded(_psi_sql() + "SELECT feature, psi FROM psi", ["psi"], ["feature"]))

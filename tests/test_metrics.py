@@ -125,3 +125,43 @@ def test_leaderboard_ranks_by_wmape(spark):
     ranks = {r["model"]: r["rank"] for r in lb.collect()}
     assert ranks == {"b": 1, "a": 2}
     assert "n_series" not in lb.columns
+
+
+# --- property test: pooled metrics equal the numpy definitions ---------------
+
+import numpy as np  # noqa: E402
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.tuples(st.sampled_from(["A", "B", "C"]), st.floats(1, 1000), st.floats(-50, 50), st.floats(0, 30), st.floats(0, 30)),
+        min_size=2,
+        max_size=40,
+    )
+)
+def test_bundle_matches_numpy(spark, rows):
+    data = []
+    for i, (sid, y, e, lo, hi) in enumerate(rows):
+        data.append(("m", sid, i, float(y), float(y + e - lo), float(y + e), float(y + e + hi)))
+    f = spark.createDataFrame(data, "model string, series_id string, ds int, y_true double, p10 double, p50 double, p90 double")
+    hist_rows = [(s, i, float(v)) for s in "ABC" for i, v in enumerate([1.0, 3.0, 2.0, 5.0])]
+    h = spark.createDataFrame(hist_rows, "series_id string, ds int, y double")
+    w = spark.createDataFrame([("A", 1.0), ("B", 2.0), ("C", 3.0)], "series_id string, weight double")
+    got = M.metric_bundle(f, h, w).first()
+    y = np.array([r[3] for r in data])
+    p10, p50, p90 = (np.array([r[k] for r in data]) for k in (4, 5, 6))
+    assert got["wmape"] == pytest.approx(np.abs(y - p50).sum() / np.abs(y).sum(), rel=1e-9)
+    assert got["bias"] == pytest.approx(np.mean(p50 - y), rel=1e-9, abs=1e-9)
+    for q, p in ((0.1, p10), (0.5, p50), (0.9, p90)):
+        d = y - p
+        assert got[metric_name(q)] == pytest.approx(np.mean(np.maximum(q * d, (q - 1) * d)), rel=1e-9, abs=1e-12)
+    scale = np.mean(np.diff([1.0, 3.0, 2.0, 5.0]) ** 2)
+    sids = sorted({r[1] for r in data})
+    wts = {"A": 1.0, "B": 2.0, "C": 3.0}
+    rm = {s: np.sqrt(np.mean([(r[3] - r[5]) ** 2 for r in data if r[1] == s]) / scale) for s in sids}
+    exp = sum(wts[s] * rm[s] for s in sids) / sum(wts[s] for s in sids)
+    assert got["wrmsse"] == pytest.approx(exp, rel=1e-9)
+    assert got["n_series"] == float(len(sids))

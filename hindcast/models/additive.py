@@ -7,19 +7,25 @@ regressor, fitted by ridge least squares; the 80% interval is
 ``yhat -/+ z(0.9) * sigma`` of the in-sample residuals. It does not reproduce
 the sampler-based library's numbers.
 
-Distribution: ``groupBy(series_id).applyInPandas`` -- one shuffle brings each
-series to one task, where numpy solves a small dense system. A series'
-length is bounded by the number of periods in the calendar (the panel key
-``(series_id, ds)`` is unique), so no group grows with the data volume.
+Distribution: the fit is ``groupBy(series_id).applyInPandas`` -- one shuffle
+brings each series' training rows to one task, where numpy solves a small
+dense ridge system and returns ONE coefficient row (the model artifact). A
+series' length is bounded by the number of periods in the calendar (the
+panel key ``(series_id, ds)`` is unique), so no group grows with the data
+volume. Prediction is pure Spark: rows join their coefficient row and the
+design (trend, changepoint hinges via ``aggregate``, Fourier, holiday) and
+``x . beta`` are column expressions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions.holidays import is_holiday
@@ -41,7 +47,12 @@ class AdditiveParams:
     changepoint_ridge: float = 10.0
 
 
-OUT_SCHEMA = "series_id string, ds date, y_true double, p10 double, p50 double, p90 double, n_train long"
+COEF_SCHEMA = (
+    "series_id string, t0 double, span double, scale double, sigma double, n_train long, "
+    "cps array<double>, beta array<double>"
+)
+
+_EMPTY = pd.DataFrame(columns=["series_id", "t0", "span", "scale", "sigma", "n_train", "cps", "beta"])
 
 
 def _design(t_days: np.ndarray, t0: float, span: float, cps: np.ndarray, hol: np.ndarray, p: AdditiveParams):
@@ -61,46 +72,106 @@ def _design(t_days: np.ndarray, t0: float, span: float, cps: np.ndarray, hol: np
     return np.column_stack(cols)
 
 
-def fit_predict_series(pdf: pd.DataFrame, p: AdditiveParams) -> pd.DataFrame:
-    """Fit one series on its training rows, predict its test rows."""
-    pdf = pdf.sort_values("ds")
-    train = pdf[pdf["is_train"] & pdf["y"].notna()]
-    test = pdf[~pdf["is_train"]]
-    if len(train) < 2 or test.empty:  # F11
-        return pd.DataFrame(columns=["series_id", "ds", "y_true", "p10", "p50", "p90", "n_train"])
-    t_all = pdf["t"].to_numpy(dtype=float)
+def fit_series(pdf: pd.DataFrame, p: AdditiveParams) -> pd.DataFrame:
+    """Ridge fit of one series' training rows -> one coefficient row.
+    Series with fewer than two training rows are skipped (F11)."""
+    train = pdf[pdf["y"].notna()].sort_values("t")
+    if len(train) < 2:
+        return _EMPTY
     t_tr = train["t"].to_numpy(dtype=float)
-    t0, span = t_tr.min(), max(t_tr.max() - t_tr.min(), 1.0)
+    t0, span = float(t_tr.min()), float(max(t_tr.max() - t_tr.min(), 1.0))
     n_cp = min(p.n_changepoints, max(len(train) - 2, 0))
     cps = np.linspace(0, p.changepoint_range, n_cp + 2)[1:-1] if n_cp > 0 else np.array([])
-    X_tr = _design(t_tr, t0, span, cps, train["hol"].to_numpy(dtype=float), p)
-    y_tr = train["y"].to_numpy(dtype=float)
-    scale = max(np.abs(y_tr).max(), 1e-12)
-    pen = np.full(X_tr.shape[1], p.ridge)
-    pen[0] = 0.0  # intercept
-    pen[1] = 0.0  # base slope
+    X = _design(t_tr, t0, span, cps, train["hol"].to_numpy(dtype=float), p)
+    y = train["y"].to_numpy(dtype=float)
+    scale = float(max(np.abs(y).max(), 1e-12))
+    pen = np.full(X.shape[1], p.ridge)
+    pen[:2] = 0.0  # intercept and base slope are not shrunk
     pen[2 : 2 + len(cps)] = p.changepoint_ridge
-    A = X_tr.T @ X_tr + np.diag(pen)
-    beta = np.linalg.solve(A, X_tr.T @ (y_tr / scale))
-    resid = y_tr / scale - X_tr @ beta
-    sigma = float(np.sqrt(np.sum(resid**2) / max(len(y_tr) - 1, 1)))
-    X_te = _design(test["t"].to_numpy(dtype=float), t0, span, cps, test["hol"].to_numpy(dtype=float), p)
-    yhat = X_te @ beta * scale
-    half = Z90 * sigma * scale
-    del t_all
+    beta = np.linalg.solve(X.T @ X + np.diag(pen), X.T @ (y / scale))
+    resid = y / scale - X @ beta
+    sigma = float(np.sqrt(np.sum(resid**2) / max(len(y) - 1, 1)))
     return pd.DataFrame(
         {
-            "series_id": test["series_id"].to_numpy(),
-            "ds": test["ds"].to_numpy(),
-            "y_true": test["y"].to_numpy(dtype=float),
-            "p10": yhat - half,
-            "p50": yhat,
-            "p90": yhat + half,
-            "n_train": np.full(len(test), len(train), dtype=np.int64),
+            "series_id": [train["series_id"].iloc[0]],
+            "t0": [t0],
+            "span": [span],
+            "scale": [scale],
+            "sigma": [sigma],
+            "n_train": [len(train)],
+            "cps": [cps.astype(float).tolist()],
+            "beta": [beta.astype(float).tolist()],
         }
     )
 
 
+def _day_number(ds: Column) -> Column:
+    return F.datediff(F.to_date(ds), F.lit("1970-01-01").cast("date")).cast("double")
+
+
+def fit_additive(
+    d: DataFrame, spec: PanelSpec, params: AdditiveParams = AdditiveParams(), cutoff=None
+) -> DataFrame:
+    """K5 fit: one coefficient row per series (the local model's artifact,
+    S9). Rows at or after ``cutoff`` are not used; ``cutoff=None`` fits on the
+    whole history (for forecasting past its end). Holidays are flagged by
+    Spark before the shuffle; only the dense solve runs in Python."""
+    rows = d if cutoff is None else d.where(F.col("ds") < cutoff)
+    inp = rows.select(
+        "series_id",
+        F.col("y").cast("double").alias("y"),
+        _day_number(F.col("ds")).alias("t"),
+        is_holiday(F.col("ds"), spec.holiday_country if params.use_holidays else None).cast("double").alias("hol"),
+    )
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fit_series(pdf, params)
+
+    return inp.groupBy("series_id").applyInPandas(fn, COEF_SCHEMA)
+
+
+def _b(i: Column) -> Column:
+    """beta[i] (0-based) of the joined coefficient row."""
+    return F.element_at(F.col("beta"), (i + 1).cast("int"))
+
+
+def predict_additive(
+    coefs: DataFrame, rows: DataFrame, spec: PanelSpec, params: AdditiveParams = AdditiveParams()
+) -> DataFrame:
+    """K5 predict: ``rows`` (series_id, ds, ...) joined to their series'
+    coefficients; the design row (trend, hinges, Fourier, holiday) and
+    ``x . beta`` are built with Spark expressions, so scoring needs no Python.
+    Series without coefficients get no prediction (inner join)."""
+    t = _day_number(F.col("ds"))
+    j = rows.join(coefs, "series_id")
+    ts = (t - F.col("t0")) / F.col("span")
+    n_cp = F.size("cps")
+    hinge = F.aggregate(
+        F.sequence(F.lit(0), n_cp - 1),
+        F.lit(0.0),
+        lambda acc, i: acc + _b(i + 2) * F.greatest(ts - F.element_at(F.col("cps"), i + 1), F.lit(0.0)),
+    )
+    yhat = _b(F.lit(0)) + _b(F.lit(1)) * ts + F.when(n_cp > 0, hinge).otherwise(F.lit(0.0))
+    off = n_cp + 2
+    k_idx = 0
+    for k in range(1, params.yearly_order + 1):
+        a = t * F.lit(2 * math.pi * k / 365.25)
+        yhat = yhat + _b(off + k_idx) * F.sin(a) + _b(off + k_idx + 1) * F.cos(a)
+        k_idx += 2
+    if params.weekly_seasonality:
+        for k in range(1, params.weekly_order + 1):
+            a = t * F.lit(2 * math.pi * k / 7.0)
+            yhat = yhat + _b(off + k_idx) * F.sin(a) + _b(off + k_idx + 1) * F.cos(a)
+            k_idx += 2
+    if params.use_holidays:
+        hol = is_holiday(F.col("ds"), spec.holiday_country).cast("double")
+        yhat = yhat + _b(off + k_idx) * hol
+    p50 = yhat * F.col("scale")
+    half = F.lit(Z90) * F.col("sigma") * F.col("scale")
+    keep = [c for c in rows.columns]
+    return j.select(*keep, (p50 - half).alias("p10"), p50.alias("p50"), (p50 + half).alias("p90"))
+
+
 def additive_forecast(
     d: DataFrame,
     spec: PanelSpec,
@@ -108,21 +179,38 @@ def additive_forecast(
     cutoff=None,
     model_name: str = "additive",
 ) -> DataFrame:
-    """K5 over a prepared panel: ``forecasts(model, series_id, ds, y_true,
-    p10, p50, p90)`` for every series with >= 2 training rows and at least
-    one test row. Holidays are flagged by Spark before the shuffle."""
+    """K5 over a prepared panel: fit on rows before the cutoff, predict the
+    test rows. ``forecasts(model, series_id, ds, y_true, p10, p50, p90)`` for
+    every series with >= 2 training rows and at least one test row (F11)."""
     c = panel_cutoff(d, spec.horizon) if cutoff is None else cutoff
-    inp = d.select(
-        "series_id",
-        F.to_date("ds").alias("ds"),
-        F.col("y").cast("double").alias("y"),
-        (F.col("ds") < c).alias("is_train"),
-        F.datediff(F.to_date("ds"), F.lit("1970-01-01").cast("date")).cast("double").alias("t"),
-        is_holiday(F.col("ds"), spec.holiday_country if params.use_holidays else None).cast("double").alias("hol"),
-    )
+    flagged = d.select("series_id", "ds", "y", (F.col("ds") < c).alias("__train"))
+    coefs = fit_additive(flagged.where(F.col("__train")).drop("__train"), spec, params)
+    test = flagged.where(~F.col("__train")).select("series_id", "ds", F.col("y").alias("y_true"))
+    out = predict_additive(coefs, test, spec, params)
+    return out.select(F.lit(model_name).alias("model"), "series_id", "ds", "y_true", "p10", "p50", "p90")
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fit_predict_series(pdf, params)
 
-    out = inp.groupBy("series_id").applyInPandas(fn, OUT_SCHEMA)
-    return out.select(F.lit(model_name).alias("model"), "series_id", "ds", "y_true", "p10", "p50", "p90")
+def forecast_future(
+    d: DataFrame,
+    coefs: DataFrame,
+    spec: PanelSpec,
+    params: AdditiveParams = AdditiveParams(),
+    requested: DataFrame | None = None,
+    model_name: str = "additive",
+) -> DataFrame:
+    """Point forecast and 80% interval for the next ``horizon``
+    periods after each (requested) series' last date, from stored
+    coefficients. ``requested`` (series_id) restricts the series by a semi join."""
+    from hindcast.operators.split import future_dates
+
+    hist = d if requested is None else d.join(requested.select("series_id").distinct(), "series_id", "left_semi")
+    fut = future_dates(hist, spec, include_history=False).select("series_id", "ds")
+    pred = predict_additive(coefs, fut, spec, params)
+    return pred.select(
+        F.lit(model_name).alias("model"),
+        "series_id",
+        "ds",
+        F.col("p50").alias("point"),
+        F.col("p10").alias("lower"),
+        F.col("p90").alias("upper"),
+    )

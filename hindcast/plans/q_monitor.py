@@ -374,11 +374,22 @@ def q_shadow_split_hash(spark, sf_dir):
 # --- X6: batch forecast -------------------------------------------------------------
 
 
-@register("batch_forecast", ("X6", "K5"), note="point + interval for the first three series of P3")
+@register(
+    "batch_forecast",
+    ("X6", "K5", "K7", "S9"),
+    note="local models fitted on the full history, stored as a coefficient table, reloaded, "
+    "and used to forecast the next H weeks (point + 80% interval) for the requested series",
+)
 def q_batch_forecast(spark, sf_dir):
+    import uuid
+
+    from hindcast.models.additive import fit_additive, forecast_future
+    from hindcast.session import checkpoint_dir
+
     df, spec = PANELS["P3"](spark, sf_dir)
     d = prepare_panel(df, spec)
+    coefs = fit_additive(d, spec, AdditiveParams())
+    path = f"{checkpoint_dir(spark).rstrip('/')}/hindcast-out/additive-coefs-{uuid.uuid4().hex}"
+    coefs.write.parquet(path)  # S9: the local model artifact
     requested = first_n_series(d, 3).select("series_id").distinct()
-    c = panel_cutoff(d, spec.horizon)  # the global cutoff of the whole panel
-    fc = additive_forecast(d.join(requested, "series_id", "left_semi"), spec, AdditiveParams(), c)
-    return MON.batch_forecast(fc, requested)
+    return forecast_future(d, spark.read.parquet(path), spec, AdditiveParams(), requested)

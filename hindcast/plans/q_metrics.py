@@ -18,7 +18,7 @@ from hindcast.operators.quantiles import sort_quantiles
 from hindcast.operators.split import panel_cutoff
 from hindcast.plans.catalog import register
 from hindcast.plans.sqlgen import PANEL_SQL, cutoff_sql, features_cte, rounded
-from hindcast.sources.panels import PANEL_COLUMNS, PANELS, SPECS
+from hindcast.sources.panels import PANEL_COLUMNS, SPECS, materialized
 
 P1 = SPECS["P1"]
 BASELINE_WINDOWS = (4, 8)
@@ -26,7 +26,7 @@ BASELINE_WINDOWS = (4, 8)
 
 def baseline_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(forecasts, history, weights) for the rolling baselines on P1."""
-    df, spec = PANELS["P1"](spark, sf_dir)
+    df, spec = materialized("P1", spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
     c = panel_cutoff(fm, spec.horizon)
     test = fm.where(F.col("ds") >= c)
@@ -202,7 +202,7 @@ _BUNDLE_COLS = ["wmape", "bias", "pinball_p10", "pinball_p50", "pinball_p90", "n
 )
 def q_metric_bundle(spark, sf_dir):
     """One aggregate over the feature matrix scores both baselines."""
-    df, spec = PANELS["P1"](spark, sf_dir)
+    df, spec = materialized("P1", spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
     c = panel_cutoff(fm, spec.horizon)
     return M.score_feature_forecasts(fm, c, _BASELINE_COLS, M.weight_source(spec))
@@ -251,7 +251,7 @@ SELECT series_id, ds, least(a, b, c) AS p10, greatest(least(a, b), least(greates
     note="crossing inputs (lag_1, roll_mean_4, lag_2) sorted row-wise",
 )
 def q_noncrossing_quantiles(spark, sf_dir):
-    df, spec = PANELS["P1"](spark, sf_dir)
+    df, spec = materialized("P1", spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
     c = panel_cutoff(fm, spec.horizon)
     raw = fm.where(F.col("ds") >= c).select(

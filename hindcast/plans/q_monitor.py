@@ -13,7 +13,7 @@ from hindcast.plans.catalog import register
 from hindcast.plans.q_metrics import _SQL as BASELINE_SQL
 from hindcast.plans.q_metrics import q_leaderboard
 from hindcast.plans.sqlgen import PANEL_SQL, cutoff_sql, feature_names_sql, features_cte, rounded
-from hindcast.sources.panels import PANEL_COLUMNS, PANELS, SPECS
+from hindcast.sources.panels import PANEL_COLUMNS, PANELS, SPECS, materialized
 from hindcast.sources.readers import read_table
 
 P1, P2 = SPECS["P1"], SPECS["P2"]
@@ -56,7 +56,7 @@ def _profile_sql(src: str, where: str = "") -> str:
 
 
 def _p1_features(spark, sf_dir):
-    df, spec = PANELS["P1"](spark, sf_dir)
+    df, spec = materialized("P1", spark, sf_dir)
     fm, fspec = build_feature_matrix(df, spec)
     return fm, fspec, spec
 
@@ -137,7 +137,7 @@ psi AS (SELECT feature, sum((aa - ee) * ln(aa / ee)) AS psi FROM j GROUP BY feat
 
 
 def _psi_df(spark, sf_dir):
-    df, spec = PANELS["P2"](spark, sf_dir)
+    df, spec = materialized("P2", spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
     flagged = fm.withColumn("__ref", F.col("ds") < panel_cutoff(fm, spec.horizon))
     return MON.psi_flagged(flagged, "__ref", PSI_FEATURES)
@@ -192,7 +192,7 @@ def q_residual_drift(spark, sf_dir):
 
 
 def _rolling_df(spark, sf_dir):
-    df, spec = PANELS["P2"](spark, sf_dir)
+    df, spec = materialized("P2", spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
     scored = fm.where(F.col("roll_mean_7").isNotNull()).select(
         F.lit("roll7").alias("model"), "ds", F.col("y").alias("y_true"), F.col("roll_mean_7").alias("p50"),

@@ -21,7 +21,7 @@ from hindcast.operators.split import (
 )
 from hindcast.plans.catalog import register
 from hindcast.plans.sqlgen import PANEL_SQL, cutoff_sql, features_cte, prepared_sql, rounded
-from hindcast.sources.panels import PANEL_COLUMNS, PANELS, SPECS
+from hindcast.sources.panels import PANEL_COLUMNS, PANELS, SPECS, materialized
 
 P3 = SPECS["P3"]
 H = P3.horizon
@@ -29,7 +29,7 @@ BASE3 = f"WITH base AS ({prepared_sql(PANEL_SQL['P3'], P3)})\n"
 
 
 def _p3(spark, sf_dir):
-    df, spec = PANELS["P3"](spark, sf_dir)
+    df, spec = materialized("P3", spark, sf_dir)
     return prepare_panel(df, spec).select("series_id", "ds", "y")
 
 
@@ -131,7 +131,7 @@ def q_fit_rows(spark, sf_dir):
     ),
 )
 def q_skip_short_series(spark, sf_dir):
-    df, spec = PANELS["P2"](spark, sf_dir)
+    df, spec = materialized("P2", spark, sf_dir)
     d = prepare_panel(df, spec).select("series_id", "ds", "y")
     return skip_short_series(d, panel_cutoff(d, spec.horizon))
 
@@ -192,7 +192,7 @@ FROM feat f LEFT JOIN pred ON f.series_id = pred.series_id AND f.ds = pred.ds"""
     note="mask the horizon, then write one step's p50 back as history",
 )
 def q_feedback_write_back(spark, sf_dir):
-    df, spec = PANELS["P1"](spark, sf_dir)
+    df, spec = materialized("P1", spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
     c = panel_cutoff(fm, spec.horizon)
     preds = fm.where(F.col("ds") == c).select("series_id", "ds", F.col("roll_mean_4").alias("p50"))

@@ -14,7 +14,7 @@ from hindcast.plans.catalog import register
 from hindcast.plans.q_monitor import _ROLL_SQL
 from hindcast.plans.sqlgen import rounded
 from hindcast.session import checkpoint_dir
-from hindcast.sources.panels import PANELS
+from hindcast.sources.panels import materialized
 from hindcast.sources.readers import read_table
 from hindcast.streaming.monitor_stream import hourly_volume_stream, latest, rolling_wmape_stream
 
@@ -49,7 +49,7 @@ def q_stream_hourly_requests(spark, sf_dir):
     note="scored rows replayed as a stream; sliding 30-day windows; breach vs validation WMAPE",
 )
 def q_stream_rolling_wmape(spark, sf_dir):
-    df, spec = PANELS["P2"](spark, sf_dir)
+    df, spec = materialized("P2", spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
     scored = fm.where(F.col("roll_mean_7").isNotNull()).select(
         F.lit("roll7").alias("model"),

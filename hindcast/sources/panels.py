@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions.calendar import week_start
+from hindcast.session import cut_lineage
 from hindcast.sources.readers import read_table
 from hindcast.spec import FourierTerm, PanelSpec
 
@@ -186,3 +187,13 @@ PANEL_COLUMNS = {
     "P5": ["l_returnflag", "l_linestatus", "week", "revenue", "quantity"],
     "P6": ["l_partkey", "week", "revenue", "quantity"],
 }
+
+
+def materialized(key: str, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PanelSpec]:
+    """The panel aggregated ONCE and reliably checkpointed into the shared
+    checkpoint folder. Plans that need the panel more than once -- e.g. the
+    global cutoff (a scalar subquery over the panel's dates) next to the
+    features -- then read the small aggregated panel instead of scanning and
+    shuffling the raw table again."""
+    df, spec = PANELS[key](spark, sf_dir)
+    return cut_lineage(df), spec

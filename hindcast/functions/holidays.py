@@ -1,8 +1,8 @@
 """Holiday calendar as column expressions and as a small dimension.
 
-The default path needs no join at all: ``is_holiday(ds)`` evaluates the
-holiday rules for ``year(ds)`` inline, so the flag costs one codegen'd
-expression per row, no shuffle and no broadcast. A user-supplied calendar
+The default path needs no join at all: ``is_holiday(ds)`` compares the date
+with the rule dates of ``year(ds)`` inline, so the flag is one codegen'd
+expression per row, with no shuffle and no broadcast. A user-supplied calendar
 (any country) goes through :func:`holiday_flag_from_table`, a left join on
 distinct dates that AQE turns into a broadcast only when the calendar is
 measured small at runtime.
@@ -82,12 +82,29 @@ def holiday_dates(year: Column, country: str = "US") -> Column:
 
 
 def is_holiday(ds: Column, country: str | None) -> Column:
-    """0/1 flag; 0 everywhere when no country is configured."""
+    """0/1 flag; 0 everywhere when no country is configured.
+
+    A plain OR of date comparisons against the rules evaluated for
+    ``year(ds)`` -- no array, no lambda -- so it stays inside whole-stage
+    codegen, and needs no join or broadcast."""
     if not country:
         return F.lit(0)
+    rules = SUPPORTED_COUNTRIES.get(country.upper())
+    if rules is None:
+        raise ValueError(f"no built-in holiday rules for {country!r}; use holiday_flag_from_table")
     d = F.to_date(ds)
-    hit = F.exists(holiday_dates(F.year(d), country), lambda h: h["date"] == d)
-    return hit.cast("int")
+    year = F.year(d)
+    hit = F.lit(False)
+    for _name, month, rule, arg, since in rules:
+        month_hit = F.lit(False)
+        for date_expr in _rule_dates(year, month, rule, arg):
+            month_hit = month_hit | (d == date_expr)
+        if since is not None:
+            month_hit = month_hit & (year >= F.lit(since))
+        hit = hit | month_hit
+    nxt = F.make_date(year + 1, F.lit(1), F.lit(1))
+    hit = hit | ((F.weekday(nxt) == 5) & (d == F.date_sub(nxt, 1)))
+    return F.coalesce(hit, F.lit(False)).cast("int")
 
 
 def holiday_table(spark: SparkSession, first_year: int, last_year: int, country: str = "US") -> DataFrame:

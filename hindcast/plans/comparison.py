@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.models.additive import AdditiveParams, additive_forecast
+from hindcast.models.additive import AdditiveParams, additive_forecast, fit_additive, predict_additive
 from hindcast.models.quantile_boost import BoostParams
 from hindcast.models.recursive import recursive_forecast
 from hindcast.models.quantile_boost import fit_quantile_models
@@ -45,14 +45,22 @@ def run_comparison(
     fm, fspec = build_feature_matrix(d, spec, prepared=True)
     model = fit_quantile_models(fm.where(F.col("ds") < c), fspec, quantiles, boost)
     fc_global = recursive_forecast(d, spec, model, c, "quantile_boost")
-    fc_local = cut_lineage(additive_forecast(d, spec, additive, c, "additive"))
+    coefs = cut_lineage(fit_additive(d.where(F.col("ds") < c), spec, additive))
+    test = d.where(F.col("ds") >= c).select("series_id", "ds", F.col("y").alias("y_true"))
+    fc_local = cut_lineage(
+        predict_additive(coefs, test, spec, additive).select(
+            F.lit("additive").alias("model"), "series_id", "ds", "y_true", "p10", "p50", "p90"
+        )
+    )
     common = fc_global.select("series_id").distinct().join(fc_local.select("series_id").distinct(), "series_id")
     forecasts = cut_lineage(
         fc_global.join(common, "series_id", "left_semi").unionByName(fc_local.join(common, "series_id", "left_semi"))
     )
     train = d.where(F.col("ds") < c)
     bundle = M.metric_bundle(forecasts, train.select("series_id", "ds", "y"), M.series_weight(train, spec), quantiles)
-    return ComparisonResult(forecasts, bundle, M.leaderboard(bundle), models={"quantile_boost": model})
+    return ComparisonResult(
+        forecasts, bundle, M.leaderboard(bundle), models={"quantile_boost": model, "additive": coefs}
+    )
 
 
 def univariate_baseline(

@@ -171,3 +171,17 @@ def test_spark_prediction_equals_numpy_design(spark):
         X = _design(t, c["t0"], c["span"], np.array(c["cps"]), h, params)
         exp = X @ np.array(c["beta"]) * c["scale"]
         np.testing.assert_allclose(g["p50"].to_numpy(), exp, rtol=1e-9)
+
+
+def test_exogenous_hold_mode_uses_last_training_value(spark):
+    spec = two_series_spec(horizon=4, exogenous_mode="hold")
+    pdf = two_series_panel(20)
+    d = prepare_panel(to_spark(spark, pdf), spec)
+    c = panel_cutoff(d, spec.horizon)
+    t = trimmed_history(d, spec, c).toPandas().sort_values(["series_id", "ds"])
+    for _, g in t.groupby("series_id"):
+        train = g[g["y"].notna()]
+        test = g[g["y"].isna()]
+        assert (test["Total Volume"] == train["Total Volume"].iloc[-1]).all()
+    known = trimmed_history(d, two_series_spec(horizon=4), c).toPandas()
+    assert known["Total Volume"].nunique() > t["Total Volume"].nunique()

@@ -148,3 +148,24 @@ def date_membership(df: DataFrame, dates: DataFrame, keep: bool = True, ds: str
     join; keeps duplicates, unlike EXCEPT."""
     d = dates.select(F.col(ds).alias(ds)).distinct()
     return df.join(d, ds, "left_semi" if keep else "left_anti")
+
+
+def densify(df: DataFrame, spec: PanelSpec, ds: str = "ds") -> DataFrame:
+    """T4 helper (opt-in): give every series one row per period between its
+    first and last date, with null target where the period was missing, so
+    that row-based lags become period-based. Per series the calendar is
+    generated with ``sequence`` (bounded by the series' span), then the
+    panel is left-joined on (series_id, ds) -- no cross join of series and
+    dates."""
+    mult, unit = parse_freq(spec.freq)
+    span = df.groupBy("series_id").agg(F.min(ds).alias("__lo"), F.max(ds).alias("__hi"))
+    if unit in ("D", "W"):
+        step = mult * (7 if unit == "W" else 1)
+        n = (F.datediff("__hi", "__lo") / F.lit(step)).cast("int")
+    else:
+        months = {"M": 1, "Q": 3, "Y": 12}[unit] * mult
+        n = (F.months_between("__hi", "__lo") / F.lit(months)).cast("int")
+    grid = span.select("series_id", "__lo", F.explode(F.sequence(F.lit(0), n)).alias("__i")).select(
+        "series_id", date_step(F.col("__lo"), F.col("__i"), spec.freq).alias(ds)
+    )
+    return grid.join(df, ["series_id", ds], "left")

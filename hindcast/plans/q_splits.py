@@ -199,3 +199,23 @@ def q_feedback_write_back(spark, sf_dir):
     masked = mask_horizon(fm.select("series_id", "ds", "y"), c)
     j = masked.join(preds, ["series_id", "ds"], "left")
     return j.select("series_id", "ds", F.coalesce(F.col("y"), F.col("p50")).alias("y"))
+
+
+@register(
+    "densify_panel",
+    ("T4", "K7"),
+    rounded(
+        f"""WITH base AS ({prepared_sql(PANEL_SQL['P3'], P3)}),
+span AS (SELECT series_id, min(ds) AS lo, max(ds) AS hi FROM base GROUP BY series_id),
+grid AS (SELECT series_id, CAST(lo + CAST(7 * i AS INTEGER) AS DATE) AS ds
+         FROM span, LATERAL (SELECT unnest(range(0, CAST(datediff('day', lo, hi) / 7 AS INTEGER) + 1)) AS i))
+SELECT g.series_id, g.ds, b.y FROM grid g LEFT JOIN base b ON g.series_id = b.series_id AND g.ds = b.ds""",
+        ["y"],
+        ["series_id", "ds"],
+    ),
+    note="every series gets one row per week between its first and last week (missing weeks: null y)",
+)
+def q_densify_panel(spark, sf_dir):
+    from hindcast.operators.split import densify
+
+    return densify(_p3(spark, sf_dir), P3).select("series_id", "ds", "y")

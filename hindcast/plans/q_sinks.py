@@ -62,23 +62,59 @@ def q_profile_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-_RUN_SQL = _SQL + "\nUNION ALL\n".join(
-    f"SELECT 'cmp:' || model AS run_id, 'cmp' AS parent_id, model, 'metric' AS kind, '{c}' AS key, CAST({c} AS DOUBLE) AS value FROM bundle"
-    for c in _BUNDLE_COLS
+_RUN_PARAMS = {"horizon": 12, "n_features": 38}
+_RUN_TAGS = {"dataset": "orders_weekly", "phase": "2"}
+_MODEL_PARAMS = {"roll4": {"window": 4}, "roll8": {"window": 8}}
+
+_RUN_SQL = (
+    _SQL
+    + "\nUNION ALL\n".join(
+        f"SELECT 'cmp:' || model AS run_id, 'cmp' AS parent_id, model, 'metric' AS kind, '{c}' AS key, "
+        f"CAST({c} AS DOUBLE) AS value_num, CAST(NULL AS VARCHAR) AS value_text FROM bundle"
+        for c in _BUNDLE_COLS
+    )
+    + "\nUNION ALL\n"
+    + "\nUNION ALL\n".join(
+        [f"SELECT 'cmp', NULL, 'comparison', 'param', '{k}', NULL, '{v}'" for k, v in _RUN_PARAMS.items()]
+        + [f"SELECT 'cmp', NULL, 'comparison', 'tag', '{k}', NULL, '{v}'" for k, v in _RUN_TAGS.items()]
+        + [
+            f"SELECT 'cmp:{m}', 'cmp', '{m}', 'param', '{k}', NULL, '{v}'"
+            for m, mp in _MODEL_PARAMS.items()
+            for k, v in mp.items()
+        ]
+        + [f"SELECT 'cmp:{m}', 'cmp', '{m}', 'tag', 'model_family', NULL, '{m}'" for m in _MODEL_PARAMS]
+    )
 )
 
 
 @register(
     "run_log",
     ("S8",),
-    rounded(_RUN_SQL, ["value"], ["run_id", "parent_id", "model", "kind", "key"]),
-    note="metric bundle appended to the long run table, read back",
+    rounded(_RUN_SQL, ["value_num"], ["run_id", "parent_id", "model", "kind", "key", "value_text"]),
+    note="parent run (params, tags) + child run per model (params, tag, every bundle metric), read back",
 )
 def q_run_log(spark, sf_dir):
     path = _out(spark, "runs")
-    sinks.append_runs(sinks.metric_rows(q_metric_bundle(spark, sf_dir), parent_id="cmp"), path)
+    sinks.log_comparison(
+        spark,
+        q_metric_bundle(spark, sf_dir),
+        path,
+        parent_id="cmp",
+        params=_RUN_PARAMS,
+        tags=_RUN_TAGS,
+        model_params=_MODEL_PARAMS,
+    )
     runs = spark.read.parquet(path)
-    return runs.select("run_id", "parent_id", "model", "kind", "key", F.col("value").cast("double").alias("value"))
+    metric = F.col("kind") == "metric"
+    return runs.select(
+        "run_id",
+        "parent_id",
+        "model",
+        "kind",
+        "key",
+        F.when(metric, F.col("value").cast("double")).alias("value_num"),
+        F.when(~metric, F.col("value")).alias("value_text"),
+    )
 
 
 @register(

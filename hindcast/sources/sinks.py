@@ -153,3 +153,24 @@ def load_quantile_model(spark: SparkSession, path: str) -> QuantileBoostModel:
         leaves = {rec["leaf_id"]: rec["value"] for rec in recs if rec["leaf_id"] is not None}
         trees.setdefault(q, []).append((build(0), leaves))
     return QuantileBoostModel(tuple(sorted(init)), design, params, init, trees)
+
+
+def log_comparison(
+    spark: SparkSession,
+    bundle: DataFrame,
+    path: str,
+    *,
+    parent_id: str,
+    params: dict,
+    tags: dict,
+    model_params: dict[str, dict] | None = None,
+) -> None:
+    """One parent run (params + tags) and one child run per model
+    (``parent_id:model``) holding its params and every bundle metric,
+    appended to the long run table at ``path``."""
+    rows = run_rows(spark, parent_id, "comparison", params, tags, parent_id=None)
+    for model, mp in (model_params or {}).items():
+        rows = rows.unionByName(run_rows(spark, f"{parent_id}:{model}", model, mp, {"model_family": model}, parent_id))
+    # a handful of rows: one file per append (coalesce only narrows the last,
+    # tiny stage; the scoring stages upstream keep their parallelism)
+    append_runs(rows.unionByName(metric_rows(bundle, parent_id=parent_id)).coalesce(1), path)

@@ -42,17 +42,31 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins:
     return psi_flagged(both, "__ref", cols, bins)
 
 
-def psi_flagged(df: DataFrame, is_ref: str, features: Sequence[str], bins: int = 10) -> DataFrame:
+def psi_flagged(df: DataFrame, is_ref: str, features: Sequence[str], bins: int = 10, edges: str = "uniform") -> DataFrame:
     """PSI where one frame holds both windows (``is_ref`` marks the reference
-    rows). Two passes: one min/max aggregate for the bucket edges, one count
-    per (feature, side, bucket); the sides are then pivoted by conditional
-    aggregation -- no join of the two windows."""
+    rows). Two passes: one aggregate for the bucket edges, one count per
+    (feature, side, bucket); the sides are then pivoted by conditional
+    aggregation -- no join of the two windows.
+
+    ``edges='uniform'``: equal-width buckets over the reference min..max.
+    ``edges='quantile'``: edges at the reference deciles (for ``bins=10``)
+    from ``percentile_approx`` -- a bounded sketch per feature -- and a value
+    falls in the bucket given by the number of edges below it."""
     lf = long_features(df, features, extra=[is_ref])
-    rng = lf.where(F.col(is_ref)).groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    j = lf.join(rng, "feature")  # one row per feature on the right: AQE broadcasts it
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width <= 0, F.lit(0)).otherwise(F.floor((F.col("value") - F.col("lo")) / width * bins))
-    b = F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
+    ref = lf.where(F.col(is_ref))
+    if edges == "uniform":
+        rng = ref.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+        j = lf.join(rng, "feature")  # one row per feature on the right
+        width = F.col("hi") - F.col("lo")
+        b = F.when(width <= 0, F.lit(0)).otherwise(F.floor((F.col("value") - F.col("lo")) / width * bins))
+        b = F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
+    elif edges == "quantile":
+        probs = [i / bins for i in range(1, bins)]
+        cuts = ref.groupBy("feature").agg(F.percentile_approx("value", probs, 10000).alias("edges"))
+        j = lf.join(cuts, "feature")  # one row per feature on the right
+        b = F.size(F.filter(F.col("edges"), lambda e: F.col("value") > e)).cast("int")
+    else:
+        raise ValueError("edges must be 'uniform' or 'quantile'")
     counts = j.groupBy("feature", F.col(is_ref).alias("__side"), b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("feature", "__side")))
     per_bucket = shares.groupBy("feature", "bucket").agg(

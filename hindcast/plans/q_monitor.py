@@ -149,6 +149,14 @@ def q_psi(spark, sf_dir):
     return _psi_df(spark, sf_dir)
 
 
+@register("psi_quantile_bins", ("X1",), note="PSI with bucket edges at the reference deciles (approximate sketch)")
+def q_psi_quantile_bins(spark, sf_dir):
+    df, spec = materialized("P2", spark, sf_dir)
+    fm, _ = build_feature_matrix(df, spec)
+    flagged = fm.withColumn("__ref", F.col("ds") < panel_cutoff(fm, spec.horizon))
+    return MON.psi_status(MON.psi_flagged(flagged, "__ref", PSI_FEATURES, edges="quantile"))
+
+
 @register(
     "psi_status",
     ("X12", "X1"),

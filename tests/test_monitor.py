@@ -72,3 +72,12 @@ def test_request_volume(spark):
     df = spark.createDataFrame(rows, "ts timestamp_ntz")
     r = MON.request_volume(df).first()
     assert (r["n_24h"], r["n_7d"]) == (3, 5)
+
+
+def test_psi_quantile_edges(spark):
+    ref = spark.range(1000).select((F.col("id") % 100).cast("double").alias("x"))
+    same = MON.psi_flagged(ref.withColumn("r", F.lit(True)).unionByName(ref.withColumn("r", F.lit(False))), "r", ["x"], edges="quantile")
+    assert same.first()["psi"] == pytest.approx(0.0, abs=1e-12)
+    cur = spark.range(1000).select((F.col("id") % 100 + 60).cast("double").alias("x"))
+    both = ref.withColumn("r", F.lit(True)).unionByName(cur.withColumn("r", F.lit(False)))
+    assert MON.psi_flagged(both, "r", ["x"], edges="quantile").first()["psi"] > 0.2

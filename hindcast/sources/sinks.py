@@ -112,6 +112,10 @@ def save_quantile_model(spark: SparkSession, model: QuantileBoostModel, path: st
     spark.createDataFrame(labels, "column string, index int, label string").write.mode("overwrite").parquet(
         f"{path}/labels"
     )
+    for c in model.design.encoded:  # target encodings (high-cardinality ids), written by executors
+        model.design.encodings[c].write.mode("overwrite").parquet(f"{path}/encoding/{c}")
+    enc = [(c,) for c in model.design.encoded]
+    spark.createDataFrame(enc, "column string").write.mode("overwrite").parquet(f"{path}/encoded")
     p = model.params
     spark.createDataFrame([(k, str(v)) for k, v in p.__dict__.items()], "key string, value string").write.mode(
         "overwrite"
@@ -132,7 +136,9 @@ def load_quantile_model(spark: SparkSession, path: str) -> QuantileBoostModel:
             labels.append([])
         labels[-1].append(r["label"])
     numeric = [c for c in inputs if not c.endswith("__idx") and not c.endswith("__te")]
-    design = Design(numeric=numeric, indexed=indexed, labels=labels)
+    encoded = [r["column"] for r in spark.read.parquet(f"{path}/encoded").collect()]
+    encodings = {c: spark.read.parquet(f"{path}/encoding/{c}") for c in encoded}
+    design = Design(numeric=numeric, indexed=indexed, labels=labels, encoded=encoded, encodings=encodings)
     kv = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/params").collect()}
     defaults = BoostParams()
     params = BoostParams(**{k: type(getattr(defaults, k))(v) for k, v in kv.items()})

@@ -185,3 +185,34 @@ def test_exogenous_hold_mode_uses_last_training_value(spark):
         assert (test["Total Volume"] == train["Total Volume"].iloc[-1]).all()
     known = trimmed_history(d, two_series_spec(horizon=4), c).toPandas()
     assert known["Total Volume"].nunique() > t["Total Volume"].nunique()
+
+
+def test_high_cardinality_ids_are_target_encoded_and_saved(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    frames = []
+    for k in range(80):  # 80 series > max_bins 64
+        n = 30
+        frames.append(
+            pd.DataFrame(
+                {
+                    "Date": pd.date_range("2020-01-05", periods=n, freq="W"),
+                    "AveragePrice": 10.0 * k + np.arange(n) + rng.normal(0, 1, n),
+                    "region": f"r{k}",
+                    "type": "t",
+                }
+            )
+        )
+    pdf = pd.concat(frames, ignore_index=True)
+    spec = two_series_spec(exogenous_cols=(), horizon=3, lags=(1,), rolling_windows=(2,), fourier=())
+    d = prepare_panel(to_spark(spark, pdf), spec)
+    c = panel_cutoff(d, spec.horizon)
+    fm, fs = build_feature_matrix(d, spec, prepared=True)
+    model = fit_quantile_models(fm.where(F.col("ds") < c), fs, params=FAST)
+    assert model.design.encoded == ["region"] and model.design.indexed == ["type"]
+    path = str(tmp_path / "m")
+    save_quantile_model(spark, model, path)
+    back = load_quantile_model(spark, path)
+    rows = fm.where(F.col("ds") >= c)
+    a = model.predict(rows, keep=["series_id", "ds"]).orderBy("series_id", "ds").collect()
+    b = back.predict(rows, keep=["series_id", "ds"]).orderBy("series_id", "ds").collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]

@@ -35,7 +35,8 @@ def for_check(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double") + F.lit(1e-7), 4).alias(f.name))
+            # "+ 0.0" normalises a negative zero after rounding
+            cols.append((F.round(F.col(f.name).cast("double") + F.lit(1e-7), 4) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -11,7 +11,8 @@ import math
 
 from hindcast.spec import FOURIER_EPOCH, PanelSpec, sanitize
 
-ROUND = "round({c} + 1e-7, 4)"
+# "+ 0.0" turns a rounded -0.0 (DuckDB) into 0.0, as Spark returns
+ROUND = "(round({c} + 1e-7, 4) + 0.0)"
 
 
 def rounded(inner: str, doubles: list[str], others: list[str]) -> str:

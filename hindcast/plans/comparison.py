@@ -13,7 +13,7 @@ from hindcast.models.recursive import recursive_forecast
 from hindcast.models.quantile_boost import fit_quantile_models
 from hindcast.operators import metrics as M
 from hindcast.operators.features import build_feature_matrix, prepare_panel
-from hindcast.operators.select import select_series, to_ds_y
+from hindcast.operators.select import check_unique, select_series, to_ds_y
 from hindcast.operators.split import first_n_series, panel_cutoff
 from hindcast.session import cut_lineage
 from hindcast.spec import DEFAULT_QUANTILES, PanelSpec
@@ -39,6 +39,7 @@ def run_comparison(
     """K8: global quantile model (recursive) and local additive model scored
     on one harness. Both models are restricted to the same series (D7)."""
     d = cut_lineage(prepare_panel(df, spec))
+    check_unique(d)  # T6: row-based lags need one row per (series, date)
     if max_series is not None:
         d = cut_lineage(first_n_series(d, max_series))
     c = panel_cutoff(d, spec.horizon)

@@ -1,6 +1,6 @@
 """Benchmark: wall time of the headline queries.
 
-    BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
+    BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [--eventlog DIR] [names...]
 
 Each query's plan is executed in full through the ``noop`` sink (nothing is
 collected to the driver). Prints ONE JSON line.
@@ -46,18 +46,24 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    names = sys.argv[1:] or HEADLINE
+    args = sys.argv[1:]
+    eventlog = None
+    if args[:1] == ["--eventlog"]:
+        eventlog, args = args[1], args[2:]
+    names = args or HEADLINE
 
     from hindcast.plans.catalog import load_all
     from hindcast.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="hindcast-bench")
+    extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": eventlog} if eventlog else None
+    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="hindcast-bench", extra_conf=extra)
     reg = load_all()
     # warm-up (JVM, code paths) -- not timed
     reg["panel_weekly"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
     for n in names:
+        spark.sparkContext.setJobGroup(n, n)
         t0 = time.perf_counter()
         reg[n].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)
@@ -73,6 +79,11 @@ def main() -> None:
     }
     spark.stop()
     print(json.dumps(out))
+    if eventlog:
+        from tools.eventlog_report import read_events, summarise
+
+        for g, v in sorted(summarise(read_events(eventlog)).items()):
+            print(f"{g}: {v}", file=sys.stderr)
 
 
 if __name__ == "__main__":

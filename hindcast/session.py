@@ -18,10 +18,12 @@ _DEFAULT_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "hindcast") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "hindcast", extra_conf: dict | None = None
+) -> SparkSession:
     """A local session with the settings the library assumes (UTC, AQE, no UI)."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for k, v in _DEFAULT_CONF.items():
+    for k, v in {**_DEFAULT_CONF, **(extra_conf or {})}.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", os.environ.get("HINDCAST_DRIVER_MEMORY", "8g"))

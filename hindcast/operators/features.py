@@ -151,15 +151,17 @@ def _chunked_frame(d: DataFrame, spec: PanelSpec, split_rows: int) -> DataFrame:
     """Exact features with no task holding more than ~``split_rows`` rows of
     one series.
 
-    1. ``ds`` buckets of the series are sized from a cheap per-(series, day)
-       partial aggregate: ``rank`` = number of earlier rows of the series is
-       computed as a running count over the *distinct* dates of the series in
-       date blocks (each block a separate window partition), plus an offset
-       from a per-block count table -- so no window ever sees a whole series.
-    2. row chunk = rank // split_rows; each row is also emitted into the next
-       chunk when it lies within ``max_lookback`` rows of the chunk end.
-    3. features are evaluated per (series_id, chunk) ordered by rank; halo
-       rows are dropped afterwards.
+    1. Row rank within the series without a whole-series window: rows are
+       cut into date blocks of ``split_rows`` periods; ``row_number`` runs
+       per (series, block), and each block's offset is the running sum of
+       the row counts of the earlier blocks (a window over a per-block count
+       aggregate -- one row per block).
+    2. Row chunk = rank // split_rows; a row is also emitted into the next
+       chunk when it lies within ``max_lookback`` rows of its chunk's end
+       (the halo).
+    3. Features are evaluated per (series_id, chunk) ordered by rank, and
+       halo copies are dropped, so every row keeps the exact values of the
+       single-window plan.
     """
     K = spec.max_lookback
     if split_rows <= K:

@@ -7,10 +7,10 @@ and a single Window node regardless of how many features are requested.
 Lag/rolling units are rows (T4); the rolling frame ends at the previous row
 so the current target never leaks (T5).
 
-For panels where one series may hold a large share of all rows, pass
-``split_rows``: rows are numbered per series and cut into chunks that carry
-a halo of ``max_lookback`` preceding rows, so one hot series is spread over
-many tasks and the result is identical (see :func:`_chunked_frame`).
+A window partition is one series, at most one row per period. For very long
+series pass ``split_rows``: rows are numbered per series and cut into chunks
+that carry a halo of ``max_lookback`` preceding rows, so one long series is
+spread over many tasks and the result is identical (see :func:`_chunked_frame`).
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ from hindcast.models.recursive import recursive_forecast
 from hindcast.models.quantile_boost import fit_quantile_models
 from hindcast.operators import metrics as M
 from hindcast.operators.features import build_feature_matrix, prepare_panel
+from hindcast.operators.profile import column_profile
 from hindcast.operators.select import check_unique, select_series, to_ds_y
 from hindcast.operators.split import first_n_series, panel_cutoff
 from hindcast.session import cut_lineage
@@ -35,15 +36,24 @@ def run_comparison(
     additive: AdditiveParams = AdditiveParams(),
     max_series: int | None = None,
     quantiles=DEFAULT_QUANTILES,
+    runs_path: str | None = None,
+    leaderboard_path: str | None = None,
 ) -> ComparisonResult:
     """K8: global quantile model (recursive) and local additive model scored
-    on one harness. Both models are restricted to the same series (D7)."""
+    on one harness. Both models are restricted to the same series (D7).
+
+    The feature matrix is checkpointed once and serves both the fit and the
+    feature profile (S6). With ``runs_path`` the comparison is appended to
+    the run log (parent + one child run per model, S8); with
+    ``leaderboard_path`` the leaderboard is written (S7)."""
     d = cut_lineage(prepare_panel(df, spec))
     check_unique(d)  # T6: row-based lags need one row per (series, date)
     if max_series is not None:
         d = cut_lineage(first_n_series(d, max_series))
     c = panel_cutoff(d, spec.horizon)
     fm, fspec = build_feature_matrix(d, spec, prepared=True)
+    fm = cut_lineage(fm)  # built once: fit and profile both read it
+    profile = column_profile(fm, ["ds", "y", *fspec.numeric])
     model = fit_quantile_models(fm.where(F.col("ds") < c), fspec, quantiles, boost)
     fc_global = recursive_forecast(d, spec, model, c, "quantile_boost")
     coefs = cut_lineage(fit_additive(d.where(F.col("ds") < c), spec, additive))
@@ -59,8 +69,25 @@ def run_comparison(
     )
     train = d.where(F.col("ds") < c)
     bundle = M.metric_bundle(forecasts, train.select("series_id", "ds", "y"), M.series_weight(train, spec), quantiles)
+    board = M.leaderboard(bundle)
+    if runs_path:
+        from hindcast.sources.sinks import log_comparison, new_run_id
+
+        log_comparison(
+            df.sparkSession,
+            bundle,
+            runs_path,
+            parent_id=new_run_id(),
+            params={"dataset": spec.name, "horizon": spec.horizon, "n_features": len(fspec.all)},
+            tags={"phase": "2"},
+            model_params={"quantile_boost": boost.__dict__, "additive": additive.__dict__},
+        )
+    if leaderboard_path:
+        from hindcast.sources.sinks import write_table
+
+        write_table(board, leaderboard_path)
     return ComparisonResult(
-        forecasts, bundle, M.leaderboard(bundle), models={"quantile_boost": model, "additive": coefs}
+        forecasts, bundle, board, profile=profile, models={"quantile_boost": model, "additive": coefs}
     )
 
 

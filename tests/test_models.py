@@ -144,9 +144,13 @@ def test_univariate_baseline(spark):
     assert table.count() == 12
 
 
-def test_comparison_leaderboard(spark):
+def test_comparison_leaderboard(spark, tmp_path):
     spec = two_series_spec(horizon=6)
-    res = run_comparison(to_spark(spark, _noisy_panel()), spec, FAST, AdditiveParams())
+    runs = str(tmp_path / "runs")
+    res = run_comparison(to_spark(spark, _noisy_panel()), spec, FAST, AdditiveParams(), runs_path=runs)
+    kinds = {r["kind"] for r in spark.read.parquet(runs).collect()}
+    assert kinds == {"param", "tag", "metric"}
+    assert {r["column"] for r in res.profile.collect()} >= {"ds", "y", "lag_1"}
     lb = res.leaderboard.toPandas()
     assert set(lb["model"]) == {"quantile_boost", "additive"}
     assert (lb["wmape"] < 0.3).all() and (lb["wrmsse"] > 0).all()

@@ -37,7 +37,9 @@ def _dirs(spark, name: str) -> tuple[str, str, str]:
 def q_stream_hourly_requests(spark, sf_dir):
     source, sink, ckpt = _dirs(spark, "hourly")
     read_table(spark, sf_dir, "events").repartitionByRange(8, "ts").write.parquet(source)
-    q = hourly_volume_stream(spark, source, sink, ckpt, glob="*.parquet", watermark=CHECK_WATERMARK)
+    q = hourly_volume_stream(
+        spark, source, sink, ckpt, glob="*.parquet", watermark=CHECK_WATERMARK, max_files_per_trigger=1
+    )
     q.awaitTermination()
     return latest(sink, spark, ["hour", "event_type"])
 
@@ -64,7 +66,7 @@ def q_stream_rolling_wmape(spark, sf_dir):
     val = scored.where(F.col("is_train")).groupBy("model").agg(
         (F.sum(F.abs(F.col("y_true") - F.col("p50"))) / F.sum(F.abs("y_true"))).alias("wmape_validation")
     )
-    q = rolling_wmape_stream(spark, source, sink, ckpt, watermark=CHECK_WATERMARK)
+    q = rolling_wmape_stream(spark, source, sink, ckpt, watermark=CHECK_WATERMARK, max_files_per_trigger=2)
     q.awaitTermination()
     out = latest(sink, spark, ["model", "day"]).join(val, "model", "left")
     return out.withColumn("breach", F.col("wmape_rolling") > F.lit(1.2) * F.col("wmape_validation"))

@@ -60,12 +60,13 @@ def hourly_volume_stream(
     glob: str = "events.parquet",
     watermark: str = "2 hours",
     available_now: bool = True,
+    max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
     """X8 on a stream: requests per (one-hour window, event_type)."""
     src = (
         spark.readStream.schema(EVENTS_SCHEMA)
         .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
         .parquet(source_dir)
     )
     agg = (
@@ -89,12 +90,13 @@ def rolling_wmape_stream(
     days: int = 30,
     watermark: str = "31 days",
     available_now: bool = True,
+    max_files_per_trigger: int = 1000,
 ) -> StreamingQuery:
     """X3 on a stream of scored rows ``(model, ds, y_true, p50)``: sliding
     ``days``-day windows advancing daily; a window is reported for day D
     (its last day) only when D itself has data, matching the batch frame
     ``RANGE BETWEEN days-1 PRECEDING AND CURRENT ROW``."""
-    src = spark.readStream.schema(SCORED_SCHEMA).option("maxFilesPerTrigger", 8).parquet(source_dir)
+    src = spark.readStream.schema(SCORED_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
     ev = src.withColumn("ets", F.col("ds").cast("timestamp"))
     agg = (
         ev.withWatermark("ets", watermark)

@@ -40,6 +40,7 @@ HEADLINE = [
     "feature_matrix_parts",
     "metric_bundle_parts",
     "additive_forecast_parts",
+    "model_comparison",
 ]
 
 
@@ -62,10 +63,17 @@ def main() -> None:
     reg["panel_weekly"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
+    accuracy: dict[str, dict] = {}
     for n in names:
         spark.sparkContext.setJobGroup(n, n)
         t0 = time.perf_counter()
-        reg[n].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        df = reg[n].run(spark, sf_dir)
+        if n == "model_comparison":
+            # the leaderboard is one row per model: keep it as our accuracy
+            # record on the P1 panel (not comparable with the reference's data)
+            accuracy = {r["model"]: {k: v for k, v in r.asDict().items() if k != "model"} for r in df.collect()}
+        else:
+            df.write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     out = {
@@ -77,6 +85,8 @@ def main() -> None:
         "cpus": cpus,
         "spark": spark.version,
     }
+    if accuracy:
+        out["accuracy_p1_panel"] = accuracy
     spark.stop()
     print(json.dumps(out))
     if eventlog:

@@ -7,12 +7,12 @@ regressor, fitted by ridge least squares; the 80% interval is
 ``yhat -/+ z(0.9) * sigma`` of the in-sample residuals. It does not reproduce
 the sampler-based library's numbers.
 
-Distribution: the fit is ``groupBy(series_id).applyInPandas`` -- one shuffle
-brings each series' training rows to one task, where numpy solves a small
-dense ridge system and returns ONE coefficient row (the model artifact). A
-series' length is bounded by the number of periods in the calendar (the
-panel key ``(series_id, ds)`` is unique), so no group grows with the data
-volume. Prediction is pure Spark: rows join their coefficient row and the
+Distribution: the fit is one grouped map over hash buckets of series -- one
+shuffle brings each series' training rows to one task, where numpy solves a
+small dense ridge system per series and returns ONE coefficient row per
+series (the model artifact). A series' length is bounded by the number of
+periods in the calendar (the panel key ``(series_id, ds)`` is unique) and a
+bucket by a fixed number of series, so no group grows with the data volume. Prediction is pure Spark: rows join their coefficient row and the
 design (trend, changepoint hinges via ``aggregate``, Fourier, holiday) and
 ``x . beta`` are column expressions.
 """
@@ -110,12 +110,22 @@ def _day_number(ds: Column) -> Column:
 
 
 def fit_additive(
-    d: DataFrame, spec: PanelSpec, params: AdditiveParams = AdditiveParams(), cutoff=None
+    d: DataFrame,
+    spec: PanelSpec,
+    params: AdditiveParams = AdditiveParams(),
+    cutoff=None,
+    series_per_group: int = 256,
 ) -> DataFrame:
     """K5 fit: one coefficient row per series (the local model's artifact,
     S9). Rows at or after ``cutoff`` are not used; ``cutoff=None`` fits on the
     whole history (for forecasting past its end). Holidays are flagged by
-    Spark before the shuffle; only the dense solve runs in Python."""
+    Spark before the shuffle; only the dense solves run in Python.
+
+    Series are hashed into ``ceil(n_series / series_per_group)`` buckets (the
+    count is one ``approx_count_distinct``), and each bucket is one grouped-map
+    call that fits its series one by one: a group is bounded by
+    ``series_per_group`` series of calendar-bounded length, and the per-call
+    Arrow/pandas overhead is paid per bucket, not per series."""
     rows = d if cutoff is None else d.where(F.col("ds") < cutoff)
     inp = rows.select(
         "series_id",
@@ -123,11 +133,16 @@ def fit_additive(
         _day_number(F.col("ds")).alias("t"),
         is_holiday(F.col("ds"), spec.holiday_country if params.use_holidays else None).cast("double").alias("hol"),
     )
+    n_series = inp.agg(F.approx_count_distinct("series_id").alias("n")).first()["n"] or 1
+    buckets = max(1, -(-int(n_series) // series_per_group))
+    keyed = inp.withColumn("__bucket", F.pmod(F.xxhash64("series_id"), F.lit(buckets)))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fit_series(pdf, params)
+        parts = [fit_series(g, params) for _, g in pdf.groupby("series_id", sort=False)]
+        parts = [p for p in parts if len(p)]
+        return pd.concat(parts, ignore_index=True) if parts else _EMPTY
 
-    return inp.groupBy("series_id").applyInPandas(fn, COEF_SCHEMA)
+    return keyed.groupBy("__bucket").applyInPandas(fn, COEF_SCHEMA)
 
 
 def _b(i: Column) -> Column:

@@ -41,3 +41,15 @@ def test_univariate_baseline_on_orders_panel(spark):
     assert 0 <= m["wmape"] < 1.0 and m["bias"] is not None
     assert table.count() == spec.horizon
     assert table.where(F.col("y_pred").isNull()).count() == 0
+
+
+def test_skip_rule_on_ragged_panel(spark):
+    from hindcast.operators.features import prepare_panel
+    from hindcast.operators.split import panel_cutoff, series_eligibility
+    from hindcast.sources.panels import orders_status_weekly
+
+    raw, spec = orders_status_weekly(spark, SF_SMALL)
+    d = prepare_panel(raw, spec)
+    el = series_eligibility(d, panel_cutoff(d, spec.horizon)).collect()
+    assert len(el) == 15
+    assert sum(1 for r in el if r["eligible"]) == sum(1 for r in el if r["n_test"] >= 1) == 14

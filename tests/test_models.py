@@ -220,3 +220,17 @@ def test_high_cardinality_ids_are_target_encoded_and_saved(spark, tmp_path):
     a = model.predict(rows, keep=["series_id", "ds"]).orderBy("series_id", "ds").collect()
     b = back.predict(rows, keep=["series_id", "ds"]).orderBy("series_id", "ds").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_forecast_future_from_stored_coefficients(spark, tmp_path):
+    from hindcast.models.additive import fit_additive, forecast_future
+
+    spec = two_series_spec(horizon=5)
+    d = prepare_panel(to_spark(spark, _noisy_panel()), spec)
+    path = str(tmp_path / "coefs")
+    fit_additive(d, spec).write.parquet(path)
+    req = spark.createDataFrame([("A|conventional",)], "series_id string")
+    fc = forecast_future(d, spark.read.parquet(path), spec, requested=req).orderBy("ds").collect()
+    last = d.where(F.col("series_id") == "A|conventional").agg(F.max("ds")).first()[0]
+    assert [(r["ds"] - last).days for r in fc] == [7, 14, 21, 28, 35]
+    assert all(r["lower"] <= r["point"] <= r["upper"] for r in fc)

@@ -134,7 +134,7 @@ def build_feature_matrix(
         out = d.select(
             *[F.col(c) for c in source_cols],
             F.col("series_id"),
-            *_feature_exprs(d, spec, series_window()),
+            *_feature_exprs(d, spec, series_window(("ds", *spec.tiebreak_cols))),
             F.col("ds"),
             F.col("y"),
         )
@@ -177,7 +177,7 @@ def _chunked_frame(d: DataFrame, spec: PanelSpec, split_rows: int) -> DataFrame:
         days = F.unix_seconds(F.col("ds").cast("timestamp")) / F.lit(86400.0)
     day = F.floor(days / F.lit(block_days))
     blocked = d.withColumn("__blk", day.cast("long"))
-    in_block = Window.partitionBy("series_id", "__blk").orderBy("ds")
+    in_block = Window.partitionBy("series_id", "__blk").orderBy("ds", *spec.tiebreak_cols)
     numbered = blocked.withColumn("__r0", F.row_number().over(in_block) - 1)
     counts = blocked.groupBy("series_id", "__blk").agg(F.count(F.lit(1)).alias("__n"))
     offs = counts.withColumn(

@@ -97,10 +97,14 @@ class PanelSpec:
     # 'known': lagged exogenous values inside the horizon are the observed
     # ones (reference behaviour); 'hold': carry the last training value.
     exogenous_mode: str = "known"
+    # Extra ordering columns after the date, for panels that may hold
+    # several rows per (series, date); empty = the key must be unique.
+    tiebreak_cols: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "series_id_cols", tuple(self.series_id_cols))
         object.__setattr__(self, "exogenous_cols", tuple(self.exogenous_cols))
+        object.__setattr__(self, "tiebreak_cols", tuple(self.tiebreak_cols))
         object.__setattr__(self, "lags", tuple(int(x) for x in self.lags))
         object.__setattr__(self, "rolling_windows", tuple(int(x) for x in self.rolling_windows))
         object.__setattr__(

@@ -165,3 +165,30 @@ def test_bundle_matches_numpy(spark, rows):
     exp = sum(wts[s] * rm[s] for s in sids) / sum(wts[s] for s in sids)
     assert got["wrmsse"] == pytest.approx(exp, rel=1e-9)
     assert got["n_series"] == float(len(sids))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(1, 500), min_size=12, max_size=30), st.integers(3, 6))
+def test_fused_and_long_scoring_agree(spark, values, horizon):
+    from pyspark.sql import Window
+
+    rows = [(s, i, float(v * (1 + k)), float(v) / 10) for k, s in enumerate("AB") for i, v in enumerate(values)]
+    fm = spark.createDataFrame(rows, "series_id string, ds int, y double, w double")
+    w = Window.partitionBy("series_id").orderBy("ds")
+    fm = fm.withColumn("p_mid", F.avg("y").over(w.rowsBetween(-2, -1))).withColumn(
+        "p_lo", F.min("y").over(w.rowsBetween(-2, -1))
+    ).withColumn("p_hi", F.max("y").over(w.rowsBetween(-2, -1)))
+    cutoff = F.lit(len(values) - horizon)
+    models = {"m": {0.1: "p_lo", 0.5: "p_mid", 0.9: "p_hi"}}
+    fused = M.score_feature_forecasts(fm, cutoff, models, "w", on_undefined="null").first().asDict()
+    test = fm.where(F.col("ds") >= cutoff)
+    fc = test.select(F.lit("m").alias("model"), "series_id", "ds", F.col("y").alias("y_true"),
+                     F.col("p_lo").alias("p10"), F.col("p_mid").alias("p50"), F.col("p_hi").alias("p90"))
+    train = fm.where(F.col("ds") < cutoff)
+    weights = train.groupBy("series_id").agg(F.sum(F.abs("w")).alias("weight"))
+    long = M.metric_bundle(fc, train.select("series_id", "ds", "y"), weights, on_undefined="null").first().asDict()
+    for k in ("wmape", "bias", "pinball_p10", "pinball_p50", "pinball_p90", "wrmsse", "n_series"):
+        if long[k] is None:  # e.g. a flat history leaves WRMSSE undefined on both paths
+            assert fused[k] is None, k
+        else:
+            assert fused[k] == pytest.approx(long[k], rel=1e-9, abs=1e-9), k

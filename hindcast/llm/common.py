@@ -8,7 +8,8 @@ import os
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hindcast.session import checkpoint_dir
 
@@ -48,6 +49,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def columns_of(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
+def boxed(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns as one struct column ``row``, so that tasks hand them
+    on whatever they are called."""
+    return df.select(F.struct(*columns_of(names)).alias("row"))
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path for a URI, as a task sees it. Folders shared by
     mount need no scheme; other stores are opened by Arrow's connectors."""

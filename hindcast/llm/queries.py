@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hindcast.llm.common import scratch_path
+from hindcast.llm.langid import identify, labelled_sample
+from hindcast.llm.mixing import plan_mixture
 from hindcast.llm.packing import pack_documents
+from hindcast.llm.simhash import near_duplicates
 from hindcast.llm.token_files import read_token_files, write_token_files
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    sample = labelled_sample(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return identify(rows, sample).drop("text")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = plan_mixture(table(spark, sf_dir, "documents"))
+    taken = (F.col("size") * F.size("places")).alias("taken")
+    return planned.select("doc_id", "size", "source_size", "target", taken)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
@@ -28,7 +50,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op6_language_id": op6_language_id,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
 }
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from hindcast.llm.common import scratch_path
 from hindcast.llm.langid import identify, labelled_sample
 from hindcast.llm.mixing import plan_mixture
+from hindcast.llm.one_bit import nearest
 from hindcast.llm.packing import pack_documents
+from hindcast.llm.pivot_search import exact_top_k
 from hindcast.llm.simhash import near_duplicates
 from hindcast.llm.token_files import read_token_files, write_token_files
 
@@ -21,6 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+_OP2 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op4_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
@@ -50,6 +80,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op2_pivot_top_k": op2_pivot_top_k,
+    "op4_one_bit_neighbours": op4_one_bit_neighbours,
     "op6_language_id": op6_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -57,4 +89,6 @@ QUERIES: dict[str, QueryFn] = {
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_pivot_top_k": _OP2,
+}

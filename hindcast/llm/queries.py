@@ -13,8 +13,11 @@ from hindcast.llm.mixing import plan_mixture
 from hindcast.llm.one_bit import nearest
 from hindcast.llm.packing import pack_documents
 from hindcast.llm.pivot_search import exact_top_k
+from hindcast.llm.rollup import TokenRollup, signed_deltas
 from hindcast.llm.simhash import near_duplicates
 from hindcast.llm.token_files import read_token_files, write_token_files
+from hindcast.llm.url_filter import filter_urls, host_of
+from hindcast.llm.warc import archived_pages, to_records, write_warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +26,136 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: day that a page was fetched, and the list's days, as offsets from the year's first
+_YEAR = "DATE '2024-01-01'"
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """Dated list entries for the hosts, directories and URLs of ``pages``:
+    which are listed, from which day, and whether they are taken off after 60
+    days and listed again 30 days later, follows from a digest of the key."""
+    seen = pages.select(F.regexp_replace("url", "#.*$", "").alias("url"), host_of(F.col("url")).alias("host")).filter("url IS NOT NULL AND host <> ''")
+    hosts = seen.select("host").distinct()
+    keys = (
+        hosts.select(F.lit("host").alias("kind"), F.col("host").alias("key"))
+        .unionByName(hosts.select(F.lit("prefix").alias("kind"), F.concat("host", F.lit("/en/")).alias("key")))
+        .unionByName(hosts.select(F.lit("domain").alias("kind"), F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("key")).filter("key <> ''").distinct())
+        .unionByName(seen.select(F.lit("url").alias("kind"), F.col("url").alias("key")).distinct())
+    )
+    digest = F.md5(F.concat("kind", F.lit(" "), "key"))
+    byte = lambda k: F.conv(F.substring("digest", k, 2), 16, 10).cast("int")
+    listed = keys.withColumn("digest", digest).withColumn("v", byte(1)).withColumn("w", byte(3)).filter("v < 48")
+    listed = listed.withColumn("list_id", F.when(F.col("v") % 2 == 0, "blocklist").otherwise("optout"))
+    steps = F.expr(
+        f"""array(named_struct('at', date_add({_YEAR}, w), 'listed', true),
+                  named_struct('at', date_add({_YEAR}, w + 60), 'listed', v >= 24),
+                  named_struct('at', date_add({_YEAR}, w + 90), 'listed', v < 12 OR v >= 24))"""
+    )
+    return listed.select("list_id", "kind", "key", F.explode(steps).alias("s")).select("list_id", "kind", "key", "s.at", "s.listed")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr(f"date_add({_YEAR}, CAST(page_id % 366 AS INT))").alias("fetched"))
+    judged = filter_urls(captures, dated_list(pages))
+    return judged.select("page_id", "url", "fetched", "blocked", "n_active", "entry.kind", "entry.key", "entry.list_id", "entry.since")
+
+
+_OP1 = r"""
+WITH seen AS (
+  SELECT regexp_replace(url, '#.*$', '') AS url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host
+  FROM pages WHERE url IS NOT NULL
+),
+hosts AS (SELECT DISTINCT host FROM seen WHERE host <> ''),
+keys AS (
+  SELECT 'host' AS kind, host AS key FROM hosts
+  UNION ALL SELECT 'prefix', host || '/en/' FROM hosts
+  UNION ALL SELECT DISTINCT 'domain', regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) FROM hosts WHERE regexp_matches(host, '([^.]+\.[^.]+\.[^.]+)$')
+  UNION ALL SELECT DISTINCT 'url', url FROM seen WHERE host <> ''
+),
+digests AS (
+  SELECT kind, key, ('0x' || substr(md5(kind || ' ' || key), 1, 2))::INT AS v, ('0x' || substr(md5(kind || ' ' || key), 3, 2))::INT AS w FROM keys
+),
+listed AS (SELECT *, CASE WHEN v % 2 = 0 THEN 'blocklist' ELSE 'optout' END AS list_id FROM digests WHERE v < 48),
+spans AS (
+  SELECT list_id, kind, key, DATE '2024-01-01' + w AS since, CASE WHEN v < 24 THEN DATE '2024-01-01' + (w + 60) END AS until FROM listed
+  UNION ALL SELECT list_id, kind, key, DATE '2024-01-01' + (w + 90), NULL FROM listed WHERE v < 12
+),
+captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched,
+    regexp_replace(url, '#.*$', '') AS plain,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
+  FROM pages
+),
+hits AS (
+  SELECT c.page_id, s.*, CASE s.kind WHEN 'url' THEN 1 WHEN 'prefix' THEN 2 WHEN 'host' THEN 3 ELSE 4 END AS o
+  FROM captures c JOIN spans s ON s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until) AND (
+    (s.kind = 'url' AND s.key = c.plain) OR (s.kind = 'host' AND s.key = c.host)
+    OR (s.kind = 'prefix' AND c.path <> '' AND starts_with(c.host || c.path, s.key))
+    OR (s.kind = 'domain' AND (s.key = c.host OR ends_with(c.host, '.' || s.key))))
+),
+judged AS (
+  SELECT *, count(*) OVER (PARTITION BY page_id) AS n, row_number() OVER (PARTITION BY page_id ORDER BY o, length(key) DESC, key, list_id, since) AS r FROM hits
+)
+SELECT c.page_id, c.url, c.fetched, j.page_id IS NOT NULL AS blocked, coalesce(j.n, 0) AS n_active, j.kind, j.key, j.list_id, j.since
+FROM captures c LEFT JOIN judged j ON j.page_id = c.page_id AND j.r = 1
+"""
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(to_records(table(spark, sf_dir, "pages")), path)
+    return archived_pages(spark, path)
+
+
+_OP3 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, ''))::BIGINT AS bytes FROM pages
+),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+  CASE WHEN bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load of all documents, a takedown and a revision of those a digest of
+    the id picks, and the takedown once more, which must change nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    turn = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
+    state = F.struct("source", "lang", "text")
+    gone = F.lit(None).cast("struct<source:string,lang:string,text:string>")
+    revised = F.struct(F.lit("revised").alias("source"), "lang", F.concat(F.coalesce("text", F.lit("")), F.lit(" (revised)")).alias("text"))
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    takedown = docs.filter(turn.isin("0", "1")).select(state.alias("old"), gone.alias("new"))
+    revision = docs.filter(turn.isin("2", "3")).select(state.alias("old"), revised.alias("new"))
+    rollup.commit("load", signed_deltas(docs.select(gone.alias("old"), state.alias("new"))))
+    rollup.commit("takedown", signed_deltas(takedown))
+    rollup.commit("revision", signed_deltas(revision))
+    rollup.commit("takedown", signed_deltas(takedown))
+    return rollup.totals()
+
+
+_OP5 = r"""
+WITH d AS (
+  SELECT substr(md5(doc_id::VARCHAR), 1, 1) AS turn, source, lang, coalesce(text, '') AS text FROM documents
+),
+now AS (
+  SELECT source, lang, text FROM d WHERE turn IS NULL OR turn NOT IN ('0', '1', '2', '3')
+  UNION ALL SELECT 'revised', lang, text || ' (revised)' FROM d WHERE turn IN ('2', '3')
+),
+counts AS (
+  SELECT source, lang, 'words-1' AS tokenizer_version, len(regexp_extract_all(text, '[^ 	-]+')) AS n FROM now
+  UNION ALL
+  SELECT source, lang, 'words-2', len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ 	-]')) FROM now
+)
+SELECT source, lang, tokenizer_version, count(*)::BIGINT AS documents, sum(n)::BIGINT AS tokens FROM counts GROUP BY ALL
+"""
+
+
 def op2_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -80,8 +213,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op1_url_filter": op1_url_filter,
     "op2_pivot_top_k": op2_pivot_top_k,
+    "op3_warc": op3_warc,
     "op4_one_bit_neighbours": op4_one_bit_neighbours,
+    "op5_token_rollup": op5_token_rollup,
     "op6_language_id": op6_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -90,5 +226,8 @@ QUERIES: dict[str, QueryFn] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_url_filter": _OP1,
     "op2_pivot_top_k": _OP2,
+    "op3_warc": _OP3,
+    "op5_token_rollup": _OP5,
 }

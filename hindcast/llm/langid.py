@@ -9,7 +9,8 @@ normalised phrases wins.
 
 A parse only follows the automaton's transitions from the root, so each
 automaton becomes one dense table ``state x letter`` whose missing transitions
-hold the state after starting a new phrase, with the sign bit set. Many
+hold the state after starting a new phrase, with the sign bit set. A letter
+that a sample lacks is a phrase of its own. Many
 segments of text step through all tables at once. Segments of
 ``segment_letters`` letters are parsed on their own and their phrases added;
 every letter of a text is parsed.
@@ -135,12 +136,14 @@ class CrossParser:
         for k in self.langs:
             codes = self.code[np.concatenate(texts[k])] if texts[k] else np.empty(0, np.uint8)
             table = suffix_automaton(codes.tolist(), self.width)
-            root = np.where(table[0] < 0, 0, table[0])
-            # a letter that the sample lacks ends the phrase and starts none
-            table = np.where(table < 0, root[None, :] - 2**30, table)
+            # a letter that the sample lacks is a phrase of its own: the state after the last one
+            alone = len(table)
+            start = np.where(table[0] < 0, alone, table[0])
+            table = np.vstack((table, np.full((1, self.width), -1, dtype=np.int32)))
             broken = table < 0
-            table = np.where(broken, table + 2**30, table) + at
-            tables.append(np.where(broken, (table * self.width) | np.int32(-(2**31)), table * self.width).astype(np.int32))
+            broken[0] = False  # no phrase is open at the root
+            table = (np.where(table < 0, start[None, :], table) + at) * self.width
+            tables.append(np.where(broken, table | np.int32(-(2**31)), table).astype(np.int32))
             self.roots.append(at * self.width)
             self.bits.append(math.log2(max(2, len(codes))))
             at += len(table)

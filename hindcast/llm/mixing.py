@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,7 +109,8 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     one for each time the mixture takes the document (possibly none). Columns
     of these names are replaced.
 
-    Null sources are one source, ranked last. A null or empty text has size 0.
+    Null sources are one source, ranked last. A null or empty text has size 0; a
+    source without any words has target 0 and gives nothing.
     Rows that agree in id and text fall together. An empty table gives an
     empty result. The plan depends on the rows and the seed alone, so reruns
     agree."""
@@ -136,7 +137,7 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     drawn = drawn.withColumn("turn", F.xxhash64(F.lit(p.seed + 1), "source", "block"))
     drawn = drawn.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     drawn = drawn.withColumn("before", F.col("upto") - F.col("words"))
-    whole = F.col("upto") <= F.col("rest")
+    whole = (F.col("rest") > 0) & (F.col("upto") <= F.col("rest"))
     cut_here = ~whole & (F.col("before") < F.col("rest"))
     drawn = drawn.withColumn("whole", whole).withColumn("open", F.when(cut_here, F.col("rest") - F.col("before")))
     drawn = materialize(drawn, "drawn")
@@ -165,14 +166,15 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     draws = np.array([r["draws"] for r in counts], dtype=np.int64)
     seed = p.seed
 
-    def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for shard in frame["id"]:
-                quota = shard_quotas(draws, shards, int(shard), seed)
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                quota = shard_quotas(draws, shards, shard, seed)
                 hit = np.flatnonzero(quota)
-                yield pd.DataFrame({"shard": int(shard), "source": [names[k] for k in hit], "quota": quota[hit]})
+                cols = [pa.array([shard] * len(hit), pa.int32()), pa.array([names[k] for k in hit], pa.string()), pa.array(quota[hit])]
+                yield pa.RecordBatch.from_arrays(cols, names=["shard", "source", "quota"])
 
-    quotas = spark.range(shards).repartition(max(1, min(shards, 200))).mapInPandas(leaves, "shard int, source string, quota long")
+    quotas = spark.range(shards).repartition(max(1, min(shards, 200))).mapInArrow(leaves, "shard int, source string, quota long")
     past = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     quotas = quotas.withColumn("end", F.sum("quota").over(past))
     runs = quotas.select(F.col("source").alias("s"), "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("r"))

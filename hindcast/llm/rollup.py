@@ -47,9 +47,10 @@ def bpe_counter(path: str | None = None) -> Counter:
 
     vocabulary = path or public_tokenizer()
 
-    def count(text: pd.Series) -> pd.Series:
+    def count(text):
         return pd.Series([len(i) for i in encoder(vocabulary).encode(pa.array(text, pa.string()))], dtype="int64")
 
+    count.__annotations__ = {"text": pd.Series, "return": pd.Series}  # the classes themselves, not their names
     return F.pandas_udf(count, "long")
 
 

@@ -11,14 +11,14 @@ character.
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+
+from hindcast.llm.common import worker_model
 
 #: code points handled in one go, and distinct pieces remembered by a worker
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 CACHE_PIECES = 250_000
 
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = 0, 1, 2, 3, 255
@@ -173,10 +173,9 @@ class PieceEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and file."""
-    return PieceEncoder(path)
+    return worker_model(("bpe", path), lambda: PieceEncoder(path))
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -189,7 +188,3 @@ def encode_with_end(texts: pa.Array, path: str, end_id: int) -> list[np.ndarray]
     """Ids of every text followed by ``end_id``."""
     end = np.array([end_id], dtype=np.int32)
     return [np.concatenate((ids, end)) for ids in encoder(path).encode(texts)]
-
-
-def utf8(column: pa.Array) -> pa.Array:
-    return pc.cast(column, pa.large_string()) if not pa.types.is_large_string(column.type) else column

@@ -6,13 +6,17 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.session import checkpoint_dir
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2048
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,13 +28,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the plan
     above starts from files that outlive any executor."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    # long texts: batches that go to Python tasks hold fewer rows than usual while this table is made
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(before), BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+_MODEL: list = [None, None]
+
+
+def worker_model(key: Hashable, build: Callable[[], object]):
+    """The large model that this worker process works with, built when first
+    asked for. A worker serves many stages; it keeps the model of the last one
+    only."""
+    if _MODEL[0] != key:
+        _MODEL[:] = [None, None]
+        pa.default_memory_pool().release_unused()
+        _MODEL[:] = [key, build()]
+    return _MODEL[1]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`materialize`."""
     path = getattr(df, "_scratch_path", None)

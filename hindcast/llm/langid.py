@@ -19,6 +19,7 @@ every letter of a text is parsed.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from hindcast.llm.common import boxed
+from hindcast.llm.common import boxed, worker_model
 
 UNDETERMINED = "und"
 
@@ -52,39 +53,33 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
     """Transitions of the suffix automaton of ``codes``: an int32 table
     ``(states, width)`` with -1 where there is none; state 0 is the root.
     Built online, one letter at a time."""
-    most = 2 * len(codes) + 1
-    trans: list[dict[int, int]] = [{}]
-    link, length = [-1], [0]
+    # one flat table from the start: a dictionary per state would take ten times the room
+    table = array("i", [-1]) * ((2 * len(codes) + 1) * width)
+    link, length = array("i", [-1]), array("i", [0])
     last = 0
     for c in codes:
-        new = len(trans)
-        trans.append({})
+        new = len(link)
         length.append(length[last] + 1)
         link.append(0)
         at = last
-        while at >= 0 and c not in trans[at]:
-            trans[at][c] = new
+        while at >= 0 and table[at * width + c] < 0:
+            table[at * width + c] = new
             at = link[at]
         if at >= 0:
-            to = trans[at][c]
+            to = table[at * width + c]
             if length[to] == length[at] + 1:
                 link[new] = to
             else:
-                copy = len(trans)
-                trans.append(dict(trans[to]))
+                copy = len(link)
+                table[copy * width : (copy + 1) * width] = table[to * width : (to + 1) * width]
                 length.append(length[at] + 1)
                 link.append(link[to])
-                while at >= 0 and trans[at].get(c) == to:
-                    trans[at][c] = copy
+                while at >= 0 and table[at * width + c] == to:
+                    table[at * width + c] = copy
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    assert len(trans) <= most
-    table = np.full((len(trans), width), -1, dtype=np.int32)
-    for s, row in enumerate(trans):
-        for c, t in row.items():
-            table[s, c] = t
-    return table
+    return np.frombuffer(table, dtype=np.int32).reshape(-1, width)[: len(link)]
 
 
 @lru_cache(maxsize=1)
@@ -215,9 +210,9 @@ class CrossParser:
         return out
 
 
-@lru_cache(maxsize=1)
 def _parser(sample: tuple, params: LangIdParams) -> CrossParser:
-    return CrossParser({k: list(v) for k, v in sample}, params)
+    """One parser per worker process."""
+    return worker_model(("langid", sample, params), lambda: CrossParser({k: list(v) for k, v in sample}, params))
 
 
 def labelled_sample(docs: DataFrame, params: LangIdParams = LangIdParams(), lang_col: str = "lang", text_col: str = "text") -> dict[str, list[str]]:

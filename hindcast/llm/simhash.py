@@ -80,7 +80,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sliced_links(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, chunk: int = 1 << 19) -> np.ndarray:
+def sliced_links(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, chunk: int = 1 << 17) -> np.ndarray:
     """Pairs of positions whose fingerprints differ in at most ``radius``
     bits, as an array ``(n, 2)``. ``bucket`` ascends; only rows of one bucket
     are compared. In a bucket with both sides 0 and 1, side 0 meets side 1;
@@ -217,7 +217,7 @@ def _forest(links: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return node, root[node]
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bucket numbers, sides and fingerprints of whole buckets, many at a time."""
     held: list[list[np.ndarray]] = []
     rows = 0

@@ -134,7 +134,9 @@ def fit_additive(
         is_holiday(F.col("ds"), spec.holiday_country if params.use_holidays else None).cast("double").alias("hol"),
     )
     n_series = inp.agg(F.approx_count_distinct("series_id").alias("n")).first()["n"] or 1
-    buckets = max(1, -(-int(n_series) // series_per_group))
+    # at least one group per core of the cluster, so that few series do not share one task
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, -(-int(n_series) // series_per_group), min(int(n_series), cores))
     keyed = inp.withColumn("__bucket", F.pmod(F.xxhash64("series_id"), F.lit(buckets)))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:

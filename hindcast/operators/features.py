@@ -138,7 +138,9 @@ def build_feature_matrix(
             F.col("ds"),
             F.col("y"),
         )
-    ordered = [*source_cols, "series_id", *fspec.numeric, "ds", "y"]
+    # lagged string exogenous columns are categorical inputs made here, unlike the id columns
+    lagged_labels = [c for c in fspec.categorical if c not in source_cols]
+    ordered = [*source_cols, "series_id", *fspec.numeric, *lagged_labels, "ds", "y"]
     return out.select(*ordered), fspec
 
 

@@ -314,5 +314,5 @@ def leaderboard(bundle: DataFrame) -> DataFrame:
     ranked by WMAPE (ties share a rank)."""
     cols = [c for c in LEADERBOARD_METRICS if c in bundle.columns]
     return bundle.select("model", *cols).withColumn(
-        "rank", F.rank().over(Window.orderBy(F.col("wmape").asc_nulls_last(), F.col("model")))
+        "rank", F.rank().over(Window.orderBy(F.col("wmape").asc_nulls_last()))
     )

@@ -228,7 +228,7 @@ def q_metric_bundle_long(spark, sf_dir):
     rounded(
         _SQL
         + "SELECT model, wmape, wrmsse, pinball_p10, pinball_p50, pinball_p90, bias, "
-        "CAST(rank() OVER (ORDER BY wmape ASC NULLS LAST, model) AS INTEGER) AS rank FROM bundle",
+        "CAST(rank() OVER (ORDER BY wmape ASC NULLS LAST) AS INTEGER) AS rank FROM bundle",
         ["wmape", "wrmsse", "pinball_p10", "pinball_p50", "pinball_p90", "bias"],
         ["model", "rank"],
     ),

@@ -36,8 +36,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` (or the context's current directory); only
-    when neither is set -- as in a unit test on a laptop -- a private scratch
-    folder is created and registered.
+    when neither is set and the master is local -- as in a unit test on a
+    laptop -- a private scratch folder is created and registered. On a cluster
+    a missing setting is an error: executors do not share a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="hindcast-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)``, works on every row its predecessor
 kept, and returns a DataFrame that is written as Parquet and read again as the
 next stage's ``docs``. All stages but the last return the columns of
 ``documents``; the last returns one row per packed piece. No stage can be
-written in SQL, so there is no ``ORACLE_SQL``; ``tests/llm/test_pipeline.py``
+written in SQL, so there is no ``ORACLE_SQL``; ``tests/llm/test_others.py``
 holds the stages against brute force.
 """
 

@@ -4,6 +4,7 @@ clash with the caller's."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Hashable
@@ -51,11 +52,21 @@ def worker_model(key: Hashable, build: Callable[[], object]):
     only."""
     if _MODEL[0] != key:
         _MODEL[:] = [None, None]
-        pa.default_memory_pool().release_unused()
+        _give_back()
         _MODEL[:] = [key, build()]
+        _give_back()
     return _MODEL[1]
 
 
+def _give_back() -> None:
+    """Hand memory that this process has freed back to the system, so that a
+    stage does not add to what the stages before it needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`materialize`."""
     path = getattr(df, "_scratch_path", None)

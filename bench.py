@@ -40,6 +40,12 @@ HEADLINE = [
     "feature_matrix_parts",
     "metric_bundle_parts",
     "additive_forecast_parts",
+    "feature_matrix_chunked",
+    "recursive_forecast_parts",
+    "batch_forecast",
+    "univariate_baseline",
+    "stream_hourly_requests",
+    "stream_rolling_wmape",
     "model_comparison",
 ]
 

@@ -86,8 +86,11 @@ def prepare_panel(df: DataFrame, spec: PanelSpec) -> DataFrame:
         y = nan_to_null(F.col(spec.target_col))
     else:
         y = F.col(spec.target_col).cast("double")
+    # a NaN input is a missing one, also where it serves as a weight
+    inputs = {*spec.exogenous_cols, spec.weight_col}
+    floats = {f.name for f in d.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     return d.select(
-        *[F.col(c) for c in d.columns],
+        *[nan_to_null(F.col(c)).alias(c) if c in inputs & floats else F.col(c) for c in d.columns],
         series_key(spec).alias("series_id"),
         F.col(spec.date_col).alias("ds"),
         y.alias("y"),

@@ -39,7 +39,7 @@ def _strict(value: Column, *inputs: Column) -> Column:
 def wmape_expr(y: Column, p: Column) -> Column:
     """M1: sum|y - p| / sum|y|; a zero denominator is an error."""
     den = F.sum(F.abs(y))
-    val = F.when(den == 0, F.raise_error(F.lit("WMAPE undefined: sum(|y_true|) == 0"))).otherwise(
+    val = F.when(den == 0, F.raise_error(F.lit("WMAPE has no denominator: every actual value is zero"))).otherwise(
         F.sum(F.abs(y - p)) / den
     )
     return _strict(val, y, p)
@@ -135,7 +135,7 @@ def wrmsse(per_series: DataFrame, weights: DataFrame, *, on_undefined: str = "er
             "wrmsse",
             F.when(
                 F.col("wrmsse").isNull(),
-                F.raise_error(F.concat(F.lit("no series with a defined RMSSE scale for model "), F.col("model"))),
+                F.raise_error(F.concat(F.lit("RMSSE scale is zero or missing in every series of model "), F.col("model"))),
             ).otherwise(F.col("wrmsse")),
         )
     return res
@@ -209,7 +209,7 @@ def bundle_from_partials(
     return _combine(partials.join(hstats, "series_id", "left"), quantiles, on_undefined)
 
 
-def _combine(j: DataFrame, quantiles: Sequence[float], on_undefined: str) -> DataFrame:
+def _combine(j: DataFrame, quantiles: Sequence[float], on_undefined: str, extra: Sequence[Column] = ()) -> DataFrame:
     """Per-model combine of rows ``(model, series_id, partials..., n_hist, scale, weight)``."""
     strict = F.col("n_valid") == F.col("n")
     mse = F.when(strict, F.col("sse") / F.col("n"))
@@ -218,7 +218,7 @@ def _combine(j: DataFrame, quantiles: Sequence[float], on_undefined: str) -> Dat
     n, nv = F.sum("n"), F.sum("n_valid")
     ok = nv == n
     say = F.sum("say")
-    wmape_v = F.when(say == 0, F.raise_error(F.lit("WMAPE undefined: sum(|y_true|) == 0"))).otherwise(F.sum("sae") / say)
+    wmape_v = F.when(say == 0, F.raise_error(F.lit("WMAPE has no denominator: every actual value is zero"))).otherwise(F.sum("sae") / say)
     sw = F.sum("__w")
     wr = F.when(sw == 0, F.avg("rmsse")).otherwise(F.sum(F.col("__w") * F.col("rmsse")) / sw)
     out = j.groupBy("model").agg(
@@ -228,13 +228,14 @@ def _combine(j: DataFrame, quantiles: Sequence[float], on_undefined: str) -> Dat
         F.count(F.when(F.col("n") > 0, 1)).cast("double").alias("n_series"),
         wr.alias("wrmsse"),
         F.count("rmsse").alias("n_scored"),
+        *extra,
     )
     if on_undefined == "error":
         out = out.withColumn(
             "wrmsse",
             F.when(
                 F.col("wrmsse").isNull(),
-                F.raise_error(F.concat(F.lit("no series with a defined RMSSE scale for model "), F.col("model"))),
+                F.raise_error(F.concat(F.lit("RMSSE scale is zero or missing in every series of model "), F.col("model"))),
             ).otherwise(F.col("wrmsse")),
         )
     return out
@@ -263,6 +264,7 @@ def score_feature_forecasts(
     quantiles: Sequence[float] = DEFAULT_QUANTILES,
     *,
     on_undefined: str = "error",
+    unscorable: str = "null",
 ) -> DataFrame:
     """Score forecasts that are columns of the feature matrix itself.
 
@@ -270,7 +272,14 @@ def score_feature_forecasts(
     stats, weights and every model's test-row partials come out of ONE
     grouped aggregate on ``series_id`` -- the partitioning the feature window
     already produced, so no further shuffle of the panel is needed.
+
+    A test row without target or forecast makes the metrics null; with
+    ``unscorable='count'`` they cover the other rows, and ``n_unscored`` says
+    how many were left out.
     """
+    if unscorable not in ("null", "count"):
+        raise ValueError("unscorable must be 'null' or 'count'")
+    count = unscorable == "count"
     w = Window.partitionBy("series_id").orderBy("ds")
     y = F.col("y")
     # evaluate the cutoff comparison once (one scalar subquery in the plan)
@@ -292,10 +301,11 @@ def score_feature_forecasts(
         for c in cols[1:]:
             valid = valid & c.isNotNull()
         qc = {q: F.col(qmap[q]) for q in quantiles}
-        part = _partial_aggs(y, F.col(qmap[0.5]), qc, valid, test)
+        part = _partial_aggs(y, F.col(qmap[0.5]), qc, valid, test & valid if count else test)
+        part.append(F.count(F.when(test & ~valid, 1)))
         aliased = [c.alias(f"{name}__{i}") for i, c in enumerate(part)]
         aggs += aliased
-        names = ["n", "n_valid", "sae", "say", "se", "sse"] + [f"pl_{qcol(q)}" for q in quantiles]
+        names = ["n", "n_valid", "sae", "say", "se", "sse"] + [f"pl_{qcol(q)}" for q in quantiles] + ["n_unscored"]
         structs.append(
             F.struct(F.lit(name).alias("model"), *[F.col(f"{name}__{i}").alias(nm) for i, nm in enumerate(names)])
         )
@@ -303,7 +313,8 @@ def score_feature_forecasts(
     stacked = per_series.select(
         "series_id", "n_hist", "scale", "weight", F.explode(F.array(*structs)).alias("__m")
     ).select("series_id", "n_hist", "scale", "weight", "__m.*")
-    return _combine(stacked, quantiles, on_undefined).drop("n_scored")
+    extra = [F.sum("n_unscored").alias("n_unscored")] if count else []
+    return _combine(stacked, quantiles, on_undefined, extra).drop("n_scored")
 
 
 LEADERBOARD_METRICS = ("wmape", "wrmsse", "pinball_p10", "pinball_p50", "pinball_p90", "bias")

@@ -44,30 +44,41 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins:
 
 def psi_flagged(df: DataFrame, is_ref: str, features: Sequence[str], bins: int = 10, edges: str = "uniform") -> DataFrame:
     """PSI where one frame holds both windows (``is_ref`` marks the reference
-    rows). Two passes: one aggregate for the bucket edges, one count per
-    (feature, side, bucket); the sides are then pivoted by conditional
-    aggregation -- no join of the two windows.
+    rows). Two passes over the frame and no join: one wide aggregate gives the
+    bucket edges of all features as a single row, read as a scalar; then each
+    (feature, side, bucket) is counted, and only the partial counts are
+    shuffled.
 
     ``edges='uniform'``: equal-width buckets over the reference min..max.
     ``edges='quantile'``: edges at the reference deciles (for ``bins=10``)
     from ``percentile_approx`` -- a bounded sketch per feature -- and a value
-    falls in the bucket given by the number of edges below it."""
-    lf = long_features(df, features, extra=[is_ref])
-    ref = lf.where(F.col(is_ref))
+    falls in the bucket given by the number of edges below it. A feature
+    without reference values has no row."""
+    vals = {f: F.col(f).cast("double") for f in features}
     if edges == "uniform":
-        rng = ref.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-        j = lf.join(rng, "feature")  # one row per feature on the right
-        width = F.col("hi") - F.col("lo")
-        b = F.when(width <= 0, F.lit(0)).otherwise(F.floor((F.col("value") - F.col("lo")) / width * bins))
-        b = F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
+        def cuts(v: Column) -> Column:
+            return F.array(F.min(v), F.max(v))
     elif edges == "quantile":
         probs = [i / bins for i in range(1, bins)]
-        cuts = ref.groupBy("feature").agg(F.percentile_approx("value", probs, 10000).alias("edges"))
-        j = lf.join(cuts, "feature")  # one row per feature on the right
-        b = F.size(F.filter(F.col("edges"), lambda e: F.col("value") > e)).cast("int")
+
+        def cuts(v: Column) -> Column:
+            return F.percentile_approx(v, probs, 10000)
     else:
         raise ValueError("edges must be 'uniform' or 'quantile'")
-    counts = j.groupBy("feature", F.col(is_ref).alias("__side"), b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    row = df.agg(F.array(*[cuts(F.when(F.col(is_ref), v)) for v in vals.values()]).alias("cuts")).scalar()
+    wide = df.select(F.col(is_ref).alias("__side"), *[v.alias(f"__v{k}") for k, v in enumerate(vals.values())], row.alias("__cuts"))
+    each = [
+        F.struct(F.lit(f).alias("feature"), F.col(f"__v{k}").alias("value"), F.col("__cuts")[k].alias("cuts")) for k, f in enumerate(vals)
+    ]
+    j = wide.select("__side", F.explode(F.array(*each)).alias("__kv")).select("__side", "__kv.*")
+    j = j.where(F.col("value").isNotNull() & F.col("cuts")[0].isNotNull())
+    if edges == "uniform":
+        lo, width = F.col("cuts")[0], F.col("cuts")[1] - F.col("cuts")[0]
+        b = F.when(width <= 0, F.lit(0)).otherwise(F.floor((F.col("value") - lo) / width * bins))
+        b = F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).cast("int")
+    else:
+        b = F.size(F.filter(F.col("cuts"), lambda e: F.col("value") > e)).cast("int")
+    counts = j.groupBy("feature", "__side", b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     shares = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("feature", "__side")))
     per_bucket = shares.groupBy("feature", "bucket").agg(
         F.max(F.when(F.col("__side"), F.col("share"))).alias("e"),

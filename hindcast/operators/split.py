@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.spec import PanelSpec, parse_freq
+from hindcast.spec import PanelSpec, freq_anchor, parse_freq
 
 
 def horizon_dates(df: DataFrame, horizon: int, ds: str = "ds") -> DataFrame:
@@ -46,31 +46,31 @@ def panel_split(df: DataFrame, horizon: int, ds: str = "ds", cutoff: Column | No
     return df.where(F.col(ds) < c), df.where(F.col(ds) >= c)
 
 
-def tail_split(df: DataFrame, horizon: int, *, on_short: str = "error") -> tuple[DataFrame, DataFrame]:
-    """Per series, the last ``horizon`` rows are test.
+def tail_part(df: DataFrame, horizon: int, *, on_short: str = "error") -> DataFrame:
+    """W7 in one pass: ``part`` is ``test`` on the last ``horizon`` rows of a
+    series and ``train`` before them (one window over one ordering).
 
-    A series with ``rows <= horizon`` raises (reference) or, with
-    ``on_short='skip'``, is left out of both sides.
+    A series with ``rows <= horizon`` raises, or, with ``on_short='skip'``, is
+    left out.
     """
     if horizon < 1:
         raise ValueError("horizon must be >= 1")
-    w = Window.partitionBy("series_id").orderBy(F.col("ds").desc())
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    tagged = df.withColumn("__rn", F.row_number().over(w)).withColumn("__n", n)
+    late_first = Window.partitionBy("series_id").orderBy(F.col("ds").desc())
+    whole = late_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tagged = df.withColumns({"__rn": F.row_number().over(late_first), "__n": F.count(F.lit(1)).over(whole)})
+    part = F.when(F.col("__rn") <= F.lit(horizon), F.lit("test")).otherwise(F.lit("train"))
     if on_short == "error":
-        # the check sits inside the filter predicate so that it cannot be
-        # pruned away with an unused column
-        short = F.raise_error(F.concat(F.lit("series "), F.col("series_id"), F.lit(f" has too few rows for horizon {horizon}")))
-
-        def keep(side: Column) -> Column:
-            return F.when(F.col("__n") <= F.lit(horizon), short).otherwise(side)
+        message = F.concat(F.lit("series "), F.col("series_id"), F.lit(f" has too few rows for horizon {horizon}"))
+        part = F.when(F.col("__n") <= F.lit(horizon), F.raise_error(message).cast("string")).otherwise(part)
     else:
         tagged = tagged.where(F.col("__n") > F.lit(horizon))
+    return tagged.withColumn("part", part).drop("__rn", "__n")
+
 
-        def keep(side: Column) -> Column:
-            return side
-    train = tagged.where(keep(F.col("__rn") > F.lit(horizon))).drop("__rn", "__n")
-    test = tagged.where(keep(F.col("__rn") <= F.lit(horizon))).drop("__rn", "__n")
+def tail_split(df: DataFrame, horizon: int, *, on_short: str = "error") -> tuple[DataFrame, DataFrame]:
+    """W7 as two frames (see :func:`tail_part`)."""
+    parts = tail_part(df, horizon, on_short=on_short)
+    train, test = (parts.where(F.col("part") == F.lit(name)).drop("part") for name in ("train", "test"))
     return train, test
 
 
@@ -117,15 +117,36 @@ def first_n_series(df: DataFrame, n: int, ds: str = "ds") -> DataFrame:
     return df.join(keep, "series_id", "left_semi")
 
 
+_MONTHS = {"M": 1, "Q": 3, "Y": 12}
+
+
 def date_step(d: Column, i: Column, freq: str) -> Column:
-    """``d`` advanced by ``i`` periods of ``freq``."""
+    """``d`` advanced by ``i >= 0`` periods of ``freq``. Where ``freq`` names
+    certain dates (period starts or ends, business days, a weekday), the first
+    step from another date goes to the next of them."""
     mult, unit = parse_freq(freq)
-    if unit == "D":
-        return F.date_add(d, (i * mult).cast("int"))
-    if unit == "W":
-        return F.date_add(d, (i * 7 * mult).cast("int"))
-    months = {"M": 1, "Q": 3, "Y": 12}[unit] * mult
-    return F.add_months(d, (i * months).cast("int"))
+    at = freq_anchor(freq)
+    if at is None:
+        return F.date_add(d, (i * mult * (7 if unit == "W" else 1)).cast("int"))
+    # the latest such date that is not after d, and the date n of them later
+    if at == "business":
+        last = F.date_sub(d, F.greatest(F.weekday(d) - 4, F.lit(0)))
+    elif unit == "W":
+        last = F.date_sub(d, F.pmod(F.weekday(d) - at, F.lit(7)))
+    else:
+        first = F.trunc(d, {"M": "month", "Q": "quarter", "Y": "year"}[unit])
+        end = F.last_day(F.add_months(first, _MONTHS[unit] - 1))
+        last = first if at == "start" else F.when(end == d, d).otherwise(F.date_sub(first, 1))
+    n = F.when(last == d, i * mult).otherwise((i - 1) * mult + 1).cast("int")
+    if at == "business":
+        day = F.weekday(last) + n
+        to = F.date_add(last, (F.floor(day / 5) * 7 + F.pmod(day, F.lit(5)) - F.weekday(last)).cast("int"))
+    elif unit == "W":
+        to = F.date_add(last, n * 7)
+    else:
+        to = F.add_months(last, n * _MONTHS[unit])
+        to = F.last_day(to) if at == "end" else to
+    return F.when(i == 0, d).otherwise(to)
 
 
 def future_dates(df: DataFrame, spec: PanelSpec, ds: str = "ds", include_history: bool = True) -> DataFrame:
@@ -153,19 +174,15 @@ def date_membership(df: DataFrame, dates: DataFrame, keep: bool = True, ds: str
 def densify(df: DataFrame, spec: PanelSpec, ds: str = "ds") -> DataFrame:
     """T4 helper (opt-in): give every series one row per period between its
     first and last date, with null target where the period was missing, so
-    that row-based lags become period-based. Per series the calendar is
-    generated with ``sequence`` (bounded by the series' span), then the
-    panel is left-joined on (series_id, ds) -- no cross join of series and
-    dates."""
+    that row-based lags become period-based. The calendar of a series is
+    generated with ``sequence`` (bounded by the series' span) and joined to the
+    panel on (series_id, ds). No row of the panel is lost: one that lies off
+    the calendar stays next to it."""
     mult, unit = parse_freq(spec.freq)
+    shortest = mult * {"D": 1, "W": 7, "M": 28, "Q": 90, "Y": 365}[unit]
     span = df.groupBy("series_id").agg(F.min(ds).alias("__lo"), F.max(ds).alias("__hi"))
-    if unit in ("D", "W"):
-        step = mult * (7 if unit == "W" else 1)
-        n = (F.datediff("__hi", "__lo") / F.lit(step)).cast("int")
-    else:
-        months = {"M": 1, "Q": 3, "Y": 12}[unit] * mult
-        n = (F.months_between("__hi", "__lo") / F.lit(months)).cast("int")
-    grid = span.select("series_id", "__lo", F.explode(F.sequence(F.lit(0), n)).alias("__i")).select(
-        "series_id", date_step(F.col("__lo"), F.col("__i"), spec.freq).alias(ds)
-    )
-    return grid.join(df, ["series_id", ds], "left")
+    # a first step to the calendar may be shorter than a period
+    steps = (F.datediff("__hi", "__lo") / F.lit(shortest)).cast("int") + 1
+    grid = span.select("series_id", "__lo", "__hi", F.explode(F.sequence(F.lit(0), steps)).alias("__i"))
+    grid = grid.withColumn(ds, date_step(F.col("__lo"), F.col("__i"), spec.freq)).where(F.col(ds) <= F.col("__hi"))
+    return grid.select("series_id", ds).join(df, ["series_id", ds], "full_outer")

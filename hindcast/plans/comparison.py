@@ -78,7 +78,7 @@ def run_comparison(
             bundle,
             runs_path,
             parent_id=new_run_id(),
-            params={"dataset": spec.name, "horizon": spec.horizon, "n_features": len(fspec.all)},
+            params={"dataset": spec.name, "horizon": spec.horizon, "n_features": fspec.n_inputs},
             tags={"phase": "2"},
             model_params={"quantile_boost": boost.__dict__, "additive": additive.__dict__},
         )

@@ -57,10 +57,10 @@ def baseline_sql(panel: str, weight_col: str, test_filter: str = "") -> str:
     """CTE chain ``feat, cut, fc, hist, wts, sc, er, rm, wr0, wr`` for the
     rolling baselines on ``panel`` (caller appends pooled/bundle CTEs)."""
     spec = SPECS[panel]
-    extra = f" AND ({test_filter})" if test_filter else ""
+    extra = " AND (" + test_filter + ")" if test_filter else ""
     fc = "\n  UNION ALL\n  ".join(
         f"SELECT 'roll{w}' AS model, series_id, ds, y AS y_true, roll_min_{w} AS p10, roll_mean_{w} AS p50, roll_max_{w} AS p90 "
-        f"FROM feat WHERE ds >= (SELECT c FROM cut){extra}"
+        f"FROM feat WHERE ds >= (SELECT c FROM cut){extra.format(w=w)}"
         for w in BASELINE_WINDOWS
     )
     return (
@@ -95,7 +95,7 @@ wr0 AS (
   FROM rm LEFT JOIN wts ON rm.series_id = wts.series_id WHERE rmsse IS NOT NULL GROUP BY model
 ),
 wr AS (
-  SELECT m.model, CASE WHEN wr0.wrmsse IS NULL THEN error('no series with a defined RMSSE scale') ELSE wr0.wrmsse END AS wrmsse,
+  SELECT m.model, CASE WHEN wr0.wrmsse IS NULL THEN error('RMSSE scale is zero or missing') ELSE wr0.wrmsse END AS wrmsse,
          coalesce(wr0.n_scored, 0) AS n_scored
   FROM (SELECT DISTINCT model FROM rm) m LEFT JOIN wr0 ON m.model = wr0.model
 ),
@@ -112,7 +112,7 @@ def _strict_sql(expr: str, *cols: str) -> str:
 
 
 _WMAPE = _strict_sql(
-    "CASE WHEN sum(abs(y_true)) = 0 THEN error('WMAPE undefined') ELSE sum(abs(y_true - p50)) / sum(abs(y_true)) END",
+    "CASE WHEN sum(abs(y_true)) = 0 THEN error('WMAPE has no denominator') ELSE sum(abs(y_true - p50)) / sum(abs(y_true)) END",
     "y_true",
     "p50",
 )

@@ -149,7 +149,33 @@ def q_psi(spark, sf_dir):
     return _psi_df(spark, sf_dir)
 
 
-@register("psi_quantile_bins", ("X1",), note="PSI with bucket edges at the reference deciles (approximate sketch)")
+def _psi_quantile_sql(bins: int = 10) -> str:
+    """As :func:`_psi_sql`, with edges at the exact reference deciles (the
+    sketch is exact for up to its accuracy of 10,000 reference values)."""
+    probs = ", ".join(str(i / bins) for i in range(1, bins))
+    uniform = _psi_sql(bins)
+    head, rest = uniform[: uniform.index("rng AS (")], uniform[uniform.index("cnt AS (") :]
+    return (
+        head
+        + f"""rng AS (SELECT feature, quantile_disc(value, [{probs}]) AS edges FROM lf WHERE is_ref GROUP BY feature),
+bk AS (
+  SELECT lf.feature, is_ref, len(list_filter(edges, lambda e: value > e)) AS bucket
+  FROM lf JOIN rng ON lf.feature = rng.feature
+),
+"""
+        + rest
+    )
+
+
+_STATUS_SQL = "SELECT feature, psi, CASE WHEN psi > 0.2 THEN 'red' WHEN psi > 0.1 THEN 'yellow' ELSE 'green' END AS status, psi > 0.2 AS drift FROM psi"
+
+
+@register(
+    "psi_quantile_bins",
+    ("X1",),
+    rounded(_psi_quantile_sql() + _STATUS_SQL, ["psi"], ["feature", "status", "drift"]),
+    note="PSI with bucket edges at the reference deciles (approximate sketch)",
+)
 def q_psi_quantile_bins(spark, sf_dir):
     df, spec = materialized("P2", spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)

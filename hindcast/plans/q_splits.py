@@ -17,7 +17,7 @@ from hindcast.operators.split import (
     panel_split,
     series_eligibility,
     skip_short_series,
-    tail_split,
+    tail_part,
 )
 from hindcast.plans.catalog import register
 from hindcast.plans.sqlgen import PANEL_SQL, cutoff_sql, features_cte, prepared_sql, rounded
@@ -86,8 +86,7 @@ def q_split_counts(spark, sf_dir):
 )
 def q_tail_split(spark, sf_dir):
     """Positional split: the last H rows of every series."""
-    train, test = tail_split(_p3(spark, sf_dir), H)
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return tail_part(_p3(spark, sf_dir), H)
 
 
 @register(
@@ -209,7 +208,8 @@ def q_feedback_write_back(spark, sf_dir):
 span AS (SELECT series_id, min(ds) AS lo, max(ds) AS hi FROM base GROUP BY series_id),
 grid AS (SELECT series_id, CAST(lo + CAST(7 * i AS INTEGER) AS DATE) AS ds
          FROM span, LATERAL (SELECT unnest(range(0, CAST(datediff('day', lo, hi) / 7 AS INTEGER) + 1)) AS i))
-SELECT g.series_id, g.ds, b.y FROM grid g LEFT JOIN base b ON g.series_id = b.series_id AND g.ds = b.ds""",
+SELECT coalesce(g.series_id, b.series_id) AS series_id, coalesce(g.ds, b.ds) AS ds, b.y
+FROM grid g FULL JOIN base b ON g.series_id = b.series_id AND g.ds = b.ds""",
         ["y"],
         ["series_id", "ds"],
     ),
@@ -219,3 +219,52 @@ def q_densify_panel(spark, sf_dir):
     from hindcast.operators.split import densify
 
     return densify(_p3(spark, sf_dir), P3).select("series_id", "ds", "y")
+
+
+@register(
+    "densify_off_grid",
+    ("T4", "K7"),
+    rounded(
+        f"""WITH base AS ({prepared_sql(PANEL_SQL['P2'], SPECS['P2'])}),
+span AS (SELECT series_id, min(ds) AS lo, max(ds) AS hi FROM base GROUP BY series_id),
+ends AS (SELECT series_id, hi, CAST(date_trunc('month', lo) + to_months(CAST(i AS INTEGER) + 1) - INTERVAL 1 DAY AS DATE) AS ds
+         FROM span, LATERAL (SELECT unnest(range(0, datediff('month', lo, hi) + 1)) AS i)),
+grid AS (SELECT series_id, ds FROM ends WHERE ds <= hi UNION SELECT series_id, lo FROM span)
+SELECT coalesce(g.series_id, b.series_id) AS series_id, coalesce(g.ds, b.ds) AS ds, b.y
+FROM grid g FULL JOIN base b ON g.series_id = b.series_id AND g.ds = b.ds""",
+        ["y"],
+        ["series_id", "ds"],
+    ),
+    note="month ends join a daily panel: days off the month-end calendar stay",
+)
+def q_densify_off_grid(spark, sf_dir):
+    from hindcast.operators.split import densify
+
+    df, spec = materialized("P2", spark, sf_dir)
+    return densify(prepare_panel(df, spec), spec.with_(freq="ME")).select("series_id", "ds", "y")
+
+
+@register(
+    "future_period_ends",
+    ("K7",),
+    f"""WITH base AS ({prepared_sql(PANEL_SQL['P1'], P1)}),
+last AS (SELECT series_id, max(ds) AS l FROM base GROUP BY series_id),
+days AS (SELECT series_id, l, CAST(l + CAST(j AS INTEGER) AS DATE) AS ds FROM last, (SELECT unnest(range(1, 1200)) AS j)),
+marked AS (SELECT series_id, ds, 'ME' AS freq FROM days WHERE ds = last_day(ds)
+           UNION ALL SELECT series_id, ds, 'QE' FROM days WHERE ds = last_day(ds) AND month(ds) % 3 = 0
+           UNION ALL SELECT series_id, ds, 'MS' FROM days WHERE day(ds) = 1
+           UNION ALL SELECT series_id, ds, 'B' FROM days WHERE dayofweek(ds) BETWEEN 1 AND 5
+           UNION ALL SELECT series_id, ds, 'W-SUN' FROM days WHERE dayofweek(ds) = 0)
+SELECT freq, series_id, ds FROM marked QUALIFY row_number() OVER (PARTITION BY freq, series_id ORDER BY ds) <= 8""",
+    note="the next eight month ends, quarter ends, month starts, business days and Sundays of every series",
+)
+def q_future_period_ends(spark, sf_dir):
+    from functools import reduce
+
+    df, spec = materialized("P1", spark, sf_dir)
+    d = prepare_panel(df, spec)
+    frames = [
+        future_dates(d, spec.with_(freq=f, horizon=8), include_history=False).select(F.lit(f).alias("freq"), "series_id", "ds")
+        for f in ("ME", "QE", "MS", "B", "W-SUN")
+    ]
+    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -50,4 +50,4 @@ def load_preset(name: str) -> PanelSpec:
     try:
         return PRESETS[name]
     except KeyError:
-        raise FileNotFoundError(f"No dataset config {name!r}. Available: {sorted(PRESETS)}") from None
+        raise FileNotFoundError(f"{name!r} is not a preset; choose one of {sorted(PRESETS)}") from None

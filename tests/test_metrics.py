@@ -1,4 +1,5 @@
-"""Metric semantics on the reference's vectors (M1-M7)."""
+"""Metric semantics (M1-M7): definitions on small vectors, undefined cases
+and weights; property tests hold the pooled metrics against numpy."""
 
 from __future__ import annotations
 
@@ -10,121 +11,118 @@ from pyspark.sql import functions as F
 from hindcast.operators import metrics as M
 from hindcast.spec import metric_name
 
-
-def _fc(spark, y, p, model="m", sid="A", p10=None, p90=None):
-    rows = []
-    for i, (a, b) in enumerate(zip(y, p)):
-        rows.append((model, sid, i, float(a), None if p10 is None else float(p10[i]), float(b), None if p90 is None else float(p90[i])))
-    return spark.createDataFrame(rows, "model string, series_id string, ds int, y_true double, p10 double, p50 double, p90 double")
+FORECASTS = "model string, series_id string, ds int, y_true double, p10 double, p50 double, p90 double"
 
 
-def _hist(spark, values, sid="A"):
-    return spark.createDataFrame([(sid, i, float(v)) for i, v in enumerate(values)], "series_id string, ds int, y double")
+def _rows(spark, series, model="m"):
+    """``series``: name -> [(actual, forecast), ...]; p10 and p90 lie 3 around."""
+    rows = []
+    for sid, pairs in series.items():
+        rows += [(model, sid, i, y, None if p is None else p - 3.0, p, None if p is None else p + 3.0) for i, (y, p) in enumerate(pairs)]
+    return spark.createDataFrame(rows, FORECASTS)
 
 
-def _one(df, col):
-    return df.first()[col]
+def _past(spark, series):
+    rows = [(sid, i, float(v)) for sid, values in series.items() for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "series_id string, ds int, y double")
 
 
-def test_wmape_perfect(spark):
-    assert _one(M.wmape(_fc(spark, [10, 20, 30], [10, 20, 30])), "wmape") == 0.0
+def _weights(spark, **w):
+    return spark.createDataFrame([(k, float(v)) for k, v in w.items()], "series_id string, weight double")
 
 
-def test_wmape_known(spark):
-    assert _one(M.wmape(_fc(spark, [10, 20], [12, 18])), "wmape") == pytest.approx(4 / 30)
+PAIRS = [
+    [(4.0, 5.5), (9.0, 7.0), (2.5, 2.5)],
+    [(0.0, 1.0), (-6.0, -2.0), (12.0, 17.0), (3.0, 0.5)],
+]
 
 
-def test_wmape_zero_denominator_raises(spark):
-    with pytest.raises(Exception, match="WMAPE undefined"):
-        M.wmape(_fc(spark, [0, 0], [1, 2])).collect()
+@pytest.mark.parametrize("pairs", PAIRS)
+def test_pooled_metrics_equal_their_definitions(spark, pairs):
+    f = _rows(spark, {"s": pairs})
+    err = [p - y for y, p in pairs]
+    assert M.wmape(f).first()["wmape"] == pytest.approx(sum(map(abs, err)) / sum(abs(y) for y, _ in pairs))
+    assert M.bias(f).first()["bias"] == pytest.approx(sum(err) / len(err))
+    got = M.pinball(f).first()
+    for q, shift in ((0.1, -3.0), (0.5, 0.0), (0.9, 3.0)):
+        miss = [y - (p + shift) for y, p in pairs]
+        want = sum(q * d if d > 0 else (q - 1) * d for d in miss) / len(miss)
+        assert got[metric_name(q)] == pytest.approx(want)
 
 
-def test_bias_sign(spark):
-    assert _one(M.bias(_fc(spark, [10, 10], [12, 13])), "bias") == pytest.approx(2.5)
+def test_exact_forecasts_have_no_error(spark):
+    f = _rows(spark, {"s": [(7.0, 7.0), (1.0, 1.0)]})
+    assert M.wmape(f).first()["wmape"] == 0.0 and M.bias(f).first()["bias"] == 0.0
+    assert M.rmsse(f, _past(spark, {"s": [5, 1, 4]})).first()["rmsse"] == 0.0
 
 
-def test_pinball_half_is_half_mae(spark):
-    f = _fc(spark, [10, 20], [12, 16]).withColumn("p10", F.col("p50")).withColumn("p90", F.col("p50"))
-    got = M.pinball(f, quantiles=(0.5,)).first()["pinball_p50"]
-    assert got == pytest.approx(0.5 * (2 + 4) / 2)
+def test_wmape_of_zero_actuals_is_an_error(spark):
+    with pytest.raises(Exception, match="no denominator"):
+        M.wmape(_rows(spark, {"s": [(0.0, 3.0)]})).collect()
 
 
-def test_bad_quantile():
+@pytest.mark.parametrize("q", [0.0, 1.0, -0.2])
+def test_quantile_outside_the_open_interval(q):
     with pytest.raises(ValueError):
-        metric_name(1.5)
+        metric_name(q)
     with pytest.raises(ValueError):
-        M.pinball_expr(F.col("a"), F.col("b"), 1.5)
-
+        M.pinball_expr(F.col("a"), F.col("b"), q)
 
-def test_null_input_makes_metric_null(spark):
-    rows = [("m", "A", 0, 10.0, 1.0, None, 1.0), ("m", "A", 1, 20.0, 1.0, 20.0, 1.0)]
-    f = spark.createDataFrame(rows, "model string, series_id string, ds int, y_true double, p10 double, p50 double, p90 double")
-    assert _one(M.wmape(f), "wmape") is None
 
+def test_a_missing_forecast_makes_the_pooled_metric_null(spark):
+    f = _rows(spark, {"s": [(8.0, 6.0), (5.0, None)]})
+    assert M.wmape(f).first()["wmape"] is None and M.bias(f).first()["bias"] is None
 
-def test_rmsse_perfect_is_zero(spark):
-    r = M.rmsse(_fc(spark, [5, 6], [5, 6]), _hist(spark, [1, 2, 3, 4]))
-    assert _one(r, "rmsse") == 0.0
 
+def test_rmsse_scales_by_the_one_step_changes_of_the_past(spark):
+    f = _rows(spark, {"s": [(10.0, 13.0), (20.0, 16.0)], "flat": [(1.0, 4.0)], "new": [(1.0, 4.0)]})
+    past = _past(spark, {"s": [2, 5, 5, 1], "flat": [6, 6, 6], "new": [9]})
+    got = {r["series_id"]: (r["rmsse"], r["n_hist"]) for r in M.rmsse(f, past).collect()}
+    assert got["s"] == (pytest.approx(math.sqrt(((9 + 16) / 2) / ((9 + 0 + 16) / 3))), 4)
+    assert got["flat"] == (None, 3) and got["new"] == (None, 1)
 
-def test_rmsse_flat_history_is_null(spark):
-    r = M.rmsse(_fc(spark, [1], [2]), _hist(spark, [3, 3, 3]))
-    assert _one(r, "rmsse") is None
 
+def _two_errors(spark):
+    """Past changes of 2 in both series; squared errors 36 and 4: RMSSE 3 and 1."""
+    f = _rows(spark, {"a": [(50.0, 56.0)], "b": [(50.0, 48.0)], "flat": [(50.0, 51.0)]})
+    return M.rmsse(f, _past(spark, {"a": [1, 3, 5], "b": [8, 6, 8], "flat": [4, 4, 4]}))
 
-def test_wrmsse_weights_dominant_series(spark):
-    hist = [1.0, 2.0, 3.0, 4.0]
-    heavy = _fc(spark, [10, 10], [12, 12], sid="H")
-    light = _fc(spark, [10, 10], [10, 10], sid="L")
-    f = heavy.unionByName(light)
-    h = _hist(spark, hist, "H").unionByName(_hist(spark, hist, "L"))
-    w = spark.createDataFrame([("H", 100.0), ("L", 1.0)], "series_id string, weight double")
-    got = _one(M.wrmsse(M.rmsse(f, h), w), "wrmsse")
-    rm_heavy = math.sqrt(4.0 / 1.0)
-    assert got == pytest.approx(rm_heavy * 100 / 101, rel=1e-9)
 
+@pytest.mark.parametrize("a,b,want", [(1, 1, 2.0), (7, 1, 2.75), (0, 5, 1.0), (0, 0, 2.0)])
+def test_wrmsse_weighs_defined_series_and_counts_them(spark, a, b, want):
+    r = M.wrmsse(_two_errors(spark), _weights(spark, a=a, b=b, flat=100)).first()
+    assert r["wrmsse"] == pytest.approx(want) and r["n_scored"] == 2
 
-def test_wrmsse_zero_weights_fall_back_to_mean(spark):
-    hist = [1.0, 2.0, 3.0, 4.0]
-    f = _fc(spark, [10, 10], [12, 12], sid="H").unionByName(_fc(spark, [10, 10], [10, 10], sid="L"))
-    h = _hist(spark, hist, "H").unionByName(_hist(spark, hist, "L"))
-    w = spark.createDataFrame([("H", 0.0), ("L", 0.0)], "series_id string, weight double")
-    assert _one(M.wrmsse(M.rmsse(f, h), w), "wrmsse") == pytest.approx(1.0)
 
+def test_wrmsse_without_a_defined_series(spark):
+    only = _two_errors(spark).where("series_id = 'flat'")
+    w = _weights(spark, flat=2)
+    with pytest.raises(Exception, match="RMSSE scale is zero or missing"):
+        M.wrmsse(only, w).collect()
+    assert M.wrmsse(only, w, on_undefined="null").first()["wrmsse"] is None
 
-def test_wrmsse_flat_series_dropped_and_counted(spark):
-    f = _fc(spark, [10, 10], [12, 12], sid="H").unionByName(_fc(spark, [1], [2], sid="F"))
-    h = _hist(spark, [1, 2, 3, 4], "H").unionByName(_hist(spark, [3, 3, 3], "F"))
-    w = spark.createDataFrame([("H", 1.0), ("F", 1.0)], "series_id string, weight double")
-    r = M.wrmsse(M.rmsse(f, h), w).first()
-    assert r["n_scored"] == 1 and r["wrmsse"] == pytest.approx(2.0)
 
+def test_leaderboard_ranks_bundles_and_ties_share_a_rank(spark):
+    actual = [20.0, 40.0]
+    f = _rows(spark, {"s": [(y, y + 6) for y in actual]}, "far")
+    for name, shift in (("near", 3), ("below", -3)):
+        f = f.unionByName(_rows(spark, {"s": [(y, y + shift) for y in actual]}, name))
+    b = M.metric_bundle(f, _past(spark, {"s": [1, 2, 4, 7]}), _weights(spark, s=1))
+    first = b.where("model = 'near'").first()
+    assert first["n_series"] == 1.0 and first["wmape"] == pytest.approx(0.1) and first["bias"] == pytest.approx(3.0)
+    board = M.leaderboard(b)
+    assert {r["model"]: r["rank"] for r in board.collect()} == {"near": 1, "below": 1, "far": 3}
+    assert board.columns == ["model", *M.LEADERBOARD_METRICS, "rank"]
 
-def test_wrmsse_no_defined_series_raises(spark):
-    f = _fc(spark, [1], [2], sid="F")
-    w = spark.createDataFrame([("F", 1.0)], "series_id string, weight double")
-    with pytest.raises(Exception, match="no series with a defined RMSSE"):
-        M.wrmsse(M.rmsse(f, _hist(spark, [3, 3, 3], "F")), w).collect()
 
-
-def test_bundle_includes_all_metric_keys(spark):
-    f = _fc(spark, [10, 11], [10, 11], p10=[9, 10], p90=[11, 12])
-    w = spark.createDataFrame([("A", 5.0)], "series_id string, weight double")
-    b = M.metric_bundle(f, _hist(spark, [1, 2, 3, 4]), w).first().asDict()
-    for key in ["wmape", "wrmsse", "bias", "pinball_p10", "pinball_p50", "pinball_p90", "n_series"]:
-        assert key in b
-    assert b["wmape"] == 0.0 and b["n_series"] == 1.0
-
-
-def test_leaderboard_ranks_by_wmape(spark):
-    f = _fc(spark, [10, 20], [12, 18], model="a", p10=[1, 1], p90=[30, 30]).unionByName(
-        _fc(spark, [10, 20], [10, 20], model="b", p10=[1, 1], p90=[30, 30])
-    )
-    w = spark.createDataFrame([("A", 1.0)], "series_id string, weight double")
-    lb = M.leaderboard(M.metric_bundle(f, _hist(spark, [1, 2, 3, 4]), w))
-    ranks = {r["model"]: r["rank"] for r in lb.collect()}
-    assert ranks == {"b": 1, "a": 2}
-    assert "n_series" not in lb.columns
+def test_unscorable_rows_are_counted_or_make_the_metrics_null(spark):
+    rows = [("a", 0, 4.0, 2.0), ("a", 1, 6.0, 5.0), ("a", 2, 8.0, None), ("a", 3, 9.0, 7.0)]
+    fm = spark.createDataFrame(rows, "series_id string, ds int, y double, p double").withColumn("w", F.lit(1.0))
+    models = {"m": {0.1: "p", 0.5: "p", 0.9: "p"}}
+    got = M.score_feature_forecasts(fm, F.lit(2), models, "w", unscorable="count").first()
+    assert got["n_unscored"] == 1 and got["wmape"] == pytest.approx(2 / 9)
+    strict = M.score_feature_forecasts(fm, F.lit(2), models, "w", on_undefined="null").first()
+    assert strict["wmape"] is None
 
 
 # --- property test: pooled metrics equal the numpy definitions ---------------

@@ -19,21 +19,21 @@ from hindcast.operators.features import build_feature_matrix, prepare_panel
 from hindcast.operators.split import panel_cutoff
 from hindcast.plans.comparison import run_comparison, univariate_baseline
 from hindcast.sources.sinks import load_quantile_model, save_quantile_model
-from tests.helpers import to_spark, two_series_panel, two_series_spec
+from tests.helpers import shop_panel, shop_spec, to_spark
 
 FAST = BoostParams(n_rounds=4, learning_rate=0.3, max_depth=3, min_instances_per_node=5, checkpoint_every=2)
 
 
 def _noisy_panel(n=60):
-    pdf = two_series_panel(n)
+    pdf = shop_panel(n)
     rng = np.random.default_rng(0)
-    pdf["AveragePrice"] = pdf["AveragePrice"] + rng.normal(0, 2, len(pdf))
+    pdf["sales"] = pdf["sales"] + rng.normal(0, 2, len(pdf))
     return pdf
 
 
 @pytest.fixture(scope="module")
 def fitted(spark):
-    spec = two_series_spec(horizon=6)
+    spec = shop_spec(horizon=6)
     d = prepare_panel(to_spark(spark, _noisy_panel()), spec).cache()
     c = panel_cutoff(d, spec.horizon)
     fm, fspec = build_feature_matrix(d, spec, prepared=True)
@@ -79,12 +79,12 @@ def test_same_seed_same_model(spark, fitted):
 
 
 def test_features_do_not_leak_future_targets(spark):
-    spec = two_series_spec()
-    pdf = two_series_panel(30)
+    spec = shop_spec()
+    pdf = shop_panel(30)
     fm1, fs = build_feature_matrix(to_spark(spark, pdf), spec)
     pdf2 = pdf.copy()
-    cut = pdf2["Date"].sort_values().unique()[20]
-    pdf2.loc[pdf2["Date"] >= cut, "AveragePrice"] += 1000.0
+    cut = pdf2["week"].sort_values().unique()[20]
+    pdf2.loc[pdf2["week"] >= cut, "sales"] += 1000.0
     fm2, _ = build_feature_matrix(to_spark(spark, pdf2), spec)
     cols = ["series_id", "ds", *fs.numeric]
     a = fm1.select(*cols).where(F.col("ds") <= F.lit(cut.date())).toPandas().sort_values(["series_id", "ds"])
@@ -117,7 +117,7 @@ def test_model_save_load_roundtrip(spark, fitted, tmp_path):
 
 
 def test_additive_forecast_per_series(spark):
-    spec = two_series_spec(horizon=6)
+    spec = shop_spec(horizon=6)
     d = prepare_panel(to_spark(spark, _noisy_panel()), spec)
     fc = additive_forecast(d, spec, AdditiveParams()).toPandas()
     assert (fc.groupby("series_id").size() == 6).all()
@@ -128,16 +128,16 @@ def test_additive_forecast_per_series(spark):
 
 
 def test_additive_skips_short_series(spark):
-    pdf = two_series_panel(20)
-    pdf = pdf[~((pdf["region"] == "B") & (pdf["Date"] < pdf["Date"].max()))]  # B: one row, in the test window
-    spec = two_series_spec(horizon=3)
+    pdf = shop_panel(20)
+    pdf = pdf[~((pdf["shop"] == "market") & (pdf["week"] < pdf["week"].max()))]  # market: one row, in the test window
+    spec = shop_spec(horizon=3)
     fc = additive_forecast(prepare_panel(to_spark(spark, pdf), spec), spec).toPandas()
-    assert set(fc["series_id"]) == {"A|conventional"}
+    assert set(fc["series_id"]) == {"harbour|till"}
 
 
 def test_univariate_baseline(spark):
-    pdf = two_series_panel(40)
-    spec = two_series_spec(horizon=12, default_series={"region": "A", "type": "conventional"})
+    pdf = shop_panel(40)
+    spec = shop_spec(horizon=12, default_series={"shop": "harbour", "channel": "till"})
     metrics, table = univariate_baseline(to_spark(spark, pdf), spec)
     m = metrics.first()
     assert 0 <= m["wmape"] < 1.0 and m["bias"] is not None
@@ -145,7 +145,7 @@ def test_univariate_baseline(spark):
 
 
 def test_comparison_leaderboard(spark, tmp_path):
-    spec = two_series_spec(horizon=6)
+    spec = shop_spec(horizon=6)
     runs = str(tmp_path / "runs")
     res = run_comparison(to_spark(spark, _noisy_panel()), spec, FAST, AdditiveParams(), runs_path=runs)
     kinds = {r["kind"] for r in spark.read.parquet(runs).collect()}
@@ -160,7 +160,7 @@ def test_comparison_leaderboard(spark, tmp_path):
 def test_spark_prediction_equals_numpy_design(spark):
     from hindcast.models.additive import _design, fit_additive, predict_additive
 
-    spec = two_series_spec(horizon=6)
+    spec = shop_spec(horizon=6)
     params = AdditiveParams(weekly_seasonality=True)
     d = prepare_panel(to_spark(spark, _noisy_panel()), spec)
     coefs = fit_additive(d, spec, params)
@@ -178,17 +178,17 @@ def test_spark_prediction_equals_numpy_design(spark):
 
 
 def test_exogenous_hold_mode_uses_last_training_value(spark):
-    spec = two_series_spec(horizon=4, exogenous_mode="hold")
-    pdf = two_series_panel(20)
+    spec = shop_spec(horizon=4, exogenous_mode="hold")
+    pdf = shop_panel(20)
     d = prepare_panel(to_spark(spark, pdf), spec)
     c = panel_cutoff(d, spec.horizon)
     t = trimmed_history(d, spec, c).toPandas().sort_values(["series_id", "ds"])
     for _, g in t.groupby("series_id"):
         train = g[g["y"].notna()]
         test = g[g["y"].isna()]
-        assert (test["Total Volume"] == train["Total Volume"].iloc[-1]).all()
-    known = trimmed_history(d, two_series_spec(horizon=4), c).toPandas()
-    assert known["Total Volume"].nunique() > t["Total Volume"].nunique()
+        assert (test["foot traffic"] == train["foot traffic"].iloc[-1]).all()
+    known = trimmed_history(d, shop_spec(horizon=4), c).toPandas()
+    assert known["foot traffic"].nunique() > t["foot traffic"].nunique()
 
 
 def test_high_cardinality_ids_are_target_encoded_and_saved(spark, tmp_path):
@@ -199,20 +199,20 @@ def test_high_cardinality_ids_are_target_encoded_and_saved(spark, tmp_path):
         frames.append(
             pd.DataFrame(
                 {
-                    "Date": pd.date_range("2020-01-05", periods=n, freq="W"),
-                    "AveragePrice": 10.0 * k + np.arange(n) + rng.normal(0, 1, n),
-                    "region": f"r{k}",
-                    "type": "t",
+                    "week": pd.date_range("2020-01-05", periods=n, freq="W"),
+                    "sales": 10.0 * k + np.arange(n) + rng.normal(0, 1, n),
+                    "shop": f"r{k}",
+                    "channel": "t",
                 }
             )
         )
     pdf = pd.concat(frames, ignore_index=True)
-    spec = two_series_spec(exogenous_cols=(), horizon=3, lags=(1,), rolling_windows=(2,), fourier=())
+    spec = shop_spec(exogenous_cols=(), horizon=3, lags=(1,), rolling_windows=(2,), fourier=())
     d = prepare_panel(to_spark(spark, pdf), spec)
     c = panel_cutoff(d, spec.horizon)
     fm, fs = build_feature_matrix(d, spec, prepared=True)
     model = fit_quantile_models(fm.where(F.col("ds") < c), fs, params=FAST)
-    assert model.design.encoded == ["region"] and model.design.indexed == ["type"]
+    assert model.design.encoded == ["shop"] and model.design.indexed == ["channel"]
     path = str(tmp_path / "m")
     save_quantile_model(spark, model, path)
     back = load_quantile_model(spark, path)
@@ -225,12 +225,12 @@ def test_high_cardinality_ids_are_target_encoded_and_saved(spark, tmp_path):
 def test_forecast_future_from_stored_coefficients(spark, tmp_path):
     from hindcast.models.additive import fit_additive, forecast_future
 
-    spec = two_series_spec(horizon=5)
+    spec = shop_spec(horizon=5)
     d = prepare_panel(to_spark(spark, _noisy_panel()), spec)
     path = str(tmp_path / "coefs")
     fit_additive(d, spec).write.parquet(path)
-    req = spark.createDataFrame([("A|conventional",)], "series_id string")
+    req = spark.createDataFrame([("harbour|till",)], "series_id string")
     fc = forecast_future(d, spark.read.parquet(path), spec, requested=req).orderBy("ds").collect()
-    last = d.where(F.col("series_id") == "A|conventional").agg(F.max("ds")).first()[0]
+    last = d.where(F.col("series_id") == "harbour|till").agg(F.max("ds")).first()[0]
     assert [(r["ds"] - last).days for r in fc] == [7, 14, 21, 28, 35]
     assert all(r["lower"] <= r["point"] <= r["upper"] for r in fc)

@@ -15,7 +15,7 @@ def test_presets_load():
 
 
 def test_unknown_preset_raises():
-    with pytest.raises(FileNotFoundError, match="Available"):
+    with pytest.raises(FileNotFoundError, match="choose one of"):
         load_preset("nope")
 
 

@@ -42,7 +42,7 @@ def psi(reference: DataFrame, current: DataFrame, features: Sequence[str], bins:
     return psi_flagged(both, "__ref", cols, bins)
 
 
-def psi_flagged(df: DataFrame, is_ref: str, features: Sequence[str], bins: int = 10, edges: str = "uniform") -> DataFrame:
+def psi_flagged(df: DataFrame, is_ref: str, features: Sequence[str], bins: int = 10, edges: str = "uniform", accuracy: int = 100_000) -> DataFrame:
     """PSI where one frame holds both windows (``is_ref`` marks the reference
     rows). Two passes over the frame and no join: one wide aggregate gives the
     bucket edges of all features as a single row, read as a scalar; then each
@@ -51,7 +51,8 @@ def psi_flagged(df: DataFrame, is_ref: str, features: Sequence[str], bins: int =
 
     ``edges='uniform'``: equal-width buckets over the reference min..max.
     ``edges='quantile'``: edges at the reference deciles (for ``bins=10``)
-    from ``percentile_approx`` -- a bounded sketch per feature -- and a value
+    from ``percentile_approx`` -- a sketch per feature bounded by
+    ``accuracy`` -- and a value
     falls in the bucket given by the number of edges below it. A feature
     without reference values has no row."""
     vals = {f: F.col(f).cast("double") for f in features}
@@ -62,7 +63,7 @@ def psi_flagged(df: DataFrame, is_ref: str, features: Sequence[str], bins: int =
         probs = [i / bins for i in range(1, bins)]
 
         def cuts(v: Column) -> Column:
-            return F.percentile_approx(v, probs, 10000)
+            return F.percentile_approx(v, probs, accuracy)
     else:
         raise ValueError("edges must be 'uniform' or 'quantile'")
     row = df.agg(F.array(*[cuts(F.when(F.col(is_ref), v)) for v in vals.values()]).alias("cuts")).scalar()
@@ -98,8 +99,10 @@ def psi_status(psi_df: DataFrame) -> DataFrame:
 # --- X2: residual distribution over time --------------------------------------
 
 
-def residual_drift(forecasts: DataFrame, period: str = "month", approx_quantiles: bool = False) -> DataFrame:
-    """Residual ``p50 - y_true`` summarised per model and period."""
+def residual_drift(forecasts: DataFrame, period: str = "month", quantiles: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Residual ``p50 - y_true`` summarised per model and period, with its
+    quantiles from a bounded sketch (exact for groups of up to 10,000 rows).
+    ``n_unscored`` counts rows without forecast or actual value."""
     r = forecasts.select(
         "model",
         F.to_date(F.date_trunc(period, F.col("ds").cast("timestamp"))).alias("period"),
@@ -112,8 +115,8 @@ def residual_drift(forecasts: DataFrame, period: str = "month", approx_quantiles
         F.min("residual").alias("min_residual"),
         F.max("residual").alias("max_residual"),
     ]
-    if approx_quantiles:
-        aggs.append(F.percentile_approx("residual", [0.1, 0.5, 0.9], 10000).alias("residual_q"))
+    aggs += [F.percentile_approx("residual", q, 20000).alias(f"residual_p{round(q * 100):02d}") for q in quantiles]
+    aggs.append(F.count(F.when(F.col("residual").isNull(), 1)).alias("n_unscored"))
     return r.groupBy("model", "period").agg(*aggs)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.models.additive import AdditiveParams, additive_forecast, fit_additive, predict_additive
@@ -15,7 +15,7 @@ from hindcast.operators import metrics as M
 from hindcast.operators.features import build_feature_matrix, prepare_panel
 from hindcast.operators.profile import column_profile
 from hindcast.operators.select import check_unique, select_series, to_ds_y
-from hindcast.operators.split import first_n_series, panel_cutoff
+from hindcast.operators.split import first_n_series, panel_cutoff, tail_part
 from hindcast.session import cut_lineage
 from hindcast.spec import DEFAULT_QUANTILES, PanelSpec
 
@@ -99,15 +99,11 @@ def univariate_baseline(
     scored with WMAPE and bias. Returns (metrics, forecast-vs-actual table)."""
     p = params or AdditiveParams(weekly_seasonality=True)
     one = to_ds_y(select_series(df, spec, selectors), spec).withColumn("series_id", F.lit(spec.name))
-    H = spec.horizon
-    w = Window.partitionBy("series_id").orderBy(F.col("ds").desc())
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    tagged = one.withColumn("__rn", F.row_number().over(w)).withColumn(
-        "__n",
-        F.when(n <= F.lit(H), F.raise_error(F.lit(f"series has too few rows for horizon {H}"))).otherwise(n),
-    )
+    one = cut_lineage(one)  # one row per date: the panel is scanned once, with the selection pushed into it
+    if one.isEmpty():
+        raise ValueError(f"dataset {spec.name!r} has no rows for the selected series")
     # the tail split defines the cutoff: the earliest of the last H dates
-    cutoff = tagged.where(F.col("__rn") <= F.lit(H)).agg(F.min(F.when(F.col("__n") > 0, F.col("ds")))).scalar()
+    cutoff = tail_part(one, spec.horizon).where(F.col("part") == "test").agg(F.min("ds")).scalar()
     fc = additive_forecast(one.select("series_id", "ds", "y"), spec, p, cutoff, "additive_univariate")
     table = fc.select("ds", "y_true", F.col("p50").alias("y_pred"))
     metrics = fc.groupBy("model").agg(

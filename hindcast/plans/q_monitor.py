@@ -151,7 +151,7 @@ def q_psi(spark, sf_dir):
 
 def _psi_quantile_sql(bins: int = 10) -> str:
     """As :func:`_psi_sql`, with edges at the exact reference deciles (the
-    sketch is exact for up to its accuracy of 10,000 reference values)."""
+    sketch is exact while the reference has fewer values than its accuracy)."""
     probs = ", ".join(str(i / bins) for i in range(1, bins))
     uniform = _psi_sql(bins)
     head, rest = uniform[: uniform.index("rng AS (")], uniform[uniform.index("cnt AS (") :]
@@ -200,6 +200,9 @@ def q_psi_status(spark, sf_dir):
 # --- X2: residual drift -----------------------------------------------------------
 
 
+_RESIDUAL = ["mean_residual", "std_residual", "min_residual", "max_residual", "residual_p10", "residual_p50", "residual_p90"]
+
+
 @register(
     "residual_drift",
     ("X2",),
@@ -207,16 +210,19 @@ def q_psi_status(spark, sf_dir):
         FEAT1
         + """SELECT 'roll4' AS model, CAST(date_trunc('month', ds) AS DATE) AS period, count(roll_mean_4 - y) AS n,
        avg(roll_mean_4 - y) AS mean_residual, stddev_samp(roll_mean_4 - y) AS std_residual,
-       min(roll_mean_4 - y) AS min_residual, max(roll_mean_4 - y) AS max_residual
-FROM feat WHERE roll_mean_4 IS NOT NULL GROUP BY ALL""",
-        ["mean_residual", "std_residual", "min_residual", "max_residual"],
-        ["model", "period", "n"],
+       min(roll_mean_4 - y) AS min_residual, max(roll_mean_4 - y) AS max_residual,
+       quantile_disc(roll_mean_4 - y, 0.1) AS residual_p10, quantile_disc(roll_mean_4 - y, 0.5) AS residual_p50,
+       quantile_disc(roll_mean_4 - y, 0.9) AS residual_p90,
+       count(*) - count(roll_mean_4 - y) AS n_unscored
+FROM feat GROUP BY ALL""",
+        _RESIDUAL,
+        ["model", "period", "n", "n_unscored"],
     ),
-    note="monthly residual distribution of the one-step rolling-mean forecast",
+    note="monthly residual distribution of the one-step rolling-mean forecast; weeks without one are counted",
 )
 def q_residual_drift(spark, sf_dir):
     fm, _, _ = _p1_features(spark, sf_dir)
-    scored = fm.where(F.col("roll_mean_4").isNotNull()).select(
+    scored = fm.select(
         F.lit("roll4").alias("model"), "series_id", "ds", F.col("y").alias("y_true"), F.col("roll_mean_4").alias("p50")
     )
     return MON.residual_drift(scored)

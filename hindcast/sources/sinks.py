@@ -127,16 +127,14 @@ def load_quantile_model(spark: SparkSession, path: str) -> QuantileBoostModel:
     from hindcast.models.design import Design
 
     inputs = [r["input"] for r in spark.read.parquet(f"{path}/inputs").orderBy("position").collect()]
-    lab_rows = spark.read.parquet(f"{path}/labels").orderBy("column", "index").collect()
-    indexed: list[str] = []
-    labels: list[list[str]] = []
-    for r in lab_rows:
-        if not indexed or indexed[-1] != r["column"]:
-            indexed.append(r["column"])
-            labels.append([])
-        labels[-1].append(r["label"])
+    # the order of the inputs is the numbering that the trees split on
+    indexed = [c.removesuffix("__idx") for c in inputs if c.endswith("__idx")]
+    by_column: dict[str, list[str]] = {c: [] for c in indexed}
+    for r in spark.read.parquet(f"{path}/labels").orderBy("column", "index").collect():
+        by_column[r["column"]].append(r["label"])
+    labels = [by_column[c] for c in indexed]
     numeric = [c for c in inputs if not c.endswith("__idx") and not c.endswith("__te")]
-    encoded = [r["column"] for r in spark.read.parquet(f"{path}/encoded").collect()]
+    encoded = [c.removesuffix("__te") for c in inputs if c.endswith("__te")]
     encodings = {c: spark.read.parquet(f"{path}/encoding/{c}") for c in encoded}
     design = Design(numeric=numeric, indexed=indexed, labels=labels, encoded=encoded, encodings=encodings)
     kv = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/params").collect()}

@@ -241,9 +241,10 @@ def prediction_histogram(requests: DataFrame, value: str, width: float, ts: str
 
 def shadow_arm(key: Column, percent: int = SHADOW_PERCENT, by_hash: bool = True) -> Column:
     """Deterministic routing: 'shadow' for ~``percent``% of keys.
-    ``by_hash`` uses xxhash64 (stable across runs, unlike rand);
+    ``by_hash`` uses the first 32 bits of the key's MD5 (stable across runs
+    and engines, unlike rand);
     ``by_hash=False`` uses the key's own modulus (integer keys)."""
-    k = F.xxhash64(key) if by_hash else key
+    k = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") if by_hash else key
     return F.when(F.pmod(k, F.lit(100)) < percent, F.lit("shadow")).otherwise(F.lit("primary"))
 
 

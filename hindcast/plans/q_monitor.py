@@ -406,7 +406,18 @@ def q_shadow_split(spark, sf_dir):
     return MON.shadow_compare(read_table(spark, sf_dir, "events"), "event_id", "value", by_hash=False)
 
 
-@register("shadow_split_hash", ("X10",), note="routing by xxhash64 of the request id")
+@register(
+    "shadow_split_hash",
+    ("X10",),
+    rounded(
+        """SELECT CASE WHEN CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10 THEN 'shadow' ELSE 'primary' END AS arm, count(*) AS n,
+       avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max
+FROM events GROUP BY 1""",
+        ["mean", "std", "min", "max"],
+        ["arm", "n"],
+    ),
+    note="routing by the MD5 of the request id",
+)
 def q_shadow_split_hash(spark, sf_dir):
     return MON.shadow_compare(read_table(spark, sf_dir, "events"), "event_id", "value", by_hash=True)
 

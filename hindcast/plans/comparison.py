@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.models.additive import AdditiveParams, additive_forecast, fit_additive, predict_additive
-from hindcast.models.quantile_boost import BoostParams
+from hindcast.models.quantile_boost import BoostParams, QuantileBoostModel
 from hindcast.models.recursive import recursive_forecast
 from hindcast.models.quantile_boost import fit_quantile_models
 from hindcast.operators import metrics as M
@@ -38,6 +38,7 @@ def run_comparison(
     quantiles=DEFAULT_QUANTILES,
     runs_path: str | None = None,
     leaderboard_path: str | None = None,
+    fitted: QuantileBoostModel | None = None,
 ) -> ComparisonResult:
     """K8: global quantile model (recursive) and local additive model scored
     on one harness. Both models are restricted to the same series (D7).
@@ -45,7 +46,11 @@ def run_comparison(
     The feature matrix is checkpointed once and serves both the fit and the
     feature profile (S6). With ``runs_path`` the comparison is appended to
     the run log (parent + one child run per model, S8); with
-    ``leaderboard_path`` the leaderboard is written (S7)."""
+    ``leaderboard_path`` the leaderboard is written (S7). ``fitted`` is a global
+    model that was fitted on this panel's training rows before; then ``boost``
+    and ``quantiles`` are those of that model."""
+    if fitted is not None:
+        boost, quantiles = fitted.params, fitted.quantiles
     d = cut_lineage(prepare_panel(df, spec))
     check_unique(d)  # T6: row-based lags need one row per (series, date)
     if max_series is not None:
@@ -54,7 +59,7 @@ def run_comparison(
     fm, fspec = build_feature_matrix(d, spec, prepared=True)
     fm = cut_lineage(fm)  # built once: fit and profile both read it
     profile = column_profile(fm, ["ds", "y", *fspec.numeric])
-    model = fit_quantile_models(fm.where(F.col("ds") < c), fspec, quantiles, boost)
+    model = fitted or fit_quantile_models(fm.where(F.col("ds") < c), fspec, quantiles, boost)
     fc_global = recursive_forecast(d, spec, model, c, "quantile_boost")
     coefs = cut_lineage(fit_additive(d.where(F.col("ds") < c), spec, additive))
     test = d.where(F.col("ds") >= c).select("series_id", "ds", F.col("y").alias("y_true"))

@@ -7,11 +7,12 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.models.quantile_boost import BoostParams, QuantileBoostModel
-from hindcast.models.tree_expr import Node
+from hindcast.models.design import Design
+from hindcast.models.quantile_boost import BoostParams, QuantileBoostModel, Tree
 
 RUNS_SCHEMA = "run_id string, parent_id string, model string, kind string, key string, value string, logged_at timestamp"
 
@@ -71,51 +72,29 @@ def append_runs(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-NODES_SCHEMA = (
-    "quantile double, round int, node int, leaf_id int, feature int, threshold double, "
-    "categories array<double>, left int, right int, value double"
+TREES_SCHEMA = (
+    "quantile double, round int, feature array<int>, threshold array<double>, cut array<int>, "
+    "missing_left array<boolean>, value array<double>"
 )
 
 
-def _flatten(node: Node, leaves: dict[int, float]):
-    out = []
-
-    def walk(n: Node) -> int:
-        i = len(out)
-        out.append(None)
-        if n.is_leaf:
-            out[i] = (i, n.leaf_id, None, None, None, None, None, float(leaves.get(n.leaf_id, 0.0)))
-            return i
-        l_ = walk(n.left)
-        r_ = walk(n.right)
-        out[i] = (i, None, n.feature, n.threshold, list(n.categories) if n.categories is not None else None, l_, r_, None)
-        return i
-
-    walk(node)
-    return out
-
-
 def save_quantile_model(spark: SparkSession, model: QuantileBoostModel, path: str) -> None:
-    """Every quantile's trees (node table), init values and the input
-    encoding. Bounded: rounds x 2 ** (max_depth + 1) nodes per quantile."""
-    rows = []
-    for q, trees in model.trees.items():
-        for r, (node, leaves) in enumerate(trees):
-            for rec in _flatten(node, leaves):
-                rows.append((float(q), r, *rec))
-    spark.createDataFrame(rows, NODES_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
+    """Every quantile's trees (one row per tree), start values and the
+    input encoding. Bounded: rounds x quantiles trees of 2 ** (max_depth + 1) nodes."""
+    rows = [
+        (float(q), r, t.feature.tolist(), t.threshold.tolist(), t.cut.tolist(), t.missing_left.tolist(), t.value.tolist())
+        for q, trees in model.trees.items()
+        for r, t in enumerate(trees)
+    ]
+    spark.createDataFrame(rows, TREES_SCHEMA).write.mode("overwrite").parquet(f"{path}/trees")
     meta = [(float(q), float(v)) for q, v in model.init.items()]
     spark.createDataFrame(meta, "quantile double, init double").write.mode("overwrite").parquet(f"{path}/init")
-    inputs = [(i, c) for i, c in enumerate(model.design.inputs)]
-    spark.createDataFrame(inputs, "position int, input string").write.mode("overwrite").parquet(f"{path}/inputs")
-    labels = [(c, i, lab) for c, labs in zip(model.design.indexed, model.design.labels) for i, lab in enumerate(labs)]
-    spark.createDataFrame(labels, "column string, index int, label string").write.mode("overwrite").parquet(
-        f"{path}/labels"
-    )
-    for c in model.design.encoded:  # target encodings (high-cardinality ids), written by executors
+    # the order of the inputs is the numbering that the trees split on
+    inputs = [(i, c, False) for i, c in enumerate(model.design.numeric)]
+    inputs += [(len(inputs) + i, c, True) for i, c in enumerate(model.design.encoded)]
+    spark.createDataFrame(inputs, "position int, input string, encoded boolean").write.mode("overwrite").parquet(f"{path}/inputs")
+    for c in model.design.encoded:  # target means, written by executors
         model.design.encodings[c].write.mode("overwrite").parquet(f"{path}/encoding/{c}")
-    enc = [(c,) for c in model.design.encoded]
-    spark.createDataFrame(enc, "column string").write.mode("overwrite").parquet(f"{path}/encoded")
     p = model.params
     spark.createDataFrame([(k, str(v)) for k, v in p.__dict__.items()], "key string, value string").write.mode(
         "overwrite"
@@ -123,39 +102,26 @@ def save_quantile_model(spark: SparkSession, model: QuantileBoostModel, path: st
 
 
 def load_quantile_model(spark: SparkSession, path: str) -> QuantileBoostModel:
-    """Inverse of :func:`save_quantile_model` (numeric and indexed inputs)."""
-    from hindcast.models.design import Design
-
-    inputs = [r["input"] for r in spark.read.parquet(f"{path}/inputs").orderBy("position").collect()]
-    # the order of the inputs is the numbering that the trees split on
-    indexed = [c.removesuffix("__idx") for c in inputs if c.endswith("__idx")]
-    by_column: dict[str, list[str]] = {c: [] for c in indexed}
-    for r in spark.read.parquet(f"{path}/labels").orderBy("column", "index").collect():
-        by_column[r["column"]].append(r["label"])
-    labels = [by_column[c] for c in indexed]
-    numeric = [c for c in inputs if not c.endswith("__idx") and not c.endswith("__te")]
-    encoded = [c.removesuffix("__te") for c in inputs if c.endswith("__te")]
+    """Inverse of :func:`save_quantile_model`."""
+    inputs = spark.read.parquet(f"{path}/inputs").orderBy("position").collect()
+    encoded = [r["input"] for r in inputs if r["encoded"]]
     encodings = {c: spark.read.parquet(f"{path}/encoding/{c}") for c in encoded}
-    design = Design(numeric=numeric, indexed=indexed, labels=labels, encoded=encoded, encodings=encodings)
+    design = Design(numeric=[r["input"] for r in inputs if not r["encoded"]], encoded=encoded, encodings=encodings)
     kv = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/params").collect()}
     defaults = BoostParams()
     params = BoostParams(**{k: type(getattr(defaults, k))(v) for k, v in kv.items()})
     init = {r["quantile"]: r["init"] for r in spark.read.parquet(f"{path}/init").collect()}
-    nodes = spark.read.parquet(f"{path}/nodes").orderBy("quantile", "round", "node").collect()
-    trees: dict[float, list] = {}
-    by_tree: dict[tuple[float, int], list] = {}
-    for r in nodes:
-        by_tree.setdefault((r["quantile"], r["round"]), []).append(r)
-    for (q, _r), recs in sorted(by_tree.items()):
-        def build(i: int) -> Node:
-            rec = recs[i]
-            if rec["leaf_id"] is not None:
-                return Node(leaf_id=rec["leaf_id"])
-            cats = tuple(rec["categories"]) if rec["categories"] is not None else None
-            return Node(feature=rec["feature"], threshold=rec["threshold"], categories=cats, left=build(rec["left"]), right=build(rec["right"]))
-
-        leaves = {rec["leaf_id"]: rec["value"] for rec in recs if rec["leaf_id"] is not None}
-        trees.setdefault(q, []).append((build(0), leaves))
+    trees: dict[float, list[Tree]] = {q: [] for q in init}
+    for r in spark.read.parquet(f"{path}/trees").orderBy("quantile", "round").collect():
+        trees[r["quantile"]].append(
+            Tree(
+                np.array(r["feature"], np.int16),
+                np.array(r["threshold"]),
+                np.array(r["cut"], np.uint8),
+                np.array(r["missing_left"], bool),
+                np.array(r["value"]),
+            )
+        )
     return QuantileBoostModel(tuple(sorted(init)), design, params, init, trees)
 
 

@@ -7,21 +7,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from hindcast.models.additive import AdditiveParams, additive_forecast
-from hindcast.models.quantile_boost import BoostParams, fit_quantile_models
+from hindcast.models.design import fit_design
+from hindcast.models.quantile_boost import BoostParams, Tree, _leaf_values, _splits, fit_quantile_models
 from hindcast.models.recursive import recursive_forecast, trimmed_history
-from hindcast.models.tree_expr import forest_root, leaf_id_expr, read_tree
 from hindcast.operators.features import build_feature_matrix, prepare_panel
 from hindcast.operators.split import panel_cutoff
 from hindcast.plans.comparison import run_comparison, univariate_baseline
 from hindcast.sources.sinks import load_quantile_model, save_quantile_model
+from hindcast.spec import FeatureSpec
 from tests.helpers import shop_panel, shop_spec, to_spark
 
-FAST = BoostParams(n_rounds=4, learning_rate=0.3, max_depth=3, min_instances_per_node=5, checkpoint_every=2)
+FAST = BoostParams(n_rounds=4, learning_rate=0.3, max_depth=3, min_instances_per_node=5, trees_per_round=2, refresh_every=1, checkpoint_every=2)
 
 
 def _noisy_panel(n=60):
@@ -75,7 +74,7 @@ def test_same_seed_same_model(spark, fitted):
     again = fit_quantile_models(fm.where(F.col("ds") < c), build_feature_matrix(d, spec, prepared=True)[1], params=FAST)
     assert again.init == model.init
     for q in model.quantiles:
-        assert [lv for _, lv in again.trees[q]] == [lv for _, lv in model.trees[q]]
+        assert [t.value.tolist() for t in again.trees[q]] == [t.value.tolist() for t in model.trees[q]]
 
 
 def test_features_do_not_leak_future_targets(spark):
@@ -92,17 +91,71 @@ def test_features_do_not_leak_future_targets(spark):
     pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True))
 
 
-def test_compiled_tree_matches_spark_leaves(spark):
-    rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"a": rng.normal(size=300), "b": rng.integers(0, 5, 300).astype(float)})
-    pdf["y"] = (pdf["a"] > 0.3) * 2.0 + pdf["b"]
-    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame(pdf))
-    m = RandomForestRegressor(labelCol="y", numTrees=1, bootstrap=False, maxDepth=3, leafCol="leaf", seed=3, featureSubsetStrategy="all").fit(df)
-    node = read_tree(forest_root(m))
-    out = m.transform(df).withColumn("mine", leaf_id_expr(node, ["a", "b"])).select("leaf", "mine", "prediction").collect()
-    pairs = {(float(r["leaf"][0]), r["mine"]) for r in out}
-    # the two leaf numberings are a bijection over the rows
-    assert len({p[0] for p in pairs}) == len(pairs) == len({p[1] for p in pairs})
+def test_partitioning_does_not_change_the_model(spark, fitted):
+    spec, d, c, fm, model = fitted
+    fspec = build_feature_matrix(d, spec, prepared=True)[1]
+    small = BoostParams(**{**FAST.__dict__, "rows_per_partition": 7})
+    again = fit_quantile_models(fm.where(F.col("ds") < c).repartition(5), fspec, params=small)
+    for q in model.quantiles:
+        for a, b in zip(again.trees[q], model.trees[q], strict=True):
+            assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+            np.testing.assert_allclose(a.threshold, b.threshold, rtol=1e-9)
+            np.testing.assert_allclose(a.value, b.value, rtol=1e-9)
+
+
+def test_split_is_the_best_of_all():
+    rng = np.random.default_rng(4)
+    bins, least, q = 6, 3, 0.3
+    x, up = rng.integers(0, bins, (80, 3)), rng.random(80) < 0.5
+    counts = np.zeros((1, 3, bins, 2), dtype=np.int64)
+    for j in range(3):
+        np.add.at(counts, (0, j, x[:, j], up.astype(int)), 1)
+    g = np.where(up, q, q - 1)
+    scores = {}
+    for j in range(3):
+        for b in range(bins - 1):
+            for right in (0, 1):
+                left = ((x[:, j] >= 1) & (x[:, j] <= b + 1)) | ((x[:, j] == 0) & (right == 0))
+                if least <= left.sum() <= len(x) - least:
+                    scores[0, j, b, right] = g[left].sum() ** 2 / left.sum() + g[~left].sum() ** 2 / (~left).sum()
+    (found,) = _splits(counts, q, least)
+    assert scores[found] == pytest.approx(max(scores.values()))
+
+
+def test_leaf_values_are_quantiles_within_the_accuracy():
+    from hindcast.models.quantile_boost import _residuals
+
+    acc, rng = 0.002, np.random.default_rng(5)
+    gamma = (1 + acc) / (1 - acc)
+    y = rng.normal(0, 50, 501)
+    x = np.where(np.arange(501) < 200, 1, 2).astype(np.uint8)[:, None]
+    t = Tree.empty(1)
+    t.cut[0] = 1
+    blocks = [(x[a : a + 100], y[a : a + 100], None, np.zeros((1, len(y[a : a + 100])))) for a in range(0, 501, 100)]
+    ((_, counted),) = _residuals(blocks, [], 0.1, [(0, t)], gamma)
+    got = _leaf_values(counted, 0.25, 2, gamma)
+    for leaf, part in enumerate((y[:200], y[200:])):
+        exact = np.sort(part)[int(np.ceil(0.25 * len(part))) - 1]
+        assert got[leaf] == pytest.approx(exact, rel=2 * acc)
+
+
+def test_category_means_leave_the_rows_own_fold_out(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"num": rng.normal(size=120), "cat": rng.choice(["a", "b"], 120), "y": rng.normal(size=120)})
+    pdf.loc[0, "cat"] = "alone"
+    design, rows = fit_design(spark.createDataFrame(pdf), FeatureSpec(numeric=["num"], categorical=["cat"]))
+    got = rows.withColumn("fold", F.pmod("__row", F.lit(5))).toPandas().merge(pdf, on="num")
+    assert len(got) == 120
+    for r in got.itertuples():
+        others = got[(got["cat"] == r.cat) & (got["fold"] != r.fold)]["y_y"]
+        assert (np.isnan(r.cat__te) and others.empty) or r.cat__te == pytest.approx(others.mean())
+    whole = {r["cat"]: r["cat__te"] for r in design.encodings["cat"].collect()}
+    assert whole["a"] == pytest.approx(pdf[pdf["cat"] == "a"]["y"].mean())
+
+
+def test_listed_input_that_is_absent_is_an_error(spark):
+    with pytest.raises(ValueError, match="not in the feature matrix"):
+        fit_design(spark.createDataFrame([(1.0, 2.0)], "num double, y double"), FeatureSpec(numeric=["num"], categorical=["cat"]))
 
 
 def test_model_save_load_roundtrip(spark, fitted, tmp_path):
@@ -212,7 +265,7 @@ def test_high_cardinality_ids_are_target_encoded_and_saved(spark, tmp_path):
     c = panel_cutoff(d, spec.horizon)
     fm, fs = build_feature_matrix(d, spec, prepared=True)
     model = fit_quantile_models(fm.where(F.col("ds") < c), fs, params=FAST)
-    assert model.design.encoded == ["shop"] and model.design.indexed == ["channel"]
+    assert model.design.encoded == ["shop", "channel"]
     path = str(tmp_path / "m")
     save_quantile_model(spark, model, path)
     back = load_quantile_model(spark, path)

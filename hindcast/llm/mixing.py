@@ -1,7 +1,9 @@
 """Mixing sources to target weights with a multivariate-hypergeometric
 splitting tree.
 
-Every source's documents fall into blocks by a hash. A source whose target is
+Every source's documents fall into blocks by a hash, the more of them the
+larger the source is, so that a block stays a small part of an output shard and
+each shard gets many draws at any size. A source whose target is
 ``q`` times its size draws each block ``floor(q)`` times and, in a permuted
 order of blocks, once more until the rest is reached; the block in which that
 happens gives the documents of a permuted order up to the point nearest the
@@ -13,8 +15,10 @@ are then cut into runs of those lengths, which are disjoint, and every shard
 is shuffled on its own. A node's random numbers depend on the seed and the
 node alone, so each leaf walks its path from the root without the others.
 
-Tables the size of ``sources x blocks`` describe the whole plan; documents are
-touched once to sum their sizes and once to look their block up.
+A table of a row per block describes the whole plan. It grows with the words,
+so nothing orders a source's blocks in one task, and beyond ``broadcast_rows``
+it is joined by key. Texts are read once for sizes and hashes and once to look
+their block up.
 """
 
 from __future__ import annotations
@@ -37,8 +41,9 @@ class MixParams:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)  # of the sources by code point, null last, repeating
     share: float = 1.5  # of all sizes
     most: float = 2.0  # times its size that a source may give
-    blocks: int = 1024  # of a source
+    blocks: int = 1024  # of a source, at least
     shard_size: int = 1 << 20  # words of an output shard
+    shard_draws: int = 256  # blocks that a shard holds: sources are cut finer where theirs would be larger
     seed: int = 29
     #: block tables of up to so many rows are broadcast; larger ones are joined by key
     broadcast_rows: int = 500_000
@@ -76,9 +81,16 @@ def source_targets(sizes: DataFrame, params: MixParams = MixParams()) -> DataFra
 
 
 def shard_quotas(draws: np.ndarray, shards: int, shard: int, seed: int) -> np.ndarray:
-    """Draws of every source that go to ``shard``: the walk from the root of
-    the splitting tree to that leaf."""
+    """Draws of every source that go to ``shard``."""
+    return shard_runs(draws, shards, shard, seed)[1]
+
+
+def shard_runs(draws: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every source, the draws that go to shards before ``shard`` and those
+    that go to it: the walk from the root of the splitting tree to that leaf.
+    numpy raises an error from 10^9 draws on."""
     left = draws.astype(np.int64)
+    before = np.zeros_like(left)
     lo, hi = 0, shards
     total = int(left.sum())
 
@@ -93,8 +105,8 @@ def shard_quotas(draws: np.ndarray, shards: int, shard: int, seed: int) -> np.nd
         if shard < mid:
             left, hi = part, mid
         else:
-            left, lo = left - part, mid
-    return left
+            left, lo, before = left - part, mid, before + part
+    return before, left
 
 
 def _hypergeometric(colours: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
@@ -119,23 +131,35 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     keep = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "places")]
     base = docs.select(*columns_of(keep))
     h = F.xxhash64(F.lit(p.seed), F.col(id_col), F.col(text_col))
-    src, hash_, block = (free_name(base, n) for n in ("mix_source", "mix_hash", "mix_block"))
+    src, hash_, cuts_, block = (free_name(base, n) for n in ("mix_source", "mix_hash", "mix_blocks", "mix_block"))
     sized = base.withColumn("size", word_count(F.col(text_col))).withColumn(src, F.col(source_col).cast("string"))
-    sized = sized.withColumn(hash_, h).withColumn(block, F.pmod(F.col(hash_), F.lit(p.blocks)).cast("int"))
+    sized = sized.withColumn(hash_, h)
 
-    narrow = sized.select(F.col(src).alias("source"), F.col(block).alias("block"), F.col(hash_).alias("h"), "size")
-    # sources x blocks rows
-    blocks = materialize(narrow.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "blocks")
-    targets = source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), p)
+    # a short row per document
+    narrow = materialize(sized.select(F.col(src).alias("source"), F.col(hash_).alias("h"), "size"), "sizes")
+    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), p)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("copies", F.least(copies, F.lit(int(p.most))).cast("int"))
     targets = targets.withColumn("rest", F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0)))
-    targets = materialize(targets, "targets")
+    finer = F.ceil(F.col("source_size") / F.lit(max(1, p.shard_size // p.shard_draws)))
+    targets = materialize(targets.withColumn("cuts", F.greatest(finer, F.lit(p.blocks)).cast("long")), "targets")
+
+    # few sources are large enough for more blocks than all have at least
+    large = _small(targets.filter(F.col("cuts") > p.blocks).select(F.col("source").alias("large_source"), "cuts"), p)
+
+    def block_of(rows: DataFrame, source: str, hashed: str, cuts: str, name: str) -> DataFrame:
+        fine = large.withColumnsRenamed({"large_source": free_name(rows, "large_source"), "cuts": cuts})
+        out = rows.join(fine, rows[source].eqNullSafe(fine[fine.columns[0]]), "left").drop(fine.columns[0])
+        return out.withColumn(name, F.pmod(F.col(hashed), F.coalesce(F.col(cuts), F.lit(p.blocks).cast("long")))).drop(cuts)
+
+    sized = block_of(sized, src, hash_, cuts_, block)
+    narrow = block_of(narrow, "source", "h", "cuts", "block")
+    blocks = materialize(narrow.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "blocks")
 
-    order = Window.partitionBy("source").orderBy("turn", "block")
-    drawn = blocks.join(targets, blocks["source"].eqNullSafe(targets["source"])).select(blocks["source"], "block", "words", "source_size", "target", "copies", "rest")
+    each = _small(targets, p).withColumnRenamed("source", "s")
+    drawn = blocks.join(each, blocks["source"].eqNullSafe(each["s"])).select("source", "block", "words", "source_size", "target", "copies", "rest", "cuts")
     drawn = drawn.withColumn("turn", F.xxhash64(F.lit(p.seed + 1), "source", "block"))
-    drawn = drawn.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    drawn = _running(drawn, F.col("words"), "upto", "block")
     drawn = drawn.withColumn("before", F.col("upto") - F.col("words"))
     whole = (F.col("rest") > 0) & (F.col("upto") <= F.col("rest"))
     cut_here = ~whole & (F.col("before") < F.col("rest"))
@@ -143,9 +167,9 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     drawn = materialize(drawn, "drawn")
 
     # the one block of a source that gives a part: documents in hash order up to the point nearest the target
-    cuts = drawn.filter(F.col("open").isNotNull()).select("source", "block", "open")
-    inside = narrow.join(_small(cuts, spark, p, blocks), narrow["source"].eqNullSafe(cuts["source"]) & (narrow["block"] == cuts["block"]))
-    inside = inside.select(narrow["source"], narrow["block"], "h", "size", "open")
+    ends = _small(drawn.filter(F.col("open").isNotNull()).select(F.col("source").alias("s"), F.col("block").alias("b"), "open"), p)
+    inside = narrow.join(ends, narrow["source"].eqNullSafe(ends["s"]) & (narrow["block"] == ends["b"]))
+    inside = inside.select("source", "block", "h", "size", "open")
     run = Window.partitionBy("source", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.sum("size").over(run))
     fits = F.col("upto") - F.col("size") / 2.0 <= F.col("open")
@@ -154,10 +178,10 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     # each drawn block, once per copy, gets its place among its source's permuted draws
     extra = F.when(F.col("whole") | F.col("open").isNotNull(), 1).otherwise(0)
     times = drawn.withColumn("times", F.col("copies") + extra).filter("times > 0")
-    times = times.select("source", "block", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
-    turn = F.xxhash64(F.lit(p.seed + 2), "source", "block", "copy")
-    times = times.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(turn, "block", "copy")) - 1)
-    times = materialize(times, "draws")
+    times = times.select("source", "block", "cuts", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    times = times.withColumn("turn", F.xxhash64(F.lit(p.seed + 2), "source", "block", "copy"))
+    times = _running(times, F.lit(1).cast("long"), "rank", "block", "copy")
+    times = materialize(times.select("source", "block", "copy", (F.col("rank") - 1).alias("rank")), "draws")
 
     counts = times.groupBy("source").agg(F.count("*").alias("draws")).orderBy("source").collect()  # a row per source
     asked = targets.agg(F.sum("target")).first()[0] or 0.0
@@ -169,15 +193,13 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                quota = shard_quotas(draws, shards, shard, seed)
+                first, quota = shard_runs(draws, shards, shard, seed)
                 hit = np.flatnonzero(quota)
-                cols = [pa.array([shard] * len(hit), pa.int32()), pa.array([names[k] for k in hit], pa.string()), pa.array(quota[hit])]
-                yield pa.RecordBatch.from_arrays(cols, names=["shard", "source", "quota"])
+                cols = [pa.array([shard] * len(hit), pa.int32()), pa.array([names[k] for k in hit], pa.string()), pa.array(first[hit]), pa.array(quota[hit])]
+                yield pa.RecordBatch.from_arrays(cols, names=["shard", "s", "first", "quota"])
 
-    quotas = spark.range(shards).repartition(max(1, min(shards, 200))).mapInArrow(leaves, "shard int, source string, quota long")
-    past = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    quotas = quotas.withColumn("end", F.sum("quota").over(past))
-    runs = quotas.select(F.col("source").alias("s"), "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("r"))
+    quotas = spark.range(shards).repartition(max(1, min(shards, 200))).mapInArrow(leaves, "shard int, s string, first long, quota long")
+    runs = quotas.select("s", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("r"))
     dealt = times.join(runs, times["source"].eqNullSafe(runs["s"]) & (times["rank"] == runs["r"]))
     per_block = dealt.groupBy("source", "block").agg(F.collect_list(F.struct("copy", "shard")).alias("dealt"))
 
@@ -189,7 +211,7 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     plan = plan.withColumnsRenamed({"part": part, "last": cut, "dealt": deal, "copies": full})
     s, b = free_name(sized, "mix_s"), free_name(sized, "mix_b")
     plan = plan.withColumnsRenamed({"s": s, "b": b})
-    out = sized.join(_small(plan, spark, p, blocks), sized[src].eqNullSafe(plan[s]) & (sized[block] == plan[b]), "left")
+    out = sized.join(_small(plan, p), sized[src].eqNullSafe(plan[s]) & (sized[block] == plan[b]), "left")
     # a block's last copy is its partial one where it has one
     taken = F.filter(
         F.coalesce(F.col(deal), F.array().cast("array<struct<copy:int,shard:int>>")),
@@ -202,10 +224,24 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     return out.select(*columns_of(keep), "size", "source_size", "target", places.alias("places"))
 
 
-def _small(table: DataFrame, spark, p: MixParams, blocks: DataFrame) -> DataFrame:
-    """A table of at most ``sources x blocks`` rows, broadcast only if that
-    many are few."""
-    return F.broadcast(table) if blocks.count() <= p.broadcast_rows else table
+def _running(rows: DataFrame, value: Column, name: str, *ties: str) -> DataFrame:
+    """``rows`` with column ``name``: the sum of ``value`` over the rows of
+    their source up to them, in an order that the hash ``turn`` permutes. A
+    source's rows are ordered in piles, about the square root of its blocks
+    many, so that no task orders them all."""
+    rows = rows.withColumn("pile", F.pmod(F.col("turn"), F.ceil(F.sqrt(F.col("cuts"))))).withColumn("value", value)
+    piles = rows.groupBy("source", "pile").agg(F.sum("value").alias("held"))
+    upto = F.sum("held").over(Window.partitionBy("source").orderBy("pile"))
+    piles = piles.select(F.col("source").alias("s"), F.col("pile").alias("p"), (upto - F.col("held")).alias("past"))
+    run = Window.partitionBy("source", "pile").orderBy("turn", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(name, F.sum("value").over(run))
+    rows = rows.join(piles, rows["source"].eqNullSafe(piles["s"]) & (rows["pile"] == piles["p"]))
+    return rows.withColumn(name, F.col(name) + F.col("past")).drop("s", "p", "past", "pile", "value")
+
+
+def _small(table: DataFrame, p: MixParams) -> DataFrame:
+    """A table broadcast only if its rows are few."""
+    return F.broadcast(table) if table.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows else table
 
 
 def mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

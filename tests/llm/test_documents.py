@@ -324,3 +324,36 @@ def test_mixture_rows_follow_the_plan(spark, docs):
         times[(r["doc_id"], r["text"])] += len(r["places"])
     out = mixing.mixture(docs, p).collect()
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter({k: n for k, n in times.items() if n})
+
+
+def test_shards_are_mixed_whatever_the_size(spark):
+    """Many shards of sources with very different sizes: every shard holds every source, about as often as asked."""
+    from pyspark.sql import functions as F
+
+    names = F.array(*[F.lit(f"s{k}") for k in (0, 0, 0, 0, 1, 2, 3, 4)])
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.element_at(names, (F.col("id") % 8 + 1).cast("int")).alias("source"))
+    docs = docs.withColumn("text", F.concat(F.lit("a b c d e f g h i "), F.col("doc_id").cast("string"))).cache()
+    p = mixing.MixParams(shard_size=2000, blocks=4)
+    got = mixing.plan_mixture(docs, p).collect()
+    taken, want = Counter(), {r["source"]: r["target"] for r in got}
+    shards = defaultdict(Counter)
+    for r in got:
+        for place in r["places"]:
+            taken[r["source"]] += r["size"]
+            shards[place["shard"]][r["source"]] += r["size"]
+    assert all(abs(taken[s] - want[s]) <= 10 for s in want)
+    assert sorted(shards) == list(range(30)) and sum(want.values()) == pytest.approx(60000)
+    for held in shards.values():
+        assert set(held) == set(want) and 1500 <= sum(held.values()) <= 2500
+        assert all(want[s] / 30 / 4 <= held[s] <= want[s] / 30 * 3 for s in want)
+    # larger plans are joined by key
+    places = lambda rs: {r["doc_id"]: r["places"] for r in rs}
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        keyed = mixing.plan_mixture(docs, mixing.MixParams(shard_size=2000, blocks=4, broadcast_rows=0))
+        assert "Broadcast" not in keyed._jdf.queryExecution().sparkPlan().toString()
+        assert places(keyed.collect()) == places(got)
+    finally:
+        spark.conf.set(limit, before)

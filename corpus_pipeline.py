@@ -24,8 +24,13 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts that are null or have no
-    letter go. The automata are fitted on a bounded sample of labelled rows."""
-    told = identify(docs, labelled_sample(docs))
+    letter go. The automata are fitted on a bounded sample of labelled rows. If
+    no text with a letter has a label, no language can be told and the texts
+    with a letter stay."""
+    sample = labelled_sample(docs)
+    if not sample:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    told = identify(docs, sample)
     return told.filter(F.col("lang_pred") != UNDETERMINED).select(*columns_of(docs.columns))
 
 

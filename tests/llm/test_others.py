@@ -246,3 +246,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     check_packing(packed, [(r["doc_id"], plain_ids(r["text"])) for r in mixed])
     empty_docs(spark).write.parquet(f"{sf}/none/documents.parquet")
     assert cp.run(spark, f"{sf}/none").count() == 0
+
+
+def test_pipeline_keeps_unlabelled_documents(spark):
+    import corpus_pipeline as cp
+
+    docs = awkward_docs(spark).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    got = cp.language_id(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [r.asDict() for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert want and Counter(str(r.asDict()) for r in got.collect()) == Counter(map(str, want))

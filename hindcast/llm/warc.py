@@ -129,6 +129,18 @@ class _Records:
             out[last] = value.strip().decode("utf-8", "replace")
         return out
 
+    def http_headers(self, size: int) -> bytes:
+        """The front of a block of ``size`` bytes, read on in steps until it
+        holds the blank line after the HTTP headers or the block ends."""
+        front = bytearray()
+        while len(front) < size:
+            more = self.stream.read(min(size - len(front), max(8192, len(front))))
+            since = max(0, len(front) - 3)
+            front += more
+            if not more or front.find(b"\r\n\r\n", since) >= 0:
+                break
+        return bytes(front)
+
 
 def _split_http(block: bytes) -> tuple[int | None, bytes]:
     """Content-Length of the HTTP headers and what follows them."""
@@ -249,8 +261,8 @@ class WarcReader(DataSourceReader):
                             raise ValueError(f"{name}: record at {at} is cut off")
                         length, body = _split_http(body) if http else (None, body)
                     else:
-                        # HTTP headers are short; the payload behind them is passed over
-                        front = walk.stream.read(min(size, 8192)) if http else b""
+                        # the payload behind the HTTP headers is passed over
+                        front = walk.http_headers(size) if http else b""
                         length = _split_http(front)[0] if http else None
                         walk.pass_over(size - len(front))
                     row |= {"http_length": length, "payload": body, "file": name.rpartition("/")[2], "offset": at}

@@ -131,6 +131,29 @@ def test_warc_reader_passes_over_unwanted_payloads():
     assert not reader.wanted({"record_type": "response", "target_uri": None})
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+def test_warc_long_http_headers(tmp_path, zipped):
+    import gzip
+
+    blocks = []
+    # the blank line also falls across the ends of the steps in which headers are read
+    for pad in (10, *range(8120, 8130), *range(16310, 16320), 300_000):
+        blocks.append(b"HTTP/1.1 200 OK\r\nSet-Cookie: " + b"x" * pad + b"\r\nContent-Length: %d\r\n\r\n" % pad)
+    records = b"".join(
+        b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (kind, len(block + body)) + block + body + b"\r\n\r\n"
+        for block in blocks
+        for kind, body in ((b"revisit", b""), (b"response", b"y" * 20_000))
+    )
+    name = tmp_path / ("a.warc.gz" if zipped else "a.warc")
+    name.write_bytes(gzip.compress(records) if zipped else records)
+    fields = warc.T.StructType([warc.T.StructField(c, warc.T.StringType()) for c in ("record_type", "http_length")])
+    reader = warc.WarcReader(fields, {"path": str(tmp_path), "payload": "false"})
+    got = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    pads = [int(b.rpartition(b": ")[2]) for b in blocks]
+    assert [r["http_length"] for r in got] == [n for n in pads for _ in range(2)]
+    assert [r["record_type"] for r in got] == ["revisit", "response"] * len(pads)
+
+
 def test_warc_empty(spark):
     path = scratch_path(spark, "warc")
     warc.write_warc(warc.to_records(pages(spark).limit(0)), path)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import scratch_path
+from hindcast.llm import bitsliced, codebooks, fingerprints
+from hindcast.llm.common import materialize, scratch_path
 from hindcast.llm.langid import identify, labelled_sample
 from hindcast.llm.mixing import plan_mixture
 from hindcast.llm.one_bit import nearest
@@ -148,9 +149,11 @@ now AS (
   UNION ALL SELECT 'revised', lang, text || ' (revised)' FROM d WHERE turn IN ('2', '3')
 ),
 counts AS (
-  SELECT source, lang, 'words-1' AS tokenizer_version, len(regexp_extract_all(text, '[^ 	-]+')) AS n FROM now
+  SELECT source, lang, 'words-1' AS tokenizer_version, len(regexp_extract_all(text, '[^ 	-
+]+')) AS n FROM now
   UNION ALL
-  SELECT source, lang, 'words-2', len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ 	-]')) FROM now
+  SELECT source, lang, 'words-2', len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ 	-
+]')) FROM now
 )
 SELECT source, lang, tokenizer_version, count(*)::BIGINT AS documents, sum(n)::BIGINT AS tokens FROM counts GROUP BY ALL
 """
@@ -212,6 +215,82 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = codebooks.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    digest = made.codebooks.sha256() if made.codebooks else None
+    rows = made.rows.select("vec_id", "label", F.lower(F.hex("code")).alias("code"), "error")
+    summed = codebooks.sum_over_equal(materialize(rows, "codes"), "label", "error", "label_error")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(digest).cast("string").alias("codebooks_sha256"))
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS MATERIALIZED (SELECT r, p, e, sum((x - y) * (x - y)) AS d FROM l JOIN c{k} USING (p, j) GROUP BY r, p, e),
+a{k} AS MATERIALIZED (SELECT r, p, min(d * 16 + e) % 16 AS e, min(d * 16 + e) // 16 AS d FROM d{k} GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (SELECT p, e, j, sum(x) AS s, count(*) AS n FROM l JOIN a{k} USING (r, p) GROUP BY p, e, j),
+c{k + 1} AS MATERIALIZED (SELECT p, e, j, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{k} LEFT JOIN s{k} USING (p, e, j))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+u AS (SELECT r, unnest(embedding) AS c, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) // 8 AS width FROM v),
+l AS MATERIALIZED (SELECT r, i // width AS p, i % width AS j, floor(4096 * c::DOUBLE)::BIGINT AS x FROM u),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, j, x AS y FROM l WHERE r <= 16),{",".join(steps)},
+codes AS (SELECT r, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS digest FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+FROM v JOIN codes USING (r) CROSS JOIN book
+"""
+
+
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = bitsliced.build_index(table(spark, sf_dir, "documents"))
+    return bitsliced.search(index, table(spark, sf_dir, "benchmark"))
+
+
+_OP12 = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+),
+g AS (SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM d WHERE len(t) > 0),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 75 + (25 * len(t) * n_docs) // n_terms AS m FROM d, g),
+q AS (
+  SELECT i, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS i, item_id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL
+),
+s AS (
+  SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op13_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints and likenesses, and from the block tables ``n_near``
+    and ``near_id``: how many documents have a fingerprint within 3 of the
+    128 bits, and the smallest id among them (their own included)."""
+    judged = materialize(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")), "judged")
+    words, edited = fingerprints.word_names("fp", fingerprints.BITS), fingerprints.word_names("edited", fingerprints.BITS)
+    near = fingerprints.near_counts(judged, words)
+    return judged.join(near, words).select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.hex_of(words).alias("fingerprint"), fingerprints.hex_of(edited).alias("edited_fingerprint"),
+        "near_edited", "near_next", "n_near", "near_id",
+    )
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_url_filter": op1_url_filter,
     "op2_pivot_top_k": op2_pivot_top_k,
@@ -223,6 +302,9 @@ QUERIES: dict[str, QueryFn] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_files": op10_token_files,
+    "op11_code_compression": op11_code_compression,
+    "op12_bit_sliced_search": op12_bit_sliced_search,
+    "op13_simhash_fingerprints": op13_simhash_fingerprints,
 }
 
 SQL: dict[str, str] = {
@@ -230,4 +312,6 @@ SQL: dict[str, str] = {
     "op2_pivot_top_k": _OP2,
     "op3_warc": _OP3,
     "op5_token_rollup": _OP5,
+    "op11_code_compression": _op11_sql(),
+    "op12_bit_sliced_search": _OP12,
 }

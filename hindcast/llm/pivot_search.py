@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from hindcast.llm.vectors import build, distances, matrix, sample_points, search, spread_centres, usable
 
 PIVOTS = 16
+_LONG = 2**63 - 1
 SCALE = 1024
 
 
@@ -35,8 +36,8 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "v
 
     Null ids, null vectors and vectors with null or non-finite components take
     no part; of rows with one id one counts; shorter vectors are as if padded
-    with zeros. Scores outside 64 bits saturate. No rows, or none but the
-    query: no result for it."""
+    with zeros. Scores are exact; components and scores outside 64 bits count
+    as the nearest long. No rows, or none but the query: no result for it."""
     from hindcast.llm.common import materialize
 
     base = usable(rows, id_col, vec_col).select("vec_id", quantised(F.col("vec"), scale).alias("vec"))
@@ -44,7 +45,8 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "v
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     size, dim, top, most = base.agg(F.count("*"), F.max(F.size("vec")), F.max(square), F.max(F.array_max(F.transform("vec", F.abs)))).first()
     dim, top, most = dim or 1, top or 0.0, most or 0.0
-    wide = most * most * dim >= 2.0**53  # beyond exact doubles: Python integers
+    # sums are exact as doubles, as 64-bit integers, or as Python's
+    kind = np.float64 if most * most * dim < 2.0**53 else np.int64 if most * most * dim < 2.0**62 else object
 
     def row_points(column) -> np.ndarray:
         x = matrix(column, dim)
@@ -70,32 +72,33 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "v
         pivot = centres[mine.column("centre")[0].as_py()][None, :]
         d = distances(np.column_stack((asked, np.zeros(len(asked)))), pivot)[:, 0]
         # rows further than this from a query's own annulus cannot reach its floor
-        reach = np.sqrt(np.maximum((asked * asked).sum(1) + top + 2 * slack - 2.0 * floors, 0.0)) + 1e-9 * (1.0 + d)
+        reach = np.sqrt(np.maximum((asked * asked).sum(1) + top + 2 * slack - 2.0 * floors.astype(np.float64), 0.0)) + 1e-9 * (1.0 + d)
         begin, end = np.searchsorted(dist, d - reach, "left"), np.searchsorted(dist, d + reach, "right")
         qs, rs, ss = [], [], []
-        if wide:
-            x, asked = x.astype(object), asked.astype(object)
+        if kind is object:
+            x, asked = (np.array([[int(v) for v in row] for row in m], dtype=object).reshape(m.shape) for m in (x, asked))
+        else:
+            x, asked = x.astype(kind), asked.astype(kind)
         for j, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
             if a == b:
                 continue
-            if wide:
-                s = np.array([float(sum(int(u) * int(v) for u, v in zip(row, asked[j]))) for row in x[a:b]])
-            else:
-                s = x[a:b] @ asked[j]
+            s = x[a:b] @ asked[j]
+            if kind is object:
+                s = np.array([max(-_LONG, min(v, _LONG)) for v in s])
+            s = s.astype(np.int64)
             other = names[a:b] != ids[j]
             floor = floors[j]
             if int(other.sum()) > k:
                 t = s[other]
-                floor = max(floor, np.partition(t, len(t) - k)[len(t) - k])
+                floor = max(floor, int(np.partition(t, len(t) - k)[len(t) - k]))
             hit = np.flatnonzero(other & (s >= floor))
             qs.append(np.full(len(hit), j))
             rs.append(order[a + hit])
             ss.append(s[hit])
         if not qs:
             none = np.empty(0, np.int64)
-            return none, none, np.empty(0)
+            return none, none, none
         return np.concatenate(qs), np.concatenate(rs), np.concatenate(ss)
 
     queries = base.filter(is_query).select(F.col("vec_id").alias("query_id"), "vec")
-    out = search(index, queries, k, query_points, best_score, compare)
-    return out.withColumn("score", F.col("score").cast("long"))
+    return search(index, queries, k, query_points, best_score, compare, "long")

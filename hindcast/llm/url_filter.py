@@ -3,14 +3,20 @@
 List entries are dated: each adds a key to a list or takes it off. They become
 validity intervals ``[since, until)`` per list, kind and key, and every capture
 is held, as of its fetch time, against the entries active then. A URL has few
-keys: itself, its path prefixes, its host and the domains above it; each is an
-equality join, with the interval as the join's condition. A key with many
-captures is a skewed partition of the capture side only, which adaptive
-execution splits.
+kinds of keys: itself, the directories of its path, its host and the domains
+above it. Directories and domains are not written out: one pass over the path,
+and one over the reversed host, digests every one of them as it grows, so a
+URL's keys take space in proportion to its length. Digests join with the
+list's, and what meets is held against the key itself. A key with many captures
+is a skewed partition of the capture side only, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,24 +34,95 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
-def url_keys(url: Column) -> Column:
-    """Array of ``(kind, key)``: the URL without its fragment, ``host/a/b/``
-    for every directory of the path, the host, and every domain from the host
-    up."""
-    host, path = host_of(url), F.regexp_extract(url, PATH, 1)
-    # "/a/b/c" has the directories "/", "/a/", "/a/b/"
-    steps = F.split(path, "/")
-    folders = F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0)))
-    prefixes = F.transform(
-        folders, lambda _, i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.array_join(F.slice(folders, 1, i + 1), "/"), F.lit("/")).alias("key"))
-    )
-    labels = F.split(host, r"\.")
-    domains = F.transform(
-        labels, lambda _, i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("key"))
+#: as Spark's xxhash64
+_SEED = 42
+_FLUSH = 1 << 16
+
+
+def plain_url(url: Column) -> Column:
+    """The URL without its fragment."""
+    return F.regexp_replace(url, "#.*$", "")
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(url, PATH, 1)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _steps(text: str, stop: str) -> Iterator[int]:
+    """Digests of the text's beginnings up to every ``stop``, which is
+    included; one pass."""
+    running = xxhash.xxh64(seed=_SEED)
+    at = 0
+    while (end := text.find(stop, at)) >= 0:
+        running.update(text[at : end + 1].encode("utf-8"))
+        yield running.intdigest()
+        at = end + 1
+
+
+def key_digests(plain: str, host: str, path: str) -> Iterator[tuple[int, int]]:
+    """``(kind, digest)`` of every key of a URL: kinds by their place in
+    :data:`KINDS`, domains digested from their last letter on."""
+    digest = xxhash.xxh64_intdigest
+    if plain:
+        yield 0, digest(plain.encode("utf-8"), _SEED)
+    if path:
+        cut = path.rfind("/") + 1
+        yield from ((1, d) for d in _steps(host + path[:cut], "/"))
+    if host:
+        yield 2, digest(host.encode("utf-8"), _SEED)
+        running, at, back = xxhash.xxh64(seed=_SEED), 0, host[::-1]
+        # every domain from the last label up: its reversal is a beginning of the reversed host
+        while at <= len(back):
+            end = back.find(".", at)
+            end = len(back) if end < 0 else end
+            running.update(back[at:end].encode("utf-8"))
+            if end:
+                yield 3, running.intdigest()
+            running.update(b".")
+            at = end + 1
+
+
+def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out():
+        return pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64()), "o": pa.array(kinds, pa.int32()), "d": pa.array(found, pa.int64())})
+
+    us, vs, kinds, found = [], [], [], []
+    for batch in batches:
+        for u, v, plain, host, path in zip(*(c.to_pylist() for c in batch.columns)):
+            for kind, d in key_digests(plain, host, path):
+                us.append(u)
+                vs.append(v)
+                kinds.append(kind)
+                found.append(_signed(d))
+                if len(us) >= _FLUSH:
+                    yield out()
+                    us, vs, kinds, found = [], [], [], []
+    if us:
+        yield out()
+
+
+def url_entries(urls: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(u, v)`` of every URL, two hashes that name it, with the listed
+    intervals of its keys. ``urls`` has ``u``, ``v`` and ``url``."""
+    known = F.array(*[F.lit(k) for k in KINDS])
+    whole = F.when(F.col("kind") == "domain", F.reverse("key")).otherwise(F.col("key"))
+    listed = spans.filter(F.col("kind").isin(*KINDS) & (F.col("key") != "")).withColumn("o", (F.array_position(known, F.col("kind")) - 1).cast("int"))
+    listed = listed.withColumn("d", F.xxhash64(whole))
+    parts = urls.select("u", "v", plain_url(F.col("url")).alias("plain"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    met = parts.mapInArrow(_digest_rows, "u long, v long, o int, d long").join(listed, ["o", "d"]).drop("d")
+    # what met by digest is held against the key
+    met = met.join(parts.withColumnsRenamed({"u": "u2", "v": "v2"}), (F.col("u") == F.col("u2")) & (F.col("v") == F.col("v2")))
+    same = (
+        F.when(F.col("o") == 0, F.col("key") == F.col("plain"))
+        .when(F.col("o") == 1, F.endswith("key", F.lit("/")) & F.startswith(F.concat("host", "path"), F.col("key")))
+        .when(F.col("o") == 2, F.col("key") == F.col("host"))
+        .otherwise((F.col("key") == F.col("host")) | F.endswith("host", F.concat(F.lit("."), F.col("key"))))
     )
-    one = lambda kind, key: F.array(F.struct(F.lit(kind).alias("kind"), key.alias("key")))
-    found = F.concat(one("url", F.regexp_replace(url, "#.*$", "")), prefixes, one("host", host), domains)
-    return F.filter(F.array_distinct(found), lambda x: x["key"] != "")
+    return met.filter(same).select("u", "v", "list_id", "kind", "key", "since", "until", "o")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -68,21 +145,24 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     deciding one: ``(kind, key, list_id, since)`` of the most specific kind,
     then by the longest key, key, list and date.
 
+    URLs may be of any length: a URL costs time and rows in proportion to it.
     A null URL or fetch time matches nothing. Repeated rows are judged alike
     and all stay; an empty list blocks nothing. Columns named as the three
     results are replaced."""
     keep = [c for c in captures.columns if c.lower() not in ("blocked", "n_active", "entry")]
     base = captures.select(*columns_of(keep))
-    asked = base.select(F.col(url_col).alias("url"), F.col(time_col).alias("t")).filter("url IS NOT NULL AND t IS NOT NULL").distinct()
-    keyed = asked.withColumn("k", F.explode(url_keys(F.col("url")))).select("url", "t", "k.kind", "k.key")
-    spans = intervals(entries)
+    u, v, t, n, c = (free_name(base, x) for x in ("hit_u", "hit_v", "hit_t", "hit_n", "hit_c"))
+    name_of = lambda url: (F.xxhash64(url), F.xxhash64(F.lit(1), url))
+    asked = base.select(F.col(url_col).alias("url"), F.col(time_col).alias("t")).filter("url IS NOT NULL AND t IS NOT NULL")
+    first, second = name_of(F.col("url"))
+    urls = asked.groupBy(first.alias("u"), second.alias("v")).agg(F.min("url").alias("url"))
+    times = asked.select(first.alias("u"), second.alias("v"), "t").distinct()
     active = (F.col("t") >= F.col("since")) & (F.col("until").isNull() | (F.col("t") < F.col("until")))
-    hits = keyed.join(spans, ["kind", "key"]).filter(active)
-    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    choice = F.struct(order.alias("o"), (-F.length("key")).alias("l"), "key", "list_id", "since", "kind")
-    judged = hits.groupBy("url", "t").agg(F.count("*").alias("n"), F.min(choice).alias("c"))
-    u, t, n, c = (free_name(base, x) for x in ("hit_url", "hit_t", "hit_n", "hit_c"))
-    judged = judged.withColumnsRenamed({"url": u, "t": t, "n": n, "c": c})
-    out = base.join(judged, (F.col(url_col) == F.col(u)) & (F.col(time_col) == F.col(t)), "left")
+    hits = times.join(url_entries(urls, intervals(entries)), ["u", "v"]).filter(active)
+    choice = F.struct("o", (-F.length("key")).alias("l"), "key", "list_id", "since", "kind")
+    judged = hits.groupBy("u", "v", "t").agg(F.count("*").alias("n"), F.min(choice).alias("c"))
+    judged = judged.withColumnsRenamed({"u": u, "v": v, "t": t, "n": n, "c": c})
+    mine = name_of(F.col(url_col))
+    out = base.join(judged, (mine[0] == F.col(u)) & (mine[1] == F.col(v)) & (F.col(time_col) == F.col(t)), "left")
     entry = F.when(F.col(n).isNotNull(), F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("kind", "key", "list_id", "since")]))
     return out.select(*columns_of(keep), F.col(n).isNotNull().alias("blocked"), F.coalesce(F.col(n), F.lit(0)).alias("n_active"), entry.alias("entry"))

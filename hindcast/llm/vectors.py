@@ -30,7 +30,6 @@ SAMPLE_ROWS = 2048
 QUERY_BLOCK = 4096
 #: cells a query visits in the rounds before the last one, which visits all the rest
 ROUNDS = (1, 8)
-FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -145,6 +144,7 @@ def search(
     to_points: Callable[[pa.Array], np.ndarray],
     best_score: Callable[[np.ndarray, np.ndarray], np.ndarray],
     compare: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    score_type: str = "double",
 ) -> DataFrame:
     """The ``k`` best ``(vec_id, score)`` per query: larger scores first, then
     smaller ids.
@@ -154,7 +154,8 @@ def search(
     least ``gap`` (queries x cells); ``compare(rows, query ids, query vectors,
     floors)`` the query number, row number and exact score of a cell's rows
     that may belong to a query's best, a floor being the score of the query's
-    k-th find so far (-inf: none)."""
+    k-th find so far (-inf: none). Scores of type ``long`` are compared and kept
+    as integers; floors are Python integers then."""
     spark = queries.sparkSession
     queries = materialize(queries, "queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -166,10 +167,10 @@ def search(
 
     for begin, end in zip([0, *stops], stops):
         if found is None:
-            asked = queries.withColumn("floor", F.lit(float("-inf")))
+            asked = queries.withColumn("floor", F.lit(None).cast(score_type))
         else:
-            floors = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
-            asked = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+            floors = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+            asked = queries.join(floors, "query_id", "left")
 
         def route(batches, begin=begin, end=end):
             for batch in batches:
@@ -181,7 +182,8 @@ def search(
                     gap = np.maximum(np.maximum(d - highs, lows - d) - slack, 0.0)
                     top = best_score(points, gap)
                     order = np.lexsort((np.broadcast_to(np.arange(cells), top.shape), d, -top), axis=1)[:, begin:end]
-                    floor = part.column(2).to_numpy()
+                    # a rounded floor is within the slack of the bounds
+                    floor = part.column(2).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy()
                     go = np.take_along_axis(top, order, 1) >= floor[:, None]
                     who, nth = np.nonzero(go)
                     if len(who):
@@ -190,7 +192,7 @@ def search(
                             {"cell": pa.array(order[who, nth].astype(np.int32)), "query_id": part.column(0).take(take), "vec": part.column(1).take(take), "floor": part.column(2).take(take)}
                         )
 
-        routes = asked.select("query_id", "vec", "floor").mapInArrow(route, "cell int, query_id long, vec array<double>, floor double")
+        routes = asked.select("query_id", "vec", "floor").mapInArrow(route, f"cell int, query_id long, vec array<double>, floor {score_type}")
         routes = routes.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
         routes = materialize(routes, "routes")
         wanted = routes.select(F.col("cell"), F.col("block").alias("for_block")).distinct()
@@ -198,11 +200,14 @@ def search(
 
         def meet(key, mine, theirs):
             ids = theirs.column("query_id").to_numpy()
-            q, r, score = compare(mine, ids, matrix(theirs.column("vec"), dim), theirs.column("floor").to_numpy())
+            floor = theirs.column("floor")
+            whole = pa.types.is_integer(floor.type)
+            floors = np.array([-np.inf if f is None else f for f in floor.to_pylist()], dtype=object if whole else np.float64)
+            q, r, score = compare(mine, ids, matrix(theirs.column("vec"), dim), floors)
             q, r, score = _best(q, mine.column("vec_id").to_numpy()[r], score, k)
             return pa.table({"query_id": pa.array(ids[q]), "vec_id": pa.array(r), "score": pa.array(score)})
 
-        new = rows.groupBy("cell", "for_block").cogroup(routes.groupBy("cell", "block")).applyInArrow(meet, FOUND)
+        new = rows.groupBy("cell", "for_block").cogroup(routes.groupBy("cell", "block")).applyInArrow(meet, f"query_id long, vec_id long, score {score_type}")
         both = new if found is None else found.unionByName(new)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
         merged = materialize(both.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id", "score"), "found")
@@ -211,7 +216,7 @@ def search(
             discard(found)
         found = merged
     if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {score_type}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).select("query_id", "rank", "vec_id", "score")
 

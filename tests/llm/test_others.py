@@ -55,6 +55,26 @@ def test_exact_top_k_equals_brute_force(spark, vectors):
     assert [(r["query_id"], r["vec_id"]) for r in pivot_search.exact_top_k(few, F.col("vec_id") % 100 == 0).collect()] == [(100, 101)]
 
 
+@pytest.mark.parametrize("size", [4e4, 3e6, 1e10])
+def test_exact_top_k_of_large_scores(spark, size):
+    """Scores beyond 2^53, as 64-bit and as Python integers, with ties that
+    doubles would not tell apart."""
+    rng = np.random.default_rng(11)
+    vectors = (rng.standard_normal((300, 64)) * size).astype(np.float64)
+    for k in range(200, 230):
+        vectors[k] = vectors[17]
+        vectors[k, 3] += (k % 3) / 1024
+    ints = [[math.floor(float(x) * 1024) for x in v] for v in vectors]
+    far = 2**63 - 1
+    want = []
+    for q in range(0, 300, 10):
+        best = sorted((-max(-far, min(far, sum(a * b for a, b in zip(ints[q], v)))), k) for k, v in enumerate(ints) if k != q)[:10]
+        want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = pivot_search.exact_top_k(df, F.col("vec_id") % 10 == 0).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_one_bit_recall(spark, vectors):
     rows = usable(vectors, nonzero=True)
     got = one_bit.nearest(vectors, F.col("vec_id") % 50 == 0).collect()
@@ -202,6 +222,31 @@ def test_url_filter_as_of_fetch_time(spark):
     assert url_filter.filter_urls(captures.limit(0), entries).count() == 0
 
 
+def test_url_filter_of_very_long_urls(spark):
+    """A path of a megabyte and a host of 10,000 labels."""
+    deep = "http://deep.example.com/" + "a/" * 250_000 + "ü" * 250_000 + "/end"
+    wide = "http://" + "x." * 10_000 + "example.org/p"
+    entries = [("l", "prefix", "deep.example.com/" + "a/" * k, day(0), True) for k in (0, 3, 100)]
+    entries += [("l", "prefix", "deep.example.com/a/b/", day(0), True), ("l", "prefix", "deep.example.com/a", day(0), True), ("l", "url", deep, day(0), True)]
+    entries += [("l", "domain", "x." * k + "example.org", day(0), True) for k in (0, 2, 5_000, 10_000, 10_001)] + [("l", "domain", "mple.org", day(0), True)]
+    entries = spark.createDataFrame(entries, "list_id string, kind string, key string, at date, listed boolean")
+    captures = spark.createDataFrame([(1, deep, day(1)), (2, wide, day(1)), (2, wide, day(1)), (3, "http://a..example.org./x", day(1))], "id long, url string, fetched date")
+    captures = captures.withColumn("blocked", F.lit(1)).withColumn("n_active", F.lit("x"))
+    got = sorted((r["id"], r["blocked"], r["n_active"], r["entry"] and r["entry"]["kind"], r["entry"] and len(r["entry"]["key"])) for r in url_filter.filter_urls(captures, entries).collect())
+    longest = 2 * 10_000 + len("example.org")
+    assert got == [(1, True, 4, "url", len(deep)), (2, True, 4, "domain", longest), (2, True, 4, "domain", longest), (3, False, 0, None, None)]
+
+
+def test_url_key_digests_are_those_of_the_keys():
+    import xxhash
+
+    digest = lambda s: xxhash.xxh64_intdigest(s.encode(), 42)
+    got = set(url_filter.key_digests("http://a..bé.c/x//y/z?q", "a..bé.c", "/x//y/z"))
+    keys = [(0, "http://a..bé.c/x//y/z?q"), (1, "a..bé.c/"), (1, "a..bé.c/x/"), (1, "a..bé.c/x//"), (1, "a..bé.c/x//y/"), (2, "a..bé.c")]
+    keys += [(3, k[::-1]) for k in ("c", "bé.c", ".bé.c", "a..bé.c")]
+    assert got == {(k, digest(s)) for k, s in keys}
+
+
 def totals(rollup):
     return {(r["source"], r["lang"], r["tokenizer_version"]): (r["documents"], r["tokens"]) for r in rollup.totals().collect()}
 

@@ -9,11 +9,13 @@ normalised phrases wins.
 
 A parse only follows the automaton's transitions from the root, so each
 automaton becomes one dense table ``state x letter`` whose missing transitions
-hold the state after starting a new phrase, with the sign bit set. A letter
-that a sample lacks is a phrase of its own. Many
-segments of text step through all tables at once. Segments of
-``segment_letters`` letters are parsed on their own and their phrases added;
-every letter of a text is parsed.
+hold the state after starting a new phrase, with the sign bit set. The table has
+columns for the letters that are commonest in the sample; every other letter of
+the sample has a code of its own as well, whose transitions are kept sorted by
+state and code and looked up. A letter that a language's sample lacks is a
+phrase of its own. Many segments of text step through all tables at once.
+Segments of ``segment_letters`` letters are parsed on their own and their
+phrases added; every letter of a text is parsed.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from pyspark.sql.window import Window
 from hindcast.llm.common import boxed, worker_model
 
 UNDETERMINED = "und"
+_PILES = 64
 
 
 @dataclass(frozen=True)
@@ -43,43 +46,59 @@ class LangIdParams:
     #: bounds of the labelled sample: texts of a language, and letters taken of each
     sample_texts: int = 48
     letters_per_text: int = 1000
-    #: distinct letters kept apart; rarer ones share a class
+    #: letters with a column in the dense table; the others are looked up
     letters: int = 60
+    #: slices that a long text's part of the sample is taken in, spread over the text
+    slices: int = 4
     #: letters of a text that are parsed in one go
     segment_letters: int = 2048
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``codes``: an int32 table
-    ``(states, width)`` with -1 where there is none; state 0 is the root.
-    Built online, one letter at a time."""
-    # one flat table from the start: a dictionary per state would take ten times the room
+def suffix_automaton(codes: list[int], width: int) -> tuple[np.ndarray, dict[int, dict[int, int]]]:
+    """Transitions of the suffix automaton of ``codes``: for codes below
+    ``width`` an int32 table ``(states, width)`` with -1 where there is none,
+    for the others a dictionary of the states that have any. State 0 is the
+    root. Built online, one letter at a time."""
+    # one flat table from the start: a dictionary for every state would take ten times the room
     table = array("i", [-1]) * ((2 * len(codes) + 1) * width)
+    rare: dict[int, dict[int, int]] = {}
     link, length = array("i", [-1]), array("i", [0])
+
+    def target(at: int, c: int) -> int:
+        return table[at * width + c] if c < width else rare[at].get(c, -1) if at in rare else -1
+
+    def lead(at: int, c: int, to: int) -> None:
+        if c < width:
+            table[at * width + c] = to
+        else:
+            rare.setdefault(at, {})[c] = to
+
     last = 0
     for c in codes:
         new = len(link)
         length.append(length[last] + 1)
         link.append(0)
         at = last
-        while at >= 0 and table[at * width + c] < 0:
-            table[at * width + c] = new
+        while at >= 0 and target(at, c) < 0:
+            lead(at, c, new)
             at = link[at]
         if at >= 0:
-            to = table[at * width + c]
+            to = target(at, c)
             if length[to] == length[at] + 1:
                 link[new] = to
             else:
                 copy = len(link)
                 table[copy * width : (copy + 1) * width] = table[to * width : (to + 1) * width]
+                if to in rare:
+                    rare[copy] = dict(rare[to])
                 length.append(length[at] + 1)
                 link.append(link[to])
-                while at >= 0 and table[at * width + c] == to:
-                    table[at * width + c] = copy
+                while at >= 0 and target(at, c) == to:
+                    lead(at, c, copy)
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    return np.frombuffer(table, dtype=np.int32).reshape(-1, width)[: len(link)]
+    return np.frombuffer(table, dtype=np.int32).reshape(-1, width)[: len(link)], rare
 
 
 @lru_cache(maxsize=1)
@@ -120,32 +139,52 @@ class CrossParser:
                 cps, n = np.unique(part, return_counts=True)
                 counts.update(dict(zip(cps.tolist(), n.tolist())))
         counts.pop(0, None)
-        common = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: params.letters]]
-        # 0: between words, 1: any other letter
-        self.width = len(common) + 2
-        self.code = np.ones(0x110000, dtype=np.uint8)
+        known = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        # 0: between words, 1: a letter that no sample has; codes from `width` on have no column
+        self.width = min(len(known), params.letters) + 2
+        self.codes = len(known) + 2
+        self.code = np.ones(0x110000, dtype=np.int32)
         self.code[0] = 0
-        for k, c in enumerate(common):
-            self.code[c] = k + 2
-        tables, self.roots, self.bits, at = [], [], [], 0
+        self.code[known] = np.arange(2, self.codes)
+        tables, keys, aims, starts, self.roots, self.bits, at = [], [], [], [], [], [], 0
         for k in self.langs:
-            codes = self.code[np.concatenate(texts[k])] if texts[k] else np.empty(0, np.uint8)
-            table = suffix_automaton(codes.tolist(), self.width)
+            codes = self.code[np.concatenate(texts[k])] if texts[k] else np.empty(0, np.int32)
+            table, rare = suffix_automaton(codes.tolist(), self.width)
             # a letter that the sample lacks is a phrase of its own: the state after the last one
             alone = len(table)
-            start = np.where(table[0] < 0, alone, table[0])
+            begin = np.full(self.codes, alone)
+            begin[: self.width] = np.where(table[0] < 0, alone, table[0])
+            for c, to in rare.get(0, {}).items():
+                begin[c] = to
+            start = begin[: self.width]
             table = np.vstack((table, np.full((1, self.width), -1, dtype=np.int32)))
             broken = table < 0
             broken[0] = False  # no phrase is open at the root
             table = (np.where(table < 0, start[None, :], table) + at) * self.width
             tables.append(np.where(broken, table | np.int32(-(2**31)), table).astype(np.int32))
+            found = sorted(((state + at) * self.codes + c, (to + at) * self.width) for state, row in rare.items() for c, to in row.items())
+            keys += [x for x, _ in found]
+            aims += [x for _, x in found]
+            starts.append((begin + at) * self.width)
             self.roots.append(at * self.width)
             self.bits.append(math.log2(max(2, len(codes))))
             at += len(table)
         self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+        self.keys, self.aims = np.array(keys, dtype=np.int64), np.array(aims, dtype=np.int64)
+        self.starts = np.array(starts, dtype=np.int64)
         self.roots = np.array(self.roots, dtype=np.int32)
         self.bits = np.array(self.bits)
 
+    def _look_up(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Steps of all languages (rows) on letters without a column, as the
+        dense table gives them: a broken phrase has the sign bit set."""
+        key = state.astype(np.int64) // self.width * self.codes + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        there = self.keys[at] == key
+        fresh = self.starts[:, letter]
+        broken = np.where(state == self.roots[:, None], fresh, fresh | -(2**31))
+        return np.where(there, self.aims[at], broken).astype(np.int32)
+
     def phrases(self, codes: list[np.ndarray]) -> np.ndarray:
         """Phrases per language (rows) and text (columns)."""
         step = self.p.segment_letters
@@ -163,10 +202,15 @@ class CrossParser:
         live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
         count = np.zeros(state.shape, dtype=np.int32)
-        flat = flat.astype(np.int32)
+        rare = bool((flat >= self.width).any())
         for t, n in enumerate(live.tolist()):
             s = state[:, :n]
-            got = np.take(self.table, s + flat[begin[:n] + t], mode="clip")
+            letter = flat[begin[:n] + t]
+            got = np.take(self.table, s + letter, mode="clip")
+            if rare:
+                odd = np.flatnonzero(letter >= self.width)
+                if len(odd):
+                    got[:, odd] = self._look_up(s[:, odd], letter[odd])
             count[:, :n] -= got >> 31
             np.bitwise_and(got, 0x7FFFFFFF, out=s)
         # the last phrase of a segment is open until its end
@@ -217,22 +261,28 @@ def _parser(sample: tuple, params: LangIdParams) -> CrossParser:
 
 def labelled_sample(docs: DataFrame, params: LangIdParams = LangIdParams(), lang_col: str = "lang", text_col: str = "text") -> dict[str, list[str]]:
     """The bounded sample: of every language the ``sample_texts`` distinct
-    texts with the smallest hashes, and ``letters_per_text`` characters from
-    the beginning of each. Rows without label or text are left out. The
-    driver gets ``languages x sample_texts`` short strings."""
+    texts with the smallest hashes, and ``letters_per_text`` characters of
+    each, in ``slices`` spread evenly over a longer text. Rows without label or
+    text are left out. The driver gets ``languages x sample_texts`` short
+    strings."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    # equal texts of a language fold before the ranking, so copies cannot fill the sample
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("r", rank).filter(F.col("r") <= params.sample_texts)
-    keys = {(r["lang"], r["h"]) for r in chosen.collect()}
-    if not keys:
+    # equal texts of a language fold before the ranking, so copies cannot fill the sample; a language
+    # is ranked in piles first, so that no task gets all of its rows
+    keys = rows.select("lang", "h").distinct().withColumn("pile", F.pmod("h", F.lit(_PILES)))
+    for by in (("lang", "pile"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+        keys = keys.withColumn("r", rank).filter(F.col("r") <= params.sample_texts).drop("r")
+    chosen = {(r["lang"], r["h"]) for r in keys.select("lang", "h").collect()}
+    if not chosen:
         return {}
-    piece = F.substring("text", 1, params.letters_per_text)
-    some = rows.filter(F.col("h").isin(sorted({h for _, h in keys}))).groupBy("lang", "h").agg(F.min(piece).alias("piece"))
+    width, last = params.letters_per_text // params.slices, F.char_length("text") - params.letters_per_text // params.slices
+    cuts = [F.substring(F.col("text"), (F.floor(last * k / max(1, params.slices - 1)) + 1).cast("int"), F.lit(width)) for k in range(params.slices)]
+    piece = F.when(F.char_length("text") <= params.letters_per_text, F.col("text")).otherwise(F.concat_ws(" ", *cuts))
+    some = rows.filter(F.col("h").isin(sorted({h for _, h in chosen}))).groupBy("lang", "h").agg(F.min(piece).alias("piece"))
     out: dict[str, list[str]] = {}
     for r in some.collect():
-        if (r["lang"], r["h"]) in keys:
+        if (r["lang"], r["h"]) in chosen:
             out.setdefault(r["lang"], []).append(r["piece"])
     return out
 

@@ -16,7 +16,7 @@ is shuffled on its own. A node's random numbers depend on the seed and the
 node alone, so each leaf walks its path from the root without the others.
 
 A table of a row per block describes the whole plan. It grows with the words,
-so nothing orders a source's blocks in one task, and beyond ``broadcast_rows``
+so nothing orders a source's blocks in one task, and beyond ``broadcast_bytes``
 it is joined by key. Texts are read once for sizes and hashes and once to look
 their block up.
 """
@@ -45,8 +45,9 @@ class MixParams:
     shard_size: int = 1 << 20  # words of an output shard
     shard_draws: int = 256  # blocks that a shard holds: sources are cut finer where theirs would be larger
     seed: int = 29
-    #: block tables of up to so many rows are broadcast; larger ones are joined by key
-    broadcast_rows: int = 500_000
+    shards: int = 1 << 21  # at most: beyond, shards hold more words
+    #: block tables of up to so many bytes are broadcast; larger ones are joined by key
+    broadcast_bytes: int = 16 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -109,10 +110,91 @@ def shard_runs(draws: np.ndarray, shards: int, shard: int, seed: int) -> tuple[n
     return before, left
 
 
+#: numpy draws from urns of fewer than so many
+_NUMPY_URN = 10**9
+
+
 def _hypergeometric(colours: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each colour are among ``take`` drawn from an urn without
+    putting back."""
     if not take or not len(colours):
         return np.zeros_like(colours)
-    return rng.multivariate_hypergeometric(colours, take, method="marginals")
+    if int(colours.sum()) < _NUMPY_URN:
+        return rng.multivariate_hypergeometric(colours, take, method="marginals")
+    out = np.zeros_like(colours)
+    rest = int(colours.sum())
+    for k, n in enumerate(colours.tolist()):
+        rest -= n
+        out[k] = hypergeometric(n, rest, take, rng)
+        take -= int(out[k])
+    return out
+
+
+def _stirling_error(n: float) -> float:
+    """``ln n! - ln(sqrt(2 pi n) (n / e)^n)``."""
+    if n < 16:
+        return math.lgamma(n + 1) - (0.5 * math.log(2 * math.pi * n) + n * math.log(n) - n) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """``x ln(x / mean) + mean - x`` without cancellation."""
+    if x <= 0:
+        return mean
+    d = (x - mean) / (x + mean)
+    if abs(d) >= 0.1:
+        return x * math.log(x / mean) + mean - x
+    # ln(x / mean) = 2 artanh(d)
+    total, power, k = (x - mean) * d, 2 * x * d, 1
+    while True:
+        power *= d * d
+        more = total + power / (2 * k + 1)
+        if more == total:
+            return total
+        total, k = more, k + 1
+
+
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Logarithm of the binomial probability, by deviances, so that it keeps
+    its precision for any ``n``."""
+    if x == 0:
+        return n * math.log1p(-p)
+    if x == n:
+        return n * math.log(p)
+    spread = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+    return spread + 0.5 * (math.log(n) - math.log(2 * math.pi) - math.log(x) - math.log(n - x))
+
+
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """A hypergeometric number for an urn of any size, by ratio of uniforms
+    around the mode (the table-mountain hat of Stadlober, 1990)."""
+    if not good or not take:
+        return 0
+    if not bad or take == good + bad:
+        return min(good, take)
+    if good + bad < _NUMPY_URN:
+        return int(rng.hypergeometric(good, bad, take))
+    whole = good + bad
+    # the smaller colour in the smaller of the two halves
+    few, few_take = min(good, bad), min(take, whole - take)
+    p = few_take / whole
+    mean = few_take * (few / whole)
+    spread = math.sqrt((whole - few_take) / (whole - 1) * mean * (1 - few / whole) + 0.5)
+    hat = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    least, most = max(0, few_take - (whole - few)), min(few, few_take)
+
+    def log_odds(x: int) -> float:
+        return _log_binomial(x, few, p) + _log_binomial(few_take - x, whole - few, p)
+
+    top = log_odds(min(max((few_take + 1) * (few + 1) // (whole + 2), least), most))
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        x = math.floor(mean + 0.5 + hat * (v - 0.5) / u)
+        if least <= x <= most and 2 * math.log(u) <= log_odds(x) - top:
+            break
+    if few_take != take:
+        x = few - x
+    return x if few == good else take - x
 
 
 def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -141,7 +223,9 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("copies", F.least(copies, F.lit(int(p.most))).cast("int"))
     targets = targets.withColumn("rest", F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0)))
-    finer = F.ceil(F.col("source_size") / F.lit(max(1, p.shard_size // p.shard_draws)))
+    asked = targets.agg(F.sum("target")).first()[0] or 0.0
+    shard_size = max(p.shard_size, math.ceil(asked / p.shards))
+    finer = F.ceil(F.col("source_size") / F.lit(max(1, shard_size // p.shard_draws)))
     targets = materialize(targets.withColumn("cuts", F.greatest(finer, F.lit(p.blocks)).cast("long")), "targets")
 
     # few sources are large enough for more blocks than all have at least
@@ -184,8 +268,7 @@ def plan_mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     times = materialize(times.select("source", "block", "copy", (F.col("rank") - 1).alias("rank")), "draws")
 
     counts = times.groupBy("source").agg(F.count("*").alias("draws")).orderBy("source").collect()  # a row per source
-    asked = targets.agg(F.sum("target")).first()[0] or 0.0
-    shards = max(1, math.ceil(asked / p.shard_size))
+    shards = max(1, math.ceil(asked / shard_size))
     names = [r["source"] for r in counts]
     draws = np.array([r["draws"] for r in counts], dtype=np.int64)
     seed = p.seed
@@ -240,8 +323,16 @@ def _running(rows: DataFrame, value: Column, name: str, *ties: str) -> DataFrame
 
 
 def _small(table: DataFrame, p: MixParams) -> DataFrame:
-    """A table broadcast only if its rows are few."""
-    return F.broadcast(table) if table.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows else table
+    """A table broadcast only if its rows are few by their bytes: eight for a
+    value and, for what varies, its length besides."""
+    width = F.lit(16 * len(table.columns)).cast("long")
+    for name, kind in table.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith("array"):
+            width = width + F.greatest(F.size(name), F.lit(0)) * 32
+    size = table.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(table) if size <= p.broadcast_bytes else table
 
 
 def mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -157,6 +157,49 @@ def test_cross_parse_equals_substring_search():
         assert got[k, 0] == sum(brute_phrases(text[a : a + 64], own) for a in range(0, len(text), 64))
 
 
+@pytest.mark.parametrize("letters", [0, 3, 60])
+def test_cross_parse_with_any_number_of_columns(letters):
+    """Letters beyond the dense table's columns, and letters of no sample."""
+    rng = np.random.default_rng(letters)
+    base = [chr(0x4E00 + k) for k in range(90)]
+    samples = {"x": "".join(rng.choice(base[:60], 700)), "y": "".join(rng.choice(base[30:], 700)) + " ab ab"}
+    parser = langid.CrossParser({k: [v] for k, v in samples.items()}, langid.LangIdParams(segment_letters=50, letters=letters))
+    probe = "".join(rng.choice([*base, "a", "b", "ж", " "], 400)) + samples["x"][100:160] + samples["y"][20:90]
+    codes = parser.code[langid.normalise(probe)]
+    got = parser.phrases([codes])
+    for k, name in enumerate("xy"):
+        own = "".join(map(chr, (parser.code[langid.normalise(samples[name])] + 1).tolist()))
+        text = "".join(map(chr, (codes + 1).tolist()))
+        assert got[k, 0] == sum(brute_phrases(text[a : a + 50], own) for a in range(0, len(text), 50))
+
+
+def test_languages_of_many_letters(spark):
+    """Three scripts and two languages that share most of theirs; letters
+    beyond the commonest 60 decide."""
+    rng = np.random.default_rng(3)
+    common = [chr(0x4E00 + k) for k in range(200)]
+    own = {"za": [chr(0x5E00 + k) for k in range(120)], "zb": [chr(0x6E00 + k) for k in range(120)], "ru": list("абвгдежзиклмнопрстуфхцчшщ"), "hi": [chr(0x0905 + k) for k in range(50) if chr(0x0905 + k).isalpha()]}
+    shared = {"za": common, "zb": common, "ru": [], "hi": []}
+
+    words = {k: ["".join(rng.choice(shared[k] + own[k], n)) for n in rng.integers(1, 5, 150)] for k in own}
+
+    def text(k):
+        return ("" if k[0] == "z" else " ").join(rng.choice(words[k], 60))
+
+    rows = [(n, text(k), k) for n, k in enumerate(list(own) * 40)]
+    rows += [(1000 + n, text(k), None) for n, k in enumerate(list(own) * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.labelled_sample(docs)).collect()}
+    assert all(got[1000 + n] == k for n, k in enumerate(list(own) * 25))
+
+
+def test_sample_is_bounded_and_spread(spark):
+    text = "".join(chr(97 + k * 26 // 6000) for k in range(6000))
+    docs = spark.createDataFrame([(k, f"{k} {text}", "x") for k in range(300)], "doc_id long, text string, lang string")
+    sample = langid.labelled_sample(docs)["x"]
+    assert len(sample) == 48 and all(len(t) <= 1003 and "a" in t and "z" in t for t in sample)
+
+
 def test_language_of_awkward_texts(spark, docs):
     sample = langid.labelled_sample(docs)
     assert set(sample) == {"de", "en"}
@@ -317,6 +360,29 @@ def test_split_tree_is_exact_and_disjoint():
     assert quotas.sum(1).tolist() == [total * (s + 1) // 13 - total * s // 13 for s in range(13)]
 
 
+def test_draws_from_urns_of_any_size(monkeypatch):
+    draws = np.array([3 * 10**9, 5 * 10**9, 0, 70, 2 * 10**12])
+    quotas = np.stack([mixing.shard_quotas(draws, 5, s, 4) for s in range(5)])
+    total = int(draws.sum())
+    assert (quotas >= 0).all() and (quotas.sum(0) == draws).all()
+    assert quotas.sum(1).tolist() == [total * (s + 1) // 5 - total * s // 5 for s in range(5)]
+    # shares are those of the urn up to some standard deviations
+    for k, n in enumerate(draws.tolist()):
+        assert all(abs(q - n / 5) <= 6 * (n * 0.2 * 0.8 + 1) ** 0.5 for q in quotas[:, k].tolist())
+    # the own sampler has the law of numpy's: every probability within its sampling error
+    monkeypatch.setattr(mixing, "_NUMPY_URN", 0)
+    rng = np.random.default_rng(1)
+    for good, bad, take in ((30, 50, 20), (50, 30, 60), (7, 200, 100), (200, 7, 150), (40, 40, 40)):
+        runs = 20_000
+        mine = Counter(mixing.hypergeometric(good, bad, take, rng) for _ in range(runs))
+        from math import comb
+
+        for x in range(max(0, take - bad), min(good, take) + 1):
+            p = comb(good, x) * comb(bad, take - x) / comb(good + bad, take)
+            assert abs(mine[x] / runs - p) <= 5 * (p * (1 - p) / runs) ** 0.5 + 1e-4
+        assert min(mine) >= max(0, take - bad) and max(mine) <= min(good, take)
+
+
 def test_mixture_rows_follow_the_plan(spark, docs):
     p = mixing.MixParams(shard_size=200, blocks=8)
     times = Counter()
@@ -352,7 +418,7 @@ def test_shards_are_mixed_whatever_the_size(spark):
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        keyed = mixing.plan_mixture(docs, mixing.MixParams(shard_size=2000, blocks=4, broadcast_rows=0))
+        keyed = mixing.plan_mixture(docs, mixing.MixParams(shard_size=2000, blocks=4, broadcast_bytes=-1))
         assert "Broadcast" not in keyed._jdf.queryExecution().sparkPlan().toString()
         assert places(keyed.collect()) == places(got)
     finally:

@@ -2,7 +2,7 @@
 
 Merges never cross a pre-token, so the ids of a text are the ids of its
 pre-tokens in order. The boundaries are found for a block of texts at a time
-on arrays of code points, equal pieces are folded by Arrow's dictionary
+on arrays of UTF-8 bytes, equal pieces are folded by Arrow's dictionary
 encoding, and the tokenizers library encodes the distinct pieces. Which class
 a character belongs to is asked of the library's own pre-tokenizer, once per
 character.
@@ -16,10 +16,13 @@ import numpy as np
 import pyarrow as pa
 
 from hindcast.llm.common import worker_model
+from hindcast.llm.terms import string_bytes
 
-#: code points handled in one go, and distinct pieces remembered by a worker
-BLOCK_CHARS = 1_000_000
+#: bytes of text handled in one go, and distinct pieces remembered by a worker
+BLOCK_BYTES = 2_000_000
 CACHE_PIECES = 250_000
+#: pieces that the library gets as one text
+JOINED = 1000
 
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = 0, 1, 2, 3, 255
 #: endings that the byte-level pre-token pattern splits after an apostrophe (fixed values)
@@ -36,6 +39,9 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.pre = self.tok.pre_tokenizer
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self._fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.kind = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
         self.reset()
 
@@ -43,7 +49,8 @@ class PieceEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _kinds(self, cps: np.ndarray) -> np.ndarray:
+    def _kind_of(self, cps: np.ndarray) -> np.ndarray:
+        """Class of every code point."""
         kinds = self.kind[cps]
         new = np.unique(cps[kinds == _UNKNOWN])
         if len(new):
@@ -58,118 +65,146 @@ class PieceEncoder:
             kinds = self.kind[cps]
         return kinds
 
-    def _starts(self, cps: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+    def _kinds(self, raw: np.ndarray) -> np.ndarray:
+        """Class of the character that every byte belongs to."""
+        seen = np.flatnonzero(np.bincount(raw[raw < 0x80], minlength=128))
+        of_ascii = np.zeros(256, dtype=np.uint8)
+        of_ascii[seen] = self._kind_of(seen)
+        kinds = of_ascii[raw]
+        leads = np.flatnonzero(raw >= 0xC0)
+        if len(leads):
+            head = raw[leads].astype(np.int64)
+            more = 1 + (head >= 0xE0) + (head >= 0xF0)
+            cps = head & (0x3F >> more)
+            for k in (1, 2, 3):
+                part = more >= k
+                cps[part] = cps[part] << 6 | raw[leads[part] + k] & 0x3F
+            found = self._kind_of(cps)
+            kinds[leads] = found
+            for k in (1, 2, 3):
+                part = more >= k
+                kinds[leads[part] + k] = found[part]
+        return kinds
+
+    def _starts(self, raw: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
         """Positions where a pre-token begins; ``doc_starts`` are the first
-        positions of the (non-empty) texts laid end to end in ``cps``."""
-        n = len(cps)
-        kind = self._kinds(cps)
+        positions of the (non-empty) texts laid end to end in ``raw``."""
+        n = len(raw)
+        kind = self._kinds(raw)
         first = np.zeros(n + 1, dtype=bool)
         first[doc_starts] = True
         first[n] = True
         space = kind == _SPACE
-        change = np.empty(n, dtype=bool)
-        change[0] = True
-        np.not_equal(kind[1:], kind[:-1], out=change[1:])
-        change |= first[:n]
+        start = first[:n].copy()
+        start[1:] |= kind[1:] != kind[:-1]
         # one blank goes with the run it precedes
-        glued = np.zeros(n, dtype=bool)
-        glued[1:] = (cps[:-1] == 32) & ~space[1:] & ~first[1:n]
-        start = change & ~glued
+        start[1:] &= ~((raw[:-1] == 32) & ~space[1:] & ~first[1:n])
         # of a longer white-space run before more text, the last character stands apart
-        last_space = space.copy()
-        last_space[:-1] &= ~space[1:]
-        last_space &= ~first[1:]
-        start |= last_space
+        ends = np.flatnonzero(space & ~np.append(space[1:], False) & ~first[1:])
+        while len(back := np.flatnonzero(raw[ends] & 0xC0 == 0x80)):
+            ends[back] -= 1
+        start[ends] = True
         # a lone apostrophe that begins a piece takes a short ending with it
-        for p in np.flatnonzero((cps == 39) & start).tolist():
-            q = p + 1
-            if q >= n or first[q] or kind[q] != _LETTER:
-                continue
-            one = chr(cps[q])
-            two = one + chr(cps[q + 1]) if q + 1 < n and not first[q + 1] else ""
-            take = 1 if one in _SHORT else 2 if two in _LONG else 0
-            if take:
-                start[q] = False
-                end = q + take
-                if end < n:
-                    start[end] = start[end] or kind[end] == _LETTER
+        at = np.flatnonzero((raw == 39) & start)
+        at = at[at + 1 < n]
+        at = at[~first[at + 1] & (kind[at + 1] == _LETTER)]
+        one = raw[at + 1]
+        two = np.where((at + 2 < n) & ~first[np.minimum(at + 2, n)], raw[np.minimum(at + 2, n - 1)], 0)
+        take = np.zeros(len(at), dtype=np.int64)
+        for x, y in _LONG:
+            take[(one == ord(x)) & (two == ord(y))] = 2
+        take[np.isin(one, [ord(x) for x in _SHORT])] = 1
+        at, take = at[take > 0], take[take > 0]
+        start[at + 1] = False
+        end = at + 1 + take
+        end = end[end < n]
+        start[end] |= kind[end] == _LETTER
         return np.flatnonzero(start)
 
     def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of every piece. Two generations of
         remembered pieces: a full young one becomes the old one, and what the
         old one still answers moves over."""
-        out = list(map(self.young.get, pieces))
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
         miss = []
-        for i, got in enumerate(out):
+        for i in [i for i, got in enumerate(out) if got is None]:
+            got = old.get(pieces[i])
             if got is None:
-                got = self.old.get(pieces[i])
-                if got is None:
-                    miss.append(i)
-                else:
-                    out[i] = self.young[pieces[i]] = got
-        if miss:
-            fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-            for a in range(0, len(miss), 20_000):
-                part = miss[a : a + 20_000]
-                for i, e in zip(part, fast([pieces[i].decode("utf-8") for i in part], add_special_tokens=False)):
-                    out[i] = self.young[pieces[i]] = array("i", e.ids).tobytes()
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
+                miss.append(i)
+            else:
+                out[i] = young[pieces[i]] = got
+        for a in range(0, len(miss), 50_000):
+            part = miss[a : a + 50_000]
+            for i, ids in zip(part, self._ask([pieces[i] for i in part])):
+                out[i] = young[pieces[i]] = ids
+        if len(young) > CACHE_PIECES:
+            self.old, self.young = young, {}
+        return out
+
+    def _ask(self, pieces: list[bytes]) -> list[bytes]:
+        """The library's ids. Pieces without white space, but for a first blank,
+        go to it many at a time with a line break after each: there a piece ends
+        for the library too, and the break's id is in no other's, so the answer
+        can be cut. Whatever comes back with another number of breaks, and the
+        other pieces, are asked one by one."""
+        out: list = [None] * len(pieces)
+        # a piece that ends in white space is nothing else
+        plain = [i for i, p in enumerate(pieces) if 32 < p[-1] < 128 or p[-1] > 127 and not p.decode("utf-8")[-1].isspace()]
+        groups = [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)] if self.line is not None else []
+        answers = self._fast([b"\n".join([*(pieces[i] for i in group), b""]).decode("utf-8") for group in groups], add_special_tokens=False)
+        for group, answer in zip(groups, answers):
+            ids = np.array(answer.ids, dtype="<i4")
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) == len(group):
+                raw, at = ids.tobytes(), 0
+                for i, end in zip(group, (4 * ends).tolist()):
+                    out[i] = raw[at:end]
+                    at = end + 4
+        alone = [i for i, got in enumerate(out) if got is None]
+        for i, answer in zip(alone, self._fast([pieces[i].decode("utf-8") for i in alone], add_special_tokens=False)):
+            out[i] = array("i", answer.ids).tobytes()
         return out
 
-    def _block(self, texts: list[str]) -> list[np.ndarray]:
-        raw = "".join(texts).encode("utf-32-le", "replace")
-        cps = np.frombuffer(raw, dtype=np.uint32)
-        lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        if not len(cps):
-            return [np.empty(0, np.int32)] * len(texts)
-        bounds = np.concatenate(([0], np.cumsum(lens)))
-        starts = self._starts(cps, bounds[:-1][lens > 0])
-        width = np.ones(len(cps), dtype=np.int32)
-        for limit in (0x80, 0x800, 0x10000):
-            width += cps >= limit
-        at = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
-        offsets = at[np.append(starts, len(cps))].astype(np.int32)
-        data = pa.py_buffer("".join(texts).encode("utf-8", "replace"))
-        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), data]).dictionary_encode()
+    def _block(self, raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Ids of the texts laid end to end in ``raw``; text ``i`` reaches from
+        ``bounds[i]`` to ``bounds[i + 1]``."""
+        texts = len(bounds) - 1
+        if not len(raw):
+            return [np.empty(0, np.int32)] * texts
+        starts = self._starts(raw, bounds[:-1][bounds[1:] > bounds[:-1]])
+        offsets = np.append(starts, len(raw)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
         codes = coded.indices.to_numpy()
-        pieces = coded.dictionary.to_pylist()
-        ids = self._encode_pieces(pieces)
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        table = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.frombuffer(b"".join(ids), dtype=np.int32))
+        ids = self._encode_pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        held = pa.array(ids, pa.binary())
+        ends = np.frombuffer(held.buffers()[1], dtype=np.int32, count=len(ids) + 1) // 4
+        table = pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, held.buffers()[2]]))
         flat = table.take(pa.array(codes)).values.to_numpy()
-        after = np.concatenate(([0], np.cumsum(sizes[codes])))
+        after = np.zeros(len(codes) + 1, dtype=np.int64)
+        np.cumsum(np.diff(ends)[codes], out=after[1:])
         cut = after[np.searchsorted(starts, bounds)]
         return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text (null: none), as ``Tokenizer.encode(text,
         add_special_tokens=False)`` gives them."""
-        out: list = [None] * len(texts)
-        group: list[int] = []
-        held: list[str] = []
-        size = 0
-
-        def flush():
-            nonlocal group, held, size
-            if group:
-                for i, ids in zip(group, self._block(held)):
-                    out[i] = ids
-            group, held, size = [], [], 0
-
-        for i, v in enumerate(texts):
-            s = v.as_py() or ""
-            if any(t in s for t in self.special):
-                # the library finds its own special strings before pieces are cut
-                out[i] = np.array(self.tok.encode(s, add_special_tokens=False).ids, dtype=np.int32)
-                continue
-            group.append(i)
-            held.append(s)
-            size += len(s)
-            if size >= BLOCK_CHARS:
-                flush()
-        flush()
+        raw, bounds = string_bytes(texts)
+        out: list = []
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + BLOCK_BYTES, side="right")) - 1)
+            part = raw[bounds[lo] : bounds[hi]]
+            found = self._block(part, bounds[lo : hi + 1] - bounds[lo])
+            held = part.tobytes() if self.special else b""
+            if any(t.encode("utf-8") in held for t in self.special):
+                for i in range(lo, hi):
+                    s = texts[i].as_py() or ""
+                    if any(t in s for t in self.special):
+                        # the library finds its own special strings before pieces are cut
+                        found[i - lo] = np.array(self.tok.encode(s, add_special_tokens=False).ids, dtype=np.int32)
+            out += found
+            lo = hi
         return out
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.models.design import Design
-from hindcast.models.quantile_boost import BoostParams, QuantileBoostModel, Tree
+from hindcast.models.quantile_boost import BoostParams, QuantileBoostModel
+from hindcast.models.trees import Tree
 
 RUNS_SCHEMA = "run_id string, parent_id string, model string, kind string, key string, value string, logged_at timestamp"
 
@@ -73,26 +74,32 @@ def append_runs(rows: DataFrame, path: str) -> None:
 
 
 TREES_SCHEMA = (
-    "quantile double, round int, feature array<int>, threshold array<double>, cut array<int>, "
-    "missing_left array<boolean>, value array<double>"
+    "quantile double, round int, depth int, feature array<int>, threshold array<double>, cut array<int>, "
+    "missing_left array<boolean>, left array<int>, right array<int>, groups array<binary>, grouped array<boolean>, value array<double>"
 )
 
 
 def save_quantile_model(spark: SparkSession, model: QuantileBoostModel, path: str) -> None:
     """Every quantile's trees (one row per tree), start values and the
-    input encoding. Bounded: rounds x quantiles trees of 2 ** (max_depth + 1) nodes."""
+    input encoding. Bounded: rounds x quantiles trees of 2 * leaves nodes."""
     rows = [
-        (float(q), r, t.feature.tolist(), t.threshold.tolist(), t.cut.tolist(), t.missing_left.tolist(), t.value.tolist())
+        (
+            float(q), r, t.depth, t.feature.tolist(), t.threshold.tolist(), t.cut.tolist(), t.missing_left.tolist(),
+            t.left.tolist(), t.right.tolist(), [g.tobytes() for g in t.groups], t.grouped.tolist(), t.value.tolist(),
+        )
         for q, trees in model.trees.items()
         for r, t in enumerate(trees)
-    ]
+    ]
     spark.createDataFrame(rows, TREES_SCHEMA).write.mode("overwrite").parquet(f"{path}/trees")
     meta = [(float(q), float(v)) for q, v in model.init.items()]
     spark.createDataFrame(meta, "quantile double, init double").write.mode("overwrite").parquet(f"{path}/init")
     # the order of the inputs is the numbering that the trees split on
-    inputs = [(i, c, False) for i, c in enumerate(model.design.numeric)]
-    inputs += [(len(inputs) + i, c, True) for i, c in enumerate(model.design.encoded)]
-    spark.createDataFrame(inputs, "position int, input string, encoded boolean").write.mode("overwrite").parquet(f"{path}/inputs")
+    kinds = [(c, "number") for c in model.design.numeric] + [(c, "labels") for c in model.design.native] + [(c, "means") for c in model.design.encoded]
+    inputs = [(i, c, kind) for i, (c, kind) in enumerate(kinds)]
+    spark.createDataFrame(inputs, "position int, input string, kind string").write.mode("overwrite").parquet(f"{path}/inputs")
+    for c, labels in model.design.native.items():
+        numbered = spark.createDataFrame(list(enumerate(labels, 1))) if labels else spark.createDataFrame([], "_1 long, _2 string")
+        numbered.toDF("number", "label").write.mode("overwrite").parquet(f"{path}/labels/{c}")
     for c in model.design.encoded:  # target means, written by executors
         model.design.encodings[c].write.mode("overwrite").parquet(f"{path}/encoding/{c}")
     p = model.params
@@ -104,9 +111,13 @@ def save_quantile_model(spark: SparkSession, model: QuantileBoostModel, path: st
 def load_quantile_model(spark: SparkSession, path: str) -> QuantileBoostModel:
     """Inverse of :func:`save_quantile_model`."""
     inputs = spark.read.parquet(f"{path}/inputs").orderBy("position").collect()
-    encoded = [r["input"] for r in inputs if r["encoded"]]
-    encodings = {c: spark.read.parquet(f"{path}/encoding/{c}") for c in encoded}
-    design = Design(numeric=[r["input"] for r in inputs if not r["encoded"]], encoded=encoded, encodings=encodings)
+    of_kind = {kind: [r["input"] for r in inputs if r["kind"] == kind] for kind in ("number", "labels", "means")}
+    design = Design(
+        numeric=of_kind["number"],
+        native={c: [r["label"] for r in spark.read.parquet(f"{path}/labels/{c}").orderBy("number").collect()] for c in of_kind["labels"]},
+        encoded=of_kind["means"],
+        encodings={c: spark.read.parquet(f"{path}/encoding/{c}") for c in of_kind["means"]},
+    )
     kv = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/params").collect()}
     defaults = BoostParams()
     params = BoostParams(**{k: type(getattr(defaults, k))(v) for k, v in kv.items()})
@@ -119,7 +130,12 @@ def load_quantile_model(spark: SparkSession, path: str) -> QuantileBoostModel:
                 np.array(r["threshold"]),
                 np.array(r["cut"], np.uint8),
                 np.array(r["missing_left"], bool),
+                np.array(r["left"], np.int32),
+                np.array(r["right"], np.int32),
+                np.frombuffer(b"".join(r["groups"]), np.uint8).reshape(len(r["groups"]), -1),
+                np.array(r["grouped"], bool),
                 np.array(r["value"]),
+                r["depth"],
             )
         )
     return QuantileBoostModel(tuple(sorted(init)), design, params, init, trees)

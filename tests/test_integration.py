@@ -21,7 +21,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="no test dat
 
 def test_global_and_local_models_on_orders_panel(spark):
     raw, spec = orders_weekly(spark, SF_SMALL)
-    res = run_comparison(raw, spec, BoostParams(n_rounds=6, learning_rate=0.3, max_depth=3), AdditiveParams())
+    res = run_comparison(raw, spec, BoostParams(n_rounds=6, learning_rate=0.3, n_leaves=8), AdditiveParams())
     fc = res.forecasts.toPandas()
     assert set(fc["model"]) == {"quantile_boost", "additive"}
     per = fc.groupby(["model", "series_id"]).size()

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from hindcast.models.additive import AdditiveParams, additive_forecast
 from hindcast.models.design import fit_design
-from hindcast.models.quantile_boost import BoostParams, Tree, _leaf_values, _splits, fit_quantile_models
+from hindcast.models.quantile_boost import BoostParams, fit_quantile_models
 from hindcast.models.recursive import recursive_forecast, trimmed_history
 from hindcast.operators.features import build_feature_matrix, prepare_panel
 from hindcast.operators.split import panel_cutoff
 from hindcast.plans.comparison import run_comparison, univariate_baseline
+from hindcast.session import cut_lineage
 from hindcast.sources.sinks import load_quantile_model, save_quantile_model
 from hindcast.spec import FeatureSpec
 from tests.helpers import shop_panel, shop_spec, to_spark
 
-FAST = BoostParams(n_rounds=4, learning_rate=0.3, max_depth=3, min_instances_per_node=5, trees_per_round=2, refresh_every=1, checkpoint_every=2)
+FAST = BoostParams(n_rounds=6, learning_rate=0.3, n_leaves=8, min_instances_per_node=5, refresh_every=2, checkpoint_every=2)
 
 
 def _noisy_panel(n=60):
@@ -69,6 +70,40 @@ def test_recursive_first_step_equals_direct_prediction(fitted):
         assert rec[k] == pytest.approx(dd[k], rel=1e-12)
 
 
+def _stepwise(d, spec, model, c):
+    """The recursion over the panel itself: features of all rows, one date after another."""
+    dates = sorted(r["ds"] for r in d.where(F.col("ds") >= c).select("ds").distinct().collect())
+    work = cut_lineage(trimmed_history(d, spec, c).withColumn("p50", F.lit(None).cast("double")))
+    for dt in dates:
+        fm, _ = build_feature_matrix(work.drop("y_true", "p50"), spec, prepared=True)
+        made = model.predict(fm.where(F.col("ds") == F.lit(dt)), keep=["series_id", "ds"]).select("series_id", "ds", F.col("p50").alias("new"))
+        work = cut_lineage(work.join(made, ["series_id", "ds"], "left").withColumns({"y": F.coalesce("y", "new"), "p50": F.coalesce("p50", "new")}).drop("new"))
+    return {(r["series_id"], r["ds"]): r["p50"] for r in work.where(F.col("ds") >= c).collect()}
+
+
+@pytest.mark.parametrize("step_rows", [1, 200_000])
+def test_recursion_on_state_equals_steps_over_the_panel(spark, step_rows, monkeypatch):
+    """Ragged series, missing targets in the history, a series without history
+    and one without some of the horizon's dates."""
+    from hindcast.models import recursive
+
+    monkeypatch.setattr(recursive, "STEP_ROWS", step_rows)
+    pdf = pd.concat([_noisy_panel(40).assign(channel=k) for k in ("till", "web", "post")], ignore_index=True)
+    weeks = sorted(pdf["week"].unique())
+    rng = np.random.default_rng(1)
+    pdf.loc[rng.choice(len(pdf), 30, replace=False), "sales"] = np.nan
+    new = (pdf["shop"] == "market") & (pdf["channel"] == "post")
+    pdf = pdf[~(new & (pdf["week"] < weeks[-4]))]
+    pdf = pdf[~((pdf["channel"] == "web") & pdf["week"].isin([weeks[-5], weeks[-2], weeks[20]]))]
+    spec = shop_spec(horizon=6, lags=(1, 2, 5), rolling_windows=(2, 4, 7))
+    d = prepare_panel(to_spark(spark, pdf), spec).cache()
+    c = panel_cutoff(d, spec.horizon)
+    fm, fspec = build_feature_matrix(d, spec, prepared=True)
+    model = fit_quantile_models(fm.where(F.col("ds") < c), fspec, params=FAST)
+    got = {(r["series_id"], r["ds"]): r["p50"] for r in recursive_forecast(d, spec, model, c).collect()}
+    assert got == _stepwise(d, spec, model, c) and len(got) > 25
+
+
 def test_same_seed_same_model(spark, fitted):
     spec, d, c, fm, model = fitted
     again = fit_quantile_models(fm.where(F.col("ds") < c), build_feature_matrix(d, spec, prepared=True)[1], params=FAST)
@@ -94,56 +129,22 @@ def test_features_do_not_leak_future_targets(spark):
 def test_partitioning_does_not_change_the_model(spark, fitted):
     spec, d, c, fm, model = fitted
     fspec = build_feature_matrix(d, spec, prepared=True)[1]
-    small = BoostParams(**{**FAST.__dict__, "rows_per_partition": 7})
+    # in rounds over many partitions instead of in one task
+    small = BoostParams(**{**FAST.__dict__, "rows_per_partition": 7, "local_cells": 0})
     again = fit_quantile_models(fm.where(F.col("ds") < c).repartition(5), fspec, params=small)
     for q in model.quantiles:
         for a, b in zip(again.trees[q], model.trees[q], strict=True):
             assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist()
+            assert a.left.tolist() == b.left.tolist() and a.groups.tolist() == b.groups.tolist()
             np.testing.assert_allclose(a.threshold, b.threshold, rtol=1e-9)
             np.testing.assert_allclose(a.value, b.value, rtol=1e-9)
 
 
-def test_split_is_the_best_of_all():
-    rng = np.random.default_rng(4)
-    bins, least, q = 6, 3, 0.3
-    x, up = rng.integers(0, bins, (80, 3)), rng.random(80) < 0.5
-    counts = np.zeros((1, 3, bins, 2), dtype=np.int64)
-    for j in range(3):
-        np.add.at(counts, (0, j, x[:, j], up.astype(int)), 1)
-    g = np.where(up, q, q - 1)
-    scores = {}
-    for j in range(3):
-        for b in range(bins - 1):
-            for right in (0, 1):
-                left = ((x[:, j] >= 1) & (x[:, j] <= b + 1)) | ((x[:, j] == 0) & (right == 0))
-                if least <= left.sum() <= len(x) - least:
-                    scores[0, j, b, right] = g[left].sum() ** 2 / left.sum() + g[~left].sum() ** 2 / (~left).sum()
-    (found,) = _splits(counts, q, least)
-    assert scores[found] == pytest.approx(max(scores.values()))
-
-
-def test_leaf_values_are_quantiles_within_the_accuracy():
-    from hindcast.models.quantile_boost import _residuals
-
-    acc, rng = 0.002, np.random.default_rng(5)
-    gamma = (1 + acc) / (1 - acc)
-    y = rng.normal(0, 50, 501)
-    x = np.where(np.arange(501) < 200, 1, 2).astype(np.uint8)[:, None]
-    t = Tree.empty(1)
-    t.cut[0] = 1
-    blocks = [(x[a : a + 100], y[a : a + 100], None, np.zeros((1, len(y[a : a + 100])))) for a in range(0, 501, 100)]
-    ((_, counted),) = _residuals(blocks, [], 0.1, [(0, t)], gamma)
-    got = _leaf_values(counted, 0.25, 2, gamma)
-    for leaf, part in enumerate((y[:200], y[200:])):
-        exact = np.sort(part)[int(np.ceil(0.25 * len(part))) - 1]
-        assert got[leaf] == pytest.approx(exact, rel=2 * acc)
-
-
 def test_category_means_leave_the_rows_own_fold_out(spark):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"num": rng.normal(size=120), "cat": rng.choice(["a", "b"], 120), "y": rng.normal(size=120)})
     pdf.loc[0, "cat"] = "alone"
-    design, rows = fit_design(spark.createDataFrame(pdf), FeatureSpec(numeric=["num"], categorical=["cat"]))
+    design, rows = fit_design(spark.createDataFrame(pdf), FeatureSpec(numeric=["num"], categorical=["cat"]), max_categories=2)
     got = rows.withColumn("fold", F.pmod("__row", F.lit(5))).toPandas().merge(pdf, on="num")
     assert len(got) == 120
     for r in got.itertuples():
@@ -264,8 +265,8 @@ def test_high_cardinality_ids_are_target_encoded_and_saved(spark, tmp_path):
     d = prepare_panel(to_spark(spark, pdf), spec)
     c = panel_cutoff(d, spec.horizon)
     fm, fs = build_feature_matrix(d, spec, prepared=True)
-    model = fit_quantile_models(fm.where(F.col("ds") < c), fs, params=FAST)
-    assert model.design.encoded == ["shop", "channel"]
+    model = fit_quantile_models(fm.where(F.col("ds") < c), fs, params=BoostParams(**{**FAST.__dict__, "max_categories": 60}))
+    assert model.design.encoded == ["shop"] and model.design.native == {"channel": ["t"]}
     path = str(tmp_path / "m")
     save_quantile_model(spark, model, path)
     back = load_quantile_model(spark, path)

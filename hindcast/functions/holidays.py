@@ -1,84 +1,195 @@
-"""Holiday calendar as column expressions and as a small dimension.
-
-The default path needs no join at all: ``is_holiday(ds)`` compares the date
-with the rule dates of ``year(ds)`` inline, so the flag is one codegen'd
-expression per row, with no shuffle and no broadcast. A user-supplied calendar
-(any country) goes through :func:`holiday_flag_from_table`, a left join on
-distinct dates that AQE turns into a broadcast only when the calendar is
-measured small at runtime.
+"""Holiday calendars as column expressions and as a small dimension.
+
+A calendar is a list of rules: fixed days, n-th and last weekdays of a month,
+weekdays on or before a day, and feasts at an offset from Easter, with the years
+in which they hold and the day on which they are observed when they fall on a
+weekend. Rules become expressions of the year, so ``is_holiday(ds)`` compares the
+date with the rule dates of ``year(ds)`` inline: one codegen'd expression per
+row, with no shuffle and no broadcast. A user-supplied calendar goes through
+:func:`holiday_flag_from_table`, a left join on distinct dates that AQE turns
+into a broadcast only when the calendar is measured small at runtime.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# US federal holiday rules as published in the US code.
-# (name, month, rule, argument, first year observed under this rule)
-# rule "date": fixed day of month, shifted to Friday/Monday when it falls on
-# Saturday/Sunday (both the day and the observed day count);
-# "nth:<weekday>": n-th such weekday of the month (Monday = 0);
-# "last:<weekday>": last such weekday of the month.
-# Valid for years from 1978 (before that several holidays followed other rules).
+MON, TUE, WED, THU, FRI, SAT, SUN = range(7)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``kind``: ``date`` (``month``, ``day``), ``nth`` (``n``-th ``weekday`` of
+    ``month``), ``last`` (``weekday`` of ``month``), ``before`` (``weekday`` on or
+    before ``month``, ``day``) or ``easter`` (``day`` days after Easter Sunday).
+
+    ``shift``: where a day on a weekend is observed besides: ``nearest`` (Friday
+    before a Saturday, Monday after a Sunday), ``next`` (the next Monday) or
+    ``two`` (two days later, for the first of two days in a row and the second).
+    ``since`` and ``until``: first and last year."""
+
+    name: str
+    kind: str
+    month: int = 0
+    day: int = 0
+    weekday: int = 0
+    n: int = 0
+    shift: str = ""
+    since: int | None = None
+    until: int | None = None
+
+
+# Public holidays as published in the countries' laws.
+# US federal holidays, valid for years from 1978
 US_FEDERAL_RULES = (
-    ("New Year's Day", 1, "date", 1, None),
-    ("Martin Luther King Jr. Day", 1, "nth:0", 3, 1986),
-    ("Washington's Birthday", 2, "nth:0", 3, None),
-    ("Memorial Day", 5, "last:0", None, None),
-    ("Juneteenth National Independence Day", 6, "date", 19, 2021),
-    ("Independence Day", 7, "date", 4, None),
-    ("Labor Day", 9, "nth:0", 1, None),
-    ("Columbus Day", 10, "nth:0", 2, None),
-    ("Veterans Day", 11, "date", 11, None),
-    ("Thanksgiving", 11, "nth:3", 4, None),
-    ("Christmas Day", 12, "date", 25, None),
+    Rule("New Year's Day", "date", 1, 1, shift="nearest"),
+    Rule("Martin Luther King Jr. Day", "nth", 1, weekday=MON, n=3, since=1986),
+    Rule("Washington's Birthday", "nth", 2, weekday=MON, n=3),
+    Rule("Memorial Day", "last", 5, weekday=MON),
+    Rule("Juneteenth National Independence Day", "date", 6, 19, shift="nearest", since=2021),
+    Rule("Independence Day", "date", 7, 4, shift="nearest"),
+    Rule("Labor Day", "nth", 9, weekday=MON, n=1),
+    Rule("Columbus Day", "nth", 10, weekday=MON, n=2),
+    Rule("Veterans Day", "date", 11, 11, shift="nearest"),
+    Rule("Thanksgiving", "nth", 11, weekday=THU, n=4),
+    Rule("Christmas Day", "date", 12, 25, shift="nearest"),
+)
+# England and Wales, valid for years from 1978; days proclaimed for one year only are left out
+GB_RULES = (
+    Rule("New Year's Day", "date", 1, 1, shift="next"),
+    Rule("Good Friday", "easter", day=-2),
+    Rule("Easter Monday", "easter", day=1),
+    Rule("Early May Bank Holiday", "nth", 5, weekday=MON, n=1),
+    Rule("Spring Bank Holiday", "last", 5, weekday=MON),
+    Rule("Summer Bank Holiday", "last", 8, weekday=MON),
+    Rule("Christmas Day", "date", 12, 25, shift="two"),
+    Rule("Boxing Day", "date", 12, 26, shift="two"),
+)
+# Germany, days that hold in all states, valid for years from 1991
+DE_RULES = (
+    Rule("Neujahr", "date", 1, 1),
+    Rule("Karfreitag", "easter", day=-2),
+    Rule("Ostermontag", "easter", day=1),
+    Rule("Tag der Arbeit", "date", 5, 1),
+    Rule("Christi Himmelfahrt", "easter", day=39),
+    Rule("Pfingstmontag", "easter", day=50),
+    Rule("Tag der Deutschen Einheit", "date", 10, 3),
+    Rule("Reformationstag", "date", 10, 31, since=2017, until=2017),
+    Rule("Buss- und Bettag", "before", 11, 22, weekday=WED, until=1994),
+    Rule("Erster Weihnachtstag", "date", 12, 25),
+    Rule("Zweiter Weihnachtstag", "date", 12, 26),
+)
+# France, valid for years from 1982
+FR_RULES = (
+    Rule("Jour de l'an", "date", 1, 1),
+    Rule("Lundi de Paques", "easter", day=1),
+    Rule("Fete du travail", "date", 5, 1),
+    Rule("Fete de la Victoire", "date", 5, 8),
+    Rule("Ascension", "easter", day=39),
+    Rule("Lundi de Pentecote", "easter", day=50),
+    Rule("Fete nationale", "date", 7, 14),
+    Rule("Assomption", "date", 8, 15),
+    Rule("Toussaint", "date", 11, 1),
+    Rule("Armistice", "date", 11, 11),
+    Rule("Noel", "date", 12, 25),
 )
 
-SUPPORTED_COUNTRIES = {"US": US_FEDERAL_RULES}
+SUPPORTED_COUNTRIES = {"US": US_FEDERAL_RULES, "GB": GB_RULES, "DE": DE_RULES, "FR": FR_RULES}
+
+
+def rules_of(country: str) -> tuple[Rule, ...]:
+    rules = SUPPORTED_COUNTRIES.get(country.upper())
+    if rules is None:
+        raise ValueError(f"no built-in holiday rules for {country!r}; use holiday_flag_from_table")
+    return rules
+
+
+def easter(year: Column) -> Column:
+    """Easter Sunday of the Gregorian calendar: the Sunday after the paschal
+    full moon, which follows from the year's place in the lunar cycle of 19
+    years, the century's leap days and its lunar correction."""
+
+    def div(x: Column, n: int) -> Column:
+        return F.floor(x / F.lit(n)).cast("int")
+
+    century = div(year, 100) + 1
+    golden = F.pmod(year, F.lit(19))
+    # days from 21 March to the full moon; two rare values are one less
+    moon = F.pmod(F.lit(19) * golden + century - 1 - div(century - 1, 4) - div(F.lit(8) * (century - 1) + 13, 25) + 15, F.lit(30))
+    moon = F.when((moon == 29) | ((moon == 28) & (golden > 10)), moon - 1).otherwise(moon)
+    full = F.date_add(F.make_date(year, F.lit(3), F.lit(21)), moon.cast("int"))
+    return F.date_add(full, F.lit(7) - F.pmod(F.weekday(full) + 1, F.lit(7)).cast("int"))
 
 
-def _observed(d: Column) -> Column:
-    wd = F.weekday(d)
-    return F.when(wd == 5, F.date_sub(d, 1)).when(wd == 6, F.date_add(d, 1)).otherwise(d)
+def _weekday_on_or_before(day: Column, weekday: int) -> Column:
+    return F.date_sub(day, F.pmod(F.weekday(day) - F.lit(weekday), F.lit(7)).cast("int"))
 
 
-def _rule_dates(year: Column, month: int, rule: str, arg) -> list[Column]:
-    """The dates a rule marks in ``year`` (day itself and observed day)."""
-    if rule == "date":
-        d = F.make_date(year, F.lit(month), F.lit(arg))
-        return [d, _observed(d)]
-    kind, wd = rule.split(":")
-    wd = int(wd)
-    first = F.make_date(year, F.lit(month), F.lit(1))
-    if kind == "nth":
-        offset = F.pmod(F.lit(wd) - F.weekday(first), F.lit(7)) + F.lit(7 * (arg - 1))
-        return [F.date_add(first, offset.cast("int"))]
-    last = F.last_day(first)
-    return [F.date_sub(last, F.pmod(F.weekday(last) - F.lit(wd), F.lit(7)).cast("int"))]
+def _day(rule: Rule, year: Column) -> Column:
+    if rule.kind == "date":
+        return F.make_date(year, F.lit(rule.month), F.lit(rule.day))
+    if rule.kind == "easter":
+        return F.date_add(easter(year), rule.day)
+    if rule.kind == "nth":
+        return _weekday_on_or_before(F.make_date(year, F.lit(rule.month), F.lit(7 * rule.n)), rule.weekday)
+    if rule.kind == "last":
+        return _weekday_on_or_before(F.last_day(F.make_date(year, F.lit(rule.month), F.lit(1))), rule.weekday)
+    if rule.kind == "before":
+        return _weekday_on_or_before(F.make_date(year, F.lit(rule.month), F.lit(rule.day)), rule.weekday)
+    raise ValueError(f"unknown kind of holiday rule {rule.kind!r}")
+
+
+def _observed(day: Column, shift: str) -> Column:
+    """The day on which a holiday on a weekend is observed; other days stay."""
+    after = {"nearest": (-1, 1), "next": (2, 1), "two": (2, 2)}[shift]
+    wd = F.weekday(day)
+    return F.when(wd == SAT, F.date_add(day, after[0])).when(wd == SUN, F.date_add(day, after[1])).otherwise(day)
+
+
+def _holds(rule: Rule, year: Column) -> Column | None:
+    terms = [year >= rule.since] if rule.since else []
+    terms += [year <= rule.until] if rule.until else []
+    return terms[0] if len(terms) == 1 else terms[0] & terms[1] if terms else None
+
+
+def rule_dates(rule: Rule, year: Column) -> list[Column]:
+    """The dates a rule marks for ``year``: the day and, where another one may be
+    observed, that; null in years in which it does not hold. The Friday before a
+    New Year's Day on a Saturday is a date of the year that ends as well."""
+    day = _day(rule, year)
+    dates = [day]
+    if rule.shift:
+        dates.append(_observed(day, rule.shift))
+    if rule.shift == "nearest" and (rule.month, rule.day) == (1, 1):
+        following = _day(rule, year + 1)
+        dates.append(F.when(F.weekday(following) == SAT, F.date_sub(following, 1)))
+    holds = _holds(rule, year)
+    return dates if holds is None else [F.when(holds, d) for d in dates]
 
 
 def holiday_dates(year: Column, country: str = "US") -> Column:
-    """array<struct<name, date>> of holidays (and observed days) of ``year``.
+    """array<struct<name, date>> of holidays (and observed days) of ``year``."""
+    items = [F.struct(F.lit(r.name).alias("name"), d.alias("date")) for r in rules_of(country) for d in rule_dates(r, year)]
+    return F.filter(F.array(*items), lambda x: x["date"].isNotNull())
 
-    Includes 31 December when the next New Year's Day falls on a Saturday.
-    """
-    rules = SUPPORTED_COUNTRIES.get(country.upper())
-    if rules is None:
-        raise ValueError(f"no built-in holiday rules for {country!r}; pass a calendar table")
-    items: list[Column] = []
-    for name, month, rule, arg, since in rules:
-        for d in _rule_dates(year, month, rule, arg):
-            keep = F.lit(True) if since is None else (year >= F.lit(since))
-            items.append(F.when(keep, F.struct(F.lit(name).alias("name"), d.alias("date"))))
-    # New Year's Day of next year observed on the last Friday of this year
-    nxt = F.make_date(year + 1, F.lit(1), F.lit(1))
-    items.append(
-        F.when(
-            F.weekday(nxt) == 5,
-            F.struct(F.lit("New Year's Day (observed)").alias("name"), F.date_sub(nxt, 1).alias("date")),
-        )
-    )
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+def holiday_flags(ds: Column, country: str | None) -> list[tuple[str, Column]]:
+    """Per holiday of the country, its name and a flag; none without country."""
+    if not country:
+        return []
+    d = F.to_date(ds)
+    year = F.year(d)
+    return [(r.name, F.coalesce(_any([d == x for x in rule_dates(r, year)]), F.lit(False))) for r in rules_of(country)]
+
+
+def _any(terms: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in terms:
+        out = out | F.coalesce(t, F.lit(False))
+    return out
 
 
 def is_holiday(ds: Column, country: str | None) -> Column:
@@ -86,25 +197,17 @@ def is_holiday(ds: Column, country: str | None) -> Column:
 
     A plain OR of date comparisons against the rules evaluated for
     ``year(ds)`` -- no array, no lambda -- so it stays inside whole-stage
-    codegen, and needs no join or broadcast."""
+    codegen, and needs no join or broadcast. All feasts that move with Easter
+    share one comparison."""
     if not country:
         return F.lit(0)
-    rules = SUPPORTED_COUNTRIES.get(country.upper())
-    if rules is None:
-        raise ValueError(f"no built-in holiday rules for {country!r}; use holiday_flag_from_table")
     d = F.to_date(ds)
     year = F.year(d)
-    hit = F.lit(False)
-    for _name, month, rule, arg, since in rules:
-        month_hit = F.lit(False)
-        for date_expr in _rule_dates(year, month, rule, arg):
-            month_hit = month_hit | (d == date_expr)
-        if since is not None:
-            month_hit = month_hit & (year >= F.lit(since))
-        hit = hit | month_hit
-    nxt = F.make_date(year + 1, F.lit(1), F.lit(1))
-    hit = hit | ((F.weekday(nxt) == 5) & (d == F.date_sub(nxt, 1)))
-    return F.coalesce(hit, F.lit(False)).cast("int")
+    hits = [d == x for r in rules_of(country) if r.kind != "easter" for x in rule_dates(r, year)]
+    offsets = [r.day for r in rules_of(country) if r.kind == "easter"]
+    if offsets:
+        hits.append(F.datediff(d, easter(year)).isin(offsets))
+    return _any(hits).cast("int")
 
 
 def holiday_table(spark: SparkSession, first_year: int, last_year: int, country: str = "US") -> DataFrame:

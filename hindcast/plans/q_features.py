@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hindcast.functions.holidays import holiday_table, year_range
+from hindcast.functions.holidays import holiday_table, is_holiday, year_range
 from hindcast.operators.features import build_feature_matrix, prepare_panel
 from hindcast.plans.catalog import register
-from hindcast.plans.sqlgen import PANEL_SQL, feature_names_sql, features_cte, holiday_ctes, prepared_sql, rounded
+from hindcast.plans.sqlgen import PANEL_SQL, calendars_sql, feature_names_sql, features_cte, holiday_ctes, prepared_sql, rounded
 from hindcast.sources.panels import PANEL_COLUMNS, PANELS, SPECS
 
 _DOUBLE_SOURCE = {"total_price", "total_value", "revenue", "quantity"}
@@ -114,3 +114,38 @@ def q_feature_rows_on_holidays(spark, sf_dir):
     df, spec = PANELS["P1"](spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
     return fm.where(F.col("is_holiday") == 1).select("series_id", "ds", "y")
+
+
+_CALENDARS = ("DE", "FR", "GB", "US")
+
+
+@register(
+    "holiday_calendars",
+    ("C6", "J1", "A2"),
+    calendars_sql(PANEL_SQL["P2"]),
+    note="holidays of four countries over the panel's years: movable feasts, observed days, years of validity",
+)
+def q_holiday_calendars(spark, sf_dir):
+    df, _ = PANELS["P2"](spark, sf_dir)
+    yr = year_range(df, "day").first()
+    parts = [
+        holiday_table(spark, int(yr["min_year"]), int(yr["max_year"]), c).select(F.lit(c).alias("country"), "date").distinct() for c in _CALENDARS
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@register(
+    "feature_rows_on_holidays_abroad",
+    ("C6", "J1"),
+    calendars_sql(PANEL_SQL["P2"], prefix=f"base AS ({prepared_sql(PANEL_SQL['P2'], SPECS['P2'])}),\n", select="""
+SELECT c.country, base.series_id, base.ds, base.y FROM base JOIN calendar AS c ON c.date = base.ds"""),
+    note="inline flags of every country hold exactly on its calendar's dates",
+)
+def q_feature_rows_on_holidays_abroad(spark, sf_dir):
+    df, spec = PANELS["P2"](spark, sf_dir)
+    d = prepare_panel(df, spec)
+    flags = F.array(*[F.when(is_holiday(F.col("ds"), c) == 1, F.lit(c)) for c in _CALENDARS])
+    return d.select(F.explode(F.array_compact(flags)).alias("country"), "series_id", "ds", "y")

@@ -174,3 +174,34 @@ def features_cte(panel: str, spec: PanelSpec, present: list[str]) -> str:
 def cutoff_sql(src: str, horizon: int) -> str:
     """Scalar: H-th largest distinct date of ``src``."""
     return f"(SELECT min(ds) FROM (SELECT DISTINCT ds FROM {src} WHERE ds IS NOT NULL ORDER BY ds DESC LIMIT {horizon}))"
+
+
+def calendars_sql(panel: str, prefix: str = "", select: str = "\nSELECT DISTINCT country, date FROM calendar") -> str:
+    """Holidays of four countries over the years of a daily panel. Easter by the
+    epact and the Sunday number, in integers."""
+    return f"""
+WITH {prefix}yrs AS (SELECT unnest(range(min(year(day)), max(year(day)) + 1))::INTEGER AS y FROM ({panel}) AS p),
+e1 AS (SELECT y, y % 19 + 1 AS golden, y // 100 + 1 AS c FROM yrs),
+e2 AS (SELECT *, 3 * c // 4 - 12 AS leap, (8 * c + 5) // 25 - 5 AS lunar FROM e1),
+e3 AS (SELECT *, 5 * y // 4 - leap - 10 AS sun, (11 * golden + 20 + lunar - leap) % 30 AS e FROM e2),
+e4 AS (SELECT *, CASE WHEN (e = 25 AND golden > 11) OR e = 24 THEN e + 1 ELSE e END AS epact FROM e3),
+e5 AS (SELECT *, CASE WHEN 44 - epact < 21 THEN 74 - epact ELSE 44 - epact END AS moon FROM e4),
+feast AS (SELECT y, make_date(y, 3, 1) + (moon + 7 - (sun + moon) % 7 - 1)::INTEGER AS sunday FROM e5),
+moved(country, after) AS (VALUES ('GB', -2), ('GB', 1), ('DE', -2), ('DE', 1), ('DE', 39), ('DE', 50), ('FR', 1), ('FR', 39), ('FR', 50)),
+fixed(country, m, d, sat, sun, since, until) AS (VALUES
+  ('US', 1, 1, -1, 1, 0, 9999), ('US', 6, 19, -1, 1, 2021, 9999), ('US', 7, 4, -1, 1, 0, 9999), ('US', 11, 11, -1, 1, 0, 9999), ('US', 12, 25, -1, 1, 0, 9999),
+  ('GB', 1, 1, 2, 1, 0, 9999), ('GB', 12, 25, 2, 2, 0, 9999), ('GB', 12, 26, 2, 2, 0, 9999),
+  ('DE', 1, 1, 0, 0, 0, 9999), ('DE', 5, 1, 0, 0, 0, 9999), ('DE', 10, 3, 0, 0, 0, 9999), ('DE', 10, 31, 0, 0, 2017, 2017), ('DE', 12, 25, 0, 0, 0, 9999), ('DE', 12, 26, 0, 0, 0, 9999),
+  ('FR', 1, 1, 0, 0, 0, 9999), ('FR', 5, 1, 0, 0, 0, 9999), ('FR', 5, 8, 0, 0, 0, 9999), ('FR', 7, 14, 0, 0, 0, 9999), ('FR', 8, 15, 0, 0, 0, 9999), ('FR', 11, 1, 0, 0, 0, 9999), ('FR', 11, 11, 0, 0, 0, 9999), ('FR', 12, 25, 0, 0, 0, 9999)),
+-- a weekday (Monday 1) of a month: at or after the given day, or within the seven days up to it
+floating(country, m, wd, upto, since, until) AS (VALUES
+  ('US', 1, 1, 21, 1986, 9999), ('US', 2, 1, 21, 0, 9999), ('US', 5, 1, 31, 0, 9999), ('US', 9, 1, 7, 0, 9999), ('US', 10, 1, 14, 0, 9999), ('US', 11, 4, 28, 0, 9999),
+  ('GB', 5, 1, 7, 0, 9999), ('GB', 5, 1, 31, 0, 9999), ('GB', 8, 1, 31, 0, 9999), ('DE', 11, 3, 22, 0, 1994)),
+days AS (SELECT country, make_date(y, m, d) AS date, sat, sun FROM yrs, fixed WHERE y BETWEEN since AND until),
+calendar AS (
+  SELECT country, date FROM days
+  UNION SELECT country, date + CASE isodow(date) WHEN 6 THEN sat WHEN 7 THEN sun ELSE 0 END FROM days
+  UNION SELECT 'US', make_date(y + 1, 1, 1) - 1 FROM yrs WHERE isodow(make_date(y + 1, 1, 1)) = 6
+  UNION SELECT country, make_date(y, m, upto) - ((isodow(make_date(y, m, upto)) - wd + 7) % 7)::INTEGER FROM yrs, floating WHERE y BETWEEN since AND until
+  UNION SELECT country, sunday + after FROM feast, moved
+){select}"""

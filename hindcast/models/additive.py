@@ -2,19 +2,26 @@
 
 Structure after Taylor & Letham (2018): piecewise-linear trend with hinge
 changepoints over the first 80% of the history, yearly Fourier seasonality
-(order 10), optional weekly seasonality (order 3) and an optional holiday
-regressor, fitted by ridge least squares; the 80% interval is
-``yhat -/+ z(0.9) * sigma`` of the in-sample residuals. It does not reproduce
-the sampler-based library's numbers.
+(order 10), optional weekly seasonality (order 3) and one regressor per holiday
+of the country. The fit is the posterior mode: squared error plus Laplace priors
+on the changes of slope, which make most of them exactly zero, and normal priors
+on the seasonal and holiday terms; the noise's variance is fitted with them. It
+does not reproduce the sampler-based library's numbers.
+
+Changes of slope by coordinate descent on the normal equations from which the
+other coefficients have been eliminated, for all series of a bucket at once; the
+signs found are then solved for exactly. The 80% interval is that of the noise
+plus that of changes of slope to come: they arrive at the rate of the past
+changepoints with Laplace sizes of the mean past change, so the trend's variance
+``h`` beyond the history is ``2 * size^2 * rate * h^3 / 3``.
 
 Distribution: the fit is one grouped map over hash buckets of series -- one
-shuffle brings each series' training rows to one task, where numpy solves a
-small dense ridge system per series and returns ONE coefficient row per
-series (the model artifact). A series' length is bounded by the number of
-periods in the calendar (the panel key ``(series_id, ds)`` is unique) and a
-bucket by a fixed number of series, so no group grows with the data volume. Prediction is pure Spark: rows join their coefficient row and the
-design (trend, changepoint hinges via ``aggregate``, Fourier, holiday) and
-``x . beta`` are column expressions.
+shuffle brings each series' training rows to one task, which returns ONE
+coefficient row per series (the model artifact). A series' length is bounded by
+the number of periods in the calendar (the panel key ``(series_id, ds)`` is
+unique) and a bucket by a fixed number of series, so no group grows with the
+data volume. Prediction is pure Spark: rows join their coefficient row and the
+design row and ``x . beta`` are column expressions.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.functions.holidays import is_holiday
+from hindcast.functions.holidays import holiday_flags
 from hindcast.operators.split import panel_cutoff
 from hindcast.spec import PanelSpec
 
@@ -43,19 +50,23 @@ class AdditiveParams:
     weekly_order: int = 3
     weekly_seasonality: bool = False
     use_holidays: bool = True
-    ridge: float = 1.0
-    changepoint_ridge: float = 10.0
+    #: scales of the priors: Laplace of a change of slope, normal of the other terms
+    changepoint_scale: float = 0.05
+    term_scale: float = 10.0
+    #: rounds of coefficients and noise in turn, and sweeps of coordinate descent in each
+    noise_rounds: int = 3
+    sweeps: int = 2000
 
 
 COEF_SCHEMA = (
     "series_id string, t0 double, span double, scale double, sigma double, n_train long, "
-    "cps array<double>, beta array<double>"
+    "cps array<double>, beta array<double>, slope_penalty double, term_penalty double, change_size double"
 )
 
-_EMPTY = pd.DataFrame(columns=["series_id", "t0", "span", "scale", "sigma", "n_train", "cps", "beta"])
+_EMPTY = pd.DataFrame(columns=[c.split()[0] for c in COEF_SCHEMA.split(", ")])
 
 
-def _design(t_days: np.ndarray, t0: float, span: float, cps: np.ndarray, hol: np.ndarray, p: AdditiveParams):
+def _design(t_days: np.ndarray, t0: float, span: float, cps: np.ndarray, flags: np.ndarray, p: AdditiveParams):
     ts = (t_days - t0) / span
     cols = [np.ones_like(ts), ts]
     for c in cps:
@@ -67,42 +78,122 @@ def _design(t_days: np.ndarray, t0: float, span: float, cps: np.ndarray, hol: np
         for k in range(1, p.weekly_order + 1):
             a = 2 * np.pi * k * t_days / 7.0
             cols += [np.sin(a), np.cos(a)]
-    if p.use_holidays:
-        cols.append(hol)
-    return np.column_stack(cols)
-
-
-def fit_series(pdf: pd.DataFrame, p: AdditiveParams) -> pd.DataFrame:
-    """Ridge fit of one series' training rows -> one coefficient row.
-    Series with fewer than two training rows are skipped (F11)."""
-    train = pdf[pdf["y"].notna()].sort_values("t")
-    if len(train) < 2:
-        return _EMPTY
-    t_tr = train["t"].to_numpy(dtype=float)
-    t0, span = float(t_tr.min()), float(max(t_tr.max() - t_tr.min(), 1.0))
-    n_cp = min(p.n_changepoints, max(len(train) - 2, 0))
-    cps = np.linspace(0, p.changepoint_range, n_cp + 2)[1:-1] if n_cp > 0 else np.array([])
-    X = _design(t_tr, t0, span, cps, train["hol"].to_numpy(dtype=float), p)
-    y = train["y"].to_numpy(dtype=float)
-    scale = float(max(np.abs(y).max(), 1e-12))
-    pen = np.full(X.shape[1], p.ridge)
-    pen[:2] = 0.0  # intercept and base slope are not shrunk
-    pen[2 : 2 + len(cps)] = p.changepoint_ridge
-    beta = np.linalg.solve(X.T @ X + np.diag(pen), X.T @ (y / scale))
-    resid = y / scale - X @ beta
-    sigma = float(np.sqrt(np.sum(resid**2) / max(len(y) - 1, 1)))
-    return pd.DataFrame(
-        {
-            "series_id": [train["series_id"].iloc[0]],
-            "t0": [t0],
-            "span": [span],
-            "scale": [scale],
-            "sigma": [sigma],
-            "n_train": [len(train)],
-            "cps": [cps.astype(float).tolist()],
-            "beta": [beta.astype(float).tolist()],
-        }
-    )
+    return np.column_stack([*cols, flags])
+
+
+def sparse_slopes(G: np.ndarray, c: np.ndarray, penalty: np.ndarray, sweeps: int) -> np.ndarray:
+    """Minimise ``d'Gd / 2 - c'd + penalty |d|_1`` for every series (rows of
+    ``G`` [S, k, k] and ``c`` [S, k]): coordinate descent, then the exact
+    solution for the signs found, taken where it satisfies the conditions of
+    optimality better."""
+    S, k = c.shape
+    d = np.zeros((S, k))
+    if not k:
+        return d
+    diag = np.maximum(G[:, np.arange(k), np.arange(k)], 1e-300)
+    g = c.copy()  # c - G d
+    best, worst = d.copy(), np.full(S, np.inf)
+    for sweep in range(sweeps):
+        for j in range(k):
+            u = g[:, j] + diag[:, j] * d[:, j]
+            new = np.sign(u) * np.maximum(np.abs(u) - penalty, 0.0) / diag[:, j]
+            step = new - d[:, j]
+            g -= G[:, :, j] * step[:, None]
+            d[:, j] = new
+        if sweep % 25 == 24 or sweep == sweeps - 1:
+            for tried in (d, _exact(G, c, penalty, d)):
+                off = violation(c - np.einsum("sij,sj->si", G, tried), tried, penalty)
+                better = off < worst
+                best[better], worst[better] = tried[better], off[better]
+            if (worst <= 1e-9 * (1.0 + penalty)).all():
+                break
+    return best
+
+
+def _exact(G: np.ndarray, c: np.ndarray, penalty: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The stationary point for the signs of ``d``; coordinates whose sign
+    turns there are zero."""
+    sign = np.sign(d)
+    held = sign != 0
+    A = np.where(held[:, :, None] & held[:, None, :], G, 0.0)
+    k = np.arange(G.shape[1])
+    A[:, k, k] = np.where(held, A[:, k, k] + 1e-12 * (1 + A[:, k, k]), 1.0)
+    out = np.linalg.solve(A, np.where(held, c - penalty[:, None] * sign, 0.0)[..., None])[..., 0]
+    return np.where(np.sign(out) == sign, out, 0.0)
+
+
+def violation(g: np.ndarray, d: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    """How far the conditions of optimality are missed: ``g = penalty * sign(d)``
+    where ``d`` is not zero, ``|g| <= penalty`` elsewhere."""
+    lam = penalty[:, None]
+    return np.where(d != 0, np.abs(g - lam * np.sign(d)), np.maximum(np.abs(g) - lam, 0.0)).max(axis=1)
+
+
+def _solve_all(A: np.ndarray, b: np.ndarray, yy: np.ndarray, n: np.ndarray, k: int, p: AdditiveParams):
+    """Coefficients [S, m] and penalties of series with ``k`` changepoints,
+    from their normal equations. Columns 0 and 1 are not shrunk."""
+    m = A.shape[1]
+    hinge = np.zeros(m, bool)
+    hinge[2 : 2 + k] = True
+    z, h = np.flatnonzero(~hinge), np.flatnonzero(hinge)
+    ridge = np.where(z < 2, 0.0, 1.0)
+    Azz, Azh, Ahh = A[:, z][:, :, z], A[:, z][:, :, h], A[:, h][:, :, h]
+
+    def others(term: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+        # the first two columns coincide where all rows share one date: as little as needed holds them apart
+        P = Azz + np.eye(len(z)) * (ridge[None, :] * term[:, None] + 1e-10 * n[:, None])[:, :, None]
+        return np.linalg.solve(P, rhs)
+
+    def noise(beta: np.ndarray) -> np.ndarray:
+        rss = yy - 2 * (beta * b).sum(1) + np.einsum("si,sij,sj->s", beta, A, beta)
+        return np.maximum(rss / np.maximum(n - 1, 1), 1e-6)
+
+    beta = np.zeros((len(A), m))
+    beta[:, z] = others(np.full(len(A), 1e-2), b[:, z, None])[..., 0]
+    for _ in range(p.noise_rounds):
+        variance = noise(beta)
+        slope, term = variance / p.changepoint_scale, variance / p.term_scale**2
+        if k:
+            both = others(term, np.concatenate((Azh, b[:, z, None]), axis=2))
+            G = Ahh - np.einsum("szi,szj->sij", Azh, both[:, :, :-1])
+            c = b[:, h] - np.einsum("szi,sz->si", Azh, both[:, :, -1])
+            d = sparse_slopes((G + G.swapaxes(1, 2)) / 2, c, slope, p.sweeps)
+            beta[:, h] = d
+            beta[:, z] = both[:, :, -1] - np.einsum("szi,si->sz", both[:, :, :-1], d)
+        else:
+            beta[:, z] = others(term, b[:, z, None])[..., 0]
+    return beta, np.sqrt(noise(beta)), slope, term
+
+
+def fit_bucket(pdf: pd.DataFrame, p: AdditiveParams) -> pd.DataFrame:
+    """One coefficient row for every series of a bucket that has two training
+    rows at least (F11). Series with equally many changepoints are solved
+    together."""
+    alike: dict[int, list] = {}
+    for sid, g in pdf[pdf["y"].notna()].groupby("series_id", sort=False):
+        if len(g) < 2:
+            continue
+        t = g["t"].to_numpy(dtype=float)
+        order = np.argsort(t, kind="stable")
+        t, y = t[order], g["y"].to_numpy(dtype=float)[order]
+        flags = np.array(g["flags"].tolist(), dtype=float).reshape(len(g), -1)[order]
+        t0, span = float(t.min()), float(max(t.max() - t.min(), 1.0))
+        k = min(p.n_changepoints, max(len(t) - 2, 0))
+        cps = np.linspace(0, p.changepoint_range, k + 2)[1:-1] if k else np.array([])
+        X = _design(t, t0, span, cps, flags, p)
+        scale = float(max(np.abs(y).max(), 1e-12))
+        y = y / scale
+        alike.setdefault(k, []).append((sid, t0, span, scale, len(t), cps, X.T @ X, X.T @ y, float(y @ y)))
+    rows = []
+    for k, found in alike.items():
+        sid, t0, span, scale, n, cps, A, b, yy = zip(*found)
+        beta, sigma, slope, term = _solve_all(np.stack(A), np.stack(b), np.array(yy), np.array(n, dtype=float), k, p)
+        size = np.abs(beta[:, 2 : 2 + k]).mean(axis=1) if k else np.zeros(len(beta))
+        rows += [
+            (sid[i], t0[i], span[i], scale[i], float(sigma[i]), n[i], cps[i].tolist(), beta[i].tolist(), float(slope[i]), float(term[i]), float(size[i]))
+            for i in range(len(found))
+        ]
+    return pd.DataFrame(rows, columns=_EMPTY.columns) if rows else _EMPTY
 
 
 def _day_number(ds: Column) -> Column:
@@ -119,76 +210,84 @@ def fit_additive(
     """K5 fit: one coefficient row per series (the local model's artifact,
     S9). Rows at or after ``cutoff`` are not used; ``cutoff=None`` fits on the
     whole history (for forecasting past its end). Holidays are flagged by
-    Spark before the shuffle; only the dense solves run in Python.
+    Spark before the shuffle; only the solves run in Python.
 
     Series are hashed into ``ceil(n_series / series_per_group)`` buckets (the
     count is one ``approx_count_distinct``), and each bucket is one grouped-map
-    call that fits its series one by one: a group is bounded by
+    call that solves its series together: a group is bounded by
     ``series_per_group`` series of calendar-bounded length, and the per-call
     Arrow/pandas overhead is paid per bucket, not per series."""
     rows = d if cutoff is None else d.where(F.col("ds") < cutoff)
-    inp = rows.select(
-        "series_id",
-        F.col("y").cast("double").alias("y"),
-        _day_number(F.col("ds")).alias("t"),
-        is_holiday(F.col("ds"), spec.holiday_country if params.use_holidays else None).cast("double").alias("hol"),
-    )
+    inp = rows.select("series_id", F.col("y").cast("double").alias("y"), _day_number(F.col("ds")).alias("t"), _flags(spec, params).alias("flags"))
     n_series = inp.agg(F.approx_count_distinct("series_id").alias("n")).first()["n"] or 1
     # at least one group per core of the cluster, so that few series do not share one task
     cores = rows.sparkSession.sparkContext.defaultParallelism
     buckets = max(1, -(-int(n_series) // series_per_group), min(int(n_series), cores))
     keyed = inp.withColumn("__bucket", F.pmod(F.xxhash64("series_id"), F.lit(buckets)))
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [fit_series(g, params) for _, g in pdf.groupby("series_id", sort=False)]
-        parts = [p for p in parts if len(p)]
-        return pd.concat(parts, ignore_index=True) if parts else _EMPTY
+    return keyed.groupBy("__bucket").applyInPandas(lambda pdf: fit_bucket(pdf, params), COEF_SCHEMA)
+
 
-    return keyed.groupBy("__bucket").applyInPandas(fn, COEF_SCHEMA)
+def _flags(spec: PanelSpec, params: AdditiveParams) -> Column:
+    """A 0/1 per holiday of the country."""
+    flags = holiday_flags(F.col("ds"), spec.holiday_country if params.use_holidays else None)
+    return F.array(*[f.cast("double") for _, f in flags]).cast("array<double>")
 
 
-def _b(i: Column) -> Column:
-    """beta[i] (0-based) of the joined coefficient row."""
-    return F.element_at(F.col("beta"), (i + 1).cast("int"))
+def design_row(spec: PanelSpec, params: AdditiveParams) -> Column:
+    """The design of a row that has been joined to its coefficients, in the
+    order of ``beta``."""
+    t = _day_number(F.col("ds"))
+    ts = (t - F.col("t0")) / F.col("span")
+    waves = [(k, 365.25) for k in range(1, params.yearly_order + 1)]
+    if params.weekly_seasonality:
+        waves += [(k, 7.0) for k in range(1, params.weekly_order + 1)]
+    angles = [t * F.lit(2 * math.pi * k / period) for k, period in waves]
+    seasons = [f(a) for a in angles for f in (F.sin, F.cos)]
+    hinges = F.transform("cps", lambda c: F.greatest(ts - c, F.lit(0.0)))
+    return F.concat(F.array(F.lit(1.0), ts), hinges, F.array(*seasons).cast("array<double>"), _flags(spec, params))
 
 
 def predict_additive(
     coefs: DataFrame, rows: DataFrame, spec: PanelSpec, params: AdditiveParams = AdditiveParams()
 ) -> DataFrame:
     """K5 predict: ``rows`` (series_id, ds, ...) joined to their series'
-    coefficients; the design row (trend, hinges, Fourier, holiday) and
+    coefficients; the design row (trend, hinges, Fourier, holidays) and
     ``x . beta`` are built with Spark expressions, so scoring needs no Python.
-    Series without coefficients get no prediction (inner join)."""
-    t = _day_number(F.col("ds"))
+    The interval widens beyond the history. Series without coefficients get no
+    prediction (inner join)."""
     j = rows.join(coefs, "series_id")
-    ts = (t - F.col("t0")) / F.col("span")
-    n_cp = F.size("cps")
-    hinge = F.aggregate(
-        F.sequence(F.lit(0), n_cp - 1),
-        F.lit(0.0),
-        lambda acc, i: acc + _b(i + 2) * F.greatest(ts - F.element_at(F.col("cps"), i + 1), F.lit(0.0)),
-    )
-    yhat = _b(F.lit(0)) + _b(F.lit(1)) * ts + F.when(n_cp > 0, hinge).otherwise(F.lit(0.0))
-    off = n_cp + 2
-    k_idx = 0
-    for k in range(1, params.yearly_order + 1):
-        a = t * F.lit(2 * math.pi * k / 365.25)
-        yhat = yhat + _b(off + k_idx) * F.sin(a) + _b(off + k_idx + 1) * F.cos(a)
-        k_idx += 2
-    if params.weekly_seasonality:
-        for k in range(1, params.weekly_order + 1):
-            a = t * F.lit(2 * math.pi * k / 7.0)
-            yhat = yhat + _b(off + k_idx) * F.sin(a) + _b(off + k_idx + 1) * F.cos(a)
-            k_idx += 2
-    if params.use_holidays:
-        hol = is_holiday(F.col("ds"), spec.holiday_country).cast("double")
-        yhat = yhat + _b(off + k_idx) * hol
-    p50 = yhat * F.col("scale")
-    half = F.lit(Z90) * F.col("sigma") * F.col("scale")
+    products = F.zip_with(design_row(spec, params), F.col("beta"), lambda x, b: x * b)
+    p50 = F.aggregate(products, F.lit(0.0), lambda a, x: a + x) * F.col("scale")
+    ahead = F.greatest((_day_number(F.col("ds")) - F.col("t0")) / F.col("span") - 1.0, F.lit(0.0))
+    trend = 2.0 * F.pow("change_size", F.lit(2.0)) * F.size("cps") * F.pow(ahead, F.lit(3.0)) / 3.0
+    half = F.lit(Z90) * F.sqrt(F.pow("sigma", F.lit(2.0)) + trend) * F.col("scale")
     keep = [c for c in rows.columns]
     return j.select(*keep, (p50 - half).alias("p10"), p50.alias("p50"), (p50 + half).alias("p90"))
 
 
+def optimality(coefs: DataFrame, train: DataFrame, spec: PanelSpec, params: AdditiveParams = AdditiveParams()) -> DataFrame:
+    """Per series of ``coefs``, from its training rows: ``n_train`` and
+    ``off``, how far the fit misses the conditions of a minimum, as a share of a
+    training row. The gradient of squared error is zero on intercept and slope,
+    ``term_penalty * beta`` on seasonal and holiday terms, ``slope_penalty``
+    times the sign on changes of slope that are not zero, and within it on those
+    that are."""
+    j = train.where(F.col("y").isNotNull()).join(coefs, "series_id").withColumn("x", design_row(spec, params))
+    fitted = F.aggregate(F.zip_with("x", "beta", lambda x, b: x * b), F.lit(0.0), lambda a, x: a + x)
+    j = j.withColumn("r", F.col("y") / F.col("scale") - fitted)
+    parts = j.select("series_id", "r", "slope_penalty", "term_penalty", F.size("cps").alias("k"), F.posexplode(F.arrays_zip("x", "beta")).alias("at", "c"))
+    g = parts.groupBy("series_id", "at", F.col("c.beta").alias("b"), "k", "slope_penalty", "term_penalty").agg(F.sum(F.col("r") * F.col("c.x")).alias("g"), F.count(F.lit(1)).alias("n"))
+    change = (F.col("at") >= 2) & (F.col("at") < F.col("k") + 2)
+    off = (
+        F.when(F.col("at") < 2, F.abs("g"))
+        .when(change & (F.col("b") != 0), F.abs(F.col("g") - F.col("slope_penalty") * F.signum("b")))
+        .when(change, F.greatest(F.abs("g") - F.col("slope_penalty"), F.lit(0.0)))
+        .otherwise(F.abs(F.col("g") - F.col("term_penalty") * F.col("b")))
+    )
+    return g.groupBy("series_id").agg(F.max("n").alias("n_train"), (F.max(off) / F.max("n")).alias("off"))
+
+
 def additive_forecast(
     d: DataFrame,
     spec: PanelSpec,

@@ -212,7 +212,7 @@ def test_comparison_leaderboard(spark, tmp_path):
 
 
 def test_spark_prediction_equals_numpy_design(spark):
-    from hindcast.models.additive import _design, fit_additive, predict_additive
+    from hindcast.models.additive import _design, _flags, fit_additive, predict_additive
 
     spec = shop_spec(horizon=6)
     params = AdditiveParams(weekly_seasonality=True)
@@ -221,16 +221,66 @@ def test_spark_prediction_equals_numpy_design(spark):
     rows = d.select("series_id", "ds")
     got = predict_additive(coefs, rows, spec, params).toPandas()
     cf = {r["series_id"]: r for r in coefs.collect()}
-    hol = {r["ds"]: r["is_holiday"] for r in build_feature_matrix(d, spec, prepared=True)[0].select("ds", "is_holiday").collect()}
+    flags = {r["ds"]: r["f"] for r in d.select("ds", _flags(spec, params).alias("f")).collect()}
     for sid, g in got.groupby("series_id"):
         c = cf[sid]
         t = np.array([(x - pd.Timestamp("1970-01-01").date()).days for x in g["ds"]], dtype=float)
-        h = np.array([hol[x] for x in g["ds"]], dtype=float)
-        X = _design(t, c["t0"], c["span"], np.array(c["cps"]), h, params)
+        X = _design(t, c["t0"], c["span"], np.array(c["cps"]), np.array([flags[x] for x in g["ds"]]), params)
         exp = X @ np.array(c["beta"]) * c["scale"]
         np.testing.assert_allclose(g["p50"].to_numpy(), exp, rtol=1e-9)
 
 
+def test_additive_fit_is_the_minimum(spark):
+    """Conditions of optimality on every series, long and short, and no
+    neighbouring coefficients do better."""
+    from hindcast.models.additive import _design, _flags, fit_additive, optimality
+
+    spec, params = shop_spec(horizon=6), AdditiveParams()
+    pdf = _noisy_panel(120)
+    pdf.loc[(pdf["shop"] == "market") & (pdf["week"] > pd.Timestamp("2019-01-01")), "sales"] *= 1.5
+    d = prepare_panel(to_spark(spark, pd.concat([pdf, _noisy_panel(3).assign(channel="new")])), spec)
+    coefs = fit_additive(d, spec, params).cache()
+    off = {r["series_id"]: (r["n_train"], r["off"]) for r in optimality(coefs, d, spec, params).collect()}
+    assert len(off) == 4 and all(o < 1e-7 for _, o in off.values()) and sorted(n for n, _ in off.values()) == [3, 3, 120, 120]
+    rng = np.random.default_rng(0)
+    for r in coefs.collect():
+        rows = d.where(F.col("series_id") == r["series_id"]).orderBy("ds").select("ds", "y").collect()
+        t = np.array([(x["ds"] - pd.Timestamp("1970-01-01").date()).days for x in rows], dtype=float)
+        y = np.array([x["y"] for x in rows]) / r["scale"]
+        flags = np.array([x["f"] for x in d.where(F.col("series_id") == r["series_id"]).orderBy("ds").select(_flags(spec, params).alias("f")).collect()])
+        X, k = _design(t, r["t0"], r["span"], np.array(r["cps"]), flags, params), len(r["cps"])
+
+        def cost(b):
+            return ((y - X @ b) ** 2).sum() / 2 + r["slope_penalty"] * np.abs(b[2 : 2 + k]).sum() + r["term_penalty"] * (b[2 + k :] ** 2).sum() / 2
+
+        b = np.array(r["beta"])
+        assert all(cost(b) <= cost(b + rng.normal(0, s, len(b))) + 1e-12 for s in (1e-4, 1e-3, 1e-2) for _ in range(20))
+        if k == 25:
+            assert 0 < (b[2:27] != 0).sum() < 20  # most changes are exactly zero
+
+
+def test_additive_interval_widens_as_simulated_slopes_do(spark):
+    """The trend's spread beyond the history against simulated changes of slope."""
+    from hindcast.models.additive import Z90, predict_additive
+
+    spec, params = shop_spec(horizon=6, holiday_country=None), AdditiveParams(yearly_order=0)
+    cps = np.linspace(0, 0.8, 27)[1:-1].tolist()
+    coefs = spark.createDataFrame([("a", 0.0, 1000.0, 10.0, 0.02, 200, cps, [1.0, 0.5, *[0.0] * 25], 1.0, 1.0, 0.04)], "series_id string, t0 double, span double, scale double, sigma double, n_train long, cps array<double>, beta array<double>, slope_penalty double, term_penalty double, change_size double")
+    rows = spark.createDataFrame([("a", pd.Timestamp("1970-01-01").date() + pd.Timedelta(days=d)) for d in (500, 1000, 1300, 1800)], "series_id string, ds date")
+    got = predict_additive(coefs, rows, spec, params).orderBy("ds").collect()
+    rng = np.random.default_rng(1)
+    widths = [(r["p90"] - r["p10"]) / 2 for r in got]
+    assert widths[0] == widths[1] < widths[2] < widths[3]
+    for r, h in ((got[2], 0.3), (got[3], 0.8)):
+        sims = []
+        for _ in range(4000):
+            at = rng.uniform(0, h, rng.poisson(25 * h))
+            sims.append((rng.laplace(0, 0.04, len(at)) * (h - at)).sum() + rng.normal(0, 0.02))
+        assert (r["p90"] - r["p50"]) / 10.0 == pytest.approx(Z90 * np.std(sims), rel=0.08)
+        share = np.mean(np.abs(sims) <= (r["p90"] - r["p50"]) / 10.0)
+        assert 0.76 <= share <= 0.86
+
+
 def test_exogenous_hold_mode_uses_last_training_value(spark):
     spec = shop_spec(horizon=4, exogenous_mode="hold")
     pdf = shop_panel(20)

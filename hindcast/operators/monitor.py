@@ -132,24 +132,34 @@ def rolling_wmape(
 
     ``scored``: (model, ds, y_true, p50) rows; ``validation``: (model, wmape).
     Rows are first reduced to daily sums, so the window sees one row per
-    model-day however many predictions were logged.
+    model-day however many predictions were logged. Rows without a target or
+    without a prediction are not scored; ``n_unscored`` counts them per day, and
+    the WMAPE is null while the window holds no scored row.
     """
-    daily = scored.groupBy("model", F.to_date("ds").alias("day")).agg(
-        F.sum(F.abs(F.col("y_true") - F.col("p50"))).alias("abs_err"),
-        F.sum(F.abs(F.col("y_true"))).alias("abs_y"),
-    )
     w = Window.partitionBy("model").orderBy(F.unix_date(F.col("day"))).rangeBetween(-(days - 1), 0)
-    rolled = daily.select(
+    rolled = scored.groupBy("model", F.to_date("ds").alias("day")).agg(*daily_sums()).select(
         "model",
         "day",
+        "n_unscored",
         (F.sum("abs_err").over(w) / F.sum("abs_y").over(w)).alias("wmape_rolling"),
     )
     v = validation.select("model", F.col("wmape").alias("wmape_validation"))
     return rolled.join(v, "model", "left").withColumn(
-        "breach", F.col("wmape_rolling") > F.lit(ratio) * F.col("wmape_validation")
+        "breach", F.coalesce(F.col("wmape_rolling") > F.lit(ratio) * F.col("wmape_validation"), F.lit(False))
     )
 
 
+def daily_sums() -> list[Column]:
+    """A day's absolute error and target over its scored rows, and how many
+    rows are not."""
+    there = F.col("y_true").isNotNull() & F.col("p50").isNotNull()
+    return [
+        F.sum(F.when(there, F.abs(F.col("y_true") - F.col("p50")))).alias("abs_err"),
+        F.sum(F.when(there, F.abs("y_true"))).alias("abs_y"),
+        F.count(F.when(~there, 1)).alias("n_unscored"),
+    ]
+
+
 # --- X9: retraining trigger ---------------------------------------------------
 
 

@@ -234,29 +234,31 @@ def q_residual_drift(spark, sf_dir):
 def _rolling_df(spark, sf_dir):
     df, spec = materialized("P2", spark, sf_dir)
     fm, _ = build_feature_matrix(df, spec)
-    scored = fm.where(F.col("roll_mean_7").isNotNull()).select(
+    scored = fm.select(
         F.lit("roll7").alias("model"), "ds", F.col("y").alias("y_true"), F.col("roll_mean_7").alias("p50"),
         (F.col("ds") < panel_cutoff(fm, spec.horizon)).alias("__train"),
     )
-    val = scored.where(F.col("__train")).groupBy("model").agg(
-        (F.sum(F.abs(F.col("y_true") - F.col("p50"))) / F.sum(F.abs("y_true"))).alias("wmape")
-    )
+    val = scored.where(F.col("__train")).groupBy("model").agg(*MON.daily_sums()).select("model", (F.col("abs_err") / F.col("abs_y")).alias("wmape"))
     return MON.rolling_wmape(scored.drop("__train"), val)
 
 
 _ROLL_SQL = (
     FEAT2
     + f""", cut AS (SELECT {cutoff_sql('feat', P2.horizon)} AS c),
-sc AS (SELECT 'roll7' AS model, ds, y AS y_true, roll_mean_7 AS p50, ds < (SELECT c FROM cut) AS is_train FROM feat WHERE roll_mean_7 IS NOT NULL),
-val AS (SELECT model, sum(abs(y_true - p50)) / sum(abs(y_true)) AS wmape_validation FROM sc WHERE is_train GROUP BY model),
-daily AS (SELECT model, CAST(ds AS DATE) AS day, sum(abs(y_true - p50)) AS abs_err, sum(abs(y_true)) AS abs_y FROM sc GROUP BY ALL),
+sc AS (SELECT 'roll7' AS model, ds, y AS y_true, roll_mean_7 AS p50, ds < (SELECT c FROM cut) AS is_train, y IS NOT NULL AND roll_mean_7 IS NOT NULL AS is_scored FROM feat),
+val AS (SELECT model, sum(abs(y_true - p50)) / sum(abs(y_true)) AS wmape_validation FROM sc WHERE is_train AND is_scored GROUP BY model),
+daily AS (
+  SELECT model, CAST(ds AS DATE) AS day, sum(abs(y_true - p50)) FILTER (WHERE is_scored) AS abs_err, sum(abs(y_true)) FILTER (WHERE is_scored) AS abs_y,
+         count(*) FILTER (WHERE NOT is_scored) AS n_unscored
+  FROM sc GROUP BY ALL
+),
 rolled AS (
-  SELECT model, day,
+  SELECT model, day, n_unscored,
          sum(abs_err) OVER w / sum(abs_y) OVER w AS wmape_rolling
   FROM daily
   WINDOW w AS (PARTITION BY model ORDER BY datediff('day', DATE '1970-01-01', day) RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)
 ),
-rw AS (SELECT rolled.model, day, wmape_rolling, wmape_validation, wmape_rolling > 1.2 * wmape_validation AS breach
+rw AS (SELECT rolled.model, day, n_unscored, wmape_rolling, wmape_validation, coalesce(wmape_rolling > 1.2 * wmape_validation, false) AS breach
        FROM rolled LEFT JOIN val ON rolled.model = val.model)
 """
 )
@@ -265,8 +267,8 @@ rw AS (SELECT rolled.model, day, wmape_rolling, wmape_validation, wmape_rolling
 @register(
     "rolling_wmape",
     ("X3",),
-    rounded(_ROLL_SQL + "SELECT * FROM rw", ["wmape_rolling", "wmape_validation"], ["model", "day", "breach"]),
-    note="30-day trailing WMAPE per day with a 20%-worse-than-validation breach flag",
+    rounded(_ROLL_SQL + "SELECT * FROM rw", ["wmape_rolling", "wmape_validation"], ["model", "day", "n_unscored", "breach"]),
+    note="30-day trailing WMAPE per day with a 20%-worse-than-validation breach flag; rows without a forecast are counted",
 )
 def q_rolling_wmape(spark, sf_dir):
     return _rolling_df(spark, sf_dir)

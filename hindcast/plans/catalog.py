@@ -62,7 +62,7 @@ def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
     from hindcast.plans import q_features, q_panels  # noqa: F401
 
-    for mod in ("q_splits", "q_metrics", "q_models", "q_model_checks", "q_monitor", "q_sinks", "q_streaming", "q_volume"):
+    for mod in ("q_splits", "q_metrics", "q_models", "q_model_checks", "q_monitor", "q_sinks", "q_states", "q_streaming", "q_volume"):
         try:
             __import__(f"hindcast.plans.{mod}")
         except ModuleNotFoundError as e:  # pragma: no cover - during development

@@ -14,7 +14,7 @@ from hindcast.llm.mixing import plan_mixture
 from hindcast.llm.one_bit import nearest
 from hindcast.llm.packing import pack_documents
 from hindcast.llm.pivot_search import exact_top_k
-from hindcast.llm.rollup import TokenRollup, signed_deltas
+from hindcast.llm.rollup import TokenRollup, bpe_counter, signed_deltas
 from hindcast.llm.simhash import near_duplicates
 from hindcast.llm.token_files import read_token_files, write_token_files
 from hindcast.llm.url_filter import filter_urls, host_of
@@ -159,6 +159,26 @@ SELECT source, lang, tokenizer_version, count(*)::BIGINT AS documents, sum(n)::B
 """
 
 
+def token_rollup_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the public byte-level vocabulary by source and language: half of
+    the documents, a compaction, the other half, a revision that moves a source,
+    and a compaction again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    state = F.struct("source", "lang", "text")
+    gone = F.lit(None).cast("struct<source:string,lang:string,text:string>")
+    odd = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+    moved = F.struct(F.lit("moved").alias("source"), "lang", "text")
+    counters = {"byte_bpe_50k": bpe_counter()}
+    rollup = TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    rollup.commit("odd", signed_deltas(docs.filter(odd).select(gone.alias("old"), state.alias("new")), counters))
+    rollup.compact()
+    rollup.commit("even", signed_deltas(docs.filter(~odd).select(gone.alias("old"), state.alias("new")), counters))
+    rollup.commit("move", signed_deltas(docs.filter("source IS NULL").select(state.alias("old"), moved.alias("new")), counters))
+    rollup.compact()
+    rollup.commit("even", signed_deltas(docs.filter(~odd).select(gone.alias("old"), state.alias("new")), counters))
+    return rollup.totals()
+
+
 def op2_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -305,6 +325,7 @@ QUERIES: dict[str, QueryFn] = {
     "op11_code_compression": op11_code_compression,
     "op12_bit_sliced_search": op12_bit_sliced_search,
     "op13_simhash_fingerprints": op13_simhash_fingerprints,
+    "token_rollup_bpe": token_rollup_bpe,
 }
 
 SQL: dict[str, str] = {

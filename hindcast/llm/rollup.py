@@ -6,7 +6,10 @@ in with a plus. A batch is summed by source, language and tokenizer version
 and published under its id; totals are the sums over all published batches,
 so they are exact whatever order batches come in. Publishing creates one
 marker file that must not exist yet: a batch that is sent again, by a retry or
-a second driver, changes nothing.
+a second driver, changes nothing. Compaction adds the batches since the last one
+to its sums and publishes them as the next snapshot, again by one file that must
+not exist yet. It names the batches it has taken in; their markers move aside,
+where they still tell a batch that is sent again.
 """
 
 from __future__ import annotations
@@ -80,8 +83,8 @@ class TokenRollup:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
-    def _marker(self, batch_id: str) -> str:
-        return f"{self.path}/_commits/{hashlib.sha256(batch_id.encode()).hexdigest()}.json"
+    def _marker(self, batch_id: str, folder: str = "_commits") -> str:
+        return f"{self.path}/{folder}/{hashlib.sha256(batch_id.encode()).hexdigest()}.json"
 
     def _put(self, file: str, content: dict) -> bool:
         """Create a file that must not exist; False if it does. An empty one,
@@ -99,8 +102,11 @@ class TokenRollup:
         return True
 
     def committed(self, batch_id: str) -> bool:
-        file = self._path(self._marker(batch_id))
-        return self._fs.exists(file) and self._fs.getFileStatus(file).getLen() > 0
+        for folder in ("_commits", "_folded", "_commits"):  # a marker may move between two looks
+            file = self._path(self._marker(batch_id, folder))
+            if self._fs.exists(file) and self._fs.getFileStatus(file).getLen() > 0:
+                return True
+        return False
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add ``deltas`` (columns of :data:`TABLE`) once under ``batch_id``.
@@ -109,27 +115,75 @@ class TokenRollup:
             return False
         data = f"data/{uuid.uuid4().hex}"
         sums = deltas.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
-        sums.coalesce(1).write.parquet(f"{self.path}/{data}")
+        sums.write.parquet(f"{self.path}/{data}")
         if self._put(self._marker(batch_id), {"batch": batch_id, "data": data}):
             return True
         self._fs.delete(self._path(f"{self.path}/{data}"), True)
         return False
 
     def batches(self) -> dict[str, str]:
-        """Ids of the committed batches and the folders of their sums."""
+        """Ids of the batches committed since the last compaction and the
+        folders of their sums."""
+        taken = set(self._snapshot()["folded"])
+        return {b: d for b, d in self._marked().items() if b not in taken}
+
+    def _marked(self) -> dict[str, str]:
         folder = self._path(f"{self.path}/_commits")
-        if not self._fs.exists(folder):
+        if not self._fs.exists(folder) or not len(self._fs.listStatus(folder)):
             return {}
         text = self.spark.read.text(f"{self.path}/_commits/*.json", wholetext=True)
-        found = (json.loads(r["value"]) for r in text.collect() if r["value"])  # a line per batch
+        found = (json.loads(r["value"]) for r in text.collect() if r["value"])  # a line per batch since the last compaction
         return {x["batch"]: x["data"] for x in found}
 
-    def totals(self) -> DataFrame:
-        """Sums over all committed batches; keys whose documents and tokens
-        have gone back to zero are left out. Empty before the first batch."""
-        folders = sorted(set(self.batches().values()))
+    def _snapshot(self) -> dict:
+        """The last published one: its number, data and the batches it took in."""
+        folder = self._path(f"{self.path}/_snapshots")
+        names = sorted(f.getPath().getName() for f in self._fs.listStatus(folder) if f.getLen()) if self._fs.exists(folder) else []
+        if not names:
+            return {"number": 0, "data": None, "folded": []}
+        return json.loads(self.spark.read.text(f"{self.path}/_snapshots/{names[-1]}", wholetext=True).first()["value"])
+
+    def _set_aside(self, snapshot: dict) -> None:
+        """Move the markers of batches that a snapshot holds. Safe to repeat."""
+        self._fs.mkdirs(self._path(f"{self.path}/_folded"))
+        for batch in snapshot["folded"]:
+            marker = self._path(self._marker(batch))
+            if self._fs.exists(marker):
+                self._fs.rename(marker, self._path(self._marker(batch, "_folded")))
+
+    def compact(self) -> bool:
+        """Fold the batches since the last compaction into one table of sums, so
+        that totals read it and what came after. False if there is nothing to
+        fold or another driver was first. Totals do not change; a batch that is
+        sent again still changes nothing."""
+        last = self._snapshot()
+        self._set_aside(last)  # what a driver that died may have left
+        folded = self.batches()
+        if not folded:
+            return False
+        data = f"data/{uuid.uuid4().hex}"
+        self._sums(last, folded).write.parquet(f"{self.path}/{data}")
+        number = last["number"] + 1
+        new = {"number": number, "data": data, "folded": sorted(folded)}
+        if not self._put(f"{self.path}/_snapshots/{number:012d}.json", new):
+            self._fs.delete(self._path(f"{self.path}/{data}"), True)
+            return False
+        self._set_aside(new)
+        return True
+
+    def _sums(self, snapshot: dict, batches: dict[str, str]) -> DataFrame:
+        folders = sorted({*batches.values(), *([snapshot["data"]] if snapshot["data"] else [])})
         if not folders:
             return self.spark.createDataFrame([], TABLE)
         rows = self.spark.read.schema(TABLE).parquet(*[f"{self.path}/{d}" for d in folders])
         sums = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return sums.filter("documents <> 0 OR tokens <> 0")
+
+    def totals(self) -> DataFrame:
+        """Sums over all committed batches; keys whose documents and tokens
+        have gone back to zero are left out. Empty before the first batch."""
+        while True:
+            last = self._snapshot()
+            batches = {b: d for b, d in self._marked().items() if b not in set(last["folded"])}
+            if self._snapshot()["number"] == last["number"]:  # no compaction in between
+                return self._sums(last, batches)

@@ -278,6 +278,44 @@ def test_rollup_is_additive_and_idempotent(spark):
     assert rollup.commit("nothing", signed_deltas(change.limit(0))) and totals(rollup) == before
 
 
+def test_compaction_keeps_totals_and_idempotence(spark):
+    doc = "struct<source:string,lang:string,text:string>"
+    rollup = TokenRollup(spark, scratch_path(spark, "rollup"))
+    assert not rollup.compact() and rollup.totals().count() == 0
+    feed = [("a", "en", "one two"), ("b", None, "x"), (None, "de", None), ("a", "en", "three")]
+    batch = lambda rows, sign: signed_deltas(spark.createDataFrame([(None, r) if sign > 0 else (r, None) for r in rows], f"old {doc}, new {doc}"))
+    for k, row in enumerate(feed):
+        assert rollup.commit(f"in-{k}", batch([row], 1))
+        if k in (1, 3):
+            before = totals(rollup)
+            assert rollup.compact() and totals(rollup) == before and rollup.batches() == {}
+            assert not rollup.compact()
+    # sent again after compaction, by another driver as well: nothing changes
+    again = TokenRollup(spark, rollup.path)
+    assert not any(again.commit(f"in-{k}", batch([row], 1)) for k, row in enumerate(feed)) and totals(again) == before
+    assert again.commit("out", batch(feed[:3], -1)) and totals(again) == {("a", "en", "words-1"): (1, 1), ("a", "en", "words-2"): (1, 1)}
+    # a driver that died after publishing: markers of folded batches are still there
+    snapshot = again._snapshot()
+    again._fs.rename(again._path(again._marker("in-3", "_folded")), again._path(again._marker("in-3")))
+    assert "in-3" in snapshot["folded"] and totals(again) == {("a", "en", "words-1"): (1, 1), ("a", "en", "words-2"): (1, 1)}
+    assert again.compact() and totals(again) == {("a", "en", "words-1"): (1, 1), ("a", "en", "words-2"): (1, 1)}
+    assert again.committed("in-3") and not again.commit("out", batch(feed[:3], -1))
+
+
+def test_rollup_counts_ids_as_the_token_files_do(spark):
+    from hindcast.llm import token_files
+    from hindcast.llm.queries import token_rollup_bpe
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in token_rollup_bpe(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    path = scratch_path(spark, "t")
+    token_files.write_token_files(docs, path)
+    lengths = token_files.read_token_files(spark, path).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    want = lengths.groupBy(F.coalesce("source", F.lit("moved")).alias("source"), "lang").agg(F.count("*").alias("n"), F.sum(F.col("n_tokens") - 1).alias("t"))
+    assert got == {(r["source"], r["lang"]): (r["n"], r["t"]) for r in want.collect()}
+
+
 def test_bpe_counts(spark):
     from hindcast.llm.bpe import encoder, public_tokenizer
 

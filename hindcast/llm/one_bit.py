@@ -7,22 +7,29 @@ inner product ``f`` of the rotated residual with its code, and ``<u, c>``. A
 rotated query is quantised to a few bit planes, so a code's inner product with
 it is a sum of population counts. The estimate ``<code, q> / f`` is unbiased,
 and its error is below ``eps sqrt(1 - f^2) / f / sqrt(D - 1)`` times the
-query's length with a probability that ``eps`` sets. Only rows whose estimate
-plus error reaches the query's k-th exact score are compared on the original
-vectors.
+query's length with a probability that ``eps`` sets.
+
+The cells of the index hold codes and scalars, no vectors. A query's floor is its
+k-th highest estimate less error; rows whose estimate plus error reaches it are
+its candidates. When all cells have been visited that may hold one, the vectors
+of the candidates are fetched by their ids, once, and compared exactly. Of rows
+with one and the same vector a cell gives the ``k + 1`` smallest ids, as no other
+can be among a query's ``k`` best.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import materialize
-from hindcast.llm.vectors import build, matrix, mean_centres, sample_points, search, usable
+from pyspark.sql.window import Window
+
+from hindcast.llm.common import discard, materialize
+from hindcast.llm.vectors import QUERY_BLOCK, ROUNDS, build, centres_for, matrix, mean_centres, routed, sample_points, usable
 
-CENTRES = 16
 PLANES = 6
 EPS = 3.0
 SEED = 11
@@ -71,7 +78,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", centres: int = CENTRES, eps: float = EPS) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", centres: int | None = None, eps: float = EPS) -> DataFrame:
     """For every query row (``is_query``, over ``vec_id``) its ``k`` nearest
     rows by cosine that the codes let through, its own left out: ``query_id``,
     ``rank``, ``vec_id``, ``score``; ties go to the smaller id. Scores are
@@ -80,8 +87,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
 
     Null ids, null or zero vectors and vectors with null or non-finite
     components take no part; of rows with one id one counts; shorter vectors
-    are as if padded with zeros. The centres are fitted on a sample of 2,048
-    rows; every row is indexed."""
+    are as if padded with zeros. The centres, more of them for larger tables
+    unless ``centres`` says how many, are fitted on a sample of 2,048 rows; every
+    row is indexed."""
     base = materialize(usable(rows, id_col, vec_col).filter(F.exists("vec", lambda x: x != 0.0)), "usable")
     size, dim = base.agg(F.count("*"), F.max(F.size("vec"))).first()
     dim = dim or 1
@@ -89,7 +97,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     def points(column) -> np.ndarray:
         return unit(matrix(column, dim))
 
-    middle = mean_centres(sample_points(base, points), centres) if size else np.zeros((0, dim))
+    middle = mean_centres(sample_points(base, points), centres or centres_for(size)) if size else np.zeros((0, dim))
     turn = rotation(dim)
     root = np.sqrt(dim)
 
@@ -103,15 +111,26 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
         packed = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(np.arange(0, (len(words) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(words).tobytes())])
         return {"code": packed, "f": pa.array(np.where(f > 0, f, 1.0)), "shift": pa.array((u * c).sum(1))}
 
-    index = build(base, dim, middle, points, codes, ", code binary, f double, shift double", size)
+    def columns(x: np.ndarray, near: np.ndarray, dist: np.ndarray) -> dict:
+        # rows with one vector share this number
+        same = np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in np.ascontiguousarray(x)], dtype=np.uint64).view(np.int64)
+        return codes(x, near, dist) | {"same": pa.array(same)}
+
+    index = build(base, dim, middle, points, columns, ", code binary, f double, shift double, same long", size, keep_vectors=False)
 
     def best_score(q: np.ndarray, gap: np.ndarray) -> np.ndarray:
         return 1.0 - gap * gap / 2.0 + 1e-9
 
-    def compare(mine: pa.Table, ids: np.ndarray, asked: np.ndarray, floors: np.ndarray):
-        x = matrix(mine.column("vec"), dim)
-        names = mine.column("vec_id").to_numpy()
-        words = np.frombuffer(b"".join(mine.column("code").to_pylist()), dtype="<u8").reshape(len(x), -1)
+    def candidates(key, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        ids, asked = theirs.column("query_id").to_numpy(), matrix(theirs.column("vec"), dim)
+        floors = theirs.column("floor").fill_null(-np.inf).to_numpy()
+        # rows of one vector next to each other, the smaller ids first
+        mine = mine.sort_by([("same", "ascending"), ("vec_id", "ascending")])
+        names, same = mine.column("vec_id").to_numpy(), mine.column("same").to_numpy()
+        first = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+        kept = np.flatnonzero(np.arange(len(same)) - np.repeat(first, np.diff(np.append(first, len(same)))) <= k)
+        mine, names = mine.take(kept), names[kept]
+        words = np.frombuffer(b"".join(mine.column("code").to_pylist()), dtype="<u8").reshape(len(names), -1)
         f, shift, r = (mine.column(n).to_numpy() for n in ("f", "shift", "dist"))
         c = middle[mine.column("centre")[0].as_py()]
         ones = np.bitwise_count(words).sum(1).astype(np.float64)
@@ -119,32 +138,62 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
         q = unit(asked)
         off = q - c
         length = np.sqrt((off * off).sum(1))
-        turned = off @ turn.T
-        planes, low, step, error = planes_of(turned)
+        planes, low, step, error = planes_of(off @ turn.T)
         total = low * dim + step * (np.bitwise_count(planes).sum(2) * (1 << np.arange(planes.shape[1]))).sum(1)
         along = q @ c
-        qs, rs, ss = [], [], []
+        who, rows, least, most = [], [], [], []
         for j in range(len(ids)):
-            count = np.zeros(len(x), dtype=np.int64)
+            count = np.zeros(len(names), dtype=np.int64)
             for b in range(planes.shape[1]):
                 count += np.bitwise_count(words & planes[j, b]).sum(1).astype(np.int64) << b
             product = (2.0 * (low[j] * ones + step[j] * count) - total[j]) / root
             guess = along[j] + r * (product / f + shift)
-            top = guess + r * (length[j] * spread + error[j] / f) + 1e-9
-            other = names != ids[j]
+            error_j = r * (length[j] * spread + error[j] / f) + 1e-9
+            free = np.flatnonzero(names != ids[j])
             floor = floors[j]
-            free = np.flatnonzero(other)
             if len(free) > k:
-                # the best-looking rows first: their exact scores raise the floor
-                first = free[np.argpartition(-guess[free], k)[:k]]
-                floor = max(floor, float(cosine(x[first], np.broadcast_to(asked[j], (k, dim))).min()))
-            hit = np.flatnonzero(other & (top >= floor))
-            score = cosine(x[hit], np.broadcast_to(asked[j], (len(hit), dim)))
-            good = score >= floor
-            qs.append(np.full(int(good.sum()), j))
-            rs.append(hit[good])
-            ss.append(score[good])
-        return np.concatenate(qs), np.concatenate(rs), np.concatenate(ss)
-
-    queries = base.filter(is_query).select(F.col("vec_id").alias("query_id"), "vec")
-    return search(index, queries, k, points, best_score, compare)
+                lowest = (guess - error_j)[free]
+                floor = max(floor, float(np.partition(lowest, len(lowest) - k)[len(lowest) - k]))
+            hit = free[(guess + error_j)[free] >= floor]
+            who.append(np.full(len(hit), ids[j]))
+            rows.append(names[hit])
+            least.append((guess - error_j)[hit])
+            most.append((guess + error_j)[hit])
+        return pa.table({n: np.concatenate(v) for n, v in (("query_id", who), ("vec_id", rows), ("least", least), ("most", most))})
+
+    queries = materialize(base.filter(is_query).select(F.col("vec_id").alias("query_id"), "vec"), "queries")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    cells = len(index.centre)
+    found: DataFrame | None = None
+    floors: DataFrame | None = None
+    stops = sorted({min(r, cells) for r in ROUNDS} | {cells})
+    for begin, end in zip([0, *stops], stops):
+        asked = queries.withColumn("floor", F.lit(None).cast("double")) if floors is None else queries.join(floors, "query_id", "left")
+        routes = routed(index, asked, points, best_score, begin, end, "double")
+        routes = materialize(routes.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "routes")
+        wanted = routes.select(F.col("cell"), F.col("block").alias("for_block")).distinct()
+        met = index.rows.join(wanted, "cell").groupBy("cell", "for_block").cogroup(routes.groupBy("cell", "block"))
+        new = met.applyInArrow(candidates, "query_id long, vec_id long, least double, most double")
+        both = materialize(new if found is None else found.unionByName(new), "candidates")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("least").desc()))
+        floors = both.withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("least")).alias("floor"))
+        floors = materialize(floors, "floors")
+        kept = both.join(floors, "query_id").filter(F.col("floor").isNull() | (F.col("most") >= F.col("floor"))).drop("floor")
+        discard(routes)
+        if found is not None:
+            discard(found)
+        found = materialize(kept, "found")
+        discard(both)
+    if found is None:
+        return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+    def exact(batches):
+        for batch in batches:
+            score = cosine(matrix(batch.column(2), dim), matrix(batch.column(3), dim))
+            yield pa.RecordBatch.from_pydict({"query_id": batch.column(0), "vec_id": batch.column(1), "score": pa.array(score)})
+
+    pairs = found.select("query_id", "vec_id").join(base, "vec_id").join(queries.withColumnRenamed("vec", "asked"), "query_id")
+    scored = pairs.select("query_id", "vec_id", "vec", "asked").mapInArrow(exact, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    out = scored.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")

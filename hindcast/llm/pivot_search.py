@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.vectors import build, distances, matrix, sample_points, search, spread_centres, usable
+from hindcast.llm.vectors import build, centres_for, distances, matrix, sample_points, search, spread_centres, usable
 
-PIVOTS = 16
 _LONG = 2**63 - 1
 SCALE = 1024
 
@@ -28,11 +27,12 @@ def quantised(vec: Column, scale: int = SCALE) -> Column:
     return F.transform(vec, lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
 
 
-def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS) -> DataFrame:
+def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, pivots: int | None = None) -> DataFrame:
     """For every query row (``is_query``, over ``vec_id``) its ``k`` rows of
     largest integer inner product, the query's own left out: ``query_id``,
     ``rank``, ``vec_id``, ``score``; ties go to the smaller id, and fewer rows
-    give fewer ranks. Components become ``floor(scale * x)``.
+    give fewer ranks. Components become ``floor(scale * x)``. The pivots grow
+    with the table unless ``pivots`` says how many.
 
     Null ids, null vectors and vectors with null or non-finite components take
     no part; of rows with one id one counts; shorter vectors are as if padded
@@ -56,7 +56,7 @@ def exact_top_k(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "v
         x = matrix(column, dim)
         return np.column_stack((x, np.zeros(len(x))))
 
-    centres = spread_centres(sample_points(base, row_points), pivots) if size else np.zeros((0, dim + 1))
+    centres = spread_centres(sample_points(base, row_points), pivots or centres_for(size)) if size else np.zeros((0, dim + 1))
     index = build(base, dim, centres, row_points, lambda *_: {}, "", size)
     slack = 1e-9 * (1.0 + top)
 

@@ -99,9 +99,16 @@ def sample_points(rows: DataFrame, to_points: Callable[[pa.Array], np.ndarray])
     return to_points(picked.column("vec"))
 
 
-def build(rows: DataFrame, dim: int, centres: np.ndarray, to_points: Callable, extra: Callable, extra_schema: str, total: int) -> Index:
+def centres_for(total: int) -> int:
+    """Centres of a table of so many rows: an eighth of the root, from 16 to
+    256 (the sample has eight rows for each at least)."""
+    return int(min(max(16, np.sqrt(total) / 8), 256))
+
+
+def build(rows: DataFrame, dim: int, centres: np.ndarray, to_points: Callable, extra: Callable, extra_schema: str, total: int, keep_vectors: bool = True) -> Index:
     """Assign every row its centre, distance and cell. ``extra(points, centre,
-    distance)`` gives more columns of the index, named in ``extra_schema``."""
+    distance)`` gives more columns of the index, named in ``extra_schema``.
+    Without ``keep_vectors`` the index holds those columns only."""
     cell_rows = max(2048, int(8 * np.sqrt(total)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +119,11 @@ def build(rows: DataFrame, dim: int, centres: np.ndarray, to_points: Callable, e
                 dist = distances(points, centres)
                 near = dist.argmin(1)
                 d = dist[np.arange(len(near)), near]
-                cols = {"vec_id": part.column(0), "vec": part.column(1), "centre": pa.array(near.astype(np.int32)), "dist": pa.array(d)}
+                cols = {"vec_id": part.column(0)} | ({"vec": part.column(1)} if keep_vectors else {})
+                cols |= {"centre": pa.array(near.astype(np.int32)), "dist": pa.array(d)}
                 yield pa.RecordBatch.from_pydict(cols | extra(points, near, d))
 
-    schema = "vec_id long, vec array<double>, centre int, dist double" + extra_schema
+    schema = "vec_id long, " + ("vec array<double>, " if keep_vectors else "") + "centre int, dist double" + extra_schema
     placed = materialize(rows.select("vec_id", "vec").mapInArrow(assign, schema), "vectors")
     spans = {r["centre"]: r for r in placed.groupBy("centre").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")).collect()}
     width = {c: (r["hi"] - r["lo"]) / max(1, -(-r["n"] // cell_rows)) or 1.0 for c, r in spans.items()}
@@ -137,6 +145,34 @@ def build(rows: DataFrame, dim: int, centres: np.ndarray, to_points: Callable, e
     return Index(materialize(out, "cells"), dim, centres, np.array(centre, dtype=np.int64), np.array(lows), np.array(highs))
 
 
+def routed(index: Index, asked: DataFrame, to_points: Callable, best_score: Callable, begin: int, end: int, score_type: str) -> DataFrame:
+    """Of every query (``query_id``, ``vec``, ``floor``) the cells from its
+    ``begin``-th to its ``end``-th best that may hold what reaches its floor."""
+    centres, centre, lows, highs, cells = index.centres, index.centre, index.lo, index.hi, len(index.centre)
+
+    def route(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                points = to_points(part.column(1))
+                d = distances(points, centres)[:, centre]
+                slack = 1e-9 * (1.0 + d)
+                gap = np.maximum(np.maximum(d - highs, lows - d) - slack, 0.0)
+                top = best_score(points, gap)
+                order = np.lexsort((np.broadcast_to(np.arange(cells), top.shape), d, -top), axis=1)[:, begin:end]
+                # a rounded floor is within the slack of the bounds
+                floor = part.column(2).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy()
+                go = np.take_along_axis(top, order, 1) >= floor[:, None]
+                who, nth = np.nonzero(go)
+                if len(who):
+                    take = pa.array(who)
+                    yield pa.RecordBatch.from_pydict(
+                        {"cell": pa.array(order[who, nth].astype(np.int32)), "query_id": part.column(0).take(take), "vec": part.column(1).take(take), "floor": part.column(2).take(take)}
+                    )
+
+    return asked.select("query_id", "vec", "floor").mapInArrow(route, f"cell int, query_id long, vec array<double>, floor {score_type}")
+
+
 def search(
     index: Index,
     queries: DataFrame,
@@ -163,7 +199,6 @@ def search(
     found: DataFrame | None = None
     stops = sorted({min(r, cells) for r in ROUNDS} | {cells})
     dim = index.dim
-    centres, centre, lows, highs = index.centres, index.centre, index.lo, index.hi
 
     for begin, end in zip([0, *stops], stops):
         if found is None:
@@ -172,27 +207,7 @@ def search(
             floors = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
             asked = queries.join(floors, "query_id", "left")
 
-        def route(batches, begin=begin, end=end):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    points = to_points(part.column(1))
-                    d = distances(points, centres)[:, centre]
-                    slack = 1e-9 * (1.0 + d)
-                    gap = np.maximum(np.maximum(d - highs, lows - d) - slack, 0.0)
-                    top = best_score(points, gap)
-                    order = np.lexsort((np.broadcast_to(np.arange(cells), top.shape), d, -top), axis=1)[:, begin:end]
-                    # a rounded floor is within the slack of the bounds
-                    floor = part.column(2).cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy()
-                    go = np.take_along_axis(top, order, 1) >= floor[:, None]
-                    who, nth = np.nonzero(go)
-                    if len(who):
-                        take = pa.array(who)
-                        yield pa.RecordBatch.from_pydict(
-                            {"cell": pa.array(order[who, nth].astype(np.int32)), "query_id": part.column(0).take(take), "vec": part.column(1).take(take), "floor": part.column(2).take(take)}
-                        )
-
-        routes = asked.select("query_id", "vec", "floor").mapInArrow(route, f"cell int, query_id long, vec array<double>, floor {score_type}")
+        routes = routed(index, asked, to_points, best_score, begin, end, score_type)
         routes = routes.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
         routes = materialize(routes, "routes")
         wanted = routes.select(F.col("cell"), F.col("block").alias("for_block")).distinct()

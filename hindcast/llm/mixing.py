@@ -337,7 +337,10 @@ def _small(table: DataFrame, p: MixParams) -> DataFrame:
 
 def mixture(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is taken,
-    dealt to their shards (one partition each) in a shuffled order."""
+    dealt to their shards (one partition each) in a shuffled order. Rows that
+    agree in id and text are taken alike, each as often as the plan says; null
+    sources are one source; an empty table gives an empty mixture. All columns
+    are kept as they are, whatever they are called."""
     planned = plan_mixture(docs, params, id_col, source_col, text_col)
     names = [c for c in planned.columns if c not in ("size", "source_size", "target", "places")]
     place, shard, key = (free_name(planned, n) for n in ("mix_place", "mix_shard", "mix_key"))

@@ -46,7 +46,9 @@ def document_pieces(
 ) -> DataFrame:
     """Pieces of every document: its ids and ``end_id``, cut only when longer
     than ``capacity``; then all pieces but the first are full. A null text is
-    an empty one (the end id alone)."""
+    an empty one (the end id alone). Every row is a document: rows with equal or
+    null ids each give their pieces. Other columns are ignored; an empty table
+    gives no pieces."""
     vocabulary = tokenizer or public_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,17 +35,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest doc_id."""
+    """One document of each group of near duplicates: the smallest doc_id; of
+    several rows with that id, the one whose text comes first. Texts that are
+    null or have no words share one fingerprint, so one of them stays. Rows with
+    a null id go before others of their group only if all its ids are null.
+    Repeated rows are near duplicates of each other. An empty table stays
+    empty; other columns are kept as they are."""
     return keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it: not at all, once or
+    twice, so rows repeat. A null source is one source; documents without words
+    have size 0 and are taken with their block. Rows that agree in id and text
+    are taken alike. An empty table stays empty; other columns are kept."""
     return mixture(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of at most 1024 ids."""
+    """Places of all pieces in sequences of at most 1024 ids. Every row is a
+    document of its own: repeated rows and null ids are packed each time they
+    occur, a null or empty text as its end id alone, a very long one as several
+    pieces. An empty table gives an empty result."""
     return pack_documents(docs)
 
 

@@ -81,18 +81,19 @@ def _design(t_days: np.ndarray, t0: float, span: float, cps: np.ndarray, flags:
     return np.column_stack([*cols, flags])
 
 
-def sparse_slopes(G: np.ndarray, c: np.ndarray, penalty: np.ndarray, sweeps: int) -> np.ndarray:
+def sparse_slopes(G: np.ndarray, c: np.ndarray, penalty: np.ndarray, sweeps: int, start: np.ndarray | None = None) -> np.ndarray:
     """Minimise ``d'Gd / 2 - c'd + penalty |d|_1`` for every series (rows of
     ``G`` [S, k, k] and ``c`` [S, k]): coordinate descent, then the exact
     solution for the signs found, taken where it satisfies the conditions of
-    optimality better."""
+    optimality better. Series that satisfy them leave the sweeps."""
     S, k = c.shape
-    d = np.zeros((S, k))
+    best, worst = np.zeros((S, k)), np.full(S, np.inf)
     if not k:
-        return d
+        return best
+    left = np.arange(S)
+    d = np.zeros((S, k)) if start is None else start.copy()
+    g = c - np.einsum("sij,sj->si", G, d)
     diag = np.maximum(G[:, np.arange(k), np.arange(k)], 1e-300)
-    g = c.copy()  # c - G d
-    best, worst = d.copy(), np.full(S, np.inf)
     for sweep in range(sweeps):
         for j in range(k):
             u = g[:, j] + diag[:, j] * d[:, j]
@@ -103,10 +104,13 @@ def sparse_slopes(G: np.ndarray, c: np.ndarray, penalty: np.ndarray, sweeps: int
         if sweep % 25 == 24 or sweep == sweeps - 1:
             for tried in (d, _exact(G, c, penalty, d)):
                 off = violation(c - np.einsum("sij,sj->si", G, tried), tried, penalty)
-                better = off < worst
-                best[better], worst[better] = tried[better], off[better]
-            if (worst <= 1e-9 * (1.0 + penalty)).all():
+                better = off < worst[left]
+                best[left[better]], worst[left[better]] = tried[better], off[better]
+            open_ = worst[left] > 1e-9 * (1.0 + penalty)
+            if not open_.any():
                 break
+            if not open_.all():
+                left, G, c, penalty, d, g, diag = (x[open_] for x in (left, G, c, penalty, d, g, diag))
     return best
 
 
@@ -157,7 +161,7 @@ def _solve_all(A: np.ndarray, b: np.ndarray, yy: np.ndarray, n: np.ndarray, k: i
             both = others(term, np.concatenate((Azh, b[:, z, None]), axis=2))
             G = Ahh - np.einsum("szi,szj->sij", Azh, both[:, :, :-1])
             c = b[:, h] - np.einsum("szi,sz->si", Azh, both[:, :, -1])
-            d = sparse_slopes((G + G.swapaxes(1, 2)) / 2, c, slope, p.sweeps)
+            d = sparse_slopes((G + G.swapaxes(1, 2)) / 2, c, slope, p.sweeps, beta[:, h])
             beta[:, h] = d
             beta[:, z] = both[:, :, -1] - np.einsum("szi,si->sz", both[:, :, :-1], d)
         else:
@@ -165,7 +169,7 @@ def _solve_all(A: np.ndarray, b: np.ndarray, yy: np.ndarray, n: np.ndarray, k: i
     return beta, np.sqrt(noise(beta)), slope, term
 
 
-def fit_bucket(pdf: pd.DataFrame, p: AdditiveParams) -> pd.DataFrame:
+def fit_bucket(pdf: pd.DataFrame, p: AdditiveParams, n_flags: int) -> pd.DataFrame:
     """One coefficient row for every series of a bucket that has two training
     rows at least (F11). Series with equally many changepoints are solved
     together."""
@@ -176,7 +180,7 @@ def fit_bucket(pdf: pd.DataFrame, p: AdditiveParams) -> pd.DataFrame:
         t = g["t"].to_numpy(dtype=float)
         order = np.argsort(t, kind="stable")
         t, y = t[order], g["y"].to_numpy(dtype=float)[order]
-        flags = np.array(g["flags"].tolist(), dtype=float).reshape(len(g), -1)[order]
+        flags = (g["flags"].to_numpy()[order][:, None] >> np.arange(n_flags) & 1).astype(float)
         t0, span = float(t.min()), float(max(t.max() - t.min(), 1.0))
         k = min(p.n_changepoints, max(len(t) - 2, 0))
         cps = np.linspace(0, p.changepoint_range, k + 2)[1:-1] if k else np.array([])
@@ -218,20 +222,32 @@ def fit_additive(
     ``series_per_group`` series of calendar-bounded length, and the per-call
     Arrow/pandas overhead is paid per bucket, not per series."""
     rows = d if cutoff is None else d.where(F.col("ds") < cutoff)
-    inp = rows.select("series_id", F.col("y").cast("double").alias("y"), _day_number(F.col("ds")).alias("t"), _flags(spec, params).alias("flags"))
+    inp = rows.select("series_id", F.col("y").cast("double").alias("y"), _day_number(F.col("ds")).alias("t"), _flag_bits(spec, params).alias("flags"))
+    n_flags = len(_holidays(spec, params))
     n_series = inp.agg(F.approx_count_distinct("series_id").alias("n")).first()["n"] or 1
     # at least one group per core of the cluster, so that few series do not share one task
     cores = rows.sparkSession.sparkContext.defaultParallelism
     buckets = max(1, -(-int(n_series) // series_per_group), min(int(n_series), cores))
     keyed = inp.withColumn("__bucket", F.pmod(F.xxhash64("series_id"), F.lit(buckets)))
 
-    return keyed.groupBy("__bucket").applyInPandas(lambda pdf: fit_bucket(pdf, params), COEF_SCHEMA)
+    return keyed.groupBy("__bucket").applyInPandas(lambda pdf: fit_bucket(pdf, params, n_flags), COEF_SCHEMA)
+
+
+def _holidays(spec: PanelSpec, params: AdditiveParams) -> list[Column]:
+    return [f for _, f in holiday_flags(F.col("ds"), spec.holiday_country if params.use_holidays else None)]
 
 
 def _flags(spec: PanelSpec, params: AdditiveParams) -> Column:
     """A 0/1 per holiday of the country."""
-    flags = holiday_flags(F.col("ds"), spec.holiday_country if params.use_holidays else None)
-    return F.array(*[f.cast("double") for _, f in flags]).cast("array<double>")
+    return F.array(*[f.cast("double") for f in _holidays(spec, params)]).cast("array<double>")
+
+
+def _flag_bits(spec: PanelSpec, params: AdditiveParams) -> Column:
+    """The same as bits of one number, which is cheaper to hand to Python."""
+    bits = F.lit(0).cast("long")
+    for k, f in enumerate(_holidays(spec, params)):
+        bits = bits + F.when(f, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    return bits
 
 
 def design_row(spec: PanelSpec, params: AdditiveParams) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hindcast.llm.common import columns_of, materialize
+from hindcast.llm.common import LARGE_ROWS, arrow_rows, columns_of, materialize
 from hindcast.llm.terms import Terms, chunks, mix64, split_terms, term_hashes
 
 #: text of one block of the index, and hash functions per term
@@ -43,6 +43,8 @@ BITS_PER_TERM = 8
 LEVELS = (1, 2, 4, 8, 16)
 #: bits x documents of one group at most
 GROUP_CELLS = 1 << 24
+#: (item or term) x documents that a search has bounds or gains of at a time, at most
+SEARCH_CELLS = 1 << 22
 #: items that are searched for in one pass over the index
 ITEM_ROWS, ITEM_BYTES = 4096, 8 << 20
 
@@ -158,7 +160,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held and any(b.num_rows for b in held):
             yield block()
 
-    blocks = materialize(rows.mapInArrow(run, _BLOCK), "signatures")
+    blocks = materialize(rows.mapInArrow(run, _BLOCK), "signatures", **LARGE_ROWS)
     sums = blocks.select(F.explode("n").alias("n")).agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
     return LexicalIndex(blocks, sums[0], sums[1] or 0)
 
@@ -260,6 +262,17 @@ def bounds(group: dict, asked: Asked, known: np.ndarray, m: np.ndarray) -> np.nd
     return out
 
 
+def _pieces(groups: list[dict], most: int) -> Iterator[dict]:
+    """The groups in pieces of at most ``most`` documents, 8 at least: the
+    slices are cut between bytes."""
+    width = max(1, most // 8) * 8
+    for g in groups:
+        docs = np.frombuffer(g["docs"], "<i4")
+        slices = np.frombuffer(g["slices"], dtype=np.uint8).reshape(g["bits"], -1)
+        for lo in range(0, len(docs), width):
+            yield {"docs": docs[lo : lo + width], "bits": g["bits"], "slices": np.ascontiguousarray(slices[:, lo // 8 : (lo + width) // 8])}
+
+
 def search_block(block: dict, asked: Asked, best: Best) -> tuple[int, int]:
     """Brings ``best`` up to date with a block. Returns how many (item,
     document) pairs there were and how many were rescored."""
@@ -280,7 +293,7 @@ def search_block(block: dict, asked: Asked, best: Best) -> tuple[int, int]:
     row = np.full(len(asked.vocabulary), -1)
     row[known] = np.arange(len(known))
     rescored = 0
-    for group in block["groups"]:
+    for group in _pieces(block["groups"], max(1, SEARCH_CELLS // max(asked.n_items, len(known)))):
         docs = np.frombuffer(group["docs"], "<i4")
         lane = np.full(len(n), -1)
         lane[docs] = np.arange(len(docs))
@@ -357,8 +370,9 @@ def _search_items(index: LexicalIndex, block: list, id_type, k: int) -> DataFram
 
     df = np.zeros(len(vocabulary), dtype=np.int64)
     # one row per term of the items
-    for r in index.blocks.select("terms", "df").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]
+    with arrow_rows(spark, 1):  # a row is a block
+        for r in index.blocks.select("terms", "df").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+            df[r["term"]] = r["df"]
     asked.weight = np.array([term_weight(index.documents, int(d)) for d in df], dtype=np.int64)
     held = spark.sparkContext.broadcast(asked)
 
@@ -382,4 +396,4 @@ def _search_items(index: LexicalIndex, block: list, id_type, k: int) -> DataFram
     ranked = finds.withColumn("rank", place).filter(F.col("rank") <= k)
     names = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(block)], f"place long, item_id {id_type.simpleString()}")
     out = ranked.join(names, F.col("item") == F.col("place")).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
-    return materialize(out, "ranked")
+    return materialize(out, "ranked", rows=1)

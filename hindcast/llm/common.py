@@ -7,7 +7,8 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -26,18 +27,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the plan
-    above starts from files that outlive any executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    # long texts: batches that go to Python tasks hold fewer rows than usual while this table is made
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Batches that go to Python tasks hold at most ``most`` rows in the jobs
+    that start in here."""
     before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(min(int(before), BATCH_ROWS)))
+    spark.conf.set(ARROW_ROWS, str(min(int(before), most) if int(before) > 0 else most))
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(ARROW_ROWS, before)
+
+
+#: Parquet options for rows of some MB each: a row group per row. A writer
+#: would gather a hundred rows before it looks at their size, and a reader and
+#: the batches behind it hold the rows of a row group together.
+LARGE_ROWS = {"parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def materialize(df: DataFrame, label: str, rows: int = BATCH_ROWS, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: the plan
+    above starts from files that outlive any executor. Batches that go to Python
+    tasks hold at most ``rows`` rows meanwhile, fewer than usual, as texts may
+    be long."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    with arrow_rows(spark, rows):
+        df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

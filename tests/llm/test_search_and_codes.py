@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import math
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from hindcast.llm import bitsliced, codebooks, fingerprints, terms
@@ -200,6 +202,33 @@ def test_bounds_hold_and_exclude():
     assert pairs == 30000 and rescored < 0.2 * pairs
 
 
+def test_search_memory_does_not_grow(spark, docs, monkeypatch):
+    """A block of the index is a row group of its own, and one batch for the
+    tasks that read it; documents of a block are searched in bounded pieces."""
+    index = bitsliced.build_index(docs.coalesce(1), block_bytes=600)
+    files = glob.glob(f"{index.blocks._scratch_path.removeprefix('file:')}/*.parquet")
+    groups = [pq.ParquetFile(f).metadata.row_group(g).num_rows for f in files for g in range(pq.ParquetFile(f).num_row_groups)]
+    assert len(groups) == index.blocks.count() > 5 and set(groups) == {1}
+
+    texts = [f"a{k % 7} b{k % 11} " + "c " * (k % 5) for k in range(3000)]
+    block = bitsliced.index_block(pa.array(range(3000)), pa.array(texts, pa.large_string()))
+    asked = bitsliced.Asked.of([f"a{k % 7} b{k} c" for k in range(40)])
+    asked.documents, asked.length = 3000, sum(block["n"])
+    asked.weight = np.array([bitsliced.term_weight(3000, 400)] * len(asked.vocabulary))
+    seen = []
+    plain = bitsliced.bounds
+    monkeypatch.setattr(bitsliced, "bounds", lambda *a: seen.append(plain(*a)) or seen[-1])
+    found = []
+    for cells in (1 << 40, 4000, 1):
+        monkeypatch.setattr(bitsliced, "SEARCH_CELLS", cells)
+        seen.clear()
+        best = bitsliced.Best(40, 10)
+        bitsliced.search_block(block, asked, best)
+        assert sum(s.shape[1] for s in seen) == 3000 and max(s.size for s in seen) <= max(cells, 40 * 8)
+        found.append([(s.tolist(), i.tolist()) for s, i in zip(best.score, best.id)])
+    assert found[0] == found[1] == found[2]
+
+
 # -- op13 --------------------------------------------------------------------
 
 

@@ -259,6 +259,24 @@ def test_additive_fit_is_the_minimum(spark):
             assert 0 < (b[2:27] != 0).sum() < 20  # most changes are exactly zero
 
 
+def test_slopes_of_sparse_series_reach_the_minimum_without_long_sweeps():
+    """Few rows for many changepoints: coordinate descent needs thousands of
+    sweeps there, the exact solves do not."""
+    from hindcast.models.additive import sparse_slopes, violation
+
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.random((40, 29)), axis=1)
+    H = np.maximum(t[:, :, None] - np.linspace(0, 0.8, 27)[1:-1], 0.0)
+    y = np.cumsum(rng.normal(0, 0.2, t.shape), axis=1)
+    G, c = H.swapaxes(1, 2) @ H, np.einsum("snk,sn->sk", H, y)
+    penalty = np.full(40, 1e-3)
+    d = sparse_slopes(G, c, penalty, sweeps=25)
+    assert (violation(c - np.einsum("sij,sj->si", G, d), d, penalty) < 1e-9).all() and (d != 0).any(axis=1).all()
+    # a start with other signs ends there too
+    again = sparse_slopes(G, c, penalty, sweeps=25, start=-d)
+    assert (violation(c - np.einsum("sij,sj->si", G, again), again, penalty) < 1e-9).all()
+
+
 def test_additive_interval_widens_as_simulated_slopes_do(spark):
     """The trend's spread beyond the history against simulated changes of slope."""
     from hindcast.models.additive import Z90, predict_additive

@@ -10,6 +10,7 @@ character.
 
 from __future__ import annotations
 
+import os
 from array import array
 
 import numpy as np
@@ -30,6 +31,16 @@ _SHORT = ("s", "t", "m", "d")
 _LONG = ("re", "ve", "ll")
 
 
+#: characters that byte-level vocabularies write bytes with (fixed values): printable ones stand for themselves
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARS = np.arange(256, dtype="<u4")
+_CHARS[np.setdiff1d(np.arange(256), _PRINTED)] = 256 + np.arange(256 - len(_PRINTED))
+
+
+def _as_chars(raw: bytes) -> str:
+    return _CHARS[np.frombuffer(raw, dtype=np.uint8)].tobytes().decode("utf-32-le")
+
+
 class PieceEncoder:
     """Encodes Arrow string arrays with one tokenizer file."""
 
@@ -42,9 +53,23 @@ class PieceEncoder:
         self._fast = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         line = self.tok.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
+        self._lines = self._lines_of_bytes()
         self.kind = np.full(0x110000, _UNKNOWN, dtype=np.uint8)
         self.reset()
 
+    def _lines_of_bytes(self):
+        """The library's batch call for lines of pieces that are cut already:
+        the same model, but split at line breaks alone. None where the file's
+        own characters for bytes are others."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        probe = "".join(map(chr, range(1, 0x180)))
+        if self.tok.normalizer is not None or "".join(p for p, _ in self.pre.pre_tokenize_str(probe)) != _as_chars(probe.encode("utf-8")):
+            return None
+        tok = Tokenizer(self.tok.model)
+        tok.pre_tokenizer = pre_tokenizers.Split(_as_chars(b"\n"), "isolated")
+        return getattr(tok, "encode_batch_fast", tok.encode_batch)
+
     def reset(self) -> None:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -152,7 +177,11 @@ class PieceEncoder:
         # a piece that ends in white space is nothing else
         plain = [i for i, p in enumerate(pieces) if 32 < p[-1] < 128 or p[-1] > 127 and not p.decode("utf-8")[-1].isspace()]
         groups = [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)] if self.line is not None else []
-        answers = self._fast([b"\n".join([*(pieces[i] for i in group), b""]).decode("utf-8") for group in groups], add_special_tokens=False)
+        lines = [b"\n".join([*(pieces[i] for i in group), b""]) for group in groups]
+        if self._lines is not None:
+            answers = self._lines([_as_chars(x) for x in lines], add_special_tokens=False)
+        else:
+            answers = self._fast([x.decode("utf-8") for x in lines], add_special_tokens=False)
         for group, answer in zip(groups, answers):
             ids = np.array(answer.ids, dtype="<i4")
             ends = np.flatnonzero(ids == self.line)
@@ -209,7 +238,9 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and file."""
+    """One encoder per worker process and file. A task has one core: the
+    library's own threads would only wait for each other."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return worker_model(("bpe", path), lambda: PieceEncoder(path))
 
 

@@ -423,3 +423,16 @@ def test_shards_are_mixed_whatever_the_size(spark):
         assert places(keyed.collect()) == places(got)
     finally:
         spark.conf.set(limit, before)
+
+
+def test_cut_pieces_skip_the_librarys_own_cutting():
+    import os
+
+    import pyarrow as pa
+
+    enc = encoder(public_tokenizer())
+    assert enc._lines is not None and os.environ["TOKENIZERS_PARALLELISM"]
+    texts = ["Hello there, it's 2 caf\u00e9s \u4e2d\u6587 \x7f\x01x\u00ad\u00a0y\n\n  z", "", " a\tb \u00ff\u0100", "\U0001f600 ok"]
+    enc.reset()
+    got = [x.tolist() for x in enc.encode(pa.array(texts))]
+    assert got == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]

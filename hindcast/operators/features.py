@@ -163,7 +163,7 @@ def _chunked_frame(d: DataFrame, spec: PanelSpec, split_rows: int) -> DataFrame:
        aggregate -- one row per block).
     2. Row chunk = rank // split_rows; a row is also emitted into the next
        chunk when it lies within ``max_lookback`` rows of its chunk's end
-       (the halo).
+       (the halo) and the series goes on in that chunk.
     3. Features are evaluated per (series_id, chunk) ordered by rank, and
        halo copies are dropped, so every row keeps the exact values of the
        single-window plan.
@@ -191,15 +191,22 @@ def _chunked_frame(d: DataFrame, spec: PanelSpec, split_rows: int) -> DataFrame:
             F.sum("__n").over(Window.partitionBy("series_id").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
         ),
-    ).drop("__n")
+    ).withColumn("__total", F.sum("__n").over(Window.partitionBy("series_id"))).drop("__n")
     ranked = numbered.join(offs, ["series_id", "__blk"]).withColumn("__rank", F.col("__r0") + F.col("__off"))
     # Step 2: chunk + halo copies
-    chunk = (F.col("__rank") / F.lit(split_rows)).cast("long")
-    pos = F.col("__rank") % F.lit(split_rows)
-    targets = F.when(pos >= F.lit(split_rows - K), F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
-    exploded = ranked.withColumn("__chunk", F.explode(targets)).withColumn("__own", F.col("__chunk") == chunk)
+    exploded = _with_halo(ranked, split_rows, K)
     # Step 3: features per chunk
     w = Window.partitionBy("series_id", "__chunk").orderBy("__rank")
     keep = [c for c in d.columns]
     feats = exploded.select(*[F.col(c) for c in keep], F.col("__own"), *_feature_exprs(d, spec, w))
     return feats.where(F.col("__own")).drop("__own")
+
+
+def _with_halo(ranked: DataFrame, split_rows: int, lookback: int) -> DataFrame:
+    """Rows with their ``__chunk``, from their ``__rank`` in a series of
+    ``__total`` rows; copies for the next chunk are not ``__own``."""
+    chunk = (F.col("__rank") / F.lit(split_rows)).cast("long")
+    pos = F.col("__rank") % F.lit(split_rows)
+    goes_on = (chunk + 1) * F.lit(split_rows) < F.col("__total")
+    targets = F.when((pos >= F.lit(split_rows - lookback)) & goes_on, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    return ranked.withColumn("__chunk", F.explode(targets)).withColumn("__own", F.col("__chunk") == chunk)

@@ -244,9 +244,10 @@ def fit_bucket(pdf: pd.DataFrame, p: AdditiveParams, n_flags: int) -> pd.DataFra
         X = _design(ts, t0[:, None], span[:, None], cps, flags, p)
         scale = np.maximum(np.abs(ys).max(axis=1), 1e-12)
         ys = ys / scale[:, None]
-        Xt = X.swapaxes(1, 2)
+        # series by series: the products of one matrix with itself are rounded alike whatever shares its bucket
+        A, b, yy = np.stack([x.T @ x for x in X]), np.stack([x.T @ v for x, v in zip(X, ys)]), np.array([v @ v for v in ys])
         alike.setdefault(k, []).append(
-            (which, t0, span, scale, np.full(len(which), n), np.tile(cps, (len(which), 1)), Xt @ X, (Xt @ ys[:, :, None])[..., 0], (ys * ys).sum(axis=1))
+            (which, t0, span, scale, np.full(len(which), n), np.tile(cps, (len(which), 1)), A, b, yy)
         )
     rows = []
     for k, found in alike.items():

@@ -3,16 +3,20 @@
 A calendar is a list of rules: fixed days, n-th and last weekdays of a month,
 weekdays on or before a day, and feasts at an offset from Easter, with the years
 in which they hold and the day on which they are observed when they fall on a
-weekend. Rules become expressions of the year, so ``is_holiday(ds)`` compares the
-date with the rule dates of ``year(ds)`` inline: one codegen'd expression per
-row, with no shuffle and no broadcast. A user-supplied calendar goes through
+weekend. Rules become expressions of the year; ``is_holiday(ds)`` compares the
+date's month, day and weekday with those they mark inline: one codegen'd expression
+per row, with no shuffle and no broadcast. A user-supplied calendar goes through
 :func:`holiday_flag_from_table`, a left join on distinct dates that AQE turns
 into a broadcast only when the calendar is measured small at runtime.
 """
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,22 +196,68 @@ def _any(terms: list[Column]) -> Column:
     return out
 
 
+def _spans(rule: Rule, year: int) -> list[tuple[int | None, int, int]]:
+    """Days that a rule marks, as a weekday (or any) between two days of the
+    year, each written ``100 * month + day``."""
+
+    def at(month: int, day: int, shift: int = 0) -> int:
+        d = dt.date(year, month, day) + dt.timedelta(days=shift)
+        return 100 * d.month + d.day
+
+    if rule.kind == "date":
+        days = [(None, 0)] + {"": [], "nearest": [(FRI, -1), (MON, 1)], "next": [(MON, 1), (MON, 2)], "two": [(MON, 2), (TUE, 2)]}[rule.shift]
+        return [(weekday, *[at(rule.month, rule.day, shift)] * 2) for weekday, shift in days]
+    if rule.kind == "nth":
+        last = at(rule.month, 7 * rule.n)
+    elif rule.kind == "last":
+        last = at(rule.month, calendar.monthrange(year, rule.month)[1])
+    elif rule.kind == "before":
+        last = at(rule.month, rule.day)
+    else:
+        raise ValueError(f"unknown kind of holiday rule {rule.kind!r}")
+    return [(rule.weekday, at(last // 100, last % 100, -6), last)]
+
+
+def _rule_hits(rules: tuple[Rule, ...], year: Column, weekday: Column, day: Column) -> list[Column]:
+    """Whether a date is marked, from its year, weekday and ``100 * month + day``:
+    one term per weekday and years of validity."""
+    days: dict[tuple, list[tuple[int, int]]] = {}
+    years: dict[tuple, Column | None] = {}
+    for r in rules:
+        spans = _spans(r, 2001)
+        if spans != _spans(r, 2000):
+            raise ValueError(f"{r.name!r} depends on leap days; use holiday_flag_from_table")
+        for on, first, last in spans:
+            days.setdefault((on, r.since, r.until), []).append((first, last))
+            years[on, r.since, r.until] = _holds(r, year)
+    hits = []
+    for (on, since, until), found in days.items():
+        single = [first for first, last in found if first == last]
+        terms = [day.between(first, last) for first, last in found if first < last] + ([day.isin(single)] if single else [])
+        when = [] if on is None else [weekday == on]
+        when += [] if years[on, since, until] is None else [years[on, since, until]]
+        hits.append(reduce(and_, when + [reduce(or_, terms)]))
+    return hits
+
+
 def is_holiday(ds: Column, country: str | None) -> Column:
     """0/1 flag; 0 everywhere when no country is configured.
 
-    A plain OR of date comparisons against the rules evaluated for
-    ``year(ds)`` -- no array, no lambda -- so it stays inside whole-stage
-    codegen, and needs no join or broadcast. All feasts that move with Easter
-    share one comparison."""
+    A plain OR of comparisons of the date's month, day and weekday with those
+    the rules mark -- no array, no lambda, no date to make per rule -- so it
+    stays short inside whole-stage codegen (the JVM leaves long methods
+    uncompiled), and needs no join or broadcast. All feasts that move with
+    Easter share one comparison."""
     if not country:
         return F.lit(0)
     d = F.to_date(ds)
     year = F.year(d)
-    hits = [d == x for r in rules_of(country) if r.kind != "easter" for x in rule_dates(r, year)]
-    offsets = [r.day for r in rules_of(country) if r.kind == "easter"]
+    rules = rules_of(country)
+    hits = _rule_hits(tuple(r for r in rules if r.kind != "easter"), year, F.weekday(d), F.month(d) * 100 + F.dayofmonth(d))
+    offsets = [r.day for r in rules if r.kind == "easter"]
     if offsets:
         hits.append(F.datediff(d, easter(year)).isin(offsets))
-    return _any(hits).cast("int")
+    return F.coalesce(reduce(or_, hits), F.lit(False)).cast("int")
 
 
 def holiday_table(spark: SparkSession, first_year: int, last_year: int, country: str = "US") -> DataFrame:

@@ -4,6 +4,7 @@ All lag and rolling expressions share ONE window specification
 ``partitionBy(series_id).orderBy(ds)`` and are added in ONE projection, so
 the physical plan has a single Exchange (hash on series_id), a single Sort
 and a single Window node regardless of how many features are requested.
+Features of the date alone follow in a second one, behind the window.
 Lag/rolling units are rows (T4); the rolling frame ends at the previous row
 so the current target never leaks (T5).
 
@@ -106,17 +107,21 @@ def feature_names(df: DataFrame, spec: PanelSpec) -> FeatureSpec:
     return FeatureSpec(numeric=numeric, categorical=list(spec.series_id_cols) + exo_cat)
 
 
-def _feature_exprs(src: DataFrame, spec: PanelSpec, w: WindowSpec) -> list[Column]:
+def _with_features(src: DataFrame, spec: PanelSpec, w: WindowSpec, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``src`` and the features of its rows in ``w``.
+
+    What follows from the date alone is added after the window: in the same
+    projection it would be made before it, and shuffled, sorted and buffered
+    with every row."""
     exo_cols, _, _ = exogenous_columns(src, spec, w)
+    past = src.select(*keep, *lag_columns(spec, w), *rolling_columns(spec, w), *exo_cols)
     ds = F.col("ds")
-    return [
-        *lag_columns(spec, w),
-        *rolling_columns(spec, w),
-        *exo_cols,
+    return past.select(
+        "*",
         *calendar_columns(ds),
         is_holiday(ds, spec.holiday_country).alias("is_holiday"),
         *fourier_columns(ds, spec),
-    ]
+    )
 
 
 def build_feature_matrix(
@@ -134,13 +139,7 @@ def build_feature_matrix(
     if split_rows:
         out = _chunked_frame(d, spec, split_rows)
     else:
-        out = d.select(
-            *[F.col(c) for c in source_cols],
-            F.col("series_id"),
-            *_feature_exprs(d, spec, series_window(("ds", *spec.tiebreak_cols))),
-            F.col("ds"),
-            F.col("y"),
-        )
+        out = _with_features(d, spec, series_window(("ds", *spec.tiebreak_cols)), d.columns)
     # lagged string exogenous columns are categorical inputs made here, unlike the id columns
     lagged_labels = [c for c in fspec.categorical if c not in source_cols]
     ordered = [*source_cols, "series_id", *fspec.numeric, *lagged_labels, "ds", "y"]
@@ -197,8 +196,7 @@ def _chunked_frame(d: DataFrame, spec: PanelSpec, split_rows: int) -> DataFrame:
     exploded = _with_halo(ranked, split_rows, K)
     # Step 3: features per chunk
     w = Window.partitionBy("series_id", "__chunk").orderBy("__rank")
-    keep = [c for c in d.columns]
-    feats = exploded.select(*[F.col(c) for c in keep], F.col("__own"), *_feature_exprs(d, spec, w))
+    feats = _with_features(exploded, spec, w, [*d.columns, "__own"])
     return feats.where(F.col("__own")).drop("__own")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,12 +31,28 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+def rounded(c: Column, digits: int = 4) -> Column:
+    """``round(c, digits)`` of a double, bit for bit, without writing each value
+    out in decimal digits as ``round`` does.
+
+    Below 1e10 a tie has at most 15 digits, so a value is at or above it exactly
+    if it is not less than the double nearest to the tie. The rest goes through
+    ``round``, in a lambda: its code is not made part of the projection's, which
+    for some thirty columns would be a method too long for the JVM to compile."""
+    unit = F.lit(10.0**digits)
+    size = F.abs(c)
+    below = F.floor(size * unit).cast("double")
+    up = F.when(size >= (below + 0.5) / unit, below + 1.0).otherwise(below)
+    exact = F.transform(F.array(c), lambda x: F.round(x, digits))[0]
+    return F.when(size < F.lit(1e10), F.signum(c) * up / unit).otherwise(exact)
+
+
 def for_check(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             # "+ 0.0" normalises a negative zero after rounding
-            cols.append((F.round(F.col(f.name).cast("double") + F.lit(1e-7), 4) + F.lit(0.0)).alias(f.name))
+            cols.append((rounded(F.col(f.name).cast("double") + F.lit(1e-7)) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

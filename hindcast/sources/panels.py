@@ -18,7 +18,11 @@ from hindcast.spec import FourierTerm, PanelSpec
 
 
 def cents(c: Column) -> Column:
-    return F.round(c * 100).cast("bigint")
+    """Whole cents, halves away from zero, as ``round`` makes them, which writes
+    every value out in decimal digits."""
+    x = c * 100
+    near = F.rint(x)
+    return F.when(F.abs(x - near) == 0.5, x + F.signum(x) * 0.5).otherwise(near).cast("bigint")
 
 
 def cents_to_double(c: Column) -> Column:

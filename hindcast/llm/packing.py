@@ -52,26 +52,31 @@ def document_pieces(
     vocabulary = tokenizer or public_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list = []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                rows: list = []
-                names = batch.column(0).slice(lo, 1024).to_pylist()
-                for name, ids in zip(names, encode_with_end(batch.column(1).slice(lo, 1024), vocabulary, end_id)):
-                    a, n = 0, len(ids)
-                    b = (n - 1) % capacity + 1
-                    ids = ids.astype("<u4")
-                    for k in range((n + capacity - 1) // capacity):
-                        rows.append((name, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-                        a, b = b, b + capacity
-                cols = list(zip(*rows))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
-                )
+            for name, ids in zip(batch.column(0).to_pylist(), encode_with_end(batch.column(1), vocabulary, end_id)):
+                a, n = 0, len(ids)
+                b = (n - 1) % capacity + 1
+                ids = ids.astype("<u4")
+                for k in range((n + capacity - 1) // capacity):
+                    rows.append((name, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                    a, b = b, b + capacity
+                if len(rows) >= 10_000:
+                    yield _piece_batch(rows)
+                    rows = []
+        if rows:
+            yield _piece_batch(rows)
 
     return docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(cut, PIECE)
 
 
+def _piece_batch(rows: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
+    )
+
+
 class _Bins:
     """Best fit over open bins: stacks of bins by free space, and one integer
     whose bit ``r`` says that a bin with ``r`` free places exists."""

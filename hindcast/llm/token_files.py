@@ -96,20 +96,19 @@ def write_token_files(
         docs = tokens = at = 0
         for batch in batches:
             ids_col = batch.column(0).to_pylist()
-            for lo in range(0, batch.num_rows, 1024):
-                for k, ids in enumerate(encode_with_end(batch.column(1).slice(lo, 1024), vocabulary, end_id), lo):
-                    if name is None:
-                        part = TaskContext.get().partitionId()
-                        name = f"part-{part:06d}-{uuid.uuid4().hex}"
-                        store.create_dir(base, recursive=True)
-                        data = store.open_output_stream(f"{base}/{name}.tokens", buffer_size=1 << 20)
-                        index = store.open_output_stream(f"{base}/{name}.index", buffer_size=1 << 16)
-                    record = frame(ids_col[k], ids)
-                    data.write(record)
-                    index.write(struct.pack("<QQQ", at, len(record) - 16, len(ids)))
-                    at += len(record)
-                    docs += 1
-                    tokens += len(ids)
+            for k, ids in enumerate(encode_with_end(batch.column(1), vocabulary, end_id)):
+                if name is None:
+                    part = TaskContext.get().partitionId()
+                    name = f"part-{part:06d}-{uuid.uuid4().hex}"
+                    store.create_dir(base, recursive=True)
+                    data = store.open_output_stream(f"{base}/{name}.tokens", buffer_size=1 << 20)
+                    index = store.open_output_stream(f"{base}/{name}.index", buffer_size=1 << 16)
+                record = frame(ids_col[k], ids)
+                data.write(record)
+                index.write(struct.pack("<QQQ", at, len(record) - 16, len(ids)))
+                at += len(record)
+                docs += 1
+                tokens += len(ids)
         if name is not None:
             data.close()
             index.close()

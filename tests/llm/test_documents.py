@@ -436,3 +436,65 @@ def test_cut_pieces_skip_the_librarys_own_cutting():
     enc.reset()
     got = [x.tolist() for x in enc.encode(pa.array(texts))]
     assert got == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+ODD_TEXTS = [
+    "Hello there, it's 2 caf\u00e9s \u4e2d\u6587 \x7f\x01x\u00ad\u00a0y\n\n  z", "", " a\tb \u00ff\u0100", "\U0001f600 ok",
+    "x" * 24 + " " + "x" * 25 + " " + "x" * 24 + "yz", "line\n\n\n\n   line\r\n", "x" * 24, "nul\0 nul nul\0\0", "Hello there, again",
+]
+
+
+def test_cut_pieces_go_to_the_model_alone(monkeypatch):
+    import pyarrow as pa
+
+    from hindcast.llm import bpe
+
+    enc = bpe.PieceEncoder(public_tokenizer())
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in ODD_TEXTS]
+    texts, ask, asked = pa.array(ODD_TEXTS), enc._ask, []
+
+    def never(*args, **kwargs):
+        raise AssertionError("no encoding is needed for a cut piece")
+
+    def counted(pieces):
+        asked.extend(pieces)
+        return ask(pieces)
+
+    monkeypatch.setattr(enc, "_fast", never)
+    monkeypatch.setattr(enc, "_ask", counted)
+    assert [x.tolist() for x in enc.encode(texts)] == want
+    assert b"x" * 24 in asked and b" there" in asked
+    # once more only the pieces that are too long to be remembered
+    asked.clear()
+    assert [x.tolist() for x in enc.encode(texts)] == want
+    assert asked and all(len(p) > 24 for p in asked)
+    # a block's ids are there before the next block is looked at
+    enc.reset()
+    asked.clear()
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 1)
+    found = enc.encode(texts)
+    assert next(found).tolist() == want[0] and b" ok" not in asked
+    assert [x.tolist() for x in found] == want[1:]
+
+
+@pytest.mark.parametrize("most", [1, 5, 1000])
+@pytest.mark.parametrize("hashed", [True, False])
+def test_remembered_pieces_are_forgotten_or_share_a_hash(monkeypatch, most, hashed):
+    import numpy as np
+    import pyarrow as pa
+
+    from hindcast.llm import bpe
+
+    keys = bpe._keys
+    if not hashed:
+        monkeypatch.setattr(bpe, "_keys", lambda pieces: (keys(pieces)[0], np.zeros(len(pieces), np.uint64)))
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 16)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", most)
+    enc = bpe.PieceEncoder(public_tokenizer())
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in ODD_TEXTS]
+    for lines in (enc._lines, None):  # a file with other characters for bytes has no call for lines of pieces
+        enc._lines = lines
+        enc.reset()
+        for _ in range(3):
+            assert [x.tolist() for x in enc.encode(pa.array(ODD_TEXTS))] == want
+        assert most == 1000 or len(enc.known.last) <= 2 * most + 40
